@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sightline.functions.text import contains_any, normalize_phrase, strip
 
 
+def let(parts: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``parts`` once per row and use them in ``body`` as often as needed."""
+    row = F.struct(*[c.alias(n) for n, c in parts.items()])
+    return F.transform(F.array(row), body)[0]
+
+
 def to_ms(seconds: Column) -> Column:
     return F.round(seconds * 1000.0).cast("long")
 
@@ -43,6 +51,7 @@ def anchor_text(intervals: Column | None, start: Column, end: Column, frame: Col
 
 
 COLON_TIME = r"(?<!\d)(\d{1,3})((?::\d{1,2}){1,2})(\.\d+)?(?!\d)"
+PERCENT = r"(\d+(?:\.\d+)?)\s*%"
 SECONDS = r"(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b"
 
 
@@ -72,53 +81,69 @@ def hint_anchor(hint: Column, clip_start: Column, clip_end: Column) -> Column:
 
     A percentage is read from the raw hint, so ``50%`` works.
     """
-    words = normalize_phrase(hint)
-    span = F.greatest(F.lit(0.0), clip_end - clip_start)
-    percent = F.regexp_extract(hint, r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
-    share = F.least(F.lit(1.0), percent / 100.0)
-    sec = parse_timecode(hint)
-    return (
-        F.when(words == "", F.lit(None).cast("double"))
-        .when(percent.isNotNull(), clip_start + span * share)
-        .when(sec.isNotNull() & contains_any(words, HINT_AFTER), F.least(clip_end, clip_start + sec))
-        .when(sec.isNotNull() & contains_any(words, HINT_BEFORE_END), F.greatest(clip_start, clip_end - sec))
-        .when((sec >= clip_start) & (sec <= clip_end), sec)
-        .when((sec <= span) & contains_any(words, HINT_LOCAL), F.least(clip_end, clip_start + sec))
-        .when((clip_start <= 0.001) & (sec <= clip_end), sec)
-        .when(contains_any(words, HINT_START), clip_start)
-        .when(contains_any(words, HINT_END), clip_end)
-        .when(contains_any(words, HINT_MIDDLE), clip_start + span / 2.0)
-    )
+
+    def place(h: Column) -> Column:
+        words, sec, start, end = h["words"], h["sec"], h["start"], h["end"]
+        span = F.greatest(F.lit(0.0), end - start)
+        return (
+            F.when(words == "", F.lit(None).cast("double"))
+            .when(h["percent"].isNotNull(), start + span * F.least(F.lit(1.0), h["percent"] / 100.0))
+            .when(sec.isNotNull() & contains_any(words, HINT_AFTER), F.least(end, start + sec))
+            .when(sec.isNotNull() & contains_any(words, HINT_BEFORE_END), F.greatest(start, end - sec))
+            .when((sec >= start) & (sec <= end), sec)
+            .when((sec <= span) & contains_any(words, HINT_LOCAL), F.least(end, start + sec))
+            .when((start <= 0.001) & (sec <= end), sec)
+            .when(contains_any(words, HINT_START), start)
+            .when(contains_any(words, HINT_END), end)
+            .when(contains_any(words, HINT_MIDDLE), start + span / 2.0)
+        )
+
+    read = {
+        "words": normalize_phrase(hint),
+        "percent": F.regexp_extract(hint, PERCENT, 1).try_cast("double"),
+        "sec": parse_timecode(hint),
+        "start": clip_start,
+        "end": clip_end,
+    }
+    return let(read, place)
 
 
 def hint_clip(hint: Column, duration: Column) -> Column:
     """Clip named by a loose hint such as ``last 20%`` or ``first 30 seconds``."""
+
+    def cut(h: Column) -> Column:
+        share = F.greatest(F.lit(0.01), F.least(F.lit(1.0), h["percent"] / 100.0))
+        window = F.coalesce(h["duration"] * share, h["sec"], h["duration"] * 0.2)
+        window = F.greatest(F.lit(1.0), F.least(h["duration"], window))
+        return F.struct(h["word"].alias("word"), h["duration"].alias("d"), window.alias("w"))
+
+    def place(h: Column) -> Column:
+        word, d, w = h["word"], h["d"], h["w"]
+        tail = F.greatest(F.lit(0.0), d - w)
+        centred = F.greatest(F.lit(0.0), d / 2.0 - w / 2.0)
+        start = F.when(word == "start", F.lit(0.0)).when(word == "middle", centred).otherwise(tail)
+        end = F.when(word == "end", d).otherwise(F.least(d, start + w))
+        empty = (d <= 0.0) | d.isNull()
+        zero = F.lit(0.0)
+        return F.struct(
+            F.when(empty, zero).otherwise(start).alias("start_s"),
+            F.when(empty, zero).otherwise(F.greatest(start, end)).alias("end_s"),
+        )
+
     text = F.lower(strip(hint))
-    at_end = contains_any(text, ["last", "final", "end"])
-    at_start = contains_any(text, ["first", "opening", "start", "beginning"])
-    percent = F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double")
-    share = F.greatest(F.lit(0.01), F.least(F.lit(1.0), percent / 100.0))
-    seconds = F.regexp_extract(text, SECONDS, 1).try_cast("double")
-    window = F.coalesce(duration * share, seconds, duration * 0.2)
-    window = F.greatest(F.lit(1.0), F.least(duration, window))
-    centred = F.greatest(F.lit(0.0), duration / 2.0 - window / 2.0)
-    start = (
-        F.when(at_end, F.greatest(F.lit(0.0), duration - window))
-        .when(at_start, F.lit(0.0))
-        .when(F.contains(text, F.lit("mid")), centred)
-        .otherwise(F.greatest(F.lit(0.0), duration - window))
-    )
-    end = (
-        F.when(at_end, duration)
-        .when(at_start | F.contains(text, F.lit("mid")), F.least(duration, start + window))
-        .otherwise(duration)
-    )
-    empty = (duration <= 0.0) | duration.isNull()
-    clip = F.struct(
-        F.when(empty, F.lit(0.0)).otherwise(start).alias("start_s"),
-        F.when(empty, F.lit(0.0)).otherwise(F.greatest(start, end)).alias("end_s"),
+    word = (
+        F.when(contains_any(text, ["last", "final", "end"]), F.lit("end"))
+        .when(contains_any(text, ["first", "opening", "start", "beginning"]), F.lit("start"))
+        .when(F.contains(text, F.lit("mid")), F.lit("middle"))
+        .otherwise(F.lit("end"))
     )
-    return F.when(text != "", clip)
+    read = {
+        "word": word,
+        "percent": F.regexp_extract(text, PERCENT, 1).try_cast("double"),
+        "sec": F.regexp_extract(text, SECONDS, 1).try_cast("double"),
+        "duration": duration,
+    }
+    return F.when(text != "", let({"c": let(read, cut)}, lambda h: place(h["c"])))
 
 
 def clamp_clip(start: Column, end: Column, duration: Column) -> Column:
@@ -174,8 +199,19 @@ def dense_times(start: Column, end: Column, fps: float = 1.0) -> Column:
 
 
 def run_id_time(c: Column) -> Column:
-    stamp = F.regexp_extract(c, r"(\d{8}T\d{6})Z", 1)
-    return F.try_to_timestamp(stamp, F.lit("yyyyMMdd'T'HHmmss"))
+    """Wall clock in a run id such as ``20260428T184655Z_1be8c339``; null when it is no time."""
+    iso = F.regexp_replace(
+        F.regexp_extract(c, r"^(\d{8}T\d{6})Z", 1),
+        r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$",
+        "$1-$2-$3 $4:$5:$6",
+    )
+    return iso.try_cast("timestamp_ntz")
+
+
+def elapsed_s(started: Column, finished: Column) -> Column:
+    """Seconds between two ISO time texts."""
+    lo, hi = started.try_cast("timestamp_ntz"), finished.try_cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", lo, hi) / F.lit(1_000_000.0)
 
 
 def clip_artifact_id(start: Column, end: Column) -> Column:

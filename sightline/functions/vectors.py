@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sightline.functions.timing import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -70,31 +72,37 @@ def fit_box(box: Column, width: Column, height: Column) -> Column:
 
     Raw box if inside; else the first known canvas (smallest scale) that explains it; else cut to the picture.
     """
-    b = sort_corners(box)
-    w, h = width.cast("double"), height.cast("double")
-    far = F.greatest(b[2] / w, b[3] / h)
-    inside = (b[0] >= 0.0) & (b[1] >= 0.0) & (b[2] <= w) & (b[3] <= h)
-    scaled = F.lit(None).cast("array<double>")
-    for cw, ch in reversed(CANVASES):
-        sx, sy = F.lit(float(cw)) / w, F.lit(float(ch)) / h
-        scale = (sx + sy) / 2.0
-        fits = (
-            (F.lit(cw) >= w)
-            & (F.lit(ch) >= h)
-            & (F.abs(sx - sy) <= 0.05)
-            & (F.abs(F.lit(cw / ch) - w / h) <= 0.05)
-            & (b[2] <= cw)
-            & (b[3] <= ch)
-            & (scale > 1.0)
-            & (b[2] / scale <= w)
-            & (b[3] / scale <= h)
-        )
-        scaled = F.when(fits, F.transform(b, lambda v: v / scale)).otherwise(scaled)
-    may_scale = (b[0] >= 0.0) & (b[1] >= 0.0) & (far >= 1.2)
 
-    def cut(v: Column, hi: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(hi, v))
+    def explain(r: Column) -> Column:
+        b, w, h = r["b"], r["w"], r["h"]
+
+        def scale_of(canvas: Column) -> Column:
+            return (canvas["w"] / w + canvas["h"] / h) / 2.0
+
+        def explains(canvas: Column) -> Column:
+            sx, sy, scale = canvas["w"] / w, canvas["h"] / h, scale_of(canvas)
+            covers = (canvas["w"] >= w) & (canvas["h"] >= h) & (b[2] <= canvas["w"]) & (b[3] <= canvas["h"])
+            alike = (F.abs(sx - sy) <= 0.05) & (F.abs(canvas["w"] / canvas["h"] - w / h) <= 0.05)
+            return covers & alike & (scale > 1.0) & (b[2] / scale <= w) & (b[3] / scale <= h)
+
+        scales = F.transform(F.filter(canvases, explains), scale_of)
+        may_scale = (b[0] >= 0.0) & (b[1] >= 0.0) & (F.greatest(b[2] / w, b[3] / h) >= 1.2)
+        return F.struct(b.alias("b"), w.alias("w"), h.alias("h"), F.when(may_scale, F.array_min(scales)).alias("scale"))
+
+    def fit(r: Column) -> Column:
+        b, w, h = r["b"], r["w"], r["h"]
+
+        def cut(v: Column, hi: Column) -> Column:
+            return F.greatest(F.lit(0.0), F.least(hi, v))
+
+        inside = (b[0] >= 0.0) & (b[1] >= 0.0) & (b[2] <= w) & (b[3] <= h)
+        return (
+            F.when((w <= 0) | (h <= 0) | inside, b)
+            .when(r["scale"].isNotNull(), F.transform(b, lambda v: v / r["scale"]))
+            .when(b.isNotNull(), F.array(cut(b[0], w), cut(b[1], h), cut(b[2], w), cut(b[3], h)))
+        )
 
-    clamped = F.array(cut(b[0], w), cut(b[1], h), cut(b[2], w), cut(b[3], h))
-    fitted = F.when(may_scale & scaled.isNotNull(), scaled).otherwise(clamped)
-    return F.when((w <= 0) | (h <= 0) | inside, b).when(b.isNotNull(), fitted)
+    sizes = [F.struct(F.lit(float(w)).alias("w"), F.lit(float(h)).alias("h")) for w, h in CANVASES]
+    canvases = F.array(*sizes)
+    read = {"b": sort_corners(box), "w": width.cast("double"), "h": height.cast("double")}
+    return let({"r": let(read, explain)}, lambda x: fit(x["r"]))
