@@ -150,11 +150,11 @@ def temporal_rerank(frames, clips, structured: bool, anchors_ms: list[int]):
 
     ``clips`` gives clip_start_ms and clip_end_ms per video. Scores are millionths; ties end at distance, then time.
     """
-    span_cap = 2000
-    near = I.neighbour_sums(frames, ["video_id"], "t_ms", "score_u", span_cap)
-    rows = near.join(clips, "video_id")
+    span = F.greatest(F.lit(0), F.col("clip_end_ms") - F.col("clip_start_ms"))
+    reach = F.greatest(F.lit(1000), F.least(F.lit(2000), F.when(span > 0, F.floor(span * 0.15)).otherwise(1000)))
+    placed = frames.join(clips, "video_id").withColumn("_reach", reach)
+    rows = I.neighbour_sums_within(placed, ["video_id"], "t_ms", "score_u", "_reach")
     t, lo, hi = F.col("t_ms"), F.col("clip_start_ms"), F.col("clip_end_ms")
-    span = F.greatest(F.lit(0), hi - lo)
     bonus = stability(0.18 if structured else 0.08)
     if anchors_ms:
         window = F.greatest(F.lit(1000.0), F.least(F.lit(2500.0), F.when(span > 0, span * 0.2).otherwise(1000.0)))

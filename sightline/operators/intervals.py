@@ -188,6 +188,28 @@ def neighbour_sums(rows: DataFrame, keys: Sequence[str], t: str, value: str, rea
     ).drop("_sv", "_sn")
 
 
+def neighbour_sums_within(rows: DataFrame, keys: Sequence[str], t: str, value: str, reach: str) -> DataFrame:
+    """As ``neighbour_sums`` with the reach in ms taken from a column, through running totals at t ± reach."""
+    at = rows.groupBy(*keys, t).agg(F.sum(value).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    asked = rows.select(*keys, t, reach).distinct()
+    ends = asked.select(*keys, F.explode(F.array(F.col(t) + F.col(reach), F.col(t) - F.col(reach) - 1)).alias(t))
+    marks = ends.distinct().withColumn("_q", F.lit(True))
+    times = at.join(marks, [*keys, t], "full").withColumn("_slab", _slab(t))
+    for name in ("_v", "_n"):
+        times = running(times, keys, "_slab", t, F.coalesce(F.col(name), F.lit(0)), f"_c{name}", fn=F.sum, inclusive=True)
+    totals = times.filter("_q").select(*keys, t, "_c_v", "_c_n")
+    joined = rows.withColumns({"_hi": F.col(t) + F.col(reach), "_lo": F.col(t) - F.col(reach) - 1})
+    for side in ("_hi", "_lo"):
+        named = totals.select(*keys, F.col(t).alias(side), F.col("_c_v").alias(f"_v{side}"), F.col("_c_n").alias(f"_n{side}"))
+        joined = joined.join(named, [*keys, side])
+    return joined.withColumns(
+        {
+            "others_sum": F.col("_v_hi") - F.col("_v_lo") - F.col(value),
+            "others_n": F.col("_n_hi") - F.col("_n_lo") - 1,
+        }
+    ).drop("_hi", "_lo", "_v_hi", "_v_lo", "_n_hi", "_n_lo")
+
+
 def exact_medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact median of whole-number ``value`` per key, from counts per value instead of a sorted group."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
