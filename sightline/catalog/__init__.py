@@ -4,6 +4,13 @@ from __future__ import annotations
 
 import importlib
 
+from pyspark import cloudpickle
+
+import sightline
+
+# Python functions travel to the executors by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sightline)
+
 MODULES = [
     "columns",
     "filters",

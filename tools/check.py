@@ -59,7 +59,7 @@ def main() -> int:
     for m in mods:
         importlib.import_module(f"sightline.catalog.{m}")
     spark = build_session(
-        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"}
+        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
