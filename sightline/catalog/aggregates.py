@@ -13,7 +13,7 @@ from sightline.functions import text, timing
 from sightline.functions.text import WS
 from sightline.operators import intervals as I
 from sightline.operators import ledger as L
-from sightline.operators.core import keep_first, ordered_list, ordered_text, rank_rows, running, top_n
+from sightline.operators.core import Running, keep_first, ordered_list, ordered_text, rank_rows, running, top_n
 
 PART = 1000
 
@@ -296,7 +296,8 @@ def round_summary(steps):
     Rows are counted per line number first, so a huge round is cut before its lists are built.
     """
     counts = steps.groupBy("round_id", "line").agg(F.count(F.lit(1)).alias("_c"))
-    placed = running(counts.withColumn("_slab", F.floor(F.col("line") / 100_000)), ["round_id"], "_slab", "line", F.col("_c"), "_base", fn=F.sum)
+    counts = counts.withColumn("_slab", F.floor(F.col("line") / 100_000))
+    placed = running(counts, ["round_id"], "_slab", "line", Running("_base", F.col("_c"), F.sum))
     inside = steps.join(placed.select("round_id", "line", "_base"), ["round_id", "line"])
     pos = F.col("_base") + F.row_number().over(Window.partitionBy("round_id", "line").orderBy("order")) - 1
     numbered = inside.withColumn("pos", pos).withColumn("part", F.floor(F.col("pos") / PART))

@@ -12,6 +12,7 @@ from sightline.operators import filters as P
 from sightline.operators import intervals as I
 from sightline.operators import ranking as K
 from sightline.operators.core import rank_rows, top_n
+from sightline.session import materialize
 
 TERMS = ["the", "and", "tion", "license", "password", "quelle"]
 
@@ -69,7 +70,8 @@ def reranked(spark, sf):
 
 @query("diverse_topk")
 def _(spark, sf):
-    ranked = reranked(spark, sf)
+    # Ranked frames feed several branches, so their plan is cut by a written table first.
+    ranked = materialize(reranked(spark, sf), "ranked")
     centre = I.best_plateau(ranked.withColumn("score_u", F.col("temporal_u")), ["video_id"], "score_u")
     return K.diverse_topk(ranked, "video_id", 5, 1000, centre)
 

@@ -11,6 +11,7 @@ Rules kept here so that one key may hold a third of all rows:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,41 +46,42 @@ def top_n(df: DataFrame, keys: Keys, order: Sequence[Column], n: int, rank: str
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def running(
-    df: DataFrame,
-    keys: Keys,
-    slab: str,
-    order: str,
-    value: Column,
-    out: str,
-    fn: Callable[[Column], Column] = F.max,
-    inclusive: bool = False,
-    reverse: bool = False,
-) -> DataFrame:
-    """Running ``fn`` of ``value`` per key in ``order`` without putting a whole key into one task.
+@dataclass(frozen=True)
+class Running:
+    """One running value: ``fn`` (max, min or sum) of ``value`` over the rows before, or after if reversed."""
+
+    out: str
+    value: Column
+    fn: Callable[[Column], Column] = F.max
+    inclusive: bool = False
+    reverse: bool = False
+
+
+def running(df: DataFrame, keys: Keys, slab: str, order: str, *wanted: Running) -> DataFrame:
+    """Running values per key in ``order`` without putting a whole key into one task.
 
     ``slab`` must rise with ``order`` and hold a bounded number of rows; the second level sees one row
-    per slab. ``fn`` is one of max, min, sum.
+    per slab. All wanted values share one pass over the rows and one join with the slab summaries.
     """
-    ordering = F.col(order).desc() if reverse else F.col(order).asc()
-    slab_ordering = F.col(slab).desc() if reverse else F.col(slab).asc()
-    local = Window.partitionBy(*keys, slab).orderBy(ordering)
-    local = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    upper = Window.partitionBy(*keys).orderBy(slab_ordering).rowsBetween(Window.unboundedPreceding, -1)
-    valued = df.withColumn("_v", value)
-    carried = (
-        valued.groupBy(*keys, slab)
-        .agg(fn(F.col("_v")).alias("_s"))
-        .withColumn("_carry", fn(F.col("_s")).over(upper))
-        .drop("_s")
-    )
-    here = valued.withColumn("_here", fn(F.col("_v")).over(local)).drop("_v")
-    joined = here.join(carried, [*keys, slab], "left")
-    if fn is F.sum:
-        both = F.coalesce(F.col("_here"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
-    else:
-        both = (F.greatest if fn is F.max else F.least)(F.col("_here"), F.col("_carry"))
-    return joined.withColumn(out, both).drop("_here", "_carry")
+    valued = df.withColumns({f"_v{i}": r.value for i, r in enumerate(wanted)})
+    sums = valued.groupBy(*keys, slab).agg(*[r.fn(F.col(f"_v{i}")).alias(f"_s{i}") for i, r in enumerate(wanted)])
+    local, upper = {}, {}
+    for i, r in enumerate(wanted):
+        way = F.desc if r.reverse else F.asc
+        inside = Window.partitionBy(*keys, slab).orderBy(way(order))
+        above = Window.partitionBy(*keys).orderBy(way(slab)).rowsBetween(Window.unboundedPreceding, -1)
+        local[f"_h{i}"] = r.fn(F.col(f"_v{i}")).over(inside.rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1))
+        upper[f"_c{i}"] = r.fn(F.col(f"_s{i}")).over(above)
+    carried = sums.withColumns(upper).drop(*[f"_s{i}" for i in range(len(wanted))])
+    joined = valued.withColumns(local).join(carried, [*keys, slab], "left")
+    both = {}
+    for i, r in enumerate(wanted):
+        here, carry = F.col(f"_h{i}"), F.col(f"_c{i}")
+        if r.fn is F.sum:
+            both[r.out] = F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0))
+        else:
+            both[r.out] = (F.greatest if r.fn is F.max else F.least)(here, carry)
+    return joined.select(*df.columns, *[c.alias(n) for n, c in both.items()])
 
 
 def rank_rows(
@@ -99,7 +101,7 @@ def rank_rows(
     counts = blocked.groupBy(*keys, order, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     per_value = counts.groupBy(*keys, order).agg(F.sum("_n").alias("_n"))
     per_value = per_value.withColumn("_slab", F.floor(F.col(order) / F.lit(slab_width)))
-    per_value = running(per_value, keys, "_slab", order, F.col("_n"), "_base", fn=F.sum).drop("_slab", "_n")
+    per_value = running(per_value, keys, "_slab", order, Running("_base", F.col("_n"), F.sum)).drop("_slab", "_n")
     before = Window.partitionBy(*keys, order).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

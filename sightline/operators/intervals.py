@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.operators.core import keep_first, rank_rows, running, top_n
+from sightline.operators.core import Running, keep_first, rank_rows, running, top_n
 
 SLAB_MS = 600_000
 
@@ -43,22 +43,31 @@ def merge_intervals(
     """
     extra = extra or {}
     combine = {"max": F.max, "sum": F.sum}
+    carried = [combine[how](name).alias(name) for name, (_, how) in extra.items()]
     per = df.groupBy(*keys, "start_ms").agg(
         F.max("end_ms").alias("end_ms"),
         F.count(F.lit(1)).alias("n"),
         *[combine[how](src).alias(name) for name, (src, how) in extra.items()],
     )
-    per = per.withColumn("_slab", _slab("start_ms"))
-    reach = running(per, keys, "_slab", "start_ms", F.col("end_ms"), "_reach")
+    # Islands inside a slab: one window by (keys, slab), no further shuffle.
+    inside = Window.partitionBy(*keys, "_slab").orderBy("start_ms")
+    reach = F.max("end_ms").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    local = per.withColumn("_slab", _slab("start_ms")).withColumn("_reach", reach)
     opens = F.col("_reach").isNull() | (F.col("start_ms") > F.col("_reach") + tolerance_ms)
-    opened = F.when(opens, F.col("start_ms"))
-    named = running(reach, keys, "_slab", "start_ms", opened, "_island", inclusive=True)
-    merged = named.groupBy(*keys, "_island").agg(
-        F.max("end_ms").alias("end_ms"),
-        F.sum("n").alias("n"),
-        *[combine[how](name).alias(name) for name, (_, how) in extra.items()],
-    )
-    return merged.select(*keys, F.col("_island").alias("start_ms"), "end_ms", "n", *extra)
+    local = local.withColumn("_open", F.max(F.when(opens, F.col("start_ms"))).over(inside))
+    local = local.groupBy(*keys, "_slab", "_open").agg(F.max("end_ms").alias("end_ms"), F.sum("n").alias("n"), *carried)
+    # Across slabs: an island continues an earlier one when it starts within that one's reach. Those that do
+    # are the first of their slab, so the last island of a slab tells whether any opened there.
+    before = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    slabs = local.groupBy(*keys, "_slab").agg(F.max("end_ms").alias("_far"), F.max("_open").alias("_last"))
+    slabs = slabs.withColumn("_carry", F.max("_far").over(before))
+    fresh = F.col("_carry").isNull() | (F.col("_last") > F.col("_carry") + tolerance_ms)
+    slabs = slabs.withColumn("_prior", F.max(F.when(fresh, F.col("_last"))).over(before))
+    joined = local.join(slabs.select(*keys, "_slab", "_carry", "_prior"), [*keys, "_slab"])
+    own = F.col("_carry").isNull() | (F.col("_open") > F.col("_carry") + tolerance_ms)
+    named = joined.withColumn("start_ms", F.when(own, F.col("_open")).otherwise(F.col("_prior")))
+    merged = named.groupBy(*keys, "start_ms").agg(F.max("end_ms").alias("end_ms"), F.sum("n").alias("n"), *carried)
+    return merged.select(*keys, "start_ms", "end_ms", "n", *extra)
 
 
 def first_intervals(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
@@ -139,8 +148,8 @@ def asof_neighbours(anchors: DataFrame, rows: DataFrame, keys: Sequence[str], t:
     asked = anchors.select(*keys, t).distinct().withColumn("_ask", F.lit(True))
     times = at.join(asked, [*keys, t], "full").withColumn("_slab", _slab(t))
     mark = F.when(F.col("_row").isNotNull(), F.struct(F.col(t), F.col("_row")))
-    times = running(times, keys, "_slab", t, mark, "_before")
-    times = running(times, keys, "_slab", t, mark, "_after", fn=F.min, reverse=True)
+    sides = [Running("_before", mark), Running("_after", mark, F.min, reverse=True)]
+    times = running(times, keys, "_slab", t, *sides)
     to_before = F.col(t) - F.col("_before")[t]
     to_after = F.col("_after")[t] - F.col(t)
     closest = (
@@ -164,8 +173,8 @@ def near_anchors(rows: DataFrame, anchors: DataFrame, keys: Sequence[str], t: st
     marks = anchors.select(*keys, t).distinct().withColumn("_a", F.lit(True))
     times = rows.select(*keys, t).distinct().join(marks, [*keys, t], "full").withColumn("_slab", _slab(t))
     anchor_t = F.when(F.col("_a"), F.col(t))
-    times = running(times, keys, "_slab", t, anchor_t, "_lo", inclusive=True)
-    times = running(times, keys, "_slab", t, anchor_t, "_hi", fn=F.min, inclusive=True, reverse=True)
+    sides = [Running("_lo", anchor_t, inclusive=True), Running("_hi", anchor_t, F.min, inclusive=True, reverse=True)]
+    times = running(times, keys, "_slab", t, *sides)
     times = times.withColumn("distance_ms", F.least(F.col(t) - F.col("_lo"), F.col("_hi") - F.col(t)))
     measured = rows.join(times.select(*keys, t, "distance_ms"), [*keys, t], "left")
     near = measured.withColumn("_near", F.coalesce(F.col("distance_ms") <= window_ms, F.lit(False)))
@@ -195,8 +204,8 @@ def neighbour_sums_within(rows: DataFrame, keys: Sequence[str], t: str, value: s
     ends = asked.select(*keys, F.explode(F.array(F.col(t) + F.col(reach), F.col(t) - F.col(reach) - 1)).alias(t))
     marks = ends.distinct().withColumn("_q", F.lit(True))
     times = at.join(marks, [*keys, t], "full").withColumn("_slab", _slab(t))
-    for name in ("_v", "_n"):
-        times = running(times, keys, "_slab", t, F.coalesce(F.col(name), F.lit(0)), f"_c{name}", fn=F.sum, inclusive=True)
+    totals_ = [Running(f"_c{n}", F.coalesce(F.col(n), F.lit(0)), F.sum, inclusive=True) for n in ("_v", "_n")]
+    times = running(times, keys, "_slab", t, *totals_)
     totals = times.filter("_q").select(*keys, t, "_c_v", "_c_n")
     joined = rows.withColumns({"_hi": F.col(t) + F.col(reach), "_lo": F.col(t) - F.col(reach) - 1})
     for side in ("_hi", "_lo"):
@@ -214,7 +223,7 @@ def exact_medians(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     """Exact median of whole-number ``value`` per key, from counts per value instead of a sorted group."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.withColumn("_slab", F.floor(F.col(value) / F.lit(100_000)))
-    ranked = running(counts, keys, "_slab", value, F.col("_c"), "_below", fn=F.sum)
+    ranked = running(counts, keys, "_slab", value, Running("_below", F.col("_c"), F.sum))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_total"))
     placed = ranked.join(totals, list(keys))
     lo = F.floor((F.col("_total") - 1) / F.lit(2))
