@@ -595,17 +595,24 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def letter_options(choices, gold_index):
-    """``A. text`` for the choices that are not blank, and the gold option counted after blanks are gone."""
-    kept = F.filter(F.transform(choices, text.strip), lambda c: c != "")
-    options = F.transform(kept, lambda c, i: F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), c))
-    gold = F.when(gold_index >= 0, F.try_element_at(kept, (gold_index + 1).cast("int")))
+    """``A. text`` for the choices that are not blank, lettered by their place among all choices.
+
+    The gold index counts after the blanks are gone.
+    """
+
+    def lettered(c, i):
+        named = F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), text.strip(c))
+        return F.when(text.strip(c) != "", named)
+
+    options = F.array_compact(F.transform(choices, lettered))
+    gold = F.when(gold_index >= 0, F.try_element_at(options, (gold_index + 1).cast("int")))
     return F.struct(options.alias("options"), gold.alias("gold"))
 
 
 @query(
     "letter_options",
-    """WITH c AS (SELECT p_partkey, list_filter([p_name, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_brand END, p_type, p_size::VARCHAR], lambda x: trim(x) <> '') AS k, (p_partkey % 4)::INTEGER AS g FROM part)
-    SELECT p_partkey, array_to_string(list_transform(k, lambda x, i: substr('ABCD', i, 1) || '. ' || x), '|') AS options, k[g + 1] AS gold FROM c""",
+    """WITH c AS (SELECT p_partkey, list_filter(['A. ' || p_name, CASE WHEN p_partkey % 3 <> 0 THEN 'B. ' || p_brand END, 'C. ' || p_type, 'D. ' || p_size], lambda x: x IS NOT NULL) AS k, (p_partkey % 4)::INTEGER AS g FROM part)
+    SELECT p_partkey, array_to_string(k, '|') AS options, k[g + 1] AS gold FROM c""",
 )
 def _(spark, sf):
     part = B.table(spark, sf, "part")

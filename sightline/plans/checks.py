@@ -14,13 +14,21 @@ from sightline.session import materialize
 # What each tool emits, and which inputs each tool cannot do without (one of them).
 TOOL_OUTPUTS = {
     "asr": ["clips", "transcripts", "phrase_matches"],
-    "audio_temporal_grounder": ["clips", "events"],
+    "audio_temporal_grounder": ["query", "clips", "events", "retrieval_backend", "query_absent", "summary"],
     "dense_captioner": ["clips", "captions", "overall_summary", "captioned_range", "sampled_frames"],
-    "frame_retriever": ["frames", "rationale"],
-    "generic_purpose": ["answer", "analysis", "supporting_points"],
+    "frame_retriever": ["query", "frames", "mode", "cache_metadata", "rationale"],
+    "generic_purpose": ["answer", "supporting_points", "confidence", "analysis"],
     "ocr": ["query", "text", "lines", "reads", "timestamp_s", "source_frame_path", "backend"],
     "spatial_grounder": ["query", "frames", "detections", "regions", "groundings", "spatial_description", "backend"],
-    "visual_temporal_grounder": ["clips", "summary"],
+    "visual_temporal_grounder": [
+        "query",
+        "clips",
+        "video_duration",
+        "retrieval_backend",
+        "query_absent",
+        "summary",
+        "prefilter",
+    ],
 }
 NEEDS_ONE_OF = {
     "asr": ["clips"],
