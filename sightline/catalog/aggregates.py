@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline import tables as B
 from sightline.catalog.columns import SECONDS_SQL
 from sightline.catalog.registry import query
+from sightline.operators.frames import frame_sequence_context
+from sightline.operators.intervals import label_memory, timing_rollup
+from sightline.operators.runs import PART, group_flags, ledger_by_subject, merge_group_outputs, result_item_counts, round_summary
+from sightline.operators.transcripts import captions_summary, transcript_render, transcript_text
 from sightline.catalog.windows import merged_sql
 from sightline.functions import text, timing
 from sightline.functions.text import WS
 from sightline.operators import intervals as I
 from sightline.operators import ledger as L
-from sightline.operators.core import Running, keep_first, ordered_list, ordered_text, rank_rows, running, top_n
+from sightline.operators.core import keep_first, top_n
 
 PART = 1000
 
@@ -153,16 +156,6 @@ def _(spark, sf):
     return group_flags(groups, ["video_id"])
 
 
-def group_flags(groups, keys):
-    """Fan-out groups of a request: all hit, most frames, bounded frames in total."""
-    return groups.groupBy(*keys).agg(
-        F.bool_and("hit").alias("cache_hit"),
-        F.max("frames").alias("frame_count"),
-        F.sum("bounded").alias("bounded_count"),
-        F.count(F.lit(1)).alias("groups"),
-    )
-
-
 TIMED_SQL = f"""{B.OBS_SQL}, timed AS (SELECT evidence_id, seq, CASE WHEN video_id % 3 = 0 OR seq % 5 = 0 THEN NULL ELSE start_ms END AS start_ms,
    CASE WHEN video_id % 3 = 0 OR seq % 5 = 0 OR seq % 7 = 0 THEN NULL ELSE end_ms END AS end_ms, CASE WHEN video_id % 3 = 0 OR seq % 5 = 0 THEN start_ms END AS frame_ms FROM obs)"""
 
@@ -290,33 +283,6 @@ def steps_of(spark, sf):
     return rows
 
 
-def round_summary(steps):
-    """Steps per round in order, ``PART`` steps per row, with the verdict of the part's last step.
-
-    Rows are counted per line number first, so a huge round is cut before its lists are built.
-    """
-    counts = steps.groupBy("round_id", "line").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_slab", F.floor(F.col("line") / 100_000))
-    placed = running(counts, ["round_id"], "_slab", "line", Running("_base", F.col("_c"), F.sum))
-    inside = steps.join(placed.select("round_id", "line", "_base"), ["round_id", "line"])
-    pos = F.col("_base") + F.row_number().over(Window.partitionBy("round_id", "line").orderBy("order")) - 1
-    numbered = inside.withColumn("pos", pos).withColumn("part", F.floor(F.col("pos") / PART))
-    return numbered.groupBy("round_id", "part").agg(
-        ordered_text(F.col("tool"), ",", F.col("pos")).alias("tools"),
-        F.count(F.lit(1)).alias("n_steps"),
-        F.max_by("verdict", "pos").alias("verdict"),
-    )
-
-
-COUNT_FIELDS = ["clips", "frames", "reads", "segments", "captions", "transcripts", "regions"]
-
-
-def result_item_counts(lists):
-    """Lengths of the named list fields, empty ones left out."""
-    pairs = [x for name, c in lists.items() for x in (F.lit(name), F.coalesce(F.size(c), F.lit(0)))]
-    return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
-
-
 @query(
     "result_item_counts",
     r"""WITH c AS (SELECT doc_id, len(string_split(text, ' ')) AS clips, len(regexp_extract_all(text, '\d+')) AS frames, len(string_split(text, chr(10))) AS reads, len(regexp_extract_all(text, '[A-Z]+')) AS segments FROM documents),
@@ -336,14 +302,6 @@ def _(spark, sf):
     return counts.withColumn("n", F.col("n").cast("long"))
 
 
-def transcript_text(segments, part: int = PART):
-    """Segment texts of a transcript in order, ``part`` segments per row (row 0, 1, … joined give the whole)."""
-    placed = segments.withColumn("part", F.floor(F.col("seg_idx") / F.lit(part)))
-    return placed.groupBy("transcript_id", "part").agg(
-        F.trim(ordered_text(F.trim("text"), " ", F.col("seg_idx"))).alias("text"), F.count(F.lit(1)).alias("n_segments")
-    )
-
-
 @query(
     "transcript_text",
     f"WITH {B.SEGMENTS_SQL} SELECT transcript_id, seg_idx // {PART} AS part, trim(string_agg(trim(text), ' ' ORDER BY seg_idx)) AS text, count(*) AS n_segments FROM seg GROUP BY ALL",
@@ -352,19 +310,6 @@ def _(spark, sf):
     return transcript_text(B.segments(spark, sf))
 
 
-def transcript_render(segments, part: int = PART):
-    """Header and ``[a-b] speaker: text`` lines per transcript part; an unknown speaker is not shown."""
-    start, end = timing.to_s(F.col("start_ms")), timing.to_s(F.col("end_ms"))
-    span = F.concat(F.lit("["), timing.seconds_text(start), F.lit("-"), timing.seconds_text(end), F.lit("]"))
-    known = F.lower(F.coalesce("speaker_id", F.lit(""))).isin("", "unknown_speaker")
-    line = F.concat_ws(" ", span, F.when(~known, F.concat("speaker_id", F.lit(":"))), text.strip(F.col("text")))
-    rows = segments.filter(text.strip(F.col("text")) != "").withColumn("line", line)
-    rows = rows.withColumn("part", F.floor(F.col("seg_idx") / F.lit(part)))
-    body = ordered_text(F.col("line"), "\n", F.col("seg_idx"))
-    header = F.concat(F.lit("Transcript "), F.col("transcript_id"), F.lit(":\n"))
-    return rows.groupBy("transcript_id", "part").agg(body.alias("body")).select("transcript_id", "part", F.concat(header, "body").alias("block"))
-
-
 @query(
     "transcript_render",
     rf"""WITH {B.SEGMENTS_SQL}, l AS (SELECT transcript_id, seg_idx, '[' || {SECONDS_SQL.format('(start_ms / 1000.0::DOUBLE)')} || '-' || {SECONDS_SQL.format('(end_ms / 1000.0::DOUBLE)')} || '] '
@@ -377,20 +322,6 @@ def _(spark, sf):
     return transcript_render(B.segments(spark, sf).withColumn("speaker_id", speaker))
 
 
-def captions_summary(captions, key: str = "video_id", part: int = PART):
-    """Texts and ``name: a, b`` lists of every caption, captions in order, ``part`` captions per row."""
-    texts = [F.when(~text.is_low_signal(F.col(c)), text.strip(F.col(c))) for c in ("visual", "audio", "on_screen_text")]
-
-    def listed(name):
-        good = F.filter(F.transform(F.col(name), text.strip), lambda t: ~text.is_low_signal(t))
-        joined = F.array_join(text.distinct_casefold(good), ", ")
-        return F.when(joined != "", F.concat(F.lit(f"{name}: "), joined))
-
-    combined = F.concat_ws("; ", *texts, *[listed(n) for n in ("actions", "objects", "attributes")])
-    rows = captions.withColumn("_c", combined).filter("_c <> ''").withColumn("part", F.floor(F.col("idx") / F.lit(part)))
-    return rows.groupBy(key, "part").agg(ordered_text(F.col("_c"), " ", F.col("idx")).alias("summary"))
-
-
 @query(
     "captions_summary",
     rf"""WITH c AS (SELECT conv_id, turn, text, role FROM conversations)
@@ -410,21 +341,6 @@ def _(spark, sf):
     return captions_summary(captions)
 
 
-def frame_sequence_context(frames, keys):
-    """Sentence on a frame sequence: first anchor, radius and the first twelve times."""
-    first = top_n(frames, keys, [F.col("t_ms"), F.col("seq")], 12, "_pos")
-    seconds = timing.seconds_text(timing.to_s(F.col("t_ms")))
-    listed = first.groupBy(*keys).agg(ordered_text(seconds, ", ", F.col("_pos")).alias("_times"))
-    head = frames.groupBy(*keys).agg(F.min_by("anchor_ms", "seq").alias("_a"), F.min_by("radius_ms", "seq").alias("_r"))
-    said = F.concat_ws(
-        " ",
-        F.concat(F.lit("Frames in time order around "), F.coalesce(timing.seconds_text(timing.to_s(F.col("_a"))), F.lit("the requested time")), F.lit(".")),
-        F.concat(F.lit("Radius "), timing.seconds_text(timing.to_s(F.col("_r"))), F.lit(".")),
-        F.concat(F.lit("Times: "), F.col("_times"), F.lit(".")),
-    )
-    return head.join(listed, list(keys)).select(*keys, said.alias("context"))
-
-
 @query(
     "frame_sequence_context",
     f"""WITH {B.FRAMES_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_ms, seq) AS p FROM fr),
@@ -466,18 +382,6 @@ def _(spark, sf):
     return merged.select("request_id", "part", "text", F.array_join("clips", ",").alias("clips"), "groups", "query_absent")
 
 
-def merge_group_outputs(groups, part: int = PART):
-    """Fan-out results of a request back into one: lists appended, texts joined by a blank line."""
-    rows = groups.withColumns({"part": F.floor(F.col("idx") / F.lit(part)), "_t": text.blank_to_null(F.col("text"))})
-    texts = F.filter(ordered_list(F.coalesce("_t", F.lit("")), F.col("idx")), lambda t: t != "")
-    return rows.groupBy("request_id", "part").agg(
-        F.array_join(texts, "\n\n").alias("text"),
-        F.flatten(ordered_list(F.col("clips"), F.col("idx"))).alias("clips"),
-        F.count(F.lit(1)).alias("groups"),
-        (F.max(F.size("clips")) == 0).alias("query_absent"),
-    )
-
-
 @query(
     "label_memory",
     f"""WITH {B.OBS_SQL}, {merged_sql('obs', 'predicate')}, c AS (SELECT predicate, count(*) AS mentions, string_agg(DISTINCT CASE WHEN seq % 2 = 0 THEN 'visual' ELSE 'audio' END, ',' ORDER BY CASE WHEN seq % 2 = 0 THEN 'visual' ELSE 'audio' END) AS modalities FROM obs GROUP BY predicate)
@@ -488,15 +392,6 @@ def _(spark, sf):
     return label_memory(B.observations(spark, sf).withColumn("modality", modality).withColumn("label", F.col("predicate")))
 
 
-def label_memory(rows):
-    """Per label its time ranges (one row each), how often it is mentioned and by which modalities."""
-    ranges = I.merge_intervals(rows, ["label"])
-    facts = rows.groupBy("label").agg(
-        F.count(F.lit(1)).alias("mentions"), F.array_join(F.sort_array(F.collect_set("modality")), ",").alias("modalities")
-    )
-    return ranges.join(facts, "label")
-
-
 @query(
     "timing_rollup",
     f"""WITH {B.OBS_SQL} SELECT predicate AS tool, count(*) AS n, round(sum(round(numeric_value * 100)::BIGINT) / count(*)::DOUBLE, 4) AS mean_cs, median(round(numeric_value * 100)::BIGINT) AS median_cs,
@@ -507,17 +402,6 @@ def _(spark, sf):
     return timing_rollup(rows, "cs")
 
 
-def timing_rollup(rows, value: str):
-    """Count, mean, exact median, least and greatest recorded time per tool."""
-    stats = rows.groupBy("tool").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.sum(value) / F.count(F.lit(1)), 4).alias(f"mean_{value}"),
-        F.min(value).alias(f"min_{value}"),
-        F.max(value).alias(f"max_{value}"),
-    )
-    return stats.join(I.exact_medians(rows, ["tool"], value).withColumnRenamed("median", f"median_{value}"), "tool")
-
-
 @query(
     "ledger_by_subject",
     f"""WITH {B.OBS_SQL} SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY start_ms, seq) AS line_no,
@@ -526,9 +410,3 @@ def timing_rollup(rows, value: str):
 def _(spark, sf):
     return ledger_by_subject(B.observations(spark, sf))
 
-
-def ledger_by_subject(observations):
-    """Readable ledger: one numbered line per observation inside its subject, in time order."""
-    placed = rank_rows(observations, ["subject"], "start_ms", "seq", I.SLAB_MS, out="line_no")
-    line = F.concat(F.lit("- ["), L.anchors_of(placed), F.lit("] "), F.col("predicate"))
-    return placed.select("subject", "line_no", line.alias("line"))

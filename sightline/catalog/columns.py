@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from sightline import tables as B
 from sightline.catalog.registry import query
+from sightline.functions.text import WS, band, letter_options, verdict
+from sightline.functions.timing import intervals_sentence
+from sightline.operators.frames import frame_rows
+from sightline.operators.lines import evidence_line, media_line
+from sightline.operators.observe import atomic_chunks
 from sightline.functions import ids, jsons, text, timing, vectors
-from sightline.functions.text import WS
-from sightline.operators.core import keep_first
 
 # ---------------------------------------------------------------- text
 
@@ -62,13 +65,6 @@ PIECES_SQL = rf"""flatten(list_transform(flatten(list_transform({SENTENCES_SQL},
       ELSE [p] END))"""
 
 
-def atomic_chunks(docs, key: str, column: str):
-    """Distinct atomic facts per key (case ignored, first spelling kept) with their position."""
-    pieces = docs.select(key, F.posexplode(text.atomic_pieces(F.col(column))).alias("pos", "chunk"))
-    pieces = pieces.withColumns({"_low": F.lower("chunk"), "pos": F.col("pos").cast("long")})
-    return keep_first(pieces, [key, "_low"], ["pos"]).drop("_low")
-
-
 @query(
     "atomic_chunks",
     f"""WITH d AS (SELECT doc_id, {PIECES_SQL} AS l FROM documents),
@@ -144,12 +140,6 @@ def _(spark, sf):
     return B.table(spark, sf, "events").select("event_id", text.coerce_confidence(raw).alias("confidence"))
 
 
-def band(scores):
-    """Scores as text to whole bands 1..5, ties to the even side; what is no number is left out."""
-    numbers = F.map_filter(F.transform_values(scores, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())
-    return F.transform_values(numbers, lambda _, v: F.greatest(F.lit(1), F.least(F.lit(5), F.bround(v).cast("int"))))
-
-
 @query(
     "band_scores",
     """WITH s AS (SELECT event_id, value / 20 AS a, (event_id % 11) / 2.0::DOUBLE AS b FROM events)
@@ -169,11 +159,6 @@ def _(spark, sf):
     )
 
 
-def verdict(c):
-    word = F.upper(text.strip(c))
-    return F.when(word.isin("PASS", "FAIL"), word).otherwise(F.lit("FAIL"))
-
-
 @query(
     "normalize_verdict",
     """WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN ' pass ' WHEN 1 THEN 'Fail' ELSE event_type END AS raw FROM events)
@@ -439,17 +424,6 @@ def _(spark, sf):
     return found.select("doc_id", F.col("idx").cast("long").alias("idx"), "i.start_s", "i.end_s")
 
 
-def intervals_sentence(intervals, shown: int = 4):
-    """Sentence naming the first intervals and, when more exist, their total."""
-    parts = F.transform(
-        F.slice(intervals, 1, shown),
-        lambda i: F.concat(timing.fixed(i["start_s"], 3), F.lit("-"), timing.fixed(i["end_s"], 3), F.lit("s")),
-    )
-    total = F.when(F.size(intervals) > shown, F.format_string(" (%d total)", F.size(intervals))).otherwise("")
-    text_ = F.concat(F.lit("Found at: "), F.array_join(parts, ", "), total, F.lit("."))
-    return F.when(F.size(intervals) > 0, text_).otherwise(F.lit("The queried event is absent."))
-
-
 @query(
     "intervals_summary",
     f"""WITH {B.OBS_SQL}, r AS (SELECT seq, seq % 7 AS n, list_transform(range(seq % 7), lambda i: start_ms + i * 5000) AS l FROM obs)
@@ -591,24 +565,6 @@ def _(spark, sf):
     return B.table(spark, sf, "benchmark").select("item_id", ids.sample_key(video, F.col("text"), qid).alias("sample_key"))
 
 
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def letter_options(choices, gold_index):
-    """``A. text`` for the choices that are not blank, lettered by their place among all choices.
-
-    The gold index counts after the blanks are gone.
-    """
-
-    def lettered(c, i):
-        named = F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), text.strip(c))
-        return F.when(text.strip(c) != "", named)
-
-    options = F.array_compact(F.transform(choices, lettered))
-    gold = F.when(gold_index >= 0, F.try_element_at(options, (gold_index + 1).cast("int")))
-    return F.struct(options.alias("options"), gold.alias("gold"))
-
-
 @query(
     "letter_options",
     """WITH c AS (SELECT p_partkey, list_filter(['A. ' || p_name, CASE WHEN p_partkey % 3 <> 0 THEN 'B. ' || p_brand END, 'C. ' || p_type, 'D. ' || p_size], lambda x: x IS NOT NULL) AS k, (p_partkey % 4)::INTEGER AS g FROM part)
@@ -698,25 +654,6 @@ def _(spark, sf):
     )
 
 
-def evidence_line(evidence_id, anchor, body):
-    parts = F.concat_ws(" | ", text.blank_to_null(evidence_id), text.blank_to_null(anchor))
-    line = F.when(parts == "", body).otherwise(F.concat(F.lit("["), parts, F.lit("] "), body))
-    return F.when(text.strip(body) != "", line)
-
-
-def media_line(index, artifact_id, timestamp, path, video, clip_start, clip_end):
-    clip = F.concat(F.lit("source_clip=["), timing.seconds_text(clip_start), F.lit("-"), timing.seconds_text(clip_end), F.lit("]"))
-    return F.concat_ws(
-        " | ",
-        F.concat(F.lit("Image "), index),
-        F.concat(F.lit("artifact_id="), artifact_id),
-        F.concat(F.lit("timestamp="), timing.seconds_text(timestamp)),
-        F.concat(F.lit("relpath="), path),
-        F.concat(F.lit("video_id="), video),
-        clip,
-    )
-
-
 @query(
     "evidence_lines",
     f"""WITH {B.OBS_SQL} SELECT seq, CASE WHEN seq % 4 = 0 THEN predicate ELSE '[' || concat_ws(' | ', CASE WHEN seq % 4 <> 1 THEN evidence_id END,
@@ -755,14 +692,3 @@ def _(spark, sf):
     )
     return frame_rows(raw)
 
-
-def frame_rows(raw):
-    """Retrieved frames in canonical form: one time, one path, clip, rationale and score."""
-    return raw.select(
-        "video_id",
-        F.coalesce("timestamp_s", "timestamp").alias("timestamp_s"),
-        F.col("frame_path").alias("relpath"),
-        F.col("clip.start_s").alias("clip_start_s"),
-        F.coalesce(text.blank_to_null(F.col("rationale")), F.lit("retrieved")).alias("rationale"),
-        F.col("score").alias("relevance_score"),
-    )

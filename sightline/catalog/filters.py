@@ -8,12 +8,12 @@ from sightline import tables as B
 from sightline.catalog.aggregates import AUDIT_SQL, audits
 from sightline.catalog.columns import page_files
 from sightline.catalog.registry import query
+from sightline.operators.runs import evidence_summary
 from sightline.functions import markers, text, vectors
 from sightline.functions.text import WS
 from sightline.operators import filters as P
 from sightline.operators import intervals as I
 from sightline.operators import ledger as L
-from sightline.operators.core import ordered_text, top_n
 
 
 @query(
@@ -213,15 +213,6 @@ def _(spark, sf):
     return evidence_summary(B.evidence(spark, sf), B.observations(spark, sf))
 
 
-def evidence_summary(evidence, observations, entries: int = 10, ids: int = 12):
-    """Last entries of every run with their state and first observation ids."""
-    last = top_n(evidence, ["video_id"], [F.desc("seq")], entries, "_back")
-    first = top_n(observations, ["evidence_id"], [F.asc("seq")], ids, "_pos")
-    listed = first.groupBy("evidence_id").agg(ordered_text(F.col("observation_id"), ",", F.col("_pos")).alias("observation_ids"))
-    status = L.clean_status(F.col("status")).alias("status")
-    return last.join(listed, "evidence_id").select("video_id", "evidence_id", "tool_name", status, "observation_ids")
-
-
 @query(
     "audit_feedback_projection",
     f"""WITH {AUDIT_SQL} SELECT doc_id, upper(verdict) AS verdict, upper(severity) || '/' || category || '/' || trim(regexp_replace(message, '{WS}+', ' ', 'g')) || '/a,b' AS finding, missing = 1 AS has_missing FROM audits""",

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from sightline import tables as B
 from sightline.catalog.columns import PIECES_SQL, SECONDS_SQL, SENTENCES_SQL
 from sightline.catalog.registry import query
+from sightline.operators.frames import frames_from_evidence, model_scan_windows, regions_from_detections
+from sightline.operators.runs import artifacts_from_requests, build_evidence, fanout_requests
 from sightline.catalog.windows import merged_sql
-from sightline.functions import markers, text, timing
-from sightline.functions.ids import canonical_hash
+from sightline.functions import text
 from sightline.functions.text import WS
 from sightline.operators import export as X
-from sightline.operators import intervals as I
 from sightline.operators import ledger as L
 from sightline.operators import observe as O
-from sightline.operators.core import keep_first, top_n
 from sightline.plans import checks
 
 
@@ -154,23 +153,6 @@ def _(spark, sf):
     return out.select("conv_id", "turn", "atomic_text", F.array_join("source_artifact_refs", ",").alias("refs"))
 
 
-def build_evidence(results, observations):
-    """Evidence entry per tool result (step_id, tool_name, request, ok): digest, time bounds, counts, id.
-
-    Failed results give an entry with state ``unknown``. Observation ids stay in the link table
-    (evidence_key, observation_id), which no entry can overflow.
-    """
-    tool = F.col("tool_name")
-    short = canonical_hash({"step": F.col("step_id"), "tool": tool}, 8)
-    eid = F.concat(F.lit("ev_"), F.lpad(F.col("step_id").cast("string"), 2, "0"), F.lit("_"), short)
-    digest = L.evidence_digest(observations, "evidence_key", "predicate")
-    bounds = L.temporal_bounds(observations, ["evidence_key"])
-    made = results.withColumn("evidence_id", eid).join(digest, "evidence_key", "left").join(bounds, "evidence_key", "left")
-    status = F.when(F.col("ok"), F.lit("candidate")).otherwise(F.lit("unknown"))
-    body = F.when(F.col("ok"), F.coalesce("digest", "summary")).otherwise(F.concat(F.lit("Step failed: "), F.col("summary")))
-    return made.select("evidence_key", "evidence_id", "tool_name", status.alias("status"), body.alias("evidence_text"), "n_observations", "start_ms", "end_ms", "n_listed")
-
-
 @query(
     "build_evidence",
     f"""WITH {B.OBS_SQL}, {B.EVIDENCE_SQL}, st AS (SELECT *, seq % 90 + 1 AS step_id FROM ev), {merged_sql('obs', 'evidence_id')},
@@ -227,15 +209,6 @@ def _(spark, sf):
     return out.select("evidence_id", "status", (F.col("seq") % 3 == 0).alias("changed"))
 
 
-def regions_from_detections(detections):
-    """Detections with a box, each with its frame: the given one, or a virtual one at the stated time or mid-clip."""
-    given = F.col("frame_path").isNotNull()
-    middle = (F.col("clip_start_ms") + F.col("clip_end_ms")) / F.lit(2000.0)
-    t = F.when(given, timing.to_s(F.col("frame_ms"))).otherwise(F.coalesce(timing.to_s(F.col("t_ms")), middle))
-    frame = F.struct("video_id", t.alias("timestamp_s"), F.coalesce("frame_path", F.lit("")).alias("frame_path"))
-    return detections.filter(F.col("bbox").isNotNull()).withColumn("frame", frame)
-
-
 @query(
     "regions_from_detections",
     f"""WITH {B.BOXES_SQL} SELECT seq, 'o' || video_id AS label, CASE seq % 3 WHEN 0 THEN seq::DOUBLE WHEN 1 THEN seq * 2.0::DOUBLE ELSE (seq * 1000 + 2000) / 2000.0::DOUBLE END AS timestamp_s, CASE WHEN seq % 3 = 0 THEN 'f' || seq ELSE '' END AS frame_path, b1 AS x1
@@ -252,25 +225,6 @@ def _(spark, sf):
     return out.select("seq", "label", "frame.timestamp_s", "frame.frame_path", F.col("bbox")[0].alias("x1"))
 
 
-def frames_from_evidence(evidence):
-    """Image artifacts of evidence as frames; time and clip come from the artifact, else from the entry.
-
-    One row per (path, time), the first in ledger order.
-    """
-    rows = evidence.select("*", F.posexplode("artifact_refs").alias("_p", "a"))
-    rows = rows.filter(markers.is_image_artifact(F.col("a.kind"), F.col("a.media_type"), F.col("a.relpath")))
-    rows = rows.select(
-        (F.col("seq") * 1000 + F.col("_p")).alias("seq"),
-        "a.relpath",
-        F.coalesce("a.t_ms", "frame_ms").alias("t_ms"),
-        F.coalesce("a.video_id", "video_id").alias("video_id"),
-        F.coalesce("start_ms", "end_ms").alias("clip_start_ms"),
-        F.coalesce("end_ms", "start_ms").alias("clip_end_ms"),
-    )
-    keyed = rows.withColumn("_t", F.coalesce(F.col("t_ms").cast("string"), F.lit("")))
-    return keep_first(keyed, ["relpath", "_t"], ["seq"]).drop("_t")
-
-
 @query(
     "frames_from_evidence",
     f"""WITH {B.OBS_SQL}, a AS (SELECT seq * 1000 AS seq, 'f/' || (seq % 700) || '.png' AS relpath, CASE WHEN seq % 2 = 0 THEN (seq % 5) * 100 ELSE start_ms % 10 END AS t_ms, video_id, start_ms, end_ms FROM obs WHERE seq % 3 <> 1)
@@ -398,13 +352,6 @@ def _(spark, sf):
     return checks.plan_levels(lines.select(*ids), edges)
 
 
-def model_scan_windows(frames, durations, width_ms: int, top_k: int, radius: int = 1):
-    """Windows worth a model call: those of the best frames and their neighbours, within a budget."""
-    budget = max(top_k, max(top_k * 4, 12))
-    best = top_n(frames, ["video_id"], [F.desc("score_u"), F.asc("t_ms"), F.asc("seq")], max(top_k * 4, budget * 2), "_n")
-    return I.windows_for_points(best, durations, ["video_id"], width_ms, radius, budget)
-
-
 @query(
     "model_scan_windows",
     f"""WITH {B.FRAMES_SQL}, du AS (SELECT video_id, max(t_ms) AS d FROM fr GROUP BY video_id), b AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score_u DESC, t_ms, seq) <= 24),
@@ -417,19 +364,6 @@ def _(spark, sf):
     return model_scan_windows(frames, frames.groupBy("video_id").agg(F.max("t_ms").alias("duration_ms")), 10_000, 3)
 
 
-def fanout_requests(requests):
-    """One request per region, else per frame, else per clip, else per time hint, else the request itself."""
-
-    def each(name):
-        return F.transform(name, lambda v: F.struct(F.lit(name[:-1]).alias("field"), v.alias("item")))
-
-    pick = F.array(F.struct(F.lit("request").alias("field"), F.lit(None).cast("string").alias("item")))
-    for name in ("time_hints", "clips", "frames", "regions"):
-        pick = F.when(F.coalesce(F.size(name), F.lit(0)) > 0, each(name)).otherwise(pick)
-    rows = requests.withColumn("_f", pick).select("request_id", F.posexplode("_f").alias("group_no", "f"))
-    return rows.select("request_id", "group_no", "f.field", "f.item")
-
-
 @query(
     "fanout_requests",
     r"""WITH d AS (SELECT doc_id, doc_id % 5 AS k, string_split(text, chr(10)) AS l FROM documents),
@@ -448,18 +382,6 @@ def _(spark, sf):
     return fanout_requests(requests).withColumn("group_no", F.col("group_no").cast("long"))
 
 
-def artifacts_from_requests(items, source_tool: str):
-    """Media items of requests (seq, kind, artifact_id, relpath) as artifact rows, each once.
-
-    The id falls back to the file's stem; an item with neither id nor path gives no row.
-    """
-    stem = F.regexp_replace(F.regexp_extract("relpath", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
-    aid = F.coalesce(text.blank_to_null(F.col("artifact_id")), text.blank_to_null(stem))
-    media = F.when(F.col("kind") == "clip", "video").when(F.col("kind").isin("frame", "region"), "image")
-    rows = items.withColumns({"artifact_id": aid, "media_type": media, "source_tool": F.lit(source_tool)}).filter("artifact_id IS NOT NULL")
-    return keep_first(rows, ["artifact_id", "relpath", "kind"], ["seq"])
-
-
 @query(
     "artifacts_from_requests",
     """WITH i AS (SELECT vec_id * 2 AS seq, 'frame' AS kind, CASE WHEN vec_id % 2 = 0 THEN 'art' || (vec_id % 30) END AS aid, CASE WHEN vec_id % 3 <> 0 THEN 'frames/img.' || (vec_id % 40) || '.png' END AS relpath FROM embeddings

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from sightline import tables as B
 from sightline.catalog.columns import SECONDS_SQL, SENTENCES_SQL
 from sightline.catalog.registry import query
+from sightline.operators.transcripts import segments_by_window
 from sightline.catalog.windows import DURATIONS_SQL, merged_sql, seconds
 from sightline.catalog.windows import durations as video_durations
 from sightline.functions import text
 from sightline.functions.text import WS
+from sightline.functions.timing import seconds_text
 from sightline.operators import intervals as I
-from sightline.operators import ledger as L
 from sightline.operators import lookups as J
-from sightline.operators.core import ordered_text
 
 
 @query(
@@ -87,8 +87,6 @@ def _(spark, sf):
     SELECT trace_id, step_id, string_agg(anchor, ' | ' ORDER BY n) AS anchor FROM r WHERE n <= 2 GROUP BY ALL""",
 )
 def _(spark, sf):
-    from sightline.functions.timing import seconds_text
-
     obs = B.observations(spark, sf)
     cites = obs.filter(F.col("seq") % 6 == 0).select(F.col("video_id").alias("trace_id"), F.col("predicate").alias("step_id"), "observation_id")
     minute = F.floor(F.col("start_ms") / 60_000).cast("double")
@@ -233,16 +231,6 @@ def _(spark, sf):
     return rows.select("doc_id", "l.text", F.col("l.bbox")[0].alias("x1"), "l.confidence")
 
 
-def segments_by_window(segments, width_ms: int):
-    """Segments of every fixed caption window; one that crosses windows belongs where it starts."""
-    placed = segments.withColumn("window", F.floor(F.col("start_ms") / F.lit(width_ms)))
-    return placed.groupBy("transcript_id", "window", F.floor(F.col("seg_idx") / 1000).alias("part")).agg(
-        ordered_text(text.strip(F.col("text")), " ", F.col("seg_idx")).alias("text"),
-        F.count(F.lit(1)).alias("n_segments"),
-        F.max("end_ms").alias("end_ms"),
-    )
-
-
 @query(
     "segment_window_overlap",
     rf"""WITH {B.SEGMENTS_SQL} SELECT transcript_id, start_ms // 12000 AS "window", seg_idx // 1000 AS part, string_agg(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), ' ' ORDER BY seg_idx) AS text, count(*) AS n_segments, max(end_ms) AS end_ms FROM seg GROUP BY ALL""",

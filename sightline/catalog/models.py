@@ -8,12 +8,12 @@ from pyspark.sql import types as T
 from sightline import tables as B
 from sightline.catalog.columns import PIECES_SQL
 from sightline.catalog.registry import query
-from sightline.functions import jsons, text, timing
+from sightline.operators.transcripts import caption_rows, caption_spans, transcript_ids
+from sightline.functions import jsons, text
 from sightline.functions.ids import canonical_hash
 from sightline.functions.text import WS
 from sightline.operators import lookups as J
 from sightline.operators import models as M
-from sightline.operators.core import ordered_text
 
 
 def load_counter():
@@ -154,42 +154,6 @@ def _(spark, sf):
     return J.similarity(forms, "a", "b", "score").select("item_id", F.round("score", 4).alias("similarity"))
 
 
-def caption_spans(raw, clip_start, clip_end):
-    """Raw caption records (many names for one thing) as canonical spans; times become clip-absolute."""
-
-    def clean(name):
-        return F.when(~text.is_low_signal(F.col(name)), text.strip(F.col(name)))
-
-    def tagged(name, tag):
-        return F.concat(F.lit(f"{tag}: "), clean(name))
-
-    def distinct(items):
-        kept = F.filter(F.transform(items, text.strip), lambda t: t.isNotNull() & ~text.is_low_signal(t))
-        return text.distinct_casefold(kept)
-
-    none = F.array().cast("array<string>")
-    lists = lambda *names: F.concat(*[F.coalesce(F.col(n), none) for n in names])
-    quoted = F.regexp_extract_all("segment_detail_caption", F.lit("""['"]([^'"]{2,200})['"]"""), 1)
-    stamps = F.regexp_extract_all("timestamp", F.lit(r"(\d+(?::\d{2}){1,2}(?:\.\d+)?)"), 1)
-    stamp_ms = lambda i: timing.to_ms(timing.parse_timecode(F.try_element_at(stamps, F.lit(i))))
-    own = F.col("start").isNotNull() | F.col("end").isNotNull()
-    start = F.when(own, timing.to_ms(F.regexp_extract("start", r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))).otherwise(stamp_ms(1))
-    end = F.when(own, timing.to_ms(F.regexp_extract("end", r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))).otherwise(stamp_ms(2))
-    span = timing.absolute_ms(start, end, clip_start, clip_end)
-    audio = distinct(F.array(F.col("audio"), tagged("speech_content", "speech"), tagged("acoustics_content", "acoustics")))
-    named = [tagged(n, n) for n in ("camera_state", "video_background", "storyline", "shooting_style")]
-    return raw.select(
-        "id",
-        span.alias("_t"),
-        F.coalesce(clean("visual"), clean("segment_detail_caption"), F.lit("")).alias("visual"),
-        F.array_join(audio, "; ").alias("audio"),
-        F.array_join(distinct(F.concat(lists("on_screen_text", "text_content"), F.coalesce(quoted, none))), " | ").alias("on_screen_text"),
-        distinct(lists("actions", "key_actions")).alias("actions"),
-        distinct(lists("objects", "entities")).alias("objects"),
-        distinct(F.concat(lists("attributes"), F.array(*named))).alias("attributes"),
-    ).select("id", "_t.start_ms", "_t.end_ms", "visual", "audio", "on_screen_text", "actions", "objects", "attributes")
-
-
 def raw_captions(spark, sf):
     d = F.col("doc_id")
     none = F.lit(None).cast("string")
@@ -222,18 +186,6 @@ def _(spark, sf):
     return spans.withColumns({c: F.array_join(c, ",") for c in ("actions", "objects", "attributes")})
 
 
-def caption_rows(captions):
-    """Captions with an id when none is given and one caption text (visual, else summary)."""
-    cid = F.coalesce(text.blank_to_null(F.col("caption_id")), F.format_string("caption_%03d", F.col("idx") + 1))
-    return captions.select(
-        "video_id",
-        cid.alias("caption_id"),
-        timing.to_s(F.col("start_ms")).alias("start_s"),
-        timing.to_s(F.col("end_ms")).alias("end_s"),
-        F.coalesce(text.blank_to_null(F.col("visual")), text.blank_to_null(F.col("summary")), F.lit("")).alias("caption"),
-    )
-
-
 @query(
     "caption_rows",
     rf"""SELECT conv_id AS video_id, CASE WHEN turn % 3 = 0 THEN 'c' || turn ELSE printf('caption_%03d', turn + 1) END AS caption_id, turn * 5.0::DOUBLE AS start_s, turn * 5.0::DOUBLE + 5 AS end_s,
@@ -276,20 +228,3 @@ def _(spark, sf):
 def _(spark, sf):
     return transcript_ids(B.segments(spark, sf)).select(F.col("transcript_id").alias("conv_id"), F.col("tx").alias("transcript_id"), "n_segments")
 
-
-def transcript_ids(segments, part: int = 1000):
-    """Id of a transcript from its segments in order.
-
-    Up to ``part`` segments are hashed as one text; longer transcripts hash the hashes of their parts, so no
-    transcript has to fit in one row.
-    """
-    line = F.concat_ws(":", "seg_idx", F.concat_ws("-", "start_ms", "end_ms"), "speaker_id", "text")
-    placed = segments.withColumns({"_line": line, "_part": F.floor(F.col("seg_idx") / F.lit(part))})
-    parts = placed.groupBy("transcript_id", "_part").agg(
-        F.sha2(ordered_text(F.col("_line"), "\n", F.col("seg_idx")), 256).alias("_h"), F.count(F.lit(1)).alias("_n")
-    )
-    whole = parts.groupBy("transcript_id").agg(
-        F.count(F.lit(1)).alias("_parts"), F.first("_h").alias("_one"), ordered_text(F.col("_h"), "", F.col("_part")).alias("_all"), F.sum("_n").alias("n_segments")
-    )
-    digest = F.when(F.col("_parts") == 1, F.col("_one")).otherwise(F.sha2("_all", 256))
-    return whole.select("transcript_id", F.concat(F.lit("tx_"), F.substring(digest, 1, 12)).alias("tx"), "n_segments")

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
 from sightline import tables as B
 from sightline.catalog.columns import SENTENCES_SQL
 from sightline.catalog.registry import query
+from sightline.operators.unions import concat_lists, context_texts, distinct_list, id_sets, union_observations
 from sightline.functions import text
 from sightline.functions.text import WS
-from sightline.operators.core import keep_first
-
-
-def union_observations(parts):
-    """Observation tables of all tools under one schema; what a tool does not give is null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 @query(
@@ -44,17 +38,6 @@ def _(spark, sf):
     return rows.select("doc_id", F.array_join("l", "|").alias("items"))
 
 
-def concat_lists(lists):
-    """Lists of several sources in order, repeats kept; a missing list counts as empty."""
-    return F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
-
-
-def distinct_list(items, ordered: bool = False):
-    """Distinct items in given order, or sorted (ids and texts)."""
-    unique = F.array_distinct(items)
-    return F.array_sort(unique) if ordered else unique
-
-
 @query(
     "union_distinct_lists",
     rf"""WITH u AS (SELECT doc_id, unnest(list_concat(string_split(text, ' '), [lang, lang])) AS w, unnest(range(len(string_split(text, ' ')) + 2)) AS i FROM documents),
@@ -66,14 +49,6 @@ def _(spark, sf):
     return rows.select("doc_id", F.array_join("a", " ").alias("first_order"), F.size("b").cast("long").alias("n"))
 
 
-def id_sets(left, right, key: str):
-    """Union of two id tables with what each side holds."""
-    a = left.select(key).distinct().withColumn("in_left", F.lit(True))
-    b = right.select(key).distinct().withColumn("in_right", F.lit(True))
-    both = a.join(b, key, "full")
-    return both.fillna(False, ["in_left", "in_right"])
-
-
 @query(
     "id_sets",
     """WITH a AS (SELECT DISTINCT o_custkey AS id FROM orders), b AS (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0)
@@ -101,9 +76,3 @@ def _(spark, sf):
     ]
     return context_texts(lists, "transcript_id")
 
-
-def context_texts(lists, key: str):
-    """Texts of several media lists in their fixed order, once each, with the place they first appear."""
-    tagged = [df.withColumn("place", F.lit(i).cast("long") * 1_000_000_000_000 + F.col("pos")) for i, df in enumerate(lists)]
-    texts = union_observations(tagged).withColumn("text", text.strip(F.col("text"))).filter("text <> ''")
-    return keep_first(texts.select(key, "text", "place"), [key, "text"], ["place"])

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from sightline import tables as B
 from sightline.catalog.registry import query
-from sightline.functions import text, timing
+from sightline.operators.frames import stability, temporal_rerank
+from sightline.operators.intervals import clips_from_intervals, interval_distinct, seconds
+from sightline.operators.transcripts import distinct_ngrams, ordinal_ids
+from sightline.functions import timing
 from sightline.operators import intervals as I
-from sightline.operators.core import keep_first, keep_last, rank_rows, top_n
+from sightline.operators.core import keep_last, rank_rows, top_n
 
 
 def merged_sql(source: str, keys: str, tol: int = 0, extra: str = "") -> str:
@@ -42,10 +45,6 @@ def _(spark, sf):
     return seconds(merged)
 
 
-def seconds(df):
-    return df.withColumns({"start_s": timing.to_s(F.col("start_ms")), "end_s": timing.to_s(F.col("end_ms"))}).drop("start_ms", "end_ms")
-
-
 @query(
     "merge_intervals_tolerance",
     f"WITH {RAW_SQL}, good AS (SELECT * FROM raw WHERE end_ms >= start_ms), {merged_sql('good', 'video_id', 750000)} SELECT video_id, start_ms / 1000.0::DOUBLE AS start_s, end_ms / 1000.0::DOUBLE AS end_s, n FROM merged",
@@ -73,10 +72,6 @@ def _(spark, sf):
     return clips_from_intervals(I.tidy_intervals(raw_intervals(spark, sf)), {"source": F.lit("visual"), "label": F.concat(F.lit("video_"), "video_id")})
 
 
-def clips_from_intervals(intervals, fields):
-    return seconds(I.merge_intervals(intervals, ["video_id"]).drop("n")).withColumns(fields)
-
-
 @query(
     "interval_distinct",
     f"""WITH {B.OBS_SQL}, l AS (SELECT seq, list_transform(range(seq % 6), lambda i: [start_ms + (i % 3) * 1000, CASE WHEN i = 4 THEN start_ms + 1000 - 500 ELSE start_ms + (i % 3) * 1000 + 500 END]) AS l FROM obs),
@@ -99,13 +94,6 @@ def _(spark, sf):
     return rows.select("seq", F.array_join(F.transform("l", lambda p: F.concat_ws("-", p["start_ms"], p["end_ms"])), " ").alias("spans"))
 
 
-def interval_distinct(pairs):
-    """Intervals of one row in given order, ends sorted, repeats dropped, none merged."""
-    lo = lambda p: F.least(F.coalesce(p["start_ms"], p["end_ms"]), F.coalesce(p["end_ms"], p["start_ms"]))
-    hi = lambda p: F.greatest(F.coalesce(p["start_ms"], p["end_ms"]), F.coalesce(p["end_ms"], p["start_ms"]))
-    return F.array_distinct(F.transform(pairs, lambda p: F.struct(lo(p).alias("start_ms"), hi(p).alias("end_ms"))))
-
-
 @query(
     "last_n_per_run",
     f"""WITH {B.OBS_SQL} SELECT video_id, seq, row_number() OVER (PARTITION BY video_id ORDER BY seq DESC) AS back FROM obs
@@ -140,39 +128,6 @@ def _(spark, sf):
     return rows.select("seq", "video_id", F.col("others_n").alias("others"), stability(0.08).alias("bonus_u"))
 
 
-def stability(share: float):
-    """Share of the mean score of the other rows nearby; none gives zero."""
-    return F.when(F.col("others_n") > 0, share * (F.col("others_sum") / F.col("others_n"))).otherwise(F.lit(0.0))
-
-
-def temporal_rerank(frames, clips, structured: bool, anchors_ms: list[int]):
-    """Re-rank scored frames by their neighbours, by anchors (a short list of one request) and by progress.
-
-    ``clips`` gives clip_start_ms and clip_end_ms per video. Scores are millionths; ties end at distance, then time.
-    """
-    span = F.greatest(F.lit(0), F.col("clip_end_ms") - F.col("clip_start_ms"))
-    reach = F.greatest(F.lit(1000), F.least(F.lit(2000), F.when(span > 0, F.floor(span * 0.15)).otherwise(1000)))
-    placed = frames.join(clips, "video_id").withColumn("_reach", reach)
-    rows = I.neighbour_sums_within(placed, ["video_id"], "t_ms", "score_u", "_reach")
-    t, lo, hi = F.col("t_ms"), F.col("clip_start_ms"), F.col("clip_end_ms")
-    bonus = stability(0.18 if structured else 0.08)
-    if anchors_ms:
-        window = F.greatest(F.lit(1000.0), F.least(F.lit(2500.0), F.when(span > 0, span * 0.2).otherwise(1000.0)))
-        distance = F.array_min(F.array(*[F.abs(t - a) for a in anchors_ms]))
-        rows = rows.withColumns({"distance_ms": distance, "_w": window})
-        pull = 0.25 * F.greatest(F.lit(0.0), 1.0 - F.col("distance_ms") / F.col("_w"))
-        alive = rows.groupBy("video_id").agg(F.bool_or(F.col("distance_ms") <= F.col("_w")).alias("_any"))
-        rows = rows.join(alive, "video_id")
-        outside = F.col("_any") & (F.col("distance_ms") > F.col("_w"))
-        pull = F.when(outside, pull * 0.5).otherwise(pull) * 1_000_000.0
-    else:
-        rows = rows.withColumn("distance_ms", F.lit(None).cast("long"))
-        pull = F.lit(0.0)
-    progress = F.when(span > 0, 0.04 * ((t - lo) / span)).otherwise(0.0) * 1_000_000.0 if structured else F.lit(0.0)
-    score = F.round(F.col("score_u") + bonus + pull + progress).cast("long")
-    return rows.withColumn("temporal_u", score).select("seq", "video_id", "t_ms", "score_u", "distance_ms", "temporal_u")
-
-
 @query(
     "temporal_rerank",
     f"""WITH {B.FRAMES_SQL}, {NEIGHBOUR_SQL.format(2000)},
@@ -224,12 +179,6 @@ def _(spark, sf):
     return distinct_ngrams(B.segments(spark, sf))
 
 
-def distinct_ngrams(segments):
-    runs = I.segment_ngrams(segments).withColumn("_norm", text.normalize_phrase(F.col("text")))
-    first = keep_first(runs, ["transcript_id", "_norm", "start_ms", "end_ms"], ["n_segments", "first_pos"])
-    return first.select("transcript_id", "text", "start_ms", "end_ms", "n_segments")
-
-
 @query(
     "sequence_index",
     f"WITH {B.FRAMES_SQL} SELECT seq, video_id, row_number() OVER (PARTITION BY video_id ORDER BY t_ms, seq) - 1 AS sequence_index FROM fr",
@@ -250,15 +199,6 @@ def _(spark, sf):
     return rows.select("transcript_id", "seg_idx", *ordinal_ids(F.col("transcript_id"), F.col("n")))
 
 
-def ordinal_ids(group, n):
-    return [
-        F.format_string("asr_%02d_%03d", group, n).alias("segment_id"),
-        F.format_string("visual_seg_%03d", n).alias("visual_id"),
-        F.format_string("audio_seg_%03d", n).alias("audio_id"),
-        F.format_string("caption_%03d", n).alias("caption_id"),
-    ]
-
-
 DURATIONS_SQL = "du AS (SELECT video_id, CASE WHEN video_id % 10 = 0 THEN 0 ELSE max(start_ms) - 3600000 END AS duration_ms FROM obs GROUP BY video_id)"
 
 

@@ -184,8 +184,38 @@ def quoted_phrases(c: Column) -> Column:
     """
     double = F.regexp_extract_all(c, F.lit(r'"([^"\n]{3,})"'), 1)
     single = F.regexp_extract_all(c, F.lit(r"(?s)'(.*?)'(?![\p{L}\p{N}])"), 1)
-    both = F.filter(F.transform(F.concat(double, single), strip), lambda s: F.length(s) >= 3)
+    long = F.filter(F.transform(single, strip), lambda s: F.length(s) >= 3)
+    both = F.concat(F.filter(F.transform(double, strip), lambda s: s != ""), long)
     forms = F.transform(both, normalize_phrase)
     return F.filter(
         both, lambda s, i: (normalize_phrase(s) != "") & (F.array_position(forms, normalize_phrase(s)) == i + 1)
     )
+
+
+def band(scores):
+    """Scores as text to whole bands 1..5, ties to the even side; what is no number is left out."""
+    numbers = F.map_filter(F.transform_values(scores, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())
+    return F.transform_values(numbers, lambda _, v: F.greatest(F.lit(1), F.least(F.lit(5), F.bround(v).cast("int"))))
+
+
+def verdict(c):
+    word = F.upper(strip(c))
+    return F.when(word.isin("PASS", "FAIL"), word).otherwise(F.lit("FAIL"))
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def letter_options(choices, gold_index):
+    """``A. text`` for the choices that are not blank, lettered by their place among all choices.
+
+    The gold index counts after the blanks are gone.
+    """
+
+    def lettered(c, i):
+        named = F.concat(F.substring(F.lit(LETTERS), i + 1, F.lit(1)), F.lit(". "), strip(c))
+        return F.when(strip(c) != "", named)
+
+    options = F.array_compact(F.transform(choices, lettered))
+    gold = F.when(gold_index >= 0, F.try_element_at(options, (gold_index + 1).cast("int")))
+    return F.struct(options.alias("options"), gold.alias("gold"))

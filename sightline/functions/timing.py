@@ -222,3 +222,14 @@ def clip_artifact_id(start: Column, end: Column) -> Column:
         return F.replace(F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text), F.lit("."), F.lit("_"))
 
     return F.concat(F.lit("clip_"), part(start), F.lit("_"), part(end))
+
+
+def intervals_sentence(intervals, shown: int = 4):
+    """Sentence naming the first intervals and, when more exist, their total."""
+    parts = F.transform(
+        F.slice(intervals, 1, shown),
+        lambda i: F.concat(fixed(i["start_s"], 3), F.lit("-"), fixed(i["end_s"], 3), F.lit("s")),
+    )
+    total = F.when(F.size(intervals) > shown, F.format_string(" (%d total)", F.size(intervals))).otherwise("")
+    text_ = F.concat(F.lit("Found at: "), F.array_join(parts, ", "), total, F.lit("."))
+    return F.when(F.size(intervals) > 0, text_).otherwise(F.lit("The queried event is absent."))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.timing import to_s
 from sightline.operators.core import Running, keep_first, rank_rows, running, top_n
 
 SLAB_MS = 600_000
@@ -328,3 +329,38 @@ def best_plateau(scored: DataFrame, keys: Sequence[str], score: str, unit: float
     near = members.join(middle, list(keys))
     order = [F.abs(F.col("t_ms") - F.col("median")), -F.col(score), F.col("t_ms"), F.col("seq")]
     return keep_first(near, keys, order).drop("_lo", "_hi")
+
+
+def seconds(df):
+    return df.withColumns({"start_s": to_s(F.col("start_ms")), "end_s": to_s(F.col("end_ms"))}).drop("start_ms", "end_ms")
+
+
+def clips_from_intervals(intervals, fields):
+    return seconds(merge_intervals(intervals, ["video_id"]).drop("n")).withColumns(fields)
+
+
+def interval_distinct(pairs):
+    """Intervals of one row in given order, ends sorted, repeats dropped, none merged."""
+    lo = lambda p: F.least(F.coalesce(p["start_ms"], p["end_ms"]), F.coalesce(p["end_ms"], p["start_ms"]))
+    hi = lambda p: F.greatest(F.coalesce(p["start_ms"], p["end_ms"]), F.coalesce(p["end_ms"], p["start_ms"]))
+    return F.array_distinct(F.transform(pairs, lambda p: F.struct(lo(p).alias("start_ms"), hi(p).alias("end_ms"))))
+
+
+def label_memory(rows):
+    """Per label its time ranges (one row each), how often it is mentioned and by which modalities."""
+    ranges = merge_intervals(rows, ["label"])
+    facts = rows.groupBy("label").agg(
+        F.count(F.lit(1)).alias("mentions"), F.array_join(F.sort_array(F.collect_set("modality")), ",").alias("modalities")
+    )
+    return ranges.join(facts, "label")
+
+
+def timing_rollup(rows, value: str):
+    """Count, mean, exact median, least and greatest recorded time per tool."""
+    stats = rows.groupBy("tool").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum(value) / F.count(F.lit(1)), 4).alias(f"mean_{value}"),
+        F.min(value).alias(f"min_{value}"),
+        F.max(value).alias(f"max_{value}"),
+    )
+    return stats.join(exact_medians(rows, ["tool"], value).withColumnRenamed("median", f"median_{value}"), "tool")

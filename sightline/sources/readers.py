@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sightline.functions import text
 from sightline.functions.ids import sample_key
-from sightline.functions.text import blank_to_null, strip
+from sightline.functions.text import blank_to_null, letter_options, strip
 from sightline.operators.core import ordered_list
 
 
@@ -80,8 +80,6 @@ def _task(df: DataFrame, **cols: Column) -> DataFrame:
 
 def tasks_by_choice(items: DataFrame, benchmark: str, videos: str) -> DataFrame:
     """Items with answer_choice_0..4. The key falls back to ``video:question hash``; gold is text, else index."""
-    from sightline.catalog.columns import letter_options
-
     choices = F.array(*[F.coalesce(f"answer_choice_{i}", F.lit("")) for i in range(5)])
     options = letter_options(choices, F.coalesce(F.col("answer_id").try_cast("int"), F.lit(-1)))
     video = blank_to_null(F.col("video_id"))
