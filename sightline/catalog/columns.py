@@ -386,7 +386,7 @@ SECONDS_SQL = r"regexp_replace(regexp_replace(printf('%.3f', {0}), '0+$', ''), '
 @query(
     "render_time_anchor",
     f"""WITH {B.OBS_SQL} SELECT seq, CASE seq % 4
-       WHEN 0 THEN {SECONDS_SQL.format('time_start_s')} || ' to ' || {SECONDS_SQL.format('time_end_s')} || '; ' || {SECONDS_SQL.format('time_end_s')}
+       WHEN 0 THEN CASE WHEN time_start_s = time_end_s THEN {SECONDS_SQL.format('time_start_s')} ELSE {SECONDS_SQL.format('time_start_s')} || ' to ' || {SECONDS_SQL.format('time_end_s')} END || '; ' || {SECONDS_SQL.format('time_end_s')}
        WHEN 1 THEN CASE WHEN time_start_s = time_end_s THEN {SECONDS_SQL.format('time_start_s')} ELSE {SECONDS_SQL.format('time_start_s')} || ' to ' || {SECONDS_SQL.format('time_end_s')} END
        WHEN 2 THEN {SECONDS_SQL.format('time_start_s')} ELSE '' END AS anchor FROM obs""",
 )

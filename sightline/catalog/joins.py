@@ -8,6 +8,7 @@ from sightline import tables as B
 from sightline.catalog.columns import SECONDS_SQL, SENTENCES_SQL
 from sightline.catalog.registry import query
 from sightline.operators.transcripts import segments_by_window
+from sightline.session import materialize
 from sightline.catalog.windows import DURATIONS_SQL, merged_sql, seconds
 from sightline.catalog.windows import durations as video_durations
 from sightline.functions import text
@@ -96,7 +97,7 @@ def _(spark, sf):
 
 @query(
     "interval_overlap_join",
-    f"""WITH {B.OBS_SQL}, cand AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 0.5::DOUBLE ELSE confidence END AS conf FROM obs),
+    f"""WITH {B.OBS_SQL}, cand AS (SELECT *, CASE WHEN seq % 3 = 0 OR confidence = 0 THEN 0.5::DOUBLE ELSE confidence END AS conf FROM obs),
     vis AS (SELECT * FROM cand WHERE seq % 2 = 0), {merged_sql('vis', 'video_id', 750)}
     SELECT m.video_id, m.start_ms / 1000.0::DOUBLE AS start_s, m.end_ms / 1000.0::DOUBLE AS end_s, max(c.conf) AS confidence FROM merged m JOIN cand c
       ON m.video_id = c.video_id AND c.start_ms <= m.end_ms AND c.end_ms >= m.start_ms GROUP BY ALL""",
@@ -106,7 +107,7 @@ def _(spark, sf):
     conf = F.when(F.col("seq") % 3 != 0, F.nullif("confidence", F.lit(0.0)))
     cand = B.observations(spark, sf).withColumn("confidence", F.coalesce(conf, F.lit(0.5)))
     merged = I.merge_intervals(cand.filter(F.col("seq") % 2 == 0), ["video_id"], 750).drop("n")
-    return seconds(I.overlap_max(merged, cand, ["video_id"], "confidence"))
+    return seconds(I.overlap_max(materialize(merged, "merged"), cand, ["video_id"], "confidence"))
 
 
 @query(

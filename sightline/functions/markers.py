@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sightline.functions.text import contains_any, normalize_phrase, squeeze
+from sightline.functions.text import contains_any, let, normalize_phrase, squeeze
 
 # Words of queries about structured pictures.
 STRUCTURED_WORDS = [
@@ -67,35 +67,37 @@ SPEECH_WORDS = r"(?i)\b(asr|speech|spoken|utterance|dialogue|dialog|quote|quoted
 
 
 def structured_query(query: Column) -> Column:
-    return contains_any(normalize_phrase(query), STRUCTURED_WORDS)
+    return let({"w": normalize_phrase(query)}, lambda t: contains_any(t["w"], STRUCTURED_WORDS))
 
 
 def audio_mode(query: Column) -> Column:
     """``inventory`` for a blank query or one that asks for every sound, else ``targeted``."""
     words = normalize_phrase(F.coalesce(query, F.lit("")))
-    broad = (words == "") | contains_any(words, INVENTORY_PHRASES)
+    broad = let({"w": words}, lambda t: (t["w"] == "") | contains_any(t["w"], INVENTORY_PHRASES))
     return F.when(broad, "inventory").otherwise("targeted")
 
 
 def question_tags(question: Column) -> Column:
     """Tags of a question: several order words, a relation, and an ordinal side of either."""
-    low = F.lower(squeeze(question))
-    several = F.size(F.regexp_extract_all(low, F.lit(ORDER_WORDS), 1)) >= 2
-    relation = contains_any(low, ["relation between", "relationship between"])
-    ordinal = (several | relation) & low.rlike(ORDINAL_SLOT)
-    return F.array_compact(
-        F.array(
-            F.when(several, F.lit("several_order_words")),
-            F.when(relation, F.lit("relation")),
-            F.when(ordinal, F.lit("ordinal_slot")),
-        )
-    )
+
+    def tags(t: Column) -> Column:
+        ordinal = (t["several"] | t["relation"]) & t["low"].rlike(ORDINAL_SLOT)
+        named = [(t["several"], "several_order_words"), (t["relation"], "relation"), (ordinal, "ordinal_slot")]
+        return F.array_compact(F.array(*[F.when(flag, F.lit(name)) for flag, name in named]))
+
+    def read(t: Column) -> Column:
+        low = t["low"]
+        several = F.size(F.regexp_extract_all(low, F.lit(ORDER_WORDS), 1)) >= 2
+        relation = contains_any(low, ["relation between", "relationship between"])
+        return let({"low": low, "several": several, "relation": relation}, tags)
+
+    return let({"low": F.lower(squeeze(question))}, read)
 
 
 def conditioned_audio(text: Column) -> Column:
     """A sound asked for while some visible action goes on."""
     low = F.lower(squeeze(text))
-    return low.rlike(SOUND_WORDS) & low.rlike(MEANWHILE_ACTION)
+    return let({"low": low}, lambda t: t["low"].rlike(SOUND_WORDS) & t["low"].rlike(MEANWHILE_ACTION))
 
 
 def hint_flags(hint: Column) -> dict[str, Column]:

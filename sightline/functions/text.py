@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The whitespace set that trimming must treat as blank.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(parts: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``parts`` once per row and use them in ``body`` as often as needed."""
+    row = F.struct(*[c.alias(n) for n, c in parts.items()])
+    return F.transform(F.array(row), body)[0]
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:
@@ -27,9 +39,11 @@ def normalize_phrase(c: Column) -> Column:
 
 
 def truncate_text(c: Column, limit: int = 220, mark: str = "...", squeezed: bool = True) -> Column:
-    text = squeeze(c) if squeezed else strip(c)
-    cut = F.concat(F.regexp_replace(F.substring(text, 1, limit - len(mark)), f"{WS}+$", ""), F.lit(mark))
-    return F.when(F.length(text) <= limit, text).otherwise(cut)
+    def cut(t: Column) -> Column:
+        head = F.rtrim(F.substring(t["t"], 1, limit - len(mark)), F.lit(WS_CHARS))
+        return F.when(F.length(t["t"]) <= limit, t["t"]).otherwise(F.concat(head, F.lit(mark)))
+
+    return let({"t": squeeze(c) if squeezed else strip(c)}, cut)
 
 
 def _one_char(c: Column) -> Column:
@@ -38,9 +52,16 @@ def _one_char(c: Column) -> Column:
 
 def is_low_signal(c: Column) -> Column:
     """Empty, no letter or digit at all, or one character repeated eight times and more."""
-    visible = F.regexp_replace(F.coalesce(c, F.lit("")), f"{WS}+", "")
-    alnum = F.lower(F.regexp_replace(visible, r"[^\p{L}\p{N}]+", ""))
-    return (alnum == "") | _one_char(visible) | _one_char(alnum)
+    visible = F.translate(F.coalesce(c, F.lit("")), WS_CHARS, "")
+
+    def silent(t: Column) -> Column:
+        return (t["a"] == "") | _one_char(t["v"]) | _one_char(t["a"])
+
+    def letters(t: Column) -> Column:
+        alnum = F.lower(F.regexp_replace(t["v"], r"[^\p{L}\p{N}]+", ""))
+        return let({"v": t["v"], "a": alnum}, silent)
+
+    return let({"v": visible}, letters)
 
 
 def is_meaningful(c: Column) -> Column:
@@ -63,7 +84,7 @@ def sentence_chunks(c: Column) -> Column:
 
 
 def _edge_trim(c: Column) -> Column:
-    return F.regexp_replace(c, "^[ ,;]+|[ ,;]+$", "")
+    return F.btrim(c, F.lit(" ,;"))
 
 
 def _non_blank(parts: Column) -> Column:
@@ -75,7 +96,7 @@ def atomic_pieces(c: Column) -> Column:
 
     def by_conjunction(piece: Column) -> Column:
         parts = _non_blank(F.split(piece, r"\s+(?:and|but)\s+"))
-        return F.when(F.size(parts) > 1, parts).otherwise(F.array(piece))
+        return let({"p": parts}, lambda t: F.when(F.size(t["p"]) > 1, t["p"]).otherwise(F.array(piece)))
 
     def by_comma(sentence: Column) -> Column:
         pieces = _non_blank(F.split(_edge_trim(squeeze(sentence)), r",\s+(?=[A-Za-z0-9])"))
@@ -86,8 +107,11 @@ def atomic_pieces(c: Column) -> Column:
 
 def distinct_casefold(texts: Column) -> Column:
     """Distinct texts of a short array, ignoring case; the first spelling stays."""
-    lowered = F.transform(texts, F.lower)
-    return F.filter(texts, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
+
+    def first_of_kind(b: Column) -> Column:
+        return F.filter(b["t"], lambda t, i: F.array_position(b["low"], F.lower(t)) == i + 1)
+
+    return let({"t": texts}, lambda b: let({"t": b["t"], "low": F.transform(b["t"], F.lower)}, first_of_kind))
 
 
 def numeric_from_text(c: Column) -> Column:
@@ -100,7 +124,7 @@ def step_number(c: Column) -> Column:
     """Last digit run of a step id; zero or none gives null."""
     runs = F.regexp_extract_all(c, F.lit(r"\d+"), 0)
     number = F.try_element_at(runs, F.lit(-1)).try_cast("long")
-    return F.when(number > 0, number)
+    return F.nullif(number, F.lit(0))
 
 
 # Words for a confidence and words that mean "none given".
@@ -186,10 +210,11 @@ def quoted_phrases(c: Column) -> Column:
     single = F.regexp_extract_all(c, F.lit(r"(?s)'(.*?)'(?![\p{L}\p{N}])"), 1)
     long = F.filter(F.transform(single, strip), lambda s: F.length(s) >= 3)
     both = F.concat(F.filter(F.transform(double, strip), lambda s: s != ""), long)
-    forms = F.transform(both, normalize_phrase)
-    return F.filter(
-        both, lambda s, i: (normalize_phrase(s) != "") & (F.array_position(forms, normalize_phrase(s)) == i + 1)
-    )
+
+    def first_of_kind(b: Column) -> Column:
+        return F.filter(b["s"], lambda s, i: (b["f"][i] != "") & (F.array_position(b["f"], b["f"][i]) == i + 1))
+
+    return let({"s": both}, lambda b: let({"s": b["s"], "f": F.transform(b["s"], normalize_phrase)}, first_of_kind))
 
 
 def band(scores):

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sightline.functions.text import contains_any, normalize_phrase, strip
-
-
-def let(parts: dict[str, Column], body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``parts`` once per row and use them in ``body`` as often as needed."""
-    row = F.struct(*[c.alias(n) for n, c in parts.items()])
-    return F.transform(F.array(row), body)[0]
+from sightline.functions.text import contains_any, let, normalize_phrase, strip
 
 
 def to_ms(seconds: Column) -> Column:
@@ -50,21 +42,21 @@ def anchor_text(intervals: Column | None, start: Column, end: Column, frame: Col
     return F.when(F.coalesce(F.size(intervals), F.lit(0)) > 0, listed).otherwise(single)
 
 
-COLON_TIME = r"(?<!\d)(\d{1,3})((?::\d{1,2}){1,2})(\.\d+)?(?!\d)"
+COLON_TIME = r"(?<!\d)(\d{1,3}(?::\d{1,2}){1,2}(?:\.\d+)?)(?!\d)"
+SECONDS = r"(?i)(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b"
 PERCENT = r"(\d+(?:\.\d+)?)\s*%"
-SECONDS = r"(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b"
 
 
 def parse_timecode(c: Column) -> Column:
     """``m:s`` or ``h:m:s`` anywhere in a text, else a number followed by a seconds unit."""
-    text = F.lower(strip(c))
-    head = F.regexp_extract(text, COLON_TIME, 1).try_cast("double")
-    parts = F.split(F.regexp_extract(text, COLON_TIME, 2), ":")
-    second = F.try_element_at(parts, F.lit(2)).try_cast("double")
-    third = F.try_element_at(parts, F.lit(3)).try_cast("double")
-    fraction = F.coalesce(F.regexp_extract(text, COLON_TIME, 3).try_cast("double"), F.lit(0.0))
-    colon = F.when(third.isNotNull(), head * 3600.0 + second * 60.0 + third).otherwise(head * 60.0 + second)
-    return F.coalesce(colon + fraction, F.regexp_extract(text, SECONDS, 1).try_cast("double"))
+
+    def clock(t: Column) -> Column:
+        part = lambda i: F.try_element_at(t["p"], F.lit(i)).try_cast("double")
+        hours = part(1) * 3600.0 + part(2) * 60.0 + part(3)
+        return F.when(F.size(t["p"]) == 3, hours).otherwise(part(1) * 60.0 + part(2))
+
+    colon = let({"p": F.split(F.regexp_extract(c, COLON_TIME, 1), ":")}, clock)
+    return F.coalesce(colon, F.regexp_extract(c, SECONDS, 1).try_cast("double"))
 
 
 # Words that place a hint inside a clip.
@@ -130,20 +122,23 @@ def hint_clip(hint: Column, duration: Column) -> Column:
             F.when(empty, zero).otherwise(F.greatest(start, end)).alias("end_s"),
         )
 
-    text = F.lower(strip(hint))
-    word = (
-        F.when(contains_any(text, ["last", "final", "end"]), F.lit("end"))
-        .when(contains_any(text, ["first", "opening", "start", "beginning"]), F.lit("start"))
-        .when(F.contains(text, F.lit("mid")), F.lit("middle"))
-        .otherwise(F.lit("end"))
-    )
-    read = {
-        "word": word,
-        "percent": F.regexp_extract(text, PERCENT, 1).try_cast("double"),
-        "sec": F.regexp_extract(text, SECONDS, 1).try_cast("double"),
-        "duration": duration,
-    }
-    return F.when(text != "", let({"c": let(read, cut)}, lambda h: place(h["c"])))
+    def read(t: Column) -> Column:
+        text = t["text"]
+        word = (
+            F.when(contains_any(text, ["last", "final", "end"]), F.lit("end"))
+            .when(contains_any(text, ["first", "opening", "start", "beginning"]), F.lit("start"))
+            .when(F.contains(text, F.lit("mid")), F.lit("middle"))
+            .otherwise(F.lit("end"))
+        )
+        parts = {
+            "word": word,
+            "percent": F.regexp_extract(text, PERCENT, 1).try_cast("double"),
+            "sec": F.regexp_extract(text, SECONDS, 1).try_cast("double"),
+            "duration": t["duration"],
+        }
+        return F.when(text != "", let({"c": let(parts, cut)}, lambda h: place(h["c"])))
+
+    return let({"text": F.lower(strip(hint)), "duration": duration}, read)
 
 
 def clamp_clip(start: Column, end: Column, duration: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sightline.functions.timing import let
+from sightline.functions.text import let
 
 
 def dot(a: Column, b: Column) -> Column:

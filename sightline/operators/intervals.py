@@ -79,29 +79,27 @@ def first_intervals(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 # ---------------------------------------------------------------- overlap without pairs
 
 
-def _cover(start: Column, end: Column) -> Column:
-    """Power-of-two blocks that tile [start, end]: at most two per level."""
-    bits = F.ceil(F.log2((end - start + 2).cast("double"))).cast("int")
+def _shift(c: Column, k: Column) -> Column:
+    return F.call_function("shiftright", c, k)
 
-    def at_level(k: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        lo = F.call_function("shiftright", start + size - 1, k)
-        hi = F.call_function("shiftright", end + 1, k)
-        left = F.when((lo < hi) & (lo.bitwiseAND(F.lit(1)) == 1), lo)
-        right = F.when((lo < hi) & (hi.bitwiseAND(F.lit(1)) == 1), hi - 1)
-        return F.filter(
-            F.array(F.struct(k.alias("level"), left.alias("block")), F.struct(k.alias("level"), right.alias("block"))),
-            lambda b: b["block"].isNotNull(),
-        )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), bits), at_level))
+def _tiles(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    """One row per power-of-two block (level, block) of the tiling of [start, end]: at most two per level."""
+    bits = F.ceil(F.log2((end - start + 2).cast("double"))).cast("int")
+    rows = df.withColumns({"_s": start, "_e": end}).withColumn("level", F.explode(F.sequence(F.lit(0), bits)))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    rows = rows.withColumns(
+        {"_lo": _shift(F.col("_s") + size - 1, F.col("level")), "_hi": _shift(F.col("_e") + 1, F.col("level"))}
+    ).filter("_lo < _hi")
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    ends = F.array_compact(F.array(F.when(odd("_lo"), F.col("_lo")), F.when(odd("_hi"), F.col("_hi") - 1)))
+    return rows.withColumn("block", F.explode(ends)).drop("_s", "_e", "_lo", "_hi")
 
 
-def _levels(t: Column, top: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(top)),
-        lambda k: F.struct(k.alias("level"), F.call_function("shiftright", t, k).alias("block")),
-    )
+def _stabs(df: DataFrame, t: str, top: int) -> DataFrame:
+    """One row per block (level, block) that holds the time, up to level ``top``."""
+    rows = df.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    return rows.withColumn("block", _shift(F.col(t), F.col("level")))
 
 
 def _top_level(df: DataFrame) -> int:
@@ -115,24 +113,20 @@ def overlap_max(windows: DataFrame, candidates: DataFrame, keys: Sequence[str],
     No pair of rows is ever built. A candidate overlaps a window when it covers the window's start or
     starts inside the window. Both sides are tiled by power-of-two blocks and met on the block, after the
     scores of a block have been combined, so work grows with n log(length) whatever the overlap is.
+    ``windows`` is read several times: hand in a stored table.
     """
+    block = [*keys, "level", "block"]
     spans = windows.select(*keys, "start_ms", "end_ms").distinct()
-    tiles = candidates.withColumn("_b", F.explode(_cover(F.col("start_ms"), F.col("end_ms"))))
-    tiles = tiles.groupBy(*keys, F.col("_b.level").alias("level"), F.col("_b.block").alias("block"))
-    tiles = tiles.agg(F.max(score).alias("_score"))
-    stabs = spans.withColumn("_b", F.explode(_levels(F.col("start_ms"), _top_level(candidates))))
-    stabs = stabs.select(*keys, "start_ms", "end_ms", "_b.level", "_b.block").join(tiles, [*keys, "level", "block"])
-
-    starts = candidates.groupBy(*keys, "start_ms").agg(F.max(score).alias("_score"))
-    starts = starts.withColumn("_b", F.explode(_levels(F.col("start_ms"), _top_level(windows))))
-    starts = starts.groupBy(*keys, F.col("_b.level").alias("level"), F.col("_b.block").alias("block"))
-    starts = starts.agg(F.max("_score").alias("_score"))
-    inner = spans.filter(F.col("end_ms") > F.col("start_ms"))
-    inner = inner.withColumn("_b", F.explode(_cover(F.col("start_ms") + 1, F.col("end_ms"))))
-    inner = inner.select(*keys, "start_ms", "end_ms", "_b.level", "_b.block").join(starts, [*keys, "level", "block"])
+    cand = candidates.groupBy(*keys, "start_ms", "end_ms").agg(F.max(score).alias("_score"))
+    covered = _tiles(cand, F.col("start_ms"), F.col("end_ms")).groupBy(*block).agg(F.max("_score").alias("_score"))
+    at_start = _stabs(spans, "start_ms", _top_level(candidates)).join(covered, block)
+
+    starts = _stabs(cand, "start_ms", _top_level(windows)).groupBy(*block).agg(F.max("_score").alias("_score"))
+    inner = _tiles(spans.filter(F.col("end_ms") > F.col("start_ms")), F.col("start_ms") + 1, F.col("end_ms"))
+    inside = inner.join(starts, block)
 
     cols = [*keys, "start_ms", "end_ms", "_score"]
-    best = stabs.select(*cols).unionByName(inner.select(*cols))
+    best = at_start.select(*cols).unionByName(inside.select(*cols))
     best = best.groupBy(*keys, "start_ms", "end_ms").agg(F.max("_score").alias(score))
     return windows.join(best, [*keys, "start_ms", "end_ms"], "left")
 

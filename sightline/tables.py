@@ -15,8 +15,19 @@ EPOCH = "2024-01-01 00:00:00"
 DAY_MS = 86_400_000
 
 
+# Long texts: worth dealing out when a table comes in fewer splits than there are cores.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the scan has fewer splits than cores; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def event_us():
