@@ -300,7 +300,7 @@ def _(spark, sf):
        contains(lower(hint), 'mid') AS m,
        TRY_CAST(regexp_extract(lower(hint), '(\d+(?:\.\d+)?)\s*%', 1) AS DOUBLE) AS pct,
        TRY_CAST(regexp_extract(lower(hint), '(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b', 1) AS DOUBLE) AS sec FROM hints),
-    w AS (SELECT *, greatest(1.0::DOUBLE, least(d, coalesce(d * greatest(0.01::DOUBLE, least(1.0::DOUBLE, pct / 100)), sec, d * 0.2::DOUBLE))) AS win FROM h)
+    w AS (SELECT *, greatest(1.0::DOUBLE, least(d, coalesce(CASE WHEN pct IS NOT NULL THEN d * greatest(0.01::DOUBLE, least(1.0::DOUBLE, pct / 100)) END, sec, d * 0.2::DOUBLE))) AS win FROM h)
     SELECT doc_id, CASE WHEN e THEN greatest(0, d - win) WHEN s THEN 0 WHEN m THEN greatest(0, d / 2 - win / 2) ELSE greatest(0, d - win) END AS start_s,
       CASE WHEN e THEN d WHEN s THEN least(d, win) WHEN m THEN least(d, greatest(0, d / 2 - win / 2) + win) ELSE d END AS end_s FROM w""",
 )

@@ -104,8 +104,10 @@ def hint_clip(hint: Column, duration: Column) -> Column:
     """Clip named by a loose hint such as ``last 20%`` or ``first 30 seconds``."""
 
     def cut(h: Column) -> Column:
+        # greatest and least pass over nulls, so a missing percentage is tested for.
         share = F.greatest(F.lit(0.01), F.least(F.lit(1.0), h["percent"] / 100.0))
-        window = F.coalesce(h["duration"] * share, h["sec"], h["duration"] * 0.2)
+        part = F.when(h["percent"].isNotNull(), h["duration"] * share)
+        window = F.coalesce(part, h["sec"], h["duration"] * 0.2)
         window = F.greatest(F.lit(1.0), F.least(h["duration"], window))
         return F.struct(h["word"].alias("word"), h["duration"].alias("d"), window.alias("w"))
 

@@ -36,7 +36,7 @@ def scan_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Files under a glob as (path, content), one row per file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
