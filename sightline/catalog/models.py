@@ -84,7 +84,7 @@ def answers(spark, sf):
         .when(e % 5 == 3, F.format_string('{"label": "%s", "note": "no score"}', kind))
         .otherwise(F.concat(F.lit("The answer is "), good))
     )
-    return B.table(spark, sf, "events").select("event_id", raw.alias("raw"))
+    return B.spread(B.table(spark, sf, "events")).select("event_id", raw.alias("raw"))
 
 
 @query(
@@ -110,7 +110,7 @@ def wrapped_answers(spark, sf):
         .when(e % 6 == 4, F.concat(F.lit("I think "), obj, F.lit(" is right {broken")))
         .otherwise(F.lit("no object here"))
     )
-    return B.table(spark, sf, "events").select("event_id", raw.alias("raw"))
+    return B.spread(B.table(spark, sf, "events")).select("event_id", raw.alias("raw"))
 
 
 @query(

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.session import materialize
@@ -41,53 +41,49 @@ NEEDS_ONE_OF = {
 }
 
 
-def _table(df: DataFrame, pairs: dict[str, list[str]], name: str) -> DataFrame:
-    """A fixed rule table (a few dozen rows, hence safe to broadcast)."""
-    rows = [(tool, value) for tool, values in pairs.items() for value in values]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, f"tool_name string, {name} string"))
+def _listed(pairs: dict[str, list[str]], tool: Column) -> Column:
+    """Values a rule table holds for a tool (null for a tool it does not name)."""
+    entries = [x for name, values in pairs.items() for x in (F.lit(name), F.array(*[F.lit(v) for v in values]))]
+    return F.try_element_at(F.create_map(*entries), tool)
 
 
-def plan_lint(steps: DataFrame, refs: DataFrame) -> DataFrame:
-    """One row (plan_id, step_id, rule, detail) per broken rule."""
-    out = ["plan_id", "step_id", "rule", "detail"]
+def _violations(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """All broken rules of a row in one pass; ``rules`` maps a name to (test, detail)."""
+    tested = [
+        F.when(test, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
+        for rule, (test, detail) in rules.items()
+    ]
+    rows = df.select("plan_id", "step_id", F.explode(F.array_compact(F.array(*tested))).alias("v"))
+    return rows.select("plan_id", "step_id", "v.rule", "v.detail")
 
-    def broken(rows: DataFrame, rule: str, detail) -> DataFrame:
-        return rows.select("plan_id", "step_id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
 
-    counts = steps.groupBy("plan_id", "step_id").agg(F.count(F.lit(1)).alias("_n"), F.min_by("tool_name", "pos").alias("tool_name"))
+def plan_lint(steps: DataFrame, refs: DataFrame) -> DataFrame:
+    """One row (plan_id, step_id, rule, detail) per broken rule. References and steps are each read once."""
+    key = ["plan_id", "step_id"]
+    counts = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min_by("tool_name", "pos").alias("tool_name"))
     known = counts.select("plan_id", F.col("step_id").alias("source_step_id"), F.col("tool_name").alias("source_tool"))
-    wired = refs.join(known, ["plan_id", "source_step_id"], "left")
-    wired = wired.join(counts.select("plan_id", "step_id", "tool_name"), ["plan_id", "step_id"])
+    wired = refs.join(known, ["plan_id", "source_step_id"], "left").join(counts.select(*key, "tool_name"), key)
+    source, tool, at = F.col("source_tool"), F.col("tool_name"), F.col("source_step_id")
     head = F.regexp_extract("field_path", r"^([^.\[]*)", 1)
-    emits = _table(steps, TOOL_OUTPUTS, "head").withColumnRenamed("tool_name", "source_tool")
-    # Only outputs of tools with a known output list can be judged.
-    judged = wired.filter(F.col("source_tool").isin(list(TOOL_OUTPUTS))).withColumn("head", head)
-    not_emitted = judged.join(emits, ["source_tool", "head"], "left_anti")
-
-    needs = _table(steps, NEEDS_ONE_OF, "field")
-    bound = refs.select("plan_id", "step_id", F.col("target_field").alias("field"))
-    literal = steps.select("plan_id", "step_id", F.explode("literals").alias("field"))
-    fed = bound.unionByName(literal).join(counts.select("plan_id", "step_id", "tool_name"), ["plan_id", "step_id"])
-    fed = fed.join(needs, ["tool_name", "field"], "left_semi").select("plan_id", "step_id").distinct()
-    demanding = counts.filter(F.col("tool_name").isin(list(NEEDS_ONE_OF)))
-    starved = demanding.join(fed, ["plan_id", "step_id"], "left_anti")
-
-    hints_elsewhere = wired.filter((F.col("target_field") == "time_hints") & (F.col("source_tool") != "asr"))
-    boxes_into_text = wired.filter((F.col("tool_name") == "ocr") & (F.col("source_tool") == "spatial_grounder"))
-    found = [
-        broken(counts.filter("_n > 1"), "duplicate_step_id", F.col("_n")),
-        broken(wired.filter("source_tool IS NULL"), "missing_source", F.col("source_step_id")),
-        broken(refs.filter("source_step_id = step_id"), "self_reference", F.col("target_field")),
-        broken(wired.filter("source_tool IS NOT NULL AND source_step_id > step_id"), "later_source", F.col("source_step_id")),
-        broken(not_emitted, "path_not_emitted", F.concat_ws(".", "source_tool", "field_path")),
-        broken(starved, "missing_context", F.col("tool_name")),
-        broken(hints_elsewhere, "time_hints_not_from_speech", F.col("source_tool")),
-        broken(boxes_into_text, "regions_into_text_reader", F.col("source_step_id")),
-    ]
-    lint = found[0]
-    for part in found[1:]:
-        lint = lint.unionByName(part)
-    return lint.select(*out).distinct()
+    of_refs = {
+        "missing_source": (source.isNull(), at),
+        "self_reference": (at == F.col("step_id"), F.col("target_field")),
+        "later_source": (source.isNotNull() & (at > F.col("step_id")), at),
+        # Only outputs of tools with a known output list can be judged.
+        "path_not_emitted": (~F.array_contains(_listed(TOOL_OUTPUTS, source), head), F.concat_ws(".", source, "field_path")),
+        "time_hints_not_from_speech": ((F.col("target_field") == "time_hints") & (source != "asr"), source),
+        "regions_into_text_reader": ((tool == "ocr") & (source == "spatial_grounder"), at),
+    }
+    bound = refs.groupBy(*key).agg(F.collect_set("target_field").alias("_bound"))
+    literal = steps.select(*key, F.explode("literals").alias("f")).groupBy(*key).agg(F.collect_set("f").alias("_literal"))
+    fed = counts.join(bound, key, "left").join(literal, key, "left")
+    none = F.array().cast("array<string>")
+    given = F.array_union(F.coalesce("_bound", none), F.coalesce("_literal", none))
+    of_steps = {
+        "duplicate_step_id": (F.col("_n") > 1, F.col("_n")),
+        "missing_context": (~F.arrays_overlap(_listed(NEEDS_ONE_OF, tool), given), tool),
+    }
+    return _violations(wired, of_refs).unionByName(_violations(fed, of_steps)).distinct()
 
 
 def plan_levels(steps: DataFrame, edges: DataFrame, max_depth: int = 20) -> DataFrame:

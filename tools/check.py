@@ -16,6 +16,7 @@ import traceback
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
+from pyspark.sql import SparkSession
 
 from sightline.catalog import MODULES
 from sightline.catalog.registry import ORACLES, QUERIES
@@ -53,14 +54,20 @@ def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--only", default="")
+    ap.add_argument("--plain", action="store_true", help="a session without any of our settings")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     mods = args.only.split(",") if args.only else MODULES
     for m in mods:
         importlib.import_module(f"sightline.catalog.{m}")
-    spark = build_session(
-        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
-    )
+    quiet = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
+    if args.plain:
+        builder = SparkSession.builder.master("local[8]")
+        for key, value in quiet.items():
+            builder = builder.config(key, value)
+        spark = builder.getOrCreate()
+    else:
+        spark = build_session("check", "local[8]", **quiet, **{"spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
