@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import exact_dedup, mixing
+from sightline.llm import chat, exact_dedup, mixing, packing, pii, wavelet
+from sightline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +63,45 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(_table(spark, sf_dir, "documents"))
     taken = F.sum(F.when(F.col("position").isNotNull(), F.col("size")).otherwise(0))
     return rows.groupBy("doc_id", "row_key", "size", "source_size", "target").agg(taken.alias("taken")).drop("row_key")
+
+
+#: Demonstration key. A real job passes its own secret.
+PII_KEY = b"demonstration key of the pii query"
+
+
+@_query("op4_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
+@_query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op8_chat",
+    r"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+    ),
+    e AS (SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*/?(?:s>|INST\]|TURN[ \]])'))
+        + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + length(replace(replace(role, '\', '\\'), ']', '\]')) END AS chars FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(materialize(chat.format_conversations(rows.unionByName(more)), "formatted"))
+
+
+@_query("op10_wavelet")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_documents(spark, wavelet.shards_in_work_folder(_table(spark, sf_dir, "documents")))
