@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, exact_dedup, mixing, packing, pii, wavelet
+from sightline.llm import chat, exact_dedup, langid, lsh_forest, mixing, packing, pii, quality, wavelet
 from sightline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,37 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_wavelet")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(spark, wavelet.shards_in_work_folder(_table(spark, sf_dir, "documents")))
+
+
+@_query(
+    "op2_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+    c AS (SELECT min(doc_id) AS id, list_sort(s) AS s, len(s) AS n FROM s GROUP BY ALL HAVING len(s) > 0),
+    e AS (SELECT id, n, hash(unnest(s)) AS h FROM c),
+    l AS (SELECT x.id AS a, y.id AS b FROM e x JOIN e y ON x.h = y.h AND x.id < y.id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+          GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+    g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT id, id AS reached FROM c UNION SELECT r.id, g.b FROM r JOIN g ON r.reached = g.a),
+    m AS (SELECT id, min(reached) AS component_id FROM r GROUP BY id)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+    FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN m ON c.id = m.id
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+@_query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))

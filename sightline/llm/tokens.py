@@ -16,7 +16,7 @@ KEPT = 250_000
 
 #: Letters and closing marks whose pre-tokens are certain: a run of letters is one, the run of marks after it another.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_WORD = re.compile(f"([{LETTERS}]+)([.,;:!?|%&$#*]*)")
+_WORD = re.compile(f"^([{LETTERS}]+)([.,;:!?|%&$#*]*)$", re.MULTILINE)
 _LINES = re.compile(r"[^\s]+(?:\n[^\s]+)+")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WHITE_RUN = re.compile(r"\s\s")
@@ -60,35 +60,32 @@ class Encoder:
             out.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, *bounds.tolist(), strict=True))
         return out
 
+    def _recall(self, wanted: set[str], kept: dict[str, bytes], older: dict[str, bytes]) -> set[str]:
+        """Take over what the generation before knows; gives what is still unknown."""
+        wanted = wanted.difference(kept)
+        again = wanted.intersection(older)
+        kept.update(zip(again, map(older.__getitem__, again), strict=True))
+        return wanted.difference(again)
+
     def _learn(self, spaced: set[str], bare: set[str]) -> None:
         """Add the ids of chunks that are not kept."""
         if max(len(self.spaced), len(self.bare)) > KEPT:
             self.before, self.spaced, self.bare = (self.spaced, self.bare), {}, {}
-        lined: dict[str, list[str]] = {}
-        for c in spaced.difference(self.spaced):
-            if (ids := self.before[0].get(c)) is not None:
-                self.spaced[c] = ids
-            elif _LINES.fullmatch(c):
-                lined[c] = c.split("\n")
-        spaced = spaced.difference(self.spaced, lined).union(p[0] for p in lined.values()).difference(self.spaced)
-        bare = bare.union(*(p[1:] for p in lined.values())) if lined else bare
+        spaced = self._recall(spaced, self.spaced, self.before[0])
+        lined = {c: c.split("\n") for c in spaced if "\n" in c and _LINES.fullmatch(c)}
+        spaced = self._recall(spaced.difference(lined).union(p[0] for p in lined.values()), self.spaced, self.before[0])
+        bare = self._recall(bare.union(*(p[1:] for p in lined.values())), self.bare, self.before[1])
         for wanted, lead, kept, older in ((spaced, " ", self.spaced, self.before[0]), (bare, "", self.bare, self.before[1])):
-            wanted = wanted.difference(kept)
-            words, marks, other, simple = set(), {""}, [], []
-            for c in wanted:
-                if (ids := older.get(c)) is not None:
-                    kept[c] = ids
-                elif m := _WORD.fullmatch(c):
-                    simple.append((c, m[1], m[2]))
-                    words.add(m[1])
-                    marks.add(m[2])
-                else:
-                    other.append(c)
-            known = {w: kept[w] if w in kept else older[w] for w in words if w in kept or w in older}
-            known.update(self._words([w for w in words if w not in known], lead))
+            # A chunk with a newline of its own is no word, and would fall apart in the list of words below.
+            simple = _WORD.findall("\n".join(c for c in wanted if "\n" not in c))
+            words, marks = {w for w, _ in simple}, {m for _, m in simple}
+            new = words.difference(kept)
+            known = {w: older[w] for w in new.intersection(older)}
+            known.update(self._words(list(new.difference(known)), lead))
             tails = dict(zip(marks, self._library(list(marks)), strict=True))
-            for c, word, mark in simple:
-                kept[c] = known[word] + tails[mark]
+            done = {w + m: (known[w] if w in known else kept[w]) + tails[m] for w, m in simple}
+            other = list(wanted.difference(done))
+            kept.update(done)
             kept.update(zip(other, self._library([lead + c for c in other]), strict=True))
         newline = self._library(["\n"])[0]
         for c, parts in lined.items():
