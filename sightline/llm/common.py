@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of all contracts: runs of anything but the six ASCII white-space characters.
@@ -19,6 +19,11 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def id_key(doc_id: Column) -> Column:
+    """An id as a text that is never null, so that joins and windows by it share one partitioning and null meets null."""
+    return F.when(doc_id.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), doc_id.cast("string")))
+
+
 def salted(rows: DataFrame, row_key: Column, salts: int) -> DataFrame:
     """Deal the rows of every key to `salts` places; the other side of a join gets them all with `all_salts`."""
     return rows.withColumn("_salt", F.pmod(row_key, F.lit(salts)).cast("int"))
@@ -26,3 +31,9 @@ def salted(rows: DataFrame, row_key: Column, salts: int) -> DataFrame:
 
 def all_salts(rows: DataFrame, salts: int) -> DataFrame:
     return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def one_of_each(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of those that agree in `key`."""
+    order = F.xxhash64(*[c for c in rows.columns if c not in key]).desc() if len(rows.columns) > len(key) else F.lit(1)
+    return rows.withColumn("_nth_row", F.row_number().over(Window.partitionBy(*key).orderBy(order))).filter("_nth_row = 1").drop("_nth_row")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import all_salts, documents, salted
+from sightline.llm.common import all_salts, documents, id_key, one_of_each, salted
 from sightline.session import materialize
 
 #: Bits of the bitmap of lengths (128 KB) and of the bitmap of lengths with prefix hashes (512 KB).
@@ -71,15 +71,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that `exact_groups` keeps, with all their columns. Of rows that repeat an id and its text the one whose columns sort last stays."""
-    stay = exact_groups(docs, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_stay"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    rows = rows.join(stay.distinct(), F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
-    return one_of_each(rows, [id_col, "_text_hash"]).drop("_text_hash")
-
-
-def one_of_each(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row of those that agree in `key`."""
-    from pyspark.sql import Window
-
-    order = F.xxhash64(*[c for c in rows.columns if c not in key]).desc() if len(rows.columns) > len(key) else F.lit(1)
-    return rows.withColumn("_nth_row", F.row_number().over(Window.partitionBy(*key).orderBy(order))).filter("_nth_row = 1").drop("_nth_row")
+    stay = exact_groups(docs, id_col, text_col, **options).filter("kept").select(id_key(F.col("doc_id")).alias("_id_key")).distinct()
+    rows = docs.withColumn("_id_key", id_key(F.col(id_col))).withColumn("_text_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    return one_of_each(rows.join(stay, "_id_key", "left_semi"), ["_id_key", "_text_hash"]).select(*docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import documents, words_in
+from sightline.llm.common import documents, id_key, one_of_each, words_in
 from sightline.session import materialize
 
 #: Sources in order of code points take these weights in turn, each along a falling, an even and a rising schedule.
@@ -112,3 +112,19 @@ def in_training_order(rows: DataFrame, partitions: int | None = None) -> DataFra
     keys = ["position", "doc_id", "pass"]
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(*keys)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, with all their columns, as often as the mix takes them and in training order.
+
+    Rows that repeat an id and its text are one kind of document here: each of their passes is one of them.
+    """
+    taken = mix(docs, id_col, text_col, **options).filter("position IS NOT NULL")
+    key = ["_id_key", "_text_hash"]
+    taken = taken.groupBy(id_key(F.col("doc_id")).alias("_id_key"), F.col("text_hash").alias("_text_hash")).agg(F.collect_list(F.struct("position", "pass")).alias("_passes"))
+    rows = one_of_each(docs.withColumn("_id_key", id_key(F.col(id_col))).withColumn("_text_hash", F.xxhash64(text_col)), key)
+    rows = rows.join(taken, key).withColumn("_pass", F.explode("_passes")).select(*docs.columns, F.col("_pass.position").alias("_position"), F.col("_pass.pass").alias("_nth_pass"))
+    # The range sort samples its input, so the join before it is written once rather than run twice.
+    rows = materialize(rows, "mixed")
+    keys = ["_position", id_col, "_nth_pass"]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_position", "_nth_pass")
