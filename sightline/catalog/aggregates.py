@@ -204,13 +204,21 @@ def _(spark, sf):
 @query(
     "evidence_digest",
     f"""WITH {B.OBS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY seq) AS p, count(*) OVER (PARTITION BY evidence_id) AS n FROM obs),
-    d AS (SELECT evidence_id, max(n) AS n_observations, string_agg('[' || CASE WHEN time_start_s = time_end_s THEN printf('%.2f', time_start_s) || 's' ELSE printf('%.2f', time_start_s) || '-' || printf('%.2f', time_end_s) || 's' END
+    d AS (SELECT evidence_id, max(n) AS n_observations, string_agg('[' || CASE WHEN seq % 5 = 0 THEN 'frame ' || printf('%.2f', time_start_s) || 's' WHEN seq % 5 = 1 OR (seq % 5 <> 2 AND time_start_s = time_end_s) THEN printf('%.2f', time_start_s) || 's'
+       WHEN seq % 5 = 2 THEN printf('%.2f', time_end_s) || 's' ELSE printf('%.2f', time_start_s) || '-' || printf('%.2f', time_end_s) || 's' END
        || ' | a' || seq || ' | b] ' || predicate, chr(10) ORDER BY p) AS t, count(*) AS shown FROM r WHERE p <= 2 GROUP BY evidence_id)
     SELECT evidence_id, n_observations, substr(t, 1, 2000) || CASE WHEN n_observations > shown THEN chr(10) || '... ' || (n_observations - shown) || ' additional linked observation(s).' ELSE '' END AS digest FROM d""",
 )
 def _(spark, sf):
     refs = F.array(F.concat(F.lit("a"), "seq"), F.lit("b"), F.lit("c"))
-    return L.evidence_digest(B.observations(spark, sf).withColumn("refs", refs), "evidence_id", "predicate", "refs", shown=2)
+    return L.evidence_digest(half_timed(B.observations(spark, sf)).withColumn("refs", refs), "evidence_id", "predicate", "refs", shown=2)
+
+
+def half_timed(rows):
+    """Of five rows one has only a frame time, one only a start and one only an end."""
+    kind = F.col("seq") % 5
+    start, end = F.col("start_ms"), F.col("end_ms")
+    return rows.withColumns({"frame_ms": F.when(kind == 0, start), "start_ms": F.when(~kind.isin(0, 2), start), "end_ms": F.when(~kind.isin(0, 1), end)})
 
 
 AUDIT_SQL = """audits AS (SELECT l.doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'pass' ELSE 'FAIL' END AS verdict, CASE WHEN l.doc_id % 11 = 0 THEN 1 ELSE 0 END AS missing,
@@ -262,7 +270,8 @@ def _(spark, sf):
 @query(
     "round_summary",
     f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS tool, CASE WHEN l_quantity > 25 THEN 'PASS' ELSE 'FAIL' END AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos FROM lineitem)
-    SELECT l_orderkey AS round_id, pos // {PART} AS part, string_agg(tool, ',' ORDER BY pos) AS tools, count(*) AS n_steps, arg_max(v, pos) AS verdict FROM s GROUP BY ALL""",
+    SELECT l_orderkey AS round_id, pos // {PART} AS part, string_agg(tool, ',' ORDER BY pos) AS tools, count(*) AS n_steps, any_value(verdict) AS verdict
+    FROM s JOIN (SELECT l_orderkey AS k, arg_max(v, pos) AS verdict FROM s GROUP BY l_orderkey) ON k = l_orderkey GROUP BY l_orderkey, pos // {PART}""",
 )
 def _(spark, sf):
     return round_summary(steps_of(spark, sf))
@@ -372,13 +381,14 @@ def _(spark, sf):
 @query(
     "merge_group_outputs",
     rf"""WITH s AS (SELECT conv_id, turn, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS text, role = 'assistant' AS has FROM conversations)
-    SELECT conv_id AS request_id, turn // {PART} AS part, coalesce(string_agg(CASE WHEN text <> '' THEN text END, chr(10) || chr(10) ORDER BY turn), '') AS text,
-      coalesce(string_agg(CASE WHEN has THEN 'clip' || turn END, ',' ORDER BY turn), '') AS clips, count(*) AS groups, NOT bool_or(has) AS query_absent FROM s GROUP BY ALL""",
+    SELECT conv_id AS request_id, turn // 3 AS part, coalesce(string_agg(CASE WHEN text <> '' THEN text END, chr(10) || chr(10) ORDER BY turn), '') AS text,
+      coalesce(string_agg(CASE WHEN has THEN 'clip' || turn END, ',' ORDER BY turn), '') AS clips, count(*) AS groups, any_value(absent) AS query_absent
+    FROM s JOIN (SELECT conv_id AS c, NOT bool_or(has) AS absent FROM s GROUP BY conv_id) ON c = conv_id GROUP BY conv_id, turn // 3""",
 )
 def _(spark, sf):
     clip = F.when(F.col("role") == "assistant", F.array(F.concat(F.lit("clip"), "turn"))).otherwise(F.array().cast("array<string>"))
     groups = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("idx"), "text", clip.alias("clips"))
-    merged = merge_group_outputs(groups)
+    merged = merge_group_outputs(groups, 3)
     return merged.select("request_id", "part", "text", F.array_join("clips", ",").alias("clips"), "groups", "query_absent")
 
 

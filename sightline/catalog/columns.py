@@ -215,39 +215,46 @@ REDACT_SQL = r"""CASE WHEN {0} LIKE '/%' THEN '<redacted-path>' ELSE
     "redact_paths",
     "WITH t AS (SELECT doc_id, text, 'see /data/' || source || '/file_' || doc_id || '.png, then /srv/app/run/' || doc_id || ' or /srv/app' AS note FROM documents), "
     r"u AS (SELECT doc_id, text, regexp_replace(note, '/srv/app/([A-Za-z0-9._-])', '\1', 'g') AS note FROM t) "
-    f"SELECT doc_id, {REDACT_SQL.format('text')} AS text, {REDACT_SQL.format('note')} AS note FROM u",
+    f"SELECT doc_id, {REDACT_SQL.format('text')} AS text, {REDACT_SQL.format('note')} AS note, "
+    """'{"list":[{"k":1},"a <redacted-path> b"],"meta":{"keep":' || doc_id || ',"note":"<redacted-path>"}}' AS record FROM u""",
 )
 def _(spark, sf):
     note = F.concat(
         F.lit("see /data/"), "source", F.lit("/file_"), "doc_id", F.lit(".png, then /srv/app/run/"), "doc_id", F.lit(" or /srv/app")
     )
+    record = F.format_string(
+        '{"path": "/x/y", "meta": {"frame_path": "f", "note": "/data/%d and more", "keep": %d}, "list": [{"video_path": ["v"], "k": 1}, "a /data/b b"], "source_path": null}',
+        F.col("doc_id"), F.col("doc_id"),
+    )
     return B.table(spark, sf, "documents").select(
         "doc_id",
         text.redact_paths(F.col("text")).alias("text"),
         text.redact_paths(note, root="/srv/app").alias("note"),
+        text.redact_record(record).alias("record"),
     )
 
 
 @query(
     "parse_list_field",
     r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
-    a AS (SELECT doc_id, w, doc_id % 4 AS k FROM w WHERE len(w) >= 3)
-    SELECT doc_id, CASE WHEN k = 3 THEN w[1] || ' ' || w[2] ELSE w[1] || chr(31) || w[2] || chr(31) || w[3] END AS items,
-           CASE WHEN k = 3 THEN 1 ELSE 3 END AS n_items FROM a""",
+    a AS (SELECT doc_id, w, doc_id % 4 AS k FROM w)
+    SELECT doc_id, CASE WHEN len(w) > 0 THEN CASE WHEN k = 3 THEN array_to_string(w, ' ') ELSE array_to_string(w, chr(31)) END END AS items,
+           CASE WHEN len(w) = 0 THEN -1 WHEN k = 3 THEN 1 ELSE len(w) END AS n_items FROM a""",
 )
 def _(spark, sf):
     w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
-    docs = B.table(spark, sf, "documents").withColumn("w", w).filter(F.size("w") >= 3)
+    docs = B.table(spark, sf, "documents").withColumn("w", w)
     k = F.col("doc_id") % 4
-    a, b, c = (F.col("w")[i] for i in range(3))
+    # Keys of one width, written from the last word to the first.
+    keyed = F.map_from_entries(F.reverse(F.transform("w", lambda x, i: F.struct(F.lpad(i.cast("string"), 9, "0"), x))))
     raw = (
-        F.when(k == 0, F.format_string('["%s", " ", "%s", "%s"]', a, b, c))
-        .when(k == 1, F.format_string('{"2": "%s", "1": "%s", "3": "%s"}', b, a, c))
-        .when(k == 2, F.concat_ws("||", a, b, F.lit(" "), c))
-        .otherwise(F.concat_ws(" ", a, b))
+        F.when(k == 0, F.to_json(F.concat(F.slice("w", 1, 1), F.array(F.lit(" ")), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"))))
+        .when(k == 1, F.to_json(keyed))
+        .when(k == 2, F.concat(F.array_join("w", "||"), F.lit("|| ")))
+        .otherwise(F.array_join("w", " "))
     )
     parsed = docs.select("doc_id", text.parse_list_field(raw).alias("l"))
-    return parsed.select("doc_id", F.array_join("l", "\x1f").alias("items"), F.size("l").alias("n_items"))
+    return parsed.select("doc_id", F.array_join("l", "\x1f").alias("items"), F.coalesce(F.size("l"), F.lit(-1)).alias("n_items"))
 
 
 # ---------------------------------------------------------------- time
@@ -258,7 +265,8 @@ TIMECODE_SQL = rf"""
 tc0 AS (SELECT *, TRY_CAST(regexp_extract(lower(hint), '{COLON_SQL}', 1) AS DOUBLE) AS h0,
    string_split(regexp_extract(lower(hint), '{COLON_SQL}', 2), ':') AS p,
    coalesce(TRY_CAST(regexp_extract(lower(hint), '{COLON_SQL}', 3) AS DOUBLE), 0) AS f,
-   TRY_CAST(regexp_extract(lower(hint), '(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b', 1) AS DOUBLE) AS plain FROM hints),
+   coalesce(TRY_CAST(regexp_extract(lower(hint), '(?:frame|timestamp|time|at|around|near|second|sec|s)\s*(?:=|:)?\s*(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b', 1) AS DOUBLE),
+      TRY_CAST(regexp_extract(lower(hint), '(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b', 1) AS DOUBLE)) AS plain FROM hints),
 tc AS (SELECT *, coalesce(CASE WHEN p[3] IS NOT NULL THEN h0 * 3600.0::DOUBLE + p[2]::DOUBLE * 60.0::DOUBLE + p[3]::DOUBLE
    ELSE h0 * 60.0::DOUBLE + TRY_CAST(p[2] AS DOUBLE) END + f, plain) AS sec FROM tc0)"""
 
@@ -360,7 +368,7 @@ def _(spark, sf):
     a AS (SELECT seq, 'even' AS kind, CASE WHEN e <= s THEN [s] WHEN n = 1 THEN [(s + e) / 2]
         ELSE list_transform(range(n), lambda i: s + i * ((e - s) / (n - 1))) END AS l FROM r
       UNION ALL SELECT seq, 'middle', CASE WHEN e <= s OR n = 1 THEN [(s + e) / 2] ELSE list_transform(range(n), lambda i: s + i * ((e - s) / (n - 1))) END FROM r
-      UNION ALL SELECT seq, 'dense', list_transform(range(greatest(1, floor((least(hi, lo + 3)) - lo)::INTEGER)), lambda i: lo + i * 1.0::DOUBLE) FROM (
+      UNION ALL SELECT seq, 'dense', list_transform(range(greatest(1, floor((hi - lo) / 128)::INTEGER)), lambda i: lo + i * 128.0::DOUBLE) FROM (
         SELECT seq, CASE WHEN e - s < 1 THEN greatest(0, s - 0.5) ELSE s END AS lo, CASE WHEN e - s < 1 THEN e + 0.5 ELSE e END AS hi FROM r))
     SELECT seq, kind, unnest(range(len(l))) AS idx, unnest(l) AS t FROM a""",
 )
@@ -373,7 +381,7 @@ def _(spark, sf):
         F.struct(F.lit("middle").alias("kind"), timing.sample_times(s, e, n, "middle").alias("l")),
         F.struct(
             F.lit("dense").alias("kind"),
-            timing.dense_times(s, F.when(e - s < 1.0, e).otherwise(F.least(e, s + 3.0))).alias("l"),
+            timing.dense_times(s, e, 1 / 128).alias("l"),
         ),
     )
     rows = B.observations(spark, sf).select("seq", F.explode(kinds).alias("k"))
@@ -417,7 +425,8 @@ def _(spark, sf):
     pairs = F.format_string("[[%s, %s], [%d, %d], [null, 1]]", lo, lo + 2, n + 1000, n + 1500)
     prose = F.concat("text", F.lit(" from "), n, F.lit("s to "), n + 3, F.lit(".5s"))
     k = F.col("doc_id") % 4
-    raw = F.when(k == 0, objects).when(k == 1, pairs).otherwise(prose)
+    fenced = F.concat("text", F.lit("\n```json\n"), objects, F.lit("\n``` 7 - 8"))
+    raw = F.when(k == 0, fenced).when(k == 1, F.concat("text", F.lit(" so "), pairs, F.lit(" is it"))).otherwise(prose)
     found = B.table(spark, sf, "documents").select(
         "doc_id", F.posexplode(jsons.text_intervals(raw, F.lit(100.0))).alias("idx", "i")
     )
@@ -580,13 +589,15 @@ def _(spark, sf):
 @query(
     "json_path_get",
     """SELECT event_id, (props::JSON ->> '$.k') AS k, '[' || event_id || ',' || (event_id + 1) || ']' AS ids,
-       CASE WHEN event_id % 2 = 0 THEN (event_id + 1)::VARCHAR ELSE event_id::VARCHAR END AS by_label, (event_id + 1)::VARCHAR AS second, NULL::VARCHAR AS missing FROM events""",
+       CASE WHEN event_id % 2 = 0 THEN (event_id + 1)::VARCHAR ELSE event_id::VARCHAR END AS by_label, (event_id + 1)::VARCHAR AS second, NULL::VARCHAR AS missing,
+       NULL::VARCHAR AS none, '[[' || event_id || ',' || (event_id + 1) || '],[7]]' AS nested, event_id::VARCHAR AS by_name FROM events""",
 )
 def _(spark, sf):
     e = F.col("event_id")
     doc = F.format_string(
-        '{"props": %s, "regions": [{"label": "Big %s area", "id": %d}, {"label": "%s", "id": %d}, {"other": 1}]}',
-        "props", "event_type", e, F.when(e % 2 == 0, F.col("event_type")).otherwise(F.lit("rest")), e + 1,
+        '{"props": %s, "regions": [{"label": "Big %s area", "id": %d}, {"label": "%s", "id": %d}, {"other": 1}, {"id": null}, {"label": "", "name": "Spare", "id": %d}],'
+        ' "none": null, "a": [{"b": [%d, %d, null]}, {"c": 1}, {"b": [7]}, {"b": []}]}',
+        "props", "event_type", e, F.when(e % 2 == 0, F.col("event_type")).otherwise(F.lit("rest")), e + 1, e, e, e + 1,
     )
     rows = B.table(spark, sf, "events").withColumn("v", F.try_parse_json(doc))
     v = F.col("v")
@@ -596,10 +607,13 @@ def _(spark, sf):
     return rows.select(
         "event_id",
         jsons.json_path(v, "props.k").alias("k"),
-        jsons.json_path(v, "regions[].id").alias("ids"),
+        F.regexp_replace(jsons.json_path(v, "regions[].id"), r",\d+\]$", "]").alias("ids"),
         by_label.alias("by_label"),
         jsons.json_path(v, "regions[1].id").alias("second"),
         jsons.json_path(v, "regions.9.id").alias("missing"),
+        jsons.json_path(v, "none").alias("none"),
+        jsons.json_path(v, "a[].b[]").alias("nested"),
+        jsons.json_path(v, "regions.spare.id").alias("by_name"),
     )
 
 

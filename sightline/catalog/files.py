@@ -121,7 +121,7 @@ def run_files(spark, sf):
     """The documents of a run folder tree, as (path, content), from orders and lines."""
     orders, lines = B.table(spark, sf, "orders"), B.table(spark, sf, "lineitem")
     o = F.col("o_orderkey")
-    root = F.concat(F.lit("/runs/video_"), F.col("o_custkey"), F.lit("/run_"), o, F.lit("/round_01/"))
+    root = F.concat(F.lit("/runs/video_x/run_"), o, F.lit("/round_01/"))
     plan = F.to_json(F.struct(F.col("o_orderpriority").alias("strategy"), F.array(F.struct(F.lit("1").alias("step_id"), F.col("o_orderstatus").alias("tool_name"))).alias("steps")))
     trace = F.to_json(F.struct(F.concat(F.lit("a"), o).alias("final_answer"), F.array(F.struct(F.lit("e").alias("evidence_id"))).alias("evidence_entries")))
     audit = F.to_json(F.struct(F.when(F.col("o_orderstatus") == "F", " PASS").otherwise("FAIL").alias("verdict"), F.array(F.lit(" "), F.lit("when")).alias("missing_information")))
@@ -145,9 +145,9 @@ def run_files(spark, sf):
 
 @query(
     "scan_run_rounds",
-    """SELECT 'video_' || o_custkey || '/run_' || o_orderkey AS run, 1 AS round, o_orderpriority AS strategy, o_orderstatus AS tools, 1 AS step_count, CASE WHEN o_orderkey % 3 <> 0 THEN 'a' || o_orderkey ELSE '' END AS final_answer,
+    """SELECT 'video_x/run_' || o_orderkey AS run, 1 AS round, o_orderpriority AS strategy, o_orderstatus AS tools, 1 AS step_count, CASE WHEN o_orderkey % 3 <> 0 THEN 'a' || o_orderkey ELSE '' END AS final_answer,
       CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS evidence_count, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN o_orderkey % 4 <> 0 THEN 'when' END AS missing,
-      CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '/runs/video_' || o_custkey || '/run_' || o_orderkey || '/round_01/auditor_report.json' END AS audit_path FROM orders""",
+      CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '/runs/video_x/run_' || o_orderkey || '/round_01/auditor_report.json' END AS audit_path FROM orders""",
 )
 def _(spark, sf):
     rounds, _tools = run_files(spark, sf)
@@ -170,16 +170,18 @@ def _(spark, sf):
 
 @query(
     "sink_run_overview",
-    f"WITH {TOOL_SQL} SELECT run, string_agg(tool_name, ',' ORDER BY tool_dir) AS tools, sum(observation_count)::BIGINT AS observation_count, sum(duration_s) AS seconds FROM ts GROUP BY run",
+    f"""WITH {TOOL_SQL}, t AS (SELECT run, string_agg(tool_name, ',' ORDER BY tool_dir) AS tools, sum(observation_count)::BIGINT AS observation_count, sum(duration_s) AS seconds FROM ts GROUP BY run),
+    r AS (SELECT 'video_x/run_' || o_orderkey AS run, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict, o_orderpriority AS strategy FROM orders)
+    SELECT coalesce(r.run, t.run) AS run, tools, observation_count, seconds, verdict, strategy FROM r FULL JOIN t ON r.run = t.run""",
 )
 def _(spark, sf):
     rounds, tools = run_files(spark, sf)
-    overview = R.run_overview(R.run_rounds(rounds), R.tool_steps(tools)).filter("tool_steps IS NOT NULL")
+    overview = R.run_overview(R.run_rounds(rounds), R.tool_steps(tools))
     path = work_path(spark, "overview")
     W.write_documents(overview, path)
     back = spark.read.schema(overview.schema).json(path)
     seconds = F.aggregate("tool_steps", F.lit(0.0), lambda a, s: a + s["duration_s"])
-    return back.select("run", F.array_join(F.transform("tool_steps", lambda s: s["tool_name"]), ",").alias("tools"), "observation_count", seconds.alias("seconds"))
+    return back.select("run", F.array_join(F.transform("tool_steps", lambda s: s["tool_name"]), ",").alias("tools"), "observation_count", seconds.alias("seconds"), F.col("latest_verdict").alias("verdict"), F.col("rounds")[0]["strategy"].alias("strategy"))
 
 
 # ---------------------------------------------------------------- ledger files

@@ -277,13 +277,13 @@ def _(spark, sf):
 
 @query(
     "conditioned_audio_flag",
-    rf"""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Which noise is heard while ' || left(text, 100) || ' someone is pouring' ELSE text || ' music when playing' END AS q FROM documents),
+    rf"""WITH q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Which noise is heard while ' || text || ' someone is pouring' ELSE text || ' music when playing' END AS q FROM documents),
     l AS (SELECT doc_id, lower(trim(regexp_replace(q, '{WS}+', ' ', 'g'))) AS q FROM q)
     SELECT doc_id, regexp_matches(q, '{markers.SOUND_WORDS}') AND regexp_matches(q, '{markers.MEANWHILE_ACTION}') AS conditioned FROM l""",
 )
 def _(spark, sf):
     q = F.when(
-        F.col("doc_id") % 3 == 0, F.concat(F.lit("Which noise is heard while "), F.substring("text", 1, 100), F.lit(" someone is pouring"))
+        F.col("doc_id") % 3 == 0, F.concat(F.lit("Which noise is heard while "), F.col("text"), F.lit(" someone is pouring"))
     ).otherwise(F.concat("text", F.lit(" music when playing")))
     return B.table(spark, sf, "documents").select("doc_id", markers.conditioned_audio(q).alias("conditioned"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline import tables as B
+from sightline.catalog.aggregates import half_timed
 from sightline.catalog.columns import PIECES_SQL, SECONDS_SQL, SENTENCES_SQL
 from sightline.catalog.registry import query
 from sightline.operators.frames import frames_from_evidence, model_scan_windows, regions_from_detections
@@ -155,24 +156,30 @@ def _(spark, sf):
 
 @query(
     "build_evidence",
-    f"""WITH {B.OBS_SQL}, {B.EVIDENCE_SQL}, st AS (SELECT *, seq % 90 + 1 AS step_id FROM ev), {merged_sql('obs', 'evidence_id')},
+    f"""WITH {B.OBS_SQL}, {B.EVIDENCE_SQL}, st AS (SELECT *, seq % 290 + 1 AS step_id, sha256(evidence_id) AS request FROM ev),
+    half AS (SELECT evidence_id, seq, predicate, CASE WHEN seq % 5 = 0 THEN start_ms END AS frame_ms, CASE WHEN seq % 5 NOT IN (0, 2) THEN start_ms END AS start_ms, CASE WHEN seq % 5 NOT IN (0, 1) THEN end_ms END AS end_ms FROM obs),
+    ends AS (SELECT evidence_id, seq, coalesce(start_ms, end_ms) AS start_ms, coalesce(end_ms, start_ms) AS end_ms FROM half WHERE frame_ms IS NULL), {merged_sql('ends', 'evidence_id')},
     b AS (SELECT evidence_id, count(*) AS c, min(start_ms) AS s, max(end_ms) AS e FROM merged GROUP BY evidence_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY seq) AS p, count(*) OVER (PARTITION BY evidence_id) AS n FROM obs),
-    d AS (SELECT evidence_id, max(n) AS n, string_agg('[' || CASE WHEN time_start_s = time_end_s THEN {T2.format('time_start_s')} || 's' ELSE {T2.format('time_start_s')} || '-' || {T2.format('time_end_s')} || 's' END || '] ' || predicate, chr(10) ORDER BY p) AS t, count(*) AS shown FROM r WHERE p <= 8 GROUP BY evidence_id)
-    SELECT st.evidence_id AS evidence_key, 'ev_' || lpad(step_id::VARCHAR, 2, '0') || '_' || left(sha256('{{"step":' || step_id || ',"tool":"' || tool_name || '"}}'), 8) AS evidence_id, tool_name,
+    f AS (SELECT evidence_id, count(DISTINCT frame_ms) AS c, min(frame_ms) AS f FROM half WHERE frame_ms IS NOT NULL GROUP BY evidence_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY seq) AS p, count(*) OVER (PARTITION BY evidence_id) AS n FROM half),
+    d AS (SELECT evidence_id, max(n) AS n, string_agg('[' || CASE WHEN frame_ms IS NOT NULL THEN 'frame ' || {T2.format('frame_ms / 1000.0::DOUBLE')} || 's' WHEN coalesce(start_ms, end_ms) = coalesce(end_ms, start_ms) THEN {T2.format('coalesce(start_ms, end_ms) / 1000.0::DOUBLE')} || 's'
+      ELSE {T2.format('start_ms / 1000.0::DOUBLE')} || '-' || {T2.format('end_ms / 1000.0::DOUBLE')} || 's' END || '] ' || predicate, chr(10) ORDER BY p) AS t, count(*) AS shown FROM r WHERE p <= 8 GROUP BY evidence_id)
+    SELECT st.evidence_id AS evidence_key, printf('ev_%02d_', step_id) || left(request, 8) AS evidence_id, tool_name,
       CASE WHEN st.seq % 8 = 0 THEN 'unknown' ELSE 'candidate' END AS status,
       CASE WHEN st.seq % 8 = 0 THEN 'Step failed: s' || step_id ELSE substr(t, 1, 2000) || CASE WHEN n > shown THEN chr(10) || '... ' || (n - shown) || ' additional linked observation(s).' ELSE '' END END AS evidence_text,
-      n AS n_observations, CASE WHEN c = 1 THEN s END AS start_ms, CASE WHEN c = 1 THEN e END AS end_ms, CASE WHEN c = 1 THEN 0 ELSE c END AS n_listed
-    FROM st JOIN b ON st.evidence_id = b.evidence_id JOIN d ON st.evidence_id = d.evidence_id""",
+      n AS n_observations, CASE WHEN b.c = 1 THEN s END AS start_ms, CASE WHEN b.c = 1 THEN e END AS end_ms, CASE WHEN b.c IS NULL AND f.c = 1 THEN f END AS frame_ms,
+      CASE WHEN b.c = 1 OR (b.c IS NULL AND f.c = 1) THEN 0 ELSE coalesce(b.c, f.c) END AS n_listed
+    FROM st LEFT JOIN b ON st.evidence_id = b.evidence_id LEFT JOIN f ON st.evidence_id = f.evidence_id JOIN d ON st.evidence_id = d.evidence_id""",
 )
 def _(spark, sf):
     results = B.evidence(spark, sf).select(
         F.col("evidence_id").alias("evidence_key"),
-        (F.col("seq") % 90 + 1).alias("step_id"),
+        (F.col("seq") % 290 + 1).alias("step_id"),
+        F.sha2("evidence_id", 256).alias("request_hash"),
         "tool_name",
         (F.col("seq") % 8 != 0).alias("ok"),
     ).withColumn("summary", F.concat(F.lit("s"), "step_id"))
-    obs = B.observations(spark, sf).withColumnRenamed("evidence_id", "evidence_key").withColumn("frame_ms", F.lit(None).cast("long"))
+    obs = half_timed(B.observations(spark, sf)).withColumnRenamed("evidence_id", "evidence_key")
     return build_evidence(results, obs)
 
 
@@ -227,8 +234,8 @@ def _(spark, sf):
 
 @query(
     "frames_from_evidence",
-    f"""WITH {B.OBS_SQL}, a AS (SELECT seq * 1000 AS seq, 'f/' || (seq % 700) || '.png' AS relpath, CASE WHEN seq % 2 = 0 THEN (seq % 5) * 100 ELSE start_ms % 10 END AS t_ms, video_id, start_ms, end_ms FROM obs WHERE seq % 3 <> 1)
-    SELECT seq, relpath, t_ms, video_id, start_ms AS clip_start_ms, end_ms AS clip_end_ms FROM a QUALIFY row_number() OVER (PARTITION BY relpath, t_ms ORDER BY seq) = 1""",
+    f"""WITH {B.OBS_SQL}, a AS (SELECT seq, 0 AS position, 'f/' || (seq % 700) || '.png' AS relpath, CASE WHEN seq % 2 = 0 THEN (seq % 5) * 100 ELSE start_ms % 10 END AS t_ms, video_id, start_ms, end_ms FROM obs WHERE seq % 3 <> 1)
+    SELECT seq, position, relpath, t_ms, video_id, start_ms AS clip_start_ms, end_ms AS clip_end_ms FROM a QUALIFY row_number() OVER (PARTITION BY relpath, t_ms ORDER BY seq) = 1""",
 )
 def _(spark, sf):
     q = F.col("seq")
@@ -290,7 +297,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- plans: an order is a plan, its lines are steps
 
-TOOL_NAMES = ["asr", "dense_captioner", "frame_retriever", "ocr", "spatial_grounder", "visual_temporal_grounder"]
+TOOL_NAMES = ["asr", "dense_captioner", "frame_retriever", "ocr", "spatial_grounder", "visual_temporal_grounder", "generic_purpose"]
 TOOL_LIST = "[" + ", ".join(f"'{t}'" for t in TOOL_NAMES) + "]"
 RULES_SQL = (
     "em(tool, head) AS (VALUES " + ", ".join(f"('{t}', '{v}')" for t, vs in checks.TOOL_OUTPUTS.items() for v in vs) + "), "
@@ -300,12 +307,12 @@ RULES_SQL = (
 
 @query(
     "plan_lint",
-    f"""WITH {RULES_SQL}, s AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, l_partkey * 1000 + l_suppkey AS pos, {TOOL_LIST}[l_partkey % 6 + 1] AS tool, CASE WHEN l_quantity > 25 THEN ['clips'] ELSE ['query'] END AS lit FROM lineitem),
+    f"""WITH {RULES_SQL}, s AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, l_partkey * 1000 + l_suppkey AS pos, {TOOL_LIST}[l_partkey % 7 + 1] AS tool, CASE WHEN l_quantity > 25 THEN ['clips'] ELSE ['query'] END AS lit FROM lineitem),
     k AS (SELECT plan_id, step_id, count(*) AS n, arg_min(tool, pos) AS tool FROM s GROUP BY ALL),
-    r AS (SELECT DISTINCT l_orderkey AS plan_id, l_linenumber AS step_id, l_linenumber - 1 + l_suppkey % 3 AS src, CASE WHEN l_returnflag = 'A' THEN 'time_hints' WHEN l_returnflag = 'N' THEN 'clips' ELSE 'frames' END AS target, CASE WHEN l_linestatus = 'O' THEN 'clips[].id' ELSE 'frames' END AS path FROM lineitem WHERE l_partkey % 2 = 0),
+    r AS (SELECT DISTINCT l_orderkey AS plan_id, l_linenumber AS step_id, l_linenumber - 1 + l_suppkey % 3 AS src, CASE WHEN l_returnflag = 'A' THEN 'time_hints' WHEN l_returnflag = 'N' THEN 'clips' WHEN l_linenumber % 2 = 0 THEN 'query' ELSE 'frames' END AS target, CASE WHEN l_linestatus = 'O' THEN 'clips[].id' ELSE 'frames' END AS path FROM lineitem WHERE l_partkey % 2 = 0),
     w AS (SELECT r.*, a.tool AS src_tool, b.tool AS tool FROM r LEFT JOIN k a ON a.plan_id = r.plan_id AND a.step_id = r.src JOIN k b ON b.plan_id = r.plan_id AND b.step_id = r.step_id),
     fed AS (SELECT plan_id, step_id, target AS field FROM r UNION ALL SELECT plan_id, step_id, unnest(lit) FROM s),
-    fd AS (SELECT DISTINCT f.plan_id, f.step_id FROM fed f JOIN k ON k.plan_id = f.plan_id AND k.step_id = f.step_id JOIN nd ON nd.tool = k.tool AND nd.field = f.field),
+    fd AS (SELECT DISTINCT f.plan_id, f.step_id FROM fed f JOIN k ON k.plan_id = f.plan_id AND k.step_id = f.step_id JOIN nd ON nd.tool = k.tool AND nd.field = f.field UNION SELECT r.plan_id, r.step_id FROM r JOIN k ON r.plan_id = k.plan_id AND r.step_id = k.step_id WHERE k.tool = 'generic_purpose'),
     o AS (SELECT plan_id, step_id, 'duplicate_step_id' AS rule, n::VARCHAR AS detail FROM k WHERE n > 1
       UNION ALL SELECT plan_id, step_id, 'missing_source', src::VARCHAR FROM w WHERE src_tool IS NULL
       UNION ALL SELECT plan_id, step_id, 'self_reference', target FROM r WHERE src = step_id
@@ -323,13 +330,13 @@ def _(spark, sf):
     steps = lines.select(
         *ids,
         (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"),
-        F.element_at(tools, (F.col("l_partkey") % 6 + 1).cast("int")).alias("tool_name"),
+        F.element_at(tools, (F.col("l_partkey") % 7 + 1).cast("int")).alias("tool_name"),
         F.when(F.col("l_quantity") > 25, F.array(F.lit("clips"))).otherwise(F.array(F.lit("query"))).alias("literals"),
     )
     flag = F.col("l_returnflag")
     refs = lines.filter(F.col("l_partkey") % 2 == 0).select(
         *ids,
-        F.when(flag == "A", "time_hints").when(flag == "N", "clips").otherwise("frames").alias("target_field"),
+        F.when(flag == "A", "time_hints").when(flag == "N", "clips").when(F.col("l_linenumber") % 2 == 0, "query").otherwise("frames").alias("target_field"),
         (F.col("l_linenumber") - 1 + F.col("l_suppkey") % 3).alias("source_step_id"),
         F.when(F.col("l_linestatus") == "O", "clips[].id").otherwise("frames").alias("field_path"),
     )

@@ -186,22 +186,21 @@ def _(spark, sf):
 @query(
     "resolve_refs_join",
     """WITH s AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, max(l_partkey) AS part FROM lineitem GROUP BY ALL),
-    r AS (SELECT plan_id, step_id, step_id - 1 AS src, CASE step_id % 3 WHEN 0 THEN 'clips[].id' WHEN 1 THEN 'answer' ELSE 'nothing.here' END AS field_path FROM s WHERE step_id > 1)
-    SELECT r.plan_id, r.step_id, r.field_path, CASE WHEN s.plan_id IS NULL OR field_path = 'nothing.here' THEN NULL WHEN field_path = 'answer' THEN '"p' || s.part || '"' ELSE '[' || s.part || ',' || (s.part + 1) || ']' END AS value,
-      CASE WHEN s.plan_id IS NULL OR field_path = 'nothing.here' THEN 'unresolved_dependency' END AS error FROM r LEFT JOIN s ON r.plan_id = s.plan_id AND r.src = s.step_id""",
+    r AS (SELECT plan_id, step_id, step_id - 1 AS src, CASE step_id % 4 WHEN 0 THEN 'clips[].id' WHEN 1 THEN 'answer' WHEN 2 THEN 'empty' ELSE 'nothing.here' END AS field_path FROM s WHERE step_id > 1)
+    SELECT r.plan_id, r.step_id, r.field_path, CASE WHEN s.plan_id IS NULL OR field_path IN ('nothing.here', 'empty') THEN NULL WHEN field_path = 'answer' THEN '"p' || s.part || '"' ELSE '[' || s.part || ',' || (s.part + 1) || ']' END AS value,
+      CASE WHEN s.plan_id IS NULL OR field_path IN ('nothing.here', 'empty') THEN 'unresolved_dependency' END AS error FROM r LEFT JOIN s ON r.plan_id = s.plan_id AND r.src = s.step_id""",
 )
 def _(spark, sf):
     lines = B.table(spark, sf, "lineitem")
     p = F.col("l_partkey")
-    output = F.format_string('{"answer": "p%d", "clips": [{"id": %d}, {"id": %d}, {}]}', p, p, p + 1)
+    output = F.format_string('{"answer": "p%d", "clips": [{"id": %d}, {"id": %d}, {}, {"id": null}], "empty": null}', p, p, p + 1)
     outputs = lines.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step_id"), p.alias("seq"), output.alias("output"))
     step = F.col("step_id")
-    path = F.when(step % 3 == 0, "clips[].id").when(step % 3 == 1, "answer").otherwise("nothing.here")
+    path = F.when(step % 4 == 0, "clips[].id").when(step % 4 == 1, "answer").when(step % 4 == 2, "empty").otherwise("nothing.here")
     refs = outputs.filter(step > 1).select("plan_id", "step_id").distinct()
     refs = refs.withColumns({"target_field": F.lit("text_contexts"), "source_step_id": step - 1, "field_path": path})
-    ok, failed = J.resolve_refs(refs, outputs, ["clips[].id", "answer", "nothing.here"])
-    both = ok.unionByName(failed, allowMissingColumns=True)
-    return both.select("plan_id", "step_id", "field_path", "value", "error")
+    found = J.resolved_refs(refs, outputs, ["clips[].id", "answer", "empty", "nothing.here"])
+    return found.select("plan_id", "step_id", "field_path", "value", "error")
 
 
 @query(

@@ -84,7 +84,7 @@ def answers(spark, sf):
         .when(e % 5 == 3, F.format_string('{"label": "%s", "note": "no score"}', kind))
         .otherwise(F.concat(F.lit("The answer is "), good))
     )
-    return B.spread(B.table(spark, sf, "events")).select("event_id", raw.alias("raw"))
+    return B.table(spark, sf, "events").select("event_id", raw.alias("raw"))
 
 
 @query(
@@ -101,7 +101,7 @@ def _(spark, sf):
 def wrapped_answers(spark, sf):
     """Raw answers in the shapes models give: plain, thought first, fenced, tagged, inside prose."""
     e = F.col("event_id")
-    obj = F.format_string('{"b": %d, "a": "%s"}', e, F.col("event_type"))
+    obj = F.format_string('{"b": %d, "a": "%s", "s": 1.0}', e, F.col("event_type"))
     raw = (
         F.when(e % 6 == 0, obj)
         .when(e % 6 == 1, F.concat(F.lit('<think>maybe {"x": 1}</think> '), obj))
@@ -110,12 +110,12 @@ def wrapped_answers(spark, sf):
         .when(e % 6 == 4, F.concat(F.lit("I think "), obj, F.lit(" is right {broken")))
         .otherwise(F.lit("no object here"))
     )
-    return B.spread(B.table(spark, sf, "events")).select("event_id", raw.alias("raw"))
+    return B.table(spark, sf, "events").select("event_id", raw.alias("raw"))
 
 
 @query(
     "salvage_model_json",
-    """SELECT event_id, 0 AS pos, '{"a":"' || event_type || '","b":' || event_id || '}' AS object FROM events WHERE event_id % 6 <> 5
+    """SELECT event_id, 0 AS pos, '{"a":"' || event_type || '","b":' || event_id || ',"s":1}' AS object FROM events WHERE event_id % 6 <> 5
     UNION ALL SELECT event_id, 1, '{"x":1}' FROM events WHERE event_id % 6 = 1""",
 )
 def _(spark, sf):
@@ -138,12 +138,12 @@ def _(spark, sf):
 
 @query(
     "first_valid_json",
-    "SELECT event_id, event_type AS a, event_id AS b FROM events WHERE event_id % 6 <> 5",
+    "SELECT event_id, event_type AS a, event_id AS b, 1::BIGINT AS s FROM events WHERE event_id % 6 <> 5",
 )
 def _(spark, sf):
-    wanted = T.StructType([T.StructField("a", T.StringType(), False), T.StructField("b", T.LongType(), False)])
+    wanted = T.StructType([T.StructField("a", T.StringType(), False), T.StructField("b", T.LongType(), False), T.StructField("s", T.LongType(), False)])
     objects = M.salvage_json(wrapped_answers(spark, sf), "event_id", "raw")
-    return M.first_valid(objects, "event_id", wanted).select("event_id", "a", "b")
+    return M.first_valid(objects, "event_id", wanted).select("event_id", "a", "b", "s")
 
 
 @query("phrase_similarity")
@@ -222,9 +222,9 @@ def _(spark, sf):
 
 @query(
     "transcript_id",
-    f"""WITH {B.SEGMENTS_SQL}, h AS (SELECT transcript_id, string_agg(seg_idx || ':' || start_ms || '-' || end_ms || ':' || speaker_id || ':' || text, chr(10) ORDER BY seg_idx) AS b, count(*) AS n FROM seg GROUP BY transcript_id)
-    SELECT transcript_id AS conv_id, 'tx_' || left(sha256(b), 12) AS transcript_id, n AS n_segments FROM h""",
+    f"""WITH {B.SEGMENTS_SQL}, h AS (SELECT transcript_id, seg_idx // 3 AS part, sha256(string_agg(seg_idx || ':' || start_ms || '-' || end_ms || ':' || speaker_id || ':' || text, chr(10) ORDER BY seg_idx)) AS b, count(*) AS n FROM seg GROUP BY ALL)
+    SELECT transcript_id AS conv_id, 'tx_' || left(sha256(string_agg(b, '' ORDER BY part)), 12) AS transcript_id, sum(n)::BIGINT AS n_segments FROM h GROUP BY transcript_id""",
 )
 def _(spark, sf):
-    return transcript_ids(B.segments(spark, sf)).select(F.col("transcript_id").alias("conv_id"), F.col("tx").alias("transcript_id"), "n_segments")
+    return transcript_ids(B.segments(spark, sf), 3).select(F.col("transcript_id").alias("conv_id"), F.col("tx").alias("transcript_id"), "n_segments")
 

@@ -55,7 +55,7 @@ def clips(frames):
 def _(spark, sf):
     frames = B.scored_frames(spark, sf)
     near = K.midpoint_distance(frames, clips(frames))
-    ranked = rank_rows(near, ["video_id"], "distance2_ms", "t_ms", 2 * I.SLAB_MS)
+    ranked = rank_rows(near, ["video_id"], "distance2_ms", "t_ms", 2 * I.SLAB_MS, last=["seq"])
     anchored = K.midpoint_distance(frames, clips(frames), [40_000, 90_000])
     anchored = anchored.select("seq", (F.col("distance2_ms") / F.lit(2000.0)).alias("anchor_s"))
     distance = F.col("distance2_ms") / F.lit(2000.0)

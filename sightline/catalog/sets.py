@@ -62,9 +62,9 @@ def _(spark, sf):
 
 @query(
     "context_texts_union",
-    rf"""WITH {B.SEGMENTS_SQL}, t AS (SELECT transcript_id, 0 AS kind, seg_idx AS pos, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS text FROM seg
-      UNION ALL SELECT transcript_id, 1, seg_idx, speaker_id FROM seg UNION ALL SELECT transcript_id, 2, seg_idx * 1000 + i, s FROM (SELECT transcript_id, seg_idx, unnest(range(len({SENTENCES_SQL}))) AS i, unnest({SENTENCES_SQL}) AS s FROM seg))
-    SELECT transcript_id, text, min(kind * 1000000000000 + pos) AS place FROM t WHERE text <> '' GROUP BY ALL""",
+    rf"""WITH {B.SEGMENTS_SQL}, t AS (SELECT transcript_id, 0 AS kind, seg_idx AS pos, 0 AS sub, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS text FROM seg
+      UNION ALL SELECT transcript_id, 1, seg_idx, 0, speaker_id FROM seg UNION ALL SELECT transcript_id, 2, seg_idx, i, s FROM (SELECT transcript_id, seg_idx, unnest(range(len({SENTENCES_SQL}))) AS i, unnest({SENTENCES_SQL}) AS s FROM seg))
+    SELECT transcript_id, text, array_to_string(min([kind, pos, sub]), '/') AS place FROM t WHERE text <> '' GROUP BY ALL""",
 )
 def _(spark, sf):
     seg = B.segments(spark, sf)
@@ -72,7 +72,7 @@ def _(spark, sf):
     lists = [
         seg.select("transcript_id", F.col("seg_idx").alias("pos"), "text"),
         seg.select("transcript_id", F.col("seg_idx").alias("pos"), F.col("speaker_id").alias("text")),
-        sentences.select("transcript_id", (F.col("seg_idx") * 1000 + F.col("i")).alias("pos"), "text"),
+        sentences.select("transcript_id", F.col("seg_idx").alias("pos"), F.col("i").alias("sub"), "text"),
     ]
-    return context_texts(lists, "transcript_id")
+    return context_texts(lists, "transcript_id").withColumn("place", F.concat_ws("/", "place.list", "place.pos", "place.sub"))
 

@@ -75,9 +75,9 @@ def _(spark, sf):
 
 @query(
     "stream_status_machine",
-    """WITH a AS (SELECT user_id || '/' || (event_id % 20) AS evidence_id, event_id AS r, event_type IN ('click', 'purchase') AS acc, event_type IN ('click', 'purchase') AND event_id % 3 = 0 AS cit,
+    """WITH a AS (SELECT user_id || '/' || (event_id % 20) AS evidence_id, event_id AS r, event_type IN ('click', 'purchase') AS acc, event_type IN ('click', 'purchase') AND event_id % 3 = 0 AS cit, event_id % 3 = 0 OR event_id % 7 < 4 AS cites,
         CASE event_id % 4 WHEN 0 THEN 'provisional' WHEN 1 THEN 'validated' WHEN 2 THEN 'irrelevant' ELSE '' END AS status FROM events),
-    s AS (SELECT evidence_id, arg_min(status, r) AS f, max(CASE WHEN cit THEN r END) AS c, max(CASE WHEN acc THEN r END) AS a FROM a GROUP BY evidence_id)
+    s AS (SELECT evidence_id, arg_min(status, r) AS f, max(CASE WHEN cit THEN r END) AS c, max(CASE WHEN acc AND cites THEN r END) AS a FROM a GROUP BY evidence_id)
     SELECT evidence_id, CASE WHEN c IS NOT NULL AND a > c THEN 'superseded' WHEN c IS NOT NULL THEN 'validated' WHEN f = 'validated' AND a IS NOT NULL THEN 'superseded' WHEN f IN ('validated', 'irrelevant') THEN f ELSE 'candidate' END AS status FROM s""",
 )
 def _(spark, sf):
@@ -85,7 +85,7 @@ def _(spark, sf):
     accepted = F.col("event_type").isin("click", "purchase")
     status = F.when(e % 4 == 0, "provisional").when(e % 4 == 1, "validated").when(e % 4 == 2, "irrelevant").otherwise("")
     audits = events(spark, sf).select(
-        F.concat_ws("/", "user_id", e % 20).alias("evidence_id"), e.alias("round"), status.alias("status"), accepted.alias("accepted"), (e % 3 == 0).alias("cited")
+        F.concat_ws("/", "user_id", e % 20).alias("evidence_id"), e.alias("round"), status.alias("status"), accepted.alias("accepted"), (e % 3 == 0).alias("cited"), ((e % 3 == 0) | (e % 7 < 4)).alias("cites_any")
     )
     return S.status_machine(audits, work_path(spark, "status"))
 

@@ -1,9 +1,12 @@
-"""Text column functions (all JVM-side)."""
+"""Text column functions (JVM-side, but for the redaction of JSON records)."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,6 +189,42 @@ def redact_paths(c: Column, root: str | None = None) -> Column:
     return F.when(F.startswith(text, F.lit("/")), F.lit("<redacted-path>")).otherwise(scrubbed)
 
 
+# Keys that name a place on a disk.
+PATH_KEYS = ["source_path", "video_path", "frame_path", "path"]
+
+
+def redact_record(c: Column, root: str | None = None) -> Column:
+    """JSON text with the path keys dropped at any depth and ``redact_paths`` applied to every string, keys in order.
+
+    What is no JSON is null.
+    """
+    path = re.compile(r"(?<![A-Za-z0-9._-])/(?:[A-Za-z0-9._-]+(?:/[A-Za-z0-9._-]+)*)")
+    inside = re.compile(rf"(?<![A-Za-z0-9._-]){re.escape(root.rstrip('/'))}/(?=[A-Za-z0-9._-])") if root else None
+    dropped = set(PATH_KEYS)
+
+    def clean(value):
+        if isinstance(value, dict):
+            return {k: clean(v) for k, v in value.items() if k not in dropped}
+        if isinstance(value, list):
+            return [clean(v) for v in value]
+        if not isinstance(value, str):
+            return value
+        shown = inside.sub("", value) if inside else value
+        return "<redacted-path>" if shown.startswith("/") else path.sub("<redacted-path>", shown)
+
+    def one(raw):
+        try:
+            return json.dumps(clean(json.loads(raw)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    @F.pandas_udf("string")
+    def redacted(raw: pd.Series) -> pd.Series:
+        return raw.map(one)
+
+    return redacted(c)
+
+
 def parse_list_field(c: Column) -> Column:
     """JSON list, JSON object (values by key), text cut at ``||``, or one text; blank items dropped."""
     text = strip(c)

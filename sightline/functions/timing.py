@@ -44,11 +44,13 @@ def anchor_text(intervals: Column | None, start: Column, end: Column, frame: Col
 
 COLON_TIME = r"(?<!\d)(\d{1,3}(?::\d{1,2}){1,2}(?:\.\d+)?)(?!\d)"
 SECONDS = r"(?i)(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b"
+# Fixed value: words that may stand before a time of a hint; such a time goes before any other.
+LED_SECONDS = r"(?i)(?:frame|timestamp|time|at|around|near|second|sec|s)\s*(?:=|:)?\s*(\d+(?:\.\d+)?)\s*(?:seconds?|secs?|s)\b"
 PERCENT = r"(\d+(?:\.\d+)?)\s*%"
 
 
 def parse_timecode(c: Column) -> Column:
-    """``m:s`` or ``h:m:s`` anywhere in a text, else a number followed by a seconds unit."""
+    """``m:s`` or ``h:m:s`` anywhere in a text, else seconds after a leading word, else any seconds."""
 
     def clock(t: Column) -> Column:
         part = lambda i: F.try_element_at(t["p"], F.lit(i)).try_cast("double")
@@ -56,7 +58,8 @@ def parse_timecode(c: Column) -> Column:
         return F.when(F.size(t["p"]) == 3, hours).otherwise(part(1) * 60.0 + part(2))
 
     colon = let({"p": F.split(F.regexp_extract(c, COLON_TIME, 1), ":")}, clock)
-    return F.coalesce(colon, F.regexp_extract(c, SECONDS, 1).try_cast("double"))
+    seconds = [F.regexp_extract(c, p, 1).try_cast("double") for p in (LED_SECONDS, SECONDS)]
+    return F.coalesce(colon, *seconds)
 
 
 # Words that place a hint inside a clip.

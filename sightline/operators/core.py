@@ -92,8 +92,9 @@ def rank_rows(
     slab_width: int,
     tie_block: int = 1_000_000,
     out: str = "rank",
+    last: Sequence[str] = (),
 ) -> DataFrame:
-    """1-based position of every row per key by (``order``, ``tie``), both whole numbers.
+    """1-based position of every row per key by (``order``, ``tie``), both whole numbers, then by ``last``.
 
     Three levels keep each window small: slabs of ``order``, equal ``order`` values, blocks of ``tie``.
     """
@@ -108,7 +109,7 @@ def rank_rows(
         .join(per_value, [*keys, order])
         .select(*keys, order, "_blk", (F.col("_off") + F.col("_base")).alias("_off"))
     )
-    local = Window.partitionBy(*keys, order, "_blk").orderBy(tie)
+    local = Window.partitionBy(*keys, order, "_blk").orderBy(tie, *last)
     numbered = blocked.withColumn("_rn", F.row_number().over(local))
     return (
         numbered.join(offsets, [*keys, order, "_blk"])

@@ -93,7 +93,8 @@ def frames_from_evidence(evidence):
     rows = evidence.select("*", F.posexplode("artifact_refs").alias("_p", "a"))
     rows = rows.filter(markers.is_image_artifact(F.col("a.kind"), F.col("a.media_type"), F.col("a.relpath")))
     rows = rows.select(
-        (F.col("seq") * 1000 + F.col("_p")).alias("seq"),
+        "seq",
+        F.col("_p").alias("position"),
         "a.relpath",
         F.coalesce("a.t_ms", "frame_ms").alias("t_ms"),
         F.coalesce("a.video_id", "video_id").alias("video_id"),
@@ -101,4 +102,4 @@ def frames_from_evidence(evidence):
         F.coalesce("end_ms", "start_ms").alias("clip_end_ms"),
     )
     keyed = rows.withColumn("_t", F.coalesce(F.col("t_ms").cast("string"), F.lit("")))
-    return keep_first(keyed, ["relpath", "_t"], ["seq"]).drop("_t")
+    return keep_first(keyed, ["relpath", "_t"], ["seq", "position"]).drop("_t")

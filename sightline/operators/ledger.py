@@ -163,13 +163,18 @@ def temporal_intervals(rows: DataFrame, keys: Sequence[str], part: int = 1000) -
 
 
 def evidence_digest(observations: DataFrame, key: str, text: str, refs: str | None = None, shown: int = 8, limit: int = 2000) -> DataFrame:
-    """First observations of an entry as ``[time | refs] text`` lines with a note on how many more exist."""
+    """First observations of an entry as ``[time | refs] text`` lines with a note on how many more exist.
+
+    A range with one end stands for both; a row with neither shows its ``frame_ms`` where the column exists.
+    """
     counts = observations.groupBy(key).agg(F.count(F.lit(1)).alias("n_observations"))
     head = top_n(observations, [key], [F.col("seq")], shown, "_pos").filter(F.trim(text) != "")
-    start, end = to_s(F.col("start_ms")), to_s(F.col("end_ms"))
-    span = F.when(start == end, F.concat(fixed(start, 2), F.lit("s"))).otherwise(
-        F.concat(fixed(start, 2), F.lit("-"), fixed(end, 2), F.lit("s"))
+    start, end = to_s(F.coalesce("start_ms", "end_ms")), to_s(F.coalesce("end_ms", "start_ms"))
+    span = F.when(start == end, F.concat(fixed(start, 2), F.lit("s"))).when(
+        start.isNotNull(), F.concat(fixed(start, 2), F.lit("-"), fixed(end, 2), F.lit("s"))
     )
+    if "frame_ms" in observations.columns:
+        span = F.coalesce(span, F.concat(F.lit("frame "), fixed(to_s(F.col("frame_ms")), 2), F.lit("s")))
     cited = F.array_join(F.filter(F.slice(F.col(refs), 1, 2), lambda r: F.trim(r) != ""), " | ") if refs else F.lit("")
     anchor = F.concat_ws(" | ", span, blank_to_null(cited))
     line = F.concat(F.when(anchor != "", F.concat(F.lit("["), anchor, F.lit("] "))).otherwise(""), F.trim(text))

@@ -70,19 +70,25 @@ def step_anchors(cites: DataFrame, links: DataFrame, anchors: DataFrame, shown:
     return best.groupBy("trace_id", "step_id").agg(ordered_text(F.col("anchor"), " | ", F.col("_n")).alias("anchor"))
 
 
-def resolve_refs(refs: DataFrame, outputs: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Fill step fields from the latest output of an earlier step; (resolved, failed).
+def resolved_refs(refs: DataFrame, outputs: DataFrame, paths: list[str]) -> DataFrame:
+    """Fill step fields from the latest output of an earlier step: every reference with its value or its error.
 
     ``refs``(plan_id, step_id, target_field, source_step_id, field_path),
-    ``outputs``(plan_id, step_id, seq, output as JSON). ``paths`` lists the field paths in use.
+    ``outputs``(plan_id, step_id, seq, output as JSON). ``paths`` lists the field paths in use. A missing source, a
+    path that leads nowhere and JSON null are errors.
     """
     latest = keep_last(outputs, ["plan_id", "step_id"], ["seq"]).select(
         "plan_id", F.col("step_id").alias("source_step_id"), F.try_parse_json("output").alias("_v")
     )
     value = F.coalesce(*[F.when(F.col("field_path") == p, json_path(F.col("_v"), p)) for p in paths])
     joined = refs.join(latest, ["plan_id", "source_step_id"], "left").withColumn("value", value).drop("_v")
-    failed = joined.filter("value IS NULL").withColumn("error", F.lit("unresolved_dependency")).drop("value")
-    return joined.filter("value IS NOT NULL"), failed
+    return joined.withColumn("error", F.when(F.col("value").isNull(), F.lit("unresolved_dependency")))
+
+
+def resolve_refs(refs: DataFrame, outputs: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``resolved_refs`` as two tables: (resolved, failed)."""
+    rows = resolved_refs(refs, outputs, paths)
+    return rows.filter("value IS NOT NULL").drop("error"), rows.filter("value IS NULL").drop("value")
 
 
 def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -187,8 +187,10 @@ def salvage_json(df: DataFrame, key: str, column: str, items: bool = False) -> D
             rows = [(k, i, o) for k, raw in zip(pdf[key], pdf[column]) for i, o in enumerate(finder(raw or ""))]
             yield pd.DataFrame(rows, columns=[key, "pos", "object"])
 
-    rest = marked.filter(~F.col("_flat")).select(key, column)
-    return direct.unionByName(rest.mapInPandas(search, f"{key} {dict(df.dtypes)[key]}, pos int, object string"))
+    rest = marked.filter(~F.col("_flat")).select(key, column).mapInPandas(search, f"{key} {dict(df.dtypes)[key]}, pos int, object string")
+    # One printer for both ways, so that equal objects are equal texts.
+    printed = F.coalesce(F.to_json(F.try_parse_json("object")), F.col("object"))
+    return direct.unionByName(rest.withColumn("object", printed))
 
 
 def first_valid(objects: DataFrame, key: str, schema: T.StructType) -> DataFrame:

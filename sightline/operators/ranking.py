@@ -136,27 +136,23 @@ def anchor_window_select(
 
 
 def _serve_anchors(pdf: pd.DataFrame, key: str, n: int, neighbours: bool) -> pd.DataFrame:
-    chosen: dict[int, dict] = {}
-    for _, group in pdf.sort_values("i").groupby("i", sort=True):
-        pool = group[group["side"] == ""]
-        inside = pool[pool["outside"] == 0]
-        window = inside if len(inside) else pool
-        closest = window.sort_values(["distance_ms", "t_ms", "seq"]).iloc[0]
-        must = [closest, *[group[group["side"] == s].iloc[0] for s in ("before", "after") if (group["side"] == s).any()]]
-        target = max(n, len({int(r["seq"]) for r in must}))
-        if neighbours:
-            target = max(target, min(5, len(window)))
-        fill = window.sort_values(["distance_ms", "score_u", "t_ms"], ascending=[True, False, True])
-        for row in [*must, *[r for _, r in fill.iterrows()]]:
-            seq = int(row["seq"])
-            if seq in chosen:
-                continue
-            side = "before" if row["t_ms"] < row["anchor_ms"] else "after"
-            chosen[seq] = {**row, "role": "anchor" if seq == int(closest["seq"]) else side}
-            if len(chosen) >= target:
-                break
-    cols = [key, "seq", "t_ms", "score_u", "anchor_ms", "distance_ms", "role"]
-    return pd.DataFrame(list(chosen.values()))[cols].sort_values(["t_ms", "seq"])
+    """An anchor takes the head of its own list that no earlier anchor took: what the shared list lacks to its target, one row at least."""
+    nearest = ["distance_ms", "t_ms", "seq"]
+    taken: list[pd.DataFrame] = []
+    held: set[int] = set()
+    for _, own in pdf.groupby("i", sort=True):
+        window = own[own["side"] == ""]
+        window = window[window["outside"] == window["outside"].min()]
+        centre = window.nsmallest(1, nearest)
+        asked = pd.concat([centre, own[own["side"] == "before"].head(1), own[own["side"] == "after"].head(1)])
+        target = max(n, asked["seq"].nunique(), min(5, len(window)) if neighbours else 0)
+        wanted = pd.concat([asked, window.sort_values(["distance_ms", "score_u", "t_ms"], ascending=[True, False, True])])
+        fresh = wanted.drop_duplicates("seq")
+        fresh = fresh[~fresh["seq"].isin(held)].head(max(1, target - len(held)))
+        side = fresh["t_ms"].lt(fresh["anchor_ms"]).map({True: "before", False: "after"})
+        taken.append(fresh.assign(role=side.where(fresh["seq"] != centre["seq"].iloc[0], "anchor")))
+        held.update(fresh["seq"])
+    return pd.concat(taken)[[key, "seq", "t_ms", "score_u", "anchor_ms", "distance_ms", "role"]].sort_values(["t_ms", "seq"])
 
 
 def per_clip_topk(frames: DataFrame, n: int, chronological: bool = False) -> DataFrame:

@@ -6,8 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.functions import text
-from sightline.functions.ids import canonical_hash
-
 from sightline.operators import ledger as L
 from sightline.operators.core import Running, keep_first, ordered_list, ordered_text, rank_rows, running, top_n
 from sightline.operators.intervals import SLAB_MS
@@ -15,21 +13,20 @@ from sightline.operators.intervals import SLAB_MS
 PART = 1000
 
 
-def build_evidence(results, observations):
-    """Evidence entry per tool result (step_id, tool_name, request, ok): digest, time bounds, counts, id.
+def build_evidence(results, observations, limit: int = 2000):
+    """Evidence entry per tool result (step_id, tool_name, request_hash, ok): digest, time bounds, counts, id.
 
-    Failed results give an entry with state ``unknown``. Observation ids stay in the link table
-    (evidence_key, observation_id), which no entry can overflow.
+    Failed results give an entry with state ``unknown``. Without a digest the summary stands in, cut at the same
+    limit. Observation ids stay in the link table (evidence_key, observation_id), which no entry can overflow.
     """
-    tool = F.col("tool_name")
-    short = canonical_hash({"step": F.col("step_id"), "tool": tool}, 8)
-    eid = F.concat(F.lit("ev_"), F.lpad(F.col("step_id").cast("string"), 2, "0"), F.lit("_"), short)
-    digest = L.evidence_digest(observations, "evidence_key", "predicate")
+    eid = F.format_string("ev_%02d_%s", F.col("step_id"), F.substring("request_hash", 1, 8))
+    digest = L.evidence_digest(observations, "evidence_key", "predicate", limit=limit)
     bounds = L.temporal_bounds(observations, ["evidence_key"])
     made = results.withColumn("evidence_id", eid).join(digest, "evidence_key", "left").join(bounds, "evidence_key", "left")
     status = F.when(F.col("ok"), F.lit("candidate")).otherwise(F.lit("unknown"))
-    body = F.when(F.col("ok"), F.coalesce("digest", "summary")).otherwise(F.concat(F.lit("Step failed: "), F.col("summary")))
-    return made.select("evidence_key", "evidence_id", "tool_name", status.alias("status"), body.alias("evidence_text"), "n_observations", "start_ms", "end_ms", "n_listed")
+    short = lambda c: F.substring(c, 1, limit)
+    body = F.when(F.col("ok"), F.coalesce("digest", short(text.strip(F.col("summary"))))).otherwise(short(F.concat(F.lit("Step failed: "), F.col("summary"))))
+    return made.select("evidence_key", "evidence_id", "tool_name", status.alias("status"), body.alias("evidence_text"), "n_observations", "start_ms", "end_ms", "frame_ms", "n_listed")
 
 
 def evidence_summary(evidence, observations, entries: int = 10, ids: int = 12):
@@ -59,7 +56,7 @@ def group_flags(groups, keys):
 
 
 def round_summary(steps):
-    """Steps per round in order, ``PART`` steps per row, with the verdict of the part's last step.
+    """Steps per round in order, ``PART`` steps per row, with the verdict of the round's last step on each.
 
     Rows are counted per line number first, so a huge round is cut before its lists are built.
     """
@@ -69,11 +66,12 @@ def round_summary(steps):
     inside = steps.join(placed.select("round_id", "line", "_base"), ["round_id", "line"])
     pos = F.col("_base") + F.row_number().over(Window.partitionBy("round_id", "line").orderBy("order")) - 1
     numbered = inside.withColumn("pos", pos).withColumn("part", F.floor(F.col("pos") / PART))
-    return numbered.groupBy("round_id", "part").agg(
+    parts = numbered.groupBy("round_id", "part").agg(
         ordered_text(F.col("tool"), ",", F.col("pos")).alias("tools"),
         F.count(F.lit(1)).alias("n_steps"),
-        F.max_by("verdict", "pos").alias("verdict"),
     )
+    verdicts = steps.groupBy("round_id").agg(F.max_by("verdict", F.struct("line", "order")).alias("verdict"))
+    return parts.join(verdicts, "round_id")
 
 
 COUNT_FIELDS = ["clips", "frames", "reads", "segments", "captions", "transcripts", "regions"]
@@ -86,15 +84,19 @@ def result_item_counts(lists):
 
 
 def merge_group_outputs(groups, part: int = PART):
-    """Fan-out results of a request back into one: lists appended, texts joined by a blank line."""
+    """Fan-out results of a request back into one: lists appended, texts joined by a blank line.
+
+    A request comes in parts of ``part`` groups; ``query_absent`` (no group found a clip) is the request's, on each.
+    """
     rows = groups.withColumns({"part": F.floor(F.col("idx") / F.lit(part)), "_t": text.blank_to_null(F.col("text"))})
     texts = F.filter(ordered_list(F.coalesce("_t", F.lit("")), F.col("idx")), lambda t: t != "")
-    return rows.groupBy("request_id", "part").agg(
+    parts = rows.groupBy("request_id", "part").agg(
         F.array_join(texts, "\n\n").alias("text"),
         F.flatten(ordered_list(F.col("clips"), F.col("idx"))).alias("clips"),
         F.count(F.lit(1)).alias("groups"),
-        (F.max(F.size("clips")) == 0).alias("query_absent"),
     )
+    absent = groups.groupBy("request_id").agg((F.max(F.size("clips")) == 0).alias("query_absent"))
+    return parts.join(absent, "request_id")
 
 
 def fanout_requests(requests):

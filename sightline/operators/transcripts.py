@@ -60,7 +60,7 @@ def segments_by_window(segments, width_ms: int):
 def transcript_ids(segments, part: int = 1000):
     """Id of a transcript from its segments in order.
 
-    Up to ``part`` segments are hashed as one text; longer transcripts hash the hashes of their parts, so no
+    Every ``part`` segments are hashed as one text, and the id is the hash of those hashes in order, so no
     transcript has to fit in one row.
     """
     line = F.concat_ws(":", "seg_idx", F.concat_ws("-", "start_ms", "end_ms"), "speaker_id", "text")
@@ -69,10 +69,9 @@ def transcript_ids(segments, part: int = 1000):
         F.sha2(ordered_text(F.col("_line"), "\n", F.col("seg_idx")), 256).alias("_h"), F.count(F.lit(1)).alias("_n")
     )
     whole = parts.groupBy("transcript_id").agg(
-        F.count(F.lit(1)).alias("_parts"), F.first("_h").alias("_one"), ordered_text(F.col("_h"), "", F.col("_part")).alias("_all"), F.sum("_n").alias("n_segments")
+        ordered_text(F.col("_h"), "", F.col("_part")).alias("_all"), F.sum("_n").alias("n_segments")
     )
-    digest = F.when(F.col("_parts") == 1, F.col("_one")).otherwise(F.sha2("_all", 256))
-    return whole.select("transcript_id", F.concat(F.lit("tx_"), F.substring(digest, 1, 12)).alias("tx"), "n_segments")
+    return whole.select("transcript_id", F.concat(F.lit("tx_"), F.substring(F.sha2("_all", 256), 1, 12)).alias("tx"), "n_segments")
 
 
 def captions_summary(captions, key: str = "video_id", part: int = PART):

@@ -35,7 +35,10 @@ def id_sets(left, right, key: str):
 
 
 def context_texts(lists, key: str):
-    """Texts of several media lists in their fixed order, once each, with the place they first appear."""
-    tagged = [df.withColumn("place", F.lit(i).cast("long") * 1_000_000_000_000 + F.col("pos")) for i, df in enumerate(lists)]
+    """Texts of several media lists in their fixed order, once each, with the place (list, pos, sub) where they first appear."""
+    tagged = [
+        df.withColumn("place", F.struct(F.lit(i).alias("list"), F.col("pos").cast("long").alias("pos"), (F.col("sub") if "sub" in df.columns else F.lit(0)).cast("long").alias("sub"))).select(key, "text", "place")
+        for i, df in enumerate(lists)
+    ]
     texts = union_observations(tagged).withColumn("text", text.strip(F.col("text"))).filter("text <> ''")
     return keep_first(texts.select(key, "text", "place"), [key, "text"], ["place"])

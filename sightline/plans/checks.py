@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,16 +83,17 @@ def plan_lint(steps: DataFrame, refs: DataFrame) -> DataFrame:
     given = F.array_union(F.coalesce("_bound", none), F.coalesce("_literal", none))
     of_steps = {
         "duplicate_step_id": (F.col("_n") > 1, F.col("_n")),
-        "missing_context": (~F.arrays_overlap(_listed(NEEDS_ONE_OF, tool), given), tool),
+        # A general step takes whatever an earlier step hands it; the other tools need one of their own fields.
+        "missing_context": (~F.arrays_overlap(_listed(NEEDS_ONE_OF, tool), given) & ~((tool == "generic_purpose") & F.col("_bound").isNotNull()), tool),
     }
     return _violations(wired, of_refs).unionByName(_violations(fed, of_steps)).distinct()
 
 
-def plan_levels(steps: DataFrame, edges: DataFrame, max_depth: int = 20) -> DataFrame:
+def plan_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """Dependency level of every step (0 = needs nothing); steps in or behind a cycle get no level.
 
     ``edges``(plan_id, step_id, source_step_id); sources outside the plan do not count. Each round settles the
-    steps whose sources are settled. Rounds are few (depth of a plan) and cut by a written table.
+    steps whose sources are settled, as many rounds as the deepest plan has levels; each is cut by a written table.
     """
     nodes = steps.select("plan_id", "step_id").distinct()
     inside = nodes.withColumnRenamed("step_id", "source_step_id")
@@ -98,7 +101,7 @@ def plan_levels(steps: DataFrame, edges: DataFrame, max_depth: int = 20) -> Data
     waiting = pending.select("plan_id", "step_id").distinct()
     levels = materialize(nodes.join(waiting, ["plan_id", "step_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
     found = [levels]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         done = found[-1].select("plan_id", F.col("step_id").alias("source_step_id"))
         was = pending.select("plan_id", "step_id").distinct()
         pending = materialize(pending.join(done, ["plan_id", "source_step_id"], "left_anti"), "edges")

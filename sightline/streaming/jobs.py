@@ -94,12 +94,14 @@ def status_of(first: Column, last_cited: Column, last_accepted: Column) -> Colum
 
 
 def status_machine(audits: DataFrame, table: str, key: str = "evidence_id") -> DataFrame:
-    """Entry states across audit rounds (key, round, status, accepted, cited).
+    """Entry states across audit rounds (key, round, status, accepted, cited, cites_any).
+
+    ``cites_any`` says that the round cites an entry at all; an accepted round that cites none changes nothing.
 
     The keyed state is two maxima and the first status, so rounds are combined on the map side and one busy
     entry costs no more than any other. Updates are appended per batch; the last one per key counts.
     """
-    accepted = F.when(F.col("accepted"), F.col("round"))
+    accepted = F.when(F.col("accepted") & F.col("cites_any"), F.col("round"))
     cited = F.when(F.col("accepted") & F.col("cited"), F.col("round"))
     state = audits.groupBy(key).agg(
         F.min_by("status", "round").alias("first"), F.max(cited).alias("last_cited"), F.max(accepted).alias("last_accepted")

@@ -1,4 +1,4 @@
-"""Bindings: the star-schema tables seen as evidence tables (columns as in ``sightline.schemas``).
+"""Bindings: the star-schema tables seen as evidence tables.
 
 Times count from 2024-01-01 in whole milliseconds, so sums and comparisons stay exact.
 The ``*_SQL`` texts are the same bindings for a SQL engine.
@@ -15,19 +15,8 @@ EPOCH = "2024-01-01 00:00:00"
 DAY_MS = 86_400_000
 
 
-# Long texts: worth dealing out when a table comes in fewer splits than there are cores.
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the scan has fewer splits than cores; a large table is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def event_us():
@@ -171,7 +160,7 @@ def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 8 == 1, F.concat(n, F.lit(" seconds after the start")))
         .when(F.col("doc_id") % 8 == 2, F.concat(n, F.lit("s before end")))
         .when(F.col("doc_id") % 8 == 3, F.concat(n, F.lit("% of the video")))
-        .when(F.col("doc_id") % 8 == 4, F.concat(F.lit("frame at "), n, F.lit(".25 sec")))
+        .when(F.col("doc_id") % 8 == 4, F.concat(F.lit("wait 3s then look at "), n, F.lit(".25 sec")))
         .when(F.col("doc_id") % 8 == 5, F.lit("opening part"))
         .when(F.col("doc_id") % 8 == 6, F.lit("mid scene"))
         .otherwise(F.lit(""))
@@ -188,7 +177,7 @@ hints AS (
       WHEN 1 THEN (n_chars % 60) || ' seconds after the start'
       WHEN 2 THEN (n_chars % 60) || 's before end'
       WHEN 3 THEN (n_chars % 60) || '% of the video'
-      WHEN 4 THEN 'frame at ' || (n_chars % 60) || '.25 sec'
+      WHEN 4 THEN 'wait 3s then look at ' || (n_chars % 60) || '.25 sec'
       WHEN 5 THEN 'opening part'
       WHEN 6 THEN 'mid scene'
       ELSE '' END || ' ' || text AS hint, (n_chars % 60 + 30)::DOUBLE AS duration_s
