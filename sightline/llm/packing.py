@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import documents
-from sightline.llm.tokens import default_tokenizer, encoder
+from sightline.llm.tokens import default_tokenizer, encoder, slices
 from sightline.session import materialize
 
 CAPACITY = 2048
 END = 0
 #: Pieces of one packing task.
 PER_PARTITION = 4096
-TEXTS = 2048
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,18 +36,18 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         import numpy as np
         import pyarrow as pa
 
-        encode, end = encoder(path).encode, np.asarray([END], "<u4").tobytes()
+        encode = encoder(path).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
+            for some in slices(batch):
+                ids, starts = encode(some["text"])
+                ids = np.insert(ids, starts[1:], END)
+                starts = starts + np.arange(len(starts))
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), encode(some["text"].to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+                for doc_id, at, n in zip(some["doc_id"].to_pylist(), starts.tolist(), np.diff(starts).tolist(), strict=False):
                     ends = list(range((n - 1) % capacity + 1, n + 1, capacity))
                     for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-                        own = ids[4 * a : 4 * b]
-                        for col, v in zip(cols, (doc_id, k, a, b - a, zlib.crc32(own), own if with_ids else None), strict=True):
+                        own = ids[at + a : at + b]
+                        for col, v in zip(cols, (doc_id, k, a, b - a, zlib.crc32(own), own.tobytes() if with_ids else None), strict=True):
                             col.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]

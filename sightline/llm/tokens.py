@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 #: Kept chunks of one generation; the one before stays readable, so a worker holds twice as many at most.
 KEPT = 250_000
 
 #: Letters and closing marks whose pre-tokens are certain: a run of letters is one, the run of marks after it another.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_WORD = re.compile(f"^([{LETTERS}]+)([.,;:!?|%&$#*]*)$", re.MULTILINE)
+_WORD = re.compile(f"^(?:([{LETTERS}]+)([.,;:!?|%&$#*]*)|(.*))$", re.MULTILINE)
 _LINES = re.compile(r"[^\s]+(?:\n[^\s]+)+")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_WHITE_RUN = re.compile(r"\s\s")
+#: Two white-space characters in a row; everything that either library takes for one.
+_WHITE_RUN = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}"
 
 
 class Encoder:
@@ -60,60 +62,120 @@ class Encoder:
             out.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, *bounds.tolist(), strict=True))
         return out
 
-    def _recall(self, wanted: set[str], kept: dict[str, bytes], older: dict[str, bytes]) -> set[str]:
-        """Take over what the generation before knows; gives what is still unknown."""
-        wanted = wanted.difference(kept)
-        again = wanted.intersection(older)
-        kept.update(zip(again, map(older.__getitem__, again), strict=True))
-        return wanted.difference(again)
+    def _ids_of(self, chunks: list[str], lead: str) -> list[bytes]:
+        """Ids of different chunks after a space (`lead` a space) or at the start of a text or line (`lead` empty)."""
+        kept, older = (self.spaced, self.before[0]) if lead else (self.bare, self.before[1])
+        out = list(map(kept.get, chunks))
+        unknown = [i for i, ids in enumerate(out) if ids is None]
+        names = [chunks[i] for i in unknown]
+        found = list(map(older.get, names))
+        new = [c for c, ids in zip(names, found, strict=True) if ids is None]
+        made: dict[str, bytes] = {}
+        if lined := {c: c.split("\n") for c in new if "\n" in c}:
+            # A newline between two other characters is a token of its own; anything else with one is left to the library.
+            lined = {c: p for c, p in lined.items() if _LINES.fullmatch(c)}
+            heads = list({p[0] for p in lined.values()})
+            tails = list({x for p in lined.values() for x in p[1:]})
+            head, tail = dict(zip(heads, self._ids_of(heads, lead), strict=True)), dict(zip(tails, self._ids_of(tails, ""), strict=True))
+            newline = self._library(["\n"])[0]
+            made = {c: newline.join([head[p[0]], *(tail[x] for x in p[1:])]) for c, p in lined.items()}
+        split = _WORD.findall("\n".join(c for c in new if "\n" not in c)) if new else []
+        words = {w for w, m, _ in split if w and not m}
+        marked = {w for w, m, _ in split if m}.difference(words)
+        known = {w: ids for w in marked if (ids := kept.get(w) or older.get(w)) is not None}
+        known.update(self._words(list(words.union(marked.difference(known))), lead))
+        marks = list({m for w, m, _ in split if w})
+        end = dict(zip(marks, self._library(marks), strict=True))
+        made.update((w + m, known[w] + end[m]) for w, m, _ in split if w)
+        other = [c for c in new if c not in made]
+        made.update(zip(other, self._library([lead + c for c in other]), strict=True))
+        ids = [made[c] if f is None else f for c, f in zip(names, found, strict=True)]
+        for i, own in zip(unknown, ids, strict=True):
+            out[i] = own
+        kept.update(zip(names, ids, strict=True))
+        return out
+
+    def encode(self, texts):
+        """`_encode` without cycle collection: it makes no cycles, and the collector would walk all that is kept."""
+        import gc
+
+        if not gc.isenabled():
+            return self._encode(texts)
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts):
+        """Ids of all texts, one after the other, and where each text's begin (one more entry than texts); null counts as empty.
 
-    def _learn(self, spaced: set[str], bare: set[str]) -> None:
-        """Add the ids of chunks that are not kept."""
+        A text is split and its chunks numbered by Arrow, so Python sees each different chunk of a batch once.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = (pa.array(texts, pa.string()) if isinstance(texts, list) else texts).fill_null("")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        special = np.zeros(n, bool)
+        for mark in self.special:
+            special |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        runs = pc.match_substring_regex(texts, _WHITE_RUN).to_numpy(zero_copy_only=False) & ~special
+        groups = [np.flatnonzero(~special & ~runs), np.flatnonzero(runs), np.flatnonzero(special)]
+        plain = pc.split_pattern(texts.take(pa.array(groups[0])), " ")
+        apart = pa.array([_SINGLE_SPACE.split(t) for t in texts.take(pa.array(groups[1])).to_pylist()], plain.type)
+        parts = pa.concat_arrays([plain, apart])
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        codes, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        first, heads = np.unique(codes[offsets[:-1]], return_inverse=True)
+        follows = np.ones(len(codes), bool)
+        follows[offsets[:-1]] = False
+        used = np.zeros(len(chunks), bool)
+        used[codes[follows]] = True
+        after = [c for c, u in zip(chunks, used.tolist(), strict=True) if u]
+        ahead = [chunks[c] for c in first.tolist()]
         if max(len(self.spaced), len(self.bare)) > KEPT:
             self.before, self.spaced, self.bare = (self.spaced, self.bare), {}, {}
-        spaced = self._recall(spaced, self.spaced, self.before[0])
-        lined = {c: c.split("\n") for c in spaced if "\n" in c and _LINES.fullmatch(c)}
-        spaced = self._recall(spaced.difference(lined).union(p[0] for p in lined.values()), self.spaced, self.before[0])
-        bare = self._recall(bare.union(*(p[1:] for p in lined.values())), self.bare, self.before[1])
-        for wanted, lead, kept, older in ((spaced, " ", self.spaced, self.before[0]), (bare, "", self.bare, self.before[1])):
-            # A chunk with a newline of its own is no word, and would fall apart in the list of words below.
-            simple = _WORD.findall("\n".join(c for c in wanted if "\n" not in c))
-            words, marks = {w for w, _ in simple}, {m for _, m in simple}
-            new = words.difference(kept)
-            known = {w: older[w] for w in new.intersection(older)}
-            known.update(self._words(list(new.difference(known)), lead))
-            tails = dict(zip(marks, self._library(list(marks)), strict=True))
-            done = {w + m: (known[w] if w in known else kept[w]) + tails[m] for w, m in simple}
-            other = list(wanted.difference(done))
-            kept.update(done)
-            kept.update(zip(other, self._library([lead + c for c in other]), strict=True))
-        newline = self._library(["\n"])[0]
-        for c, parts in lined.items():
-            self.spaced[c] = newline.join([self.spaced[parts[0]], *(self.bare[p] for p in parts[1:])])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit integers; null counts as empty."""
-        out: list[bytes] = [b""] * len(texts)
-        parts: dict[int, list[str]] = {}
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if any(s in text for s in self.special):
-                whole.append(i)
-                continue
-            parts[i] = p = _SINGLE_SPACE.split(text) if _WHITE_RUN.search(text) else text.split(" ")
-            bare.add(p[0])
-            spaced.update(p[1:])
-        self._learn(spaced, bare)
-        find = self.spaced.__getitem__
-        for i, p in parts.items():
-            out[i] = self.bare[p[0]] + b"".join(map(find, p[1:]))
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        codes[offsets[:-1]] = len(after) + heads
+        codes[follows] = (np.cumsum(used) - 1)[codes[follows]]
+        table = [*self._ids_of(after, " "), *self._ids_of(ahead, ""), *self._library(texts.take(pa.array(groups[2])).to_pylist())]
+        codes = np.concatenate([codes, np.arange(len(table) - len(groups[2]), len(table))])
+        numbers = np.concatenate([np.diff(offsets), np.ones(len(groups[2]), np.int64)])
+        if len(groups[0]) < n:
+            back = np.argsort(np.concatenate(groups))
+            codes = codes[_ranges((np.cumsum(numbers) - numbers)[back], numbers[back])]
+            numbers = numbers[back]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        known = np.frombuffer(b"".join(table), "<u4")
+        lengths = sizes[codes]
+        ids = known[_ranges((np.cumsum(sizes) - sizes)[codes], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(numbers)])]
+        return ids, ends
+
+
+def _ranges(starts, lengths):
+    """The places starts[0].., lengths[0] of them, then starts[1].., and so on."""
+    import numpy as np
+
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def slices(batch, rows: int = 4096, size: int = 1 << 23) -> Iterator:
+    """A record batch with `text` in slices of so many rows and bytes at most (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.binary_length(batch["text"]).fill_null(0).to_numpy()
+    ends, at = np.cumsum(lengths), 0
+    while at < batch.num_rows:
+        limit = (ends[at - 1] if at else 0) + size
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, limit, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def encoder(path: str) -> Encoder:

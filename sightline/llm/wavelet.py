@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import documents
-from sightline.llm.tokens import default_tokenizer, encoder
+from sightline.llm.tokens import default_tokenizer, encoder, slices
 from sightline.session import work_path
 
 MAGIC = b"WVM1"
 BLOCK = 512  # bits between entries of the rank directory
 END = 0  # id that ends every document
-SHARD_TOKENS = 1 << 20
-TEXTS = 2048  # most texts encoded at a time
+SHARD_TOKENS = 1 << 18
 
 
 class WaveletMatrix:
@@ -144,19 +143,19 @@ class WaveletMatrix:
         return i
 
     def tokens(self):
-        """Every token in order: the planes are replayed once, from the highest bit down."""
+        """Every token in order: from the lowest bit up, each plane puts the next level's order back into its own."""
         import numpy as np
 
-        kind = np.uint16 if self.levels <= 16 else np.uint32
-        value, place = np.zeros(self.length, kind), np.arange(self.length, dtype=np.int32)
-        for plane in self.planes:
-            one = np.unpackbits(plane, count=self.length, bitorder="little").view(bool)
-            value = (value << 1) | one
-            zero = ~one
-            value, place = np.concatenate([value[zero], value[one]]), np.concatenate([place[zero], place[one]])
-        out = np.empty(self.length, kind)
-        out[place] = value
-        return out
+        low = np.zeros(self.length, np.uint16 if self.levels <= 16 else np.uint32)
+        for level in range(self.levels - 1, -1, -1):
+            one = np.unpackbits(self.planes[level], count=self.length, bitorder="little").view(bool)
+            zeros = self.zeros[level]
+            low[zeros:] |= 1 << (self.levels - 1 - level)
+            before = np.empty_like(low)
+            before[one] = low[zeros:]
+            before[~one] = low[:zeros]
+            low = before
+        return low
 
 
 def _encode_shards(tokenizer: str, bits: int, shard_tokens: int):
@@ -166,31 +165,33 @@ def _encode_shards(tokenizer: str, bits: int, shard_tokens: int):
         from pyspark import TaskContext
 
         encode, part, nth = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
+        held: list = []
         ids: list[int] = []
-        nulls: list[bool] = []
+        sizes: list[int] = []
+        kinds = [("part", pa.int32()), ("nth", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("no_id", pa.int64()), ("data", pa.binary())]
 
         def shard() -> pa.RecordBatch:
             nonlocal nth
-            joined = np.frombuffer(b"".join(held), "<u4")
-            data = WaveletMatrix.build(joined, bits, [i or 0 for i in ids], [len(h) // 4 for h in held]).to_bytes()
-            row = {"part": [part], "nth": [nth], "n_docs": [len(ids)], "n_tokens": [len(joined)], "no_id": [sum(nulls)], "data": [data]}
+            data = WaveletMatrix.build(np.concatenate(held), bits, [i or 0 for i in ids], sizes).to_bytes()
+            row = {"part": [part], "nth": [nth], "n_docs": [len(ids)], "n_tokens": [sum(sizes)], "no_id": [sum(i is None for i in ids)], "data": [data]}
             nth += 1
-            held.clear(), ids.clear(), nulls.clear()
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("nth", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("no_id", pa.int64()), ("data", pa.binary())]))
+            held.clear(), ids.clear(), sizes.clear()
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema(kinds))
 
-        end, size = np.asarray([END], "<u4").tobytes(), 0
+        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                some = batch.slice(at, TEXTS)
-                for doc_id, tokens in zip(some["doc_id"].to_pylist(), encode(some["text"].to_pylist()), strict=True):
-                    if size and size + len(tokens) // 4 + 1 > shard_tokens:
+            for some in slices(batch):
+                tokens, starts = encode(some["text"])
+                tokens = np.insert(tokens, starts[1:], END).astype(np.uint16 if bits <= 16 else np.uint32)
+                starts = starts + np.arange(len(starts))
+                for doc_id, a, b in zip(some["doc_id"].to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False):
+                    if size and size + b - a > shard_tokens:
                         yield shard()
                         size = 0
-                    held.append(tokens + end)
+                    held.append(tokens[a:b])
                     ids.append(doc_id)
-                    nulls.append(doc_id is None)
-                    size += len(tokens) // 4 + 1
+                    sizes.append(b - a)
+                    size += b - a
         if held:
             yield shard()
 
