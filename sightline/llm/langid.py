@@ -22,6 +22,8 @@ WINDOW = 128
 HIDDEN = 12
 #: Bounds of the training sample: documents of a language, characters of a document, and languages (the most frequent).
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 500, 240, 64
+#: Least number of training steps, for small samples.
+STEPS = 240
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -155,6 +157,7 @@ class ByteGru:
         groups = [np.flatnonzero(y == k) for k in np.unique(y)]
         size, loss = max(map(len, groups)) if groups else 0, 0.0
         per_epoch = -(-size * len(groups) // batch) if groups else 0
+        epochs = max(epochs, -(-STEPS // per_epoch)) if per_epoch else 0
         for epoch in range(epochs):
             order = np.stack([rng.permutation(np.resize(rng.permutation(g), size)) for g in groups], 1).ravel() if groups else np.array([], int)
             loss = 0.0
