@@ -44,6 +44,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows that repeat an id and its text one stays. `text_sha256` is null for texts that an earlier round proved unique,
     unless `digest_all` asks for every digest. An empty table gives no rows.
     """
+    return _groups(docs, id_col, text_col, prefix, digest_all, salts).drop("text_hash")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, prefix: int = 256, digest_all: bool = False, salts: int = 16) -> DataFrame:
+    """`exact_groups` with text_hash, which tells a repeated id's rows apart."""
     text = F.coalesce("text", F.lit(""))
     rows = documents(docs, id_col, text_col).select("doc_id", text.alias("text"))
     rows = rows.withColumn("_len", F.octet_length("text").cast("long")).withColumn("_prefix", F.xxhash64(F.substring("text", 1, prefix)))
@@ -53,7 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = F.unhex(F.sha2("text", 256))
     digest = whole if digest_all else F.when(F.col("_same_length") & F.col("_same_prefix"), whole)
     key = ["_len", "_prefix", "_sha"]
-    rows = rows.select("doc_id", "_len", "_prefix", digest.alias("_sha")).groupBy("doc_id", *key).agg(F.count("*").alias("_n"))
+    rows = rows.select("doc_id", "_len", "_prefix", digest.alias("_sha"), F.xxhash64("text").alias("_hash")).groupBy("doc_id", "_hash", *key).agg(F.count("*").alias("_n"))
     rows = materialize(rows, "exact-rows")
     groups = rows.groupBy(*key).agg(F.sum("_n").alias("_size"), F.max("doc_id").alias("_keep")).filter("_size > 1")
     left, right = salted(rows, F.xxhash64("doc_id"), salts).alias("l"), all_salts(groups, salts).alias("r")
@@ -63,14 +68,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = F.coalesce("_size", F.lit(1).cast("long"))
     keep = F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
     out = left.join(right, on, "left").select(
-        "doc_id", keep.alias("keep_id"), size.alias("group_size"), F.lower(F.hex("l._sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_nth")
+        "doc_id", keep.alias("keep_id"), size.alias("group_size"), F.lower(F.hex("l._sha")).alias("text_sha256"), F.col("_hash").alias("text_hash"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_nth")
     )
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "text_hash")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that `exact_groups` keeps, with all their columns. Of rows that repeat an id and its text the one whose columns sort last stays."""
-    stay = exact_groups(docs, id_col, text_col, **options).filter("kept").select(id_key(F.col("doc_id")).alias("_id_key")).distinct()
+    key = ["_id_key", "_text_hash"]
+    stay = _groups(docs, id_col, text_col, **options).filter("kept").select(id_key(F.col("doc_id")).alias("_id_key"), F.col("text_hash").alias("_text_hash"))
     rows = docs.withColumn("_id_key", id_key(F.col(id_col))).withColumn("_text_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    return one_of_each(rows.join(stay, "_id_key", "left_semi"), ["_id_key", "_text_hash"]).select(*docs.columns)
+    return one_of_each(rows.join(stay, key, "left_semi"), key).select(*docs.columns)
