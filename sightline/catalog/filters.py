@@ -28,7 +28,7 @@ def _(spark, sf):
         F.when(F.col("item_id") % 5 == 0, F.lit(" \t")).otherwise(F.lit("v.mp4")).alias("video_path"),
         F.col("text").alias("question"),
     )
-    return P.labelled_split(*P.require_text(tasks, ["benchmark", "sample_key", "video_path", "question"])).select("item_id", "valid")
+    return P.require_text(tasks, ["benchmark", "sample_key", "video_path", "question"]).flagged.select("item_id", "valid")
 
 
 @query(
@@ -40,7 +40,7 @@ def _(spark, sf):
     start = F.when(q % 7 == 0, F.col("end_ms")).otherwise(F.col("start_ms"))
     end = F.when(q % 4 == 0, F.lit(None)).when(q % 7 == 0, F.col("start_ms")).otherwise(F.col("end_ms"))
     rows = B.observations(spark, sf).select("seq", start.alias("start_ms"), end.alias("end_ms"))
-    return P.labelled_split(*I.valid_intervals(rows)).select("seq", "valid")
+    return I.valid_intervals(rows).flagged.select("seq", "valid")
 
 
 @query(
@@ -68,7 +68,7 @@ def _(spark, sf):
     e = F.col("event_id")
     raw = F.when(e % 5 == 0, F.lit(" Validated ")).when(e % 5 == 1, F.lit("")).when(e % 5 == 2, F.lit("provisional")).when(e % 5 == 4, F.col("event_type"))
     rows = B.table(spark, sf, "events").select("event_id", raw.alias("status"))
-    return P.labelled_split(*L.check_status(rows))
+    return L.check_status(rows).flagged
 
 
 @query(
@@ -87,7 +87,7 @@ def _(spark, sf):
         none.alias("regions"),
         F.when(k == 2, F.array(F.lit(" "), F.lit("6s"))).otherwise(F.array(F.lit(" "))).alias("time_hints"),
     )
-    out = P.labelled_split(*P.request_context(requests))
+    out = P.request_context(requests).flagged
     return out.select("doc_id", F.size("clips").alias("n_clips"), F.size("time_hints").alias("n_hints"), "valid")
 
 

@@ -40,6 +40,19 @@ def keep_last(df: DataFrame, keys: Keys, order: Sequence[str | Column]) -> DataF
     return _pick(df, keys, order, F.max_by)
 
 
+class Split(tuple):
+    """(kept, rejected), and ``flagged``: all rows in one pass, with ``valid``."""
+
+    flagged: DataFrame
+
+
+def split_by(df: DataFrame, good: Column) -> Split:
+    valid = F.coalesce(good, F.lit(False))
+    both = Split((df.filter(valid), df.filter(~valid)))
+    both.flagged = df.withColumn("valid", valid)
+    return both
+
+
 def top_n(df: DataFrame, keys: Keys, order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key in ``order``, with their 1-based rank."""
     w = Window.partitionBy(*keys).orderBy(*order)

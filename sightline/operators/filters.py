@@ -6,26 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.text import is_low_signal, squeeze, strip, truncate_text
+from sightline.operators.core import Split, split_by
 
 
-def _split(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
-    flagged = F.coalesce(good, F.lit(False))
-    return df.filter(flagged), df.filter(~flagged)
-
-
-def require_text(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def require_text(df: DataFrame, columns: list[str]) -> Split:
     """Every named column must hold text."""
     good = F.lit(True)
     for name in columns:
         good = good & (strip(F.col(name)) != "")
-    return _split(df, good)
-
-
-def labelled_split(kept: DataFrame, rejected: DataFrame) -> DataFrame:
-    return kept.withColumn("valid", F.lit(True)).unionByName(rejected.withColumn("valid", F.lit(False)))
+    return split_by(df, good)
 
 
-def request_context(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def request_context(df: DataFrame) -> Split:
     """A request needs regions, frames, clips or time hints; regions or frames make clips unnecessary."""
 
     def filled(name: str) -> Column:
@@ -34,7 +26,7 @@ def request_context(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     hints = F.filter(F.transform("time_hints", strip), lambda h: h != "")
     empty = F.array().cast("array<string>")
     tidy = df.withColumns({"time_hints": hints, "clips": F.when(filled("regions") | filled("frames"), empty).otherwise(F.col("clips"))})
-    return _split(tidy, filled("regions") | filled("frames") | filled("clips") | filled("time_hints"))
+    return split_by(tidy, filled("regions") | filled("frames") | filled("clips") | filled("time_hints"))
 
 
 def observation_filter(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.timing import to_s
-from sightline.operators.core import Running, keep_first, rank_rows, running, top_n
+from sightline.operators.core import Running, Split, keep_first, rank_rows, running, split_by, top_n
 
 SLAB_MS = 600_000
 
@@ -21,10 +21,9 @@ def _slab(t: str) -> Column:
     return F.floor(F.col(t) / F.lit(SLAB_MS))
 
 
-def valid_intervals(df: DataFrame, start: str = "start_ms", end: str = "end_ms") -> tuple[DataFrame, DataFrame]:
+def valid_intervals(df: DataFrame, start: str = "start_ms", end: str = "end_ms") -> Split:
     """(kept, rejected): an interval must not end before it starts."""
-    good = F.coalesce(F.col(end) >= F.col(start), F.lit(False))
-    return df.filter(good), df.filter(~good)
+    return split_by(df, F.col(end) >= F.col(start))
 
 
 def tidy_intervals(df: DataFrame, start: str = "start_ms", end: str = "end_ms") -> DataFrame:

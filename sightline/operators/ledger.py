@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions.ids import canonical_json
 from sightline.functions.text import blank_to_null, contains_any, is_low_signal, strip
 from sightline.functions.timing import anchor_text, fixed, to_s
-from sightline.operators.core import keep_first, ordered_list, ordered_text, rank_rows, top_n
+from sightline.operators.core import Split, keep_first, ordered_list, ordered_text, rank_rows, split_by, top_n
 from sightline.operators.intervals import SLAB_MS, merge_intervals, tidy_intervals
 
 # States of an evidence entry.
@@ -51,12 +51,11 @@ def clean_status(c: Column) -> Column:
     return F.when(word.isin("", "provisional"), F.lit("candidate")).otherwise(word)
 
 
-def check_status(df: DataFrame, column: str = "status") -> tuple[DataFrame, DataFrame]:
+def check_status(df: DataFrame, column: str = "status") -> Split:
     """(kept, rejected) by status; a blank one becomes candidate, an unknown word is rejected."""
     word = F.lower(strip(F.coalesce(F.col(column), F.lit(""))))
     named = df.withColumn(column, F.when(word == "", F.lit("candidate")).otherwise(word))
-    good = F.col(column).isin(STATUSES)
-    return named.filter(good), named.filter(~good)
+    return split_by(named, F.col(column).isin(STATUSES))
 
 
 def dedupe_last(df: DataFrame, key: str, seq: str = "seq", position: str = "last") -> DataFrame:

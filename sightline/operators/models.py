@@ -7,12 +7,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.functions import text
 from sightline.operators.core import keep_first
-from sightline.operators.observe import chunk_rows
 
 
 def apply_model(df: DataFrame, load: Callable, column: str, fields: str, empty: dict, batch: int = 64) -> DataFrame:
@@ -55,37 +55,38 @@ def memoize_by_hash(requests: DataFrame, store: DataFrame, key: str, compute: Ca
 
 
 def atomize(df: DataFrame, keys: list[str], column: str, facts: Callable[[str], list[dict]], subject: str = "generic_tool") -> DataFrame:
-    """Text to facts by a user function, defaults filled; a text it fails on or finds nothing in is cut by rule."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "predicate", "object_text", "atomic_text")])
+    """Text to facts by a user function, defaults filled; a text it fails on or finds nothing in is cut by rule.
 
-    class Atomize:
-        def eval(self, body: str):  # noqa: ANN202
-            try:
-                found = facts(body) if body and body.strip() else []
-            except Exception:
-                found = []
-            for f in found:
-                said = str(f.get("atomic_text") or "").strip()
-                if said:
-                    yield (
-                        str(f.get("subject") or subject).strip() or subject,
-                        str(f.get("predicate") or "reported").strip() or "reported",
-                        str(f.get("object_text") or "").strip(),
-                        said,
-                    )
-
-    split = F.udtf(Atomize, returnType=schema)
-    made = df.lateralJoin(split(F.col(column).outer())).drop(column).withColumn("by", F.lit("model"))
-    rest = df.join(made.select(*keys).distinct(), keys, "left_anti")
-    ruled = chunk_rows(rest, keys, column).select(
-        *[c for c in df.columns if c != column],
-        F.lit(subject).alias("subject"),
-        F.lit("reported").alias("predicate"),
-        F.col("chunk").alias("object_text"),
-        F.col("chunk").alias("atomic_text"),
-        F.lit("rule").alias("by"),
-    )
-    return made.select(*ruled.columns).unionByName(ruled)
+    The function sees every text once, in Arrow batches: its facts, or for want of any the pieces of the text, are
+    one array per row. Pieces are distinct per row identity ``keys`` (case ignored, first spelling kept).
+    """
+    names = ("subject", "predicate", "object_text", "atomic_text")
+
+    def tidy(f: dict) -> dict:
+        plain = {n: str(f.get(n) or "").strip() for n in names}
+        return plain | {"subject": plain["subject"] or subject, "predicate": plain["predicate"] or "reported"}
+
+    def of_one(body: str | None) -> list[dict]:
+        try:
+            found = facts(body) if body and body.strip() else []
+        except Exception:
+            found = []
+        return [t for t in map(tidy, found) if t["atomic_text"]]
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names])))
+    def of_model(bodies: pd.Series) -> pd.Series:
+        return bodies.map(of_one)
+
+    def row(by: str, values: list[Column], key: Column, i: Column) -> Column:
+        return F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)], F.lit(by).alias("by"), key.alias("_k"), i.alias("_i"))
+
+    model = F.transform("_f", lambda f, i: row("model", [f[n] for n in names], F.concat(F.lit("#"), i), i))
+    pieces = text.atomic_pieces(F.col(column))
+    rule = F.transform(pieces, lambda c, i: row("rule", [F.lit(subject), F.lit("reported"), c, c], F.concat(F.lit("="), F.lower(c)), i))
+    kept = [c for c in df.columns if c != column]
+    rows = df.withColumn("_f", of_model(F.col(column)))
+    made = rows.select(*kept, F.explode(F.when(F.size("_f") > 0, model).otherwise(rule)).alias("_x")).select(*kept, "_x.*")
+    return keep_first(made, [*keys, "_k"], ["_i"]).drop("_k", "_i")
 
 
 def validated_apply(df: DataFrame, column: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
