@@ -63,7 +63,10 @@ def dedupe_within(stream: DataFrame, key: str, time: str, delay: str, salts: int
 
 
 def window_counts(stream: DataFrame, time: str, delay: str, width: str, by: list[str], slide: str | None = None, score: str | None = None) -> DataFrame:
-    """Counts (and the best score) per event-time window once the watermark has closed it."""
+    """Counts (and the best score) per event-time window once the watermark has closed it.
+
+    Windows still open at the end of the data are not given; the same call on a static table gives all of them.
+    """
     window = F.window(time, width, slide) if slide else F.window(time, width)
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.max(score).alias(score)] if score else [])
     out = stream.withWatermark(time, delay).groupBy(window.alias("w"), *by).agg(*aggs)
@@ -71,7 +74,10 @@ def window_counts(stream: DataFrame, time: str, delay: str, width: str, by: list
 
 
 def session_groups(stream: DataFrame, time: str, delay: str, gap: str, by: list[str]) -> DataFrame:
-    """Runs of rows without a pause of ``gap``; sessions are merged on the map side before the shuffle."""
+    """Runs of rows without a pause of ``gap``; sessions are merged on the map side before the shuffle.
+
+    Sessions still open at the end of the data are not given; the same call on a static table gives all of them.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("s"), *by)
     out = out.agg(F.count(F.lit(1)).alias("n"))
