@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import documents
-from sightline.llm.langid import held_out, training_sample
+from sightline.llm.langid import held_out
 
 #: Bounds of the training sample: documents of each label and characters of a document.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 6000
@@ -211,13 +211,26 @@ class LineChain:
         return list(zip(text.split("\n"), good.tolist(), strict=True))
 
 
+def first_of(rows: DataFrame, order, n: int) -> DataFrame:
+    """The first `n` rows of each label in `order`."""
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy("label").orderBy(order))).filter(F.col("_nth") <= n).drop("_nth")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> LineChain:
     """Fit the chain to labelled rows that are not held out; the sample, and so the driver's share, is bounded by both parameters."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
     shares = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
-    rows = documents(docs, id_col, text_col).join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    rows = training_sample(rows, "label", per_label, chars, 2).collect()
     chain = LineChain()
+    if len(shares) < 2:
+        return chain
+    # Ids are drawn first: two labels times `per_label` of them at most, so they may be broadcast and no text is shuffled.
+    order = F.xxhash64(F.col("_id"))
+    part = F.when(F.col("label") == 1, min(1.0, 3.0 * per_label / shares[1])).otherwise(min(1.0, 3.0 * per_label / shares[0]))
+    drawn = first_of(marks.filter(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < part), order, per_label)
+    rows = documents(docs, id_col, text_col).join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).filter(F.length("text") > 0)
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    rows = rows.select("label", "doc_id", F.substr("text", start, F.lit(chars)).alias("piece"))
+    rows = first_of(rows, F.xxhash64("doc_id", "piece"), per_label).orderBy("label", "doc_id", "piece").collect()
     if len({r["label"] for r in rows}) == 2:
         chain.train([r["piece"].encode() for r in rows], [r["label"] for r in rows], good_share=shares[1] / sum(shares.values()))
     return chain
