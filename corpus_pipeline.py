@@ -10,19 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import exact_dedup, langid, lsh_forest, mixing, packing
-from sightline.llm.common import id_key
+from sightline.llm.common import without
 from sightline.session import materialize
 
 #: Stages with a trained model cannot be said in SQL; the stages' tests hold them against brute force instead.
 ORACLE_SQL = None
 
 
-def _with_decisions(docs: DataFrame, decided: DataFrame, keep: str = "left_semi") -> DataFrame:
-    """Rows of `docs` whose id is among `decided` (column doc_id); a null id matches a null id."""
-    stay = decided.select(id_key(F.col("doc_id")).alias("_id_key")).distinct()
-    return docs.withColumn("_id_key", id_key(F.col("doc_id"))).join(stay, "_id_key", keep).select(*docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network can tell.
 
@@ -34,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs
     found = materialize(langid.identify(docs, model), "languages")
     rejected = (F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < 1.2 / max(2, len(model.labels)))
-    return _with_decisions(docs, found.groupBy("doc_id").agg(F.min(rejected).alias("rejected")).filter("rejected"), "left_anti")
+    return without(docs, found.groupBy("doc_id").agg(F.min(rejected).alias("rejected")).filter("rejected"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +38,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the one with the smallest id."""
-    return _with_decisions(docs, lsh_forest.near_duplicates(docs, width=5).filter("kept"))
+    found = materialize(lsh_forest.near_duplicates(docs, width=5), "near")
+    return without(docs, found.filter("NOT kept"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,34 @@ def one_of_each(rows: DataFrame, key: list[str]) -> DataFrame:
     """One row of those that agree in `key`."""
     order = F.xxhash64(*[c for c in rows.columns if c not in key]).desc() if len(rows.columns) > len(key) else F.lit(1)
     return rows.withColumn("_nth_row", F.row_number().over(Window.partitionBy(*key).orderBy(order))).filter("_nth_row = 1").drop("_nth_row")
+
+
+def _slot(bits: int, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
+
+
+def bitmap(keys: DataFrame, bits: int, *key: str) -> DataFrame:
+    """The slots of keys in a bitmap of `bits` bits: bits / 32768 rows of 4 KB at most, so it may be broadcast at any size of the input."""
+    slots = keys.select(_slot(bits, *key).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+
+
+def marked(rows: DataFrame, bits_of: DataFrame, bits: int, flag: str, *key: str) -> DataFrame:
+    """Adds `flag`: the bit of the row's key is set. True for every key of the bitmap, and by chance for some others."""
+    rows = rows.withColumn("_slot", _slot(bits, *key)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
+    at = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(bits_of), "_bucket", "left").withColumn(flag, found).drop("_slot", "_bucket", "_bits")
+
+
+#: Bits of a bitmap of document ids (512 KB).
+ID_BITS = 1 << 22
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of `docs` whose id is not among `dropped` (column doc_id; a null meets a null). Only rows that may be dropped are shuffled."""
+    gone = dropped.select(id_key(F.col("doc_id")).alias("_id_key")).distinct()
+    rows = marked(docs.withColumn("_id_key", id_key(F.col(id_col))), bitmap(gone, ID_BITS, "_id_key"), ID_BITS, "_maybe", "_id_key")
+    passed = rows.filter("_maybe").join(gone, "_id_key", "left_anti")
+    return rows.filter("NOT _maybe").select(*docs.columns).union(passed.select(*docs.columns))

@@ -7,10 +7,10 @@ group. Texts never leave the scan that reads them: only ids, lengths and hashes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import all_salts, documents, id_key, one_of_each, salted
+from sightline.llm.common import all_salts, bitmap, documents, id_key, marked, one_of_each, salted
 from sightline.session import materialize
 
 #: Bits of the bitmap of lengths (128 KB) and of the bitmap of lengths with prefix hashes (512 KB).
@@ -18,23 +18,9 @@ LENGTH_BITS = 1 << 20
 PREFIX_BITS = 1 << 22
 
 
-def _slot(bits: int, *key: str) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
-
-
-def _bitmap(rows: DataFrame, bits: int, *key: str) -> DataFrame:
-    """Bits of the keys that several rows share: at most bits / 32768 rows of 4 KB."""
-    shared = rows.groupBy(*key).count().filter("count > 1").select(_slot(bits, *key).alias("slot"))
-    return shared.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
-
-
-def _marked(rows: DataFrame, bitmap: DataFrame, bits: int, flag: str, *key: str) -> DataFrame:
-    """Adds `flag`: the bit of the row's key is set."""
-    rows = rows.withColumn("_slot", _slot(bits, *key)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
-    at = F.bitmap_bit_position("_slot")
-    byte = F.conv(F.hex(F.substr(F.col("_bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return rows.join(F.broadcast(bitmap), "_bucket", "left").withColumn(flag, found).drop("_slot", "_bucket", "_bits")
+def shared(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys that several rows have."""
+    return rows.groupBy(*key).count().filter("count > 1")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 256, digest_all: bool = False, salts: int = 16) -> DataFrame:
@@ -52,9 +38,9 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, prefix: int = 256, dige
     text = F.coalesce("text", F.lit(""))
     rows = documents(docs, id_col, text_col).select("doc_id", text.alias("text"))
     rows = rows.withColumn("_len", F.octet_length("text").cast("long")).withColumn("_prefix", F.xxhash64(F.substring("text", 1, prefix)))
-    rows = _marked(rows, _bitmap(rows, LENGTH_BITS, "_len"), LENGTH_BITS, "_same_length", "_len")
+    rows = marked(rows, bitmap(shared(rows, "_len"), LENGTH_BITS, "_len"), LENGTH_BITS, "_same_length", "_len")
     several = rows.filter("_same_length")
-    rows = _marked(rows, _bitmap(several, PREFIX_BITS, "_len", "_prefix"), PREFIX_BITS, "_same_prefix", "_len", "_prefix")
+    rows = marked(rows, bitmap(shared(several, "_len", "_prefix"), PREFIX_BITS, "_len", "_prefix"), PREFIX_BITS, "_same_prefix", "_len", "_prefix")
     whole = F.unhex(F.sha2("text", 256))
     digest = whole if digest_all else F.when(F.col("_same_length") & F.col("_same_prefix"), whole)
     key = ["_len", "_prefix", "_sha"]
@@ -77,6 +63,12 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, prefix: int = 256, dige
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that `exact_groups` keeps, with all their columns. Of rows that repeat an id and its text the one whose columns sort last stays."""
     key = ["_id_key", "_text_hash"]
-    stay = _groups(docs, id_col, text_col, **options).filter("kept").select(id_key(F.col("doc_id")).alias("_id_key"), F.col("text_hash").alias("_text_hash"))
+    groups = _groups(docs, id_col, text_col, **options).filter("group_size > 1")
+    groups = materialize(groups.select(id_key(F.col("doc_id")).alias("_id_key"), F.col("text_hash").alias("_text_hash"), "kept"), "copies")
     rows = docs.withColumn("_id_key", id_key(F.col(id_col))).withColumn("_text_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    return one_of_each(rows.join(stay, key, "left_semi"), key).select(*docs.columns)
+    rows = marked(rows, bitmap(groups, PREFIX_BITS, *key), PREFIX_BITS, "_maybe", *key)
+    # Only texts that may have copies are shuffled; a bit set by chance sends a row through the join, which lets it pass.
+    checked = rows.filter("_maybe")
+    others = checked.join(groups.select(*key).distinct(), key, "left_anti")
+    stay = one_of_each(checked.join(groups.filter("kept").select(*key).distinct(), key, "left_semi"), key)
+    return rows.filter("NOT _maybe").select(*docs.columns).union(others.select(*docs.columns)).union(stay.select(*docs.columns))

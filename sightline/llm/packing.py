@@ -52,6 +52,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names[: 5 + with_ids])
+        encoder(path).forget()
 
     rows = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, PIECE + ", ids binary" * with_ids)

@@ -156,6 +156,13 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(numbers)])]
         return ids, ends
 
+    def forget(self) -> None:
+        """Give the kept chunks back at the end of a task, so idle workers stay small."""
+        import pyarrow as pa
+
+        self.spaced, self.bare, self.before = {}, {}, ({}, {})
+        pa.default_memory_pool().release_unused()
+
 
 def _ranges(starts, lengths):
     """The places starts[0].., lengths[0] of them, then starts[1].., and so on."""

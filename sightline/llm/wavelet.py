@@ -194,6 +194,7 @@ def _encode_shards(tokenizer: str, bits: int, shard_tokens: int):
                     size += b - a
         if held:
             yield shard()
+        encoder(tokenizer).forget()
 
     return run
 
