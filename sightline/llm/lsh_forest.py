@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import all_salts, documents, salted
+from sightline.llm.common import ID_BITS, all_salts, bitmap, documents, marked, salted
 from sightline.llm.components import connected_components
 from sightline.session import materialize
 
@@ -113,10 +113,16 @@ def signatures(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, width: i
                         col.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([some["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_shingles", "set_a", "set_b", "sig", "prefixes"])
+        forget_words()
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary, prefixes array<long>")
 
 
+def forget_words() -> None:
+    """Give the kept words back at the end of a task, so idle workers stay small."""
+    word_numbers().clear()
+
+
 def _find(parent: dict, x):
     while (p := parent.get(x, x)) != x:
         parent[x] = parent.get(p, p)
@@ -229,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, share = trees * depth, percent / 100
     agree = max(1, int(n * share - SLACK * (n * share * (1 - share)) ** 0.5))
     ties = materialize(orders.mapInArrow(_neighbour_ties(agree, neighbours, percent), "a long, b long").filter("a <> b").distinct(), "ties")
-    classes = connected_components(ties, salts)
+    classes = materialize(connected_components(ties, salts), "classes")
     links = materialize(confirmed_links(rows, classes, percent, width, agree, trees, depth, salts), "links")
     found = connected_components(links, salts)
     reps = nodes.join(found, nodes["rep"] == found["id"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component"))
@@ -248,6 +254,9 @@ def confirmed_links(rows: DataFrame, classes: DataFrame, percent: int, width: in
     sizes = all_salts(sizes.select(F.col("label").alias("_label"), F.ceil(F.col("_n") / BLOCK).alias("chunks")), salts).withColumnRenamed("_salt", "_salt2")
     placed = salted(classes, F.xxhash64("id"), salts).join(sizes, (F.col("label") == F.col("_label")) & (F.col("_salt") == F.col("_salt2")))
     placed = placed.select("id", "label", "chunks", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).alias("chunk"))
+    placed = materialize(placed, "placed")
+    # Only texts of tied documents are shuffled.
+    rows = marked(rows, bitmap(placed.select(F.col("id").alias("doc_id")), ID_BITS, "doc_id"), ID_BITS, "_tied", "doc_id").filter("_tied")
     texts = placed.join(rows, placed["id"] == rows["doc_id"]).select("id", "label", "chunk", "chunks", "text")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     pairs = texts.withColumn("_other", other).select("label", F.least("chunk", "_other").alias("a"), F.greatest("chunk", "_other").alias("b"), "chunk", "id", "text")
