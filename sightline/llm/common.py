@@ -68,3 +68,17 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     rows = marked(docs.withColumn("_id_key", id_key(F.col(id_col))), bitmap(gone, ID_BITS, "_id_key"), ID_BITS, "_maybe", "_id_key")
     passed = rows.filter("_maybe").join(gone, "_id_key", "left_anti")
     return rows.filter("NOT _maybe").select(*docs.columns).union(passed.select(*docs.columns))
+
+
+def release_memory() -> None:
+    """At the end of a Python task: hand freed memory back to the system, as the worker stays beside the next stage's tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import documents
+from sightline.llm.common import documents, release_memory
 
 UNKNOWN = "und"
 PAD = 256
@@ -249,6 +249,7 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
                 else:
                     pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 yield pa.RecordBatch.from_arrays([some["doc_id"], some["held_out"], pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        release_memory()
 
     rows = documents(docs, id_col, text_col)
     rows = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

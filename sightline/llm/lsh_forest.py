@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import ID_BITS, all_salts, bitmap, documents, marked, salted
+from sightline.llm.common import ID_BITS, all_salts, bitmap, documents, marked, release_memory, salted
 from sightline.llm.components import connected_components
 from sightline.session import materialize
 
@@ -121,6 +121,7 @@ def signatures(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, width: i
 def forget_words() -> None:
     """Give the kept words back at the end of a task, so idle workers stay small."""
     word_numbers().clear()
+    release_memory()
 
 
 def _find(parent: dict, x):

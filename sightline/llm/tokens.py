@@ -12,6 +12,8 @@ import os
 import re
 from collections.abc import Iterator
 
+from sightline.llm.common import release_memory
+
 #: Kept chunks of one generation; the one before stays readable, so a worker holds twice as many at most.
 KEPT = 250_000
 
@@ -158,10 +160,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Give the kept chunks back at the end of a task, so idle workers stay small."""
-        import pyarrow as pa
-
         self.spaced, self.bare, self.before = {}, {}, ({}, {})
-        pa.default_memory_pool().release_unused()
+        release_memory()
 
 
 def _ranges(starts, lengths):
