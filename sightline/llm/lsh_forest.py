@@ -5,6 +5,9 @@ at another place of the signature and goes around. In an order, sets that share
 region is as deep as it needs to be: a set is compared with its nearest neighbours in the order, which in a sparse
 region share only the least prefix and in a dense one a long one. Neighbours whose signatures agree often enough tie
 their region together, and classes tied in this way are confirmed on full shingle sets, in blocks of bounded size.
+
+In a region of more sets than a set has neighbours some pairs never meet. Sets that missed a partner of another class so
+are joined exactly: two sets that are similar enough share one of their rarest shingles, so those alone are joined.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ TREES, DEPTH, NEIGHBOURS = 24, 5, 32
 #: Part of the signature that must agree for a tie: five standard deviations under the similarity asked for.
 SLACK = 5.0
 BLOCK = 256  # sets of one block of a class
+#: Sets whose shingles are counted, and counts kept, to tell common shingles from rare ones.
+COUNTED, COMMON = 4096, 1 << 16
+#: Standard deviations under the similarity asked for at which signatures still let a pair of the exact join pass (chance 1e-15).
+PASS = 8.0
 
 _A, _B, _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -132,14 +139,26 @@ def _find(parent: dict, x):
 
 
 def _neighbour_ties(agree: int, neighbours: int, percent: int):
-    """Reads sorted rows (tree, prefix, id, n, sig); gives ties (a, b) that connect what agrees, none twice in a region."""
+    """Reads sorted rows (tree, prefix, id, n, sig); gives ties (a, b) that connect what agrees, none twice in a region.
+
+    Rows (a, null, region) are sets that did not meet all of their region: it holds more than the neighbours, or it may
+    go on in the task before or after.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        held = None
+        held = first = None
         parent: dict = {}
+
+        def rows(a: list, b: list, region: list):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a + [r[0] for r in region], b + [None] * len(region), [None] * len(a) + [r[1] for r in region])], ["a", "b", "region"])
+
+        def crowded(some, tree, prefix, ids) -> list:
+            region = _mix(prefix[some].view(np.uint64) * np.uint64(_A) + tree[some].astype(np.uint64)).view(np.int64)
+            return list(zip(ids[some].tolist(), region.tolist(), strict=True))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -151,6 +170,16 @@ def _neighbour_ties(agree: int, neighbours: int, percent: int):
                 fresh = len(held[0])
                 now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
             tree, prefix, ids, n, sig = now
+            if first is None:
+                first = tree[0], prefix[0]
+                seen = 0
+            far = np.arange(max(fresh, neighbours + 1), len(ids))
+            far = far[(prefix[far] == prefix[far - neighbours - 1]) & (tree[far] == tree[far - neighbours - 1])]
+            missed = crowded(np.union1d(far, far - neighbours - 1), tree, prefix, ids)
+            if seen <= neighbours:
+                border = np.arange(fresh, min(len(ids), fresh + neighbours + 1 - seen))
+                missed += crowded(border[(tree[border] == first[0]) & (prefix[border] == first[1])], tree, prefix, ids)
+            seen += len(ids) - fresh
             a_out, b_out = [], []
             live = np.arange(len(ids))
             for d in range(1, neighbours + 1):
@@ -169,10 +198,13 @@ def _neighbour_ties(agree: int, neighbours: int, percent: int):
                             parent[max(rx, ry)] = min(rx, ry)
                             a_out.append(x)
                             b_out.append(y)
-            held = [x[-neighbours:] for x in now]
+            held = [x[-neighbours - 1 :] for x in now]
             if len(parent) > 200_000:
                 parent.clear()  # the next ties of a region may repeat known ones; none is lost
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+            yield rows(a_out, b_out, missed)
+        if held is not None:
+            tree, prefix, ids = held[:3]
+            yield rows([], [], crowded(np.flatnonzero((tree == tree[-1]) & (prefix == prefix[-1])), tree, prefix, ids))
 
     return run
 
@@ -218,8 +250,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reach, and its smallest id stays. Texts that are null, empty or white space have an empty set and link with nothing.
     Rows that repeat an id are one document. A null id has a class of its own: component_id null, kept true.
 
-    With the defaults two sets of similarity 0.8 share a region with probability 1 - 7e-5 (0.9: 1 - 1e-9), and links are
-    confirmed on full sets, so none is reported wrongly. Copies of one set are one node throughout.
+    With the defaults two sets of similarity 0.8 share a region with probability 1 - 7e-5 (0.9: 1 - 1e-9), however many
+    sets the region has, and links are confirmed on full sets, so none is reported wrongly. Copies of one set are one
+    node throughout.
     """
     rows = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = materialize(signatures(rows, trees, depth, width), "signatures")
@@ -235,9 +268,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     orders = orders.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_deeper")
     n, share = trees * depth, percent / 100
     agree = max(1, int(n * share - SLACK * (n * share * (1 - share)) ** 0.5))
-    ties = materialize(orders.mapInArrow(_neighbour_ties(agree, neighbours, percent), "a long, b long").filter("a <> b").distinct(), "ties")
+    met = materialize(orders.mapInArrow(_neighbour_ties(agree, neighbours, percent), "a long, b long, region long").filter("b IS NULL OR a <> b").distinct(), "ties")
+    ties = met.filter("b IS NOT NULL").select("a", "b")
     classes = materialize(connected_components(ties, salts), "classes")
     links = materialize(confirmed_links(rows, classes, percent, width, agree, trees, depth, salts), "links")
+    crowded = materialize(open_regions(met.filter("b IS NULL").select(F.col("a").alias("id"), "region"), classes, salts), "crowded")
+    if crowded.limit(1).count():
+        pass_at = max(1, int(n * share - PASS * (n * share * (1 - share)) ** 0.5))
+        links = links.union(materialize(crowded_links(rows, crowded, percent, width, pass_at, n, salts), "crowded-links"))
     found = connected_components(links, salts)
     reps = nodes.join(found, nodes["rep"] == found["id"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component"))
     # Rows that repeat an id join the sets they have.
@@ -262,3 +300,125 @@ def confirmed_links(rows: DataFrame, classes: DataFrame, percent: int, width: in
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     pairs = texts.withColumn("_other", other).select("label", F.least("chunk", "_other").alias("a"), F.greatest("chunk", "_other").alias("b"), "chunk", "id", "text")
     return pairs.groupBy("label", "a", "b").applyInPandas(_confirm(percent, width, agree, trees, depth), "a long, b long")
+
+
+def open_regions(members: DataFrame, classes: DataFrame, salts: int) -> DataFrame:
+    """(id, label): members (id, region) of regions that are not of one class. Pairs of one class are all confirmed anyway."""
+    own = members.join(classes, "id", "left").select("id", "region", F.coalesce("label", "id").alias("label"))
+    several = own.groupBy("region").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
+    several = all_salts(several.select(F.col("region").alias("_region")), salts).withColumnRenamed("_salt", "_salt2")
+    own = salted(own, F.xxhash64("id"), salts).join(several, (F.col("region") == F.col("_region")) & (F.col("_salt") == F.col("_salt2")))
+    return own.select("id", "label").distinct()
+
+
+def crowded_links(rows: DataFrame, crowded: DataFrame, percent: int, width: int, agree: int, n: int, salts: int) -> DataFrame:
+    """All links between sets of `crowded` (id, label) of different labels, by a prefix-filter join on rare shingles.
+
+    Shingles are ordered by how many of a sample's sets have them; the sample decides what the join costs, and any order
+    gives all links: a set of similarity `percent` shares at least that part of either set, so one of the rest and one
+    more, taken in one order from both sets, is common. Common shingles are joined in blocks.
+    """
+    texts = marked(rows, bitmap(crowded.select(F.col("id").alias("doc_id")), ID_BITS, "doc_id"), ID_BITS, "_crowded", "doc_id").filter("_crowded")
+    texts = crowded.join(texts, crowded["id"] == texts["doc_id"]).select("id", "label", "text")
+    draw = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30) < COUNTED / crowded.count()
+    counts = texts.filter(draw).select("text").mapInArrow(_shingles_of(width), "s long").groupBy("s").count().filter("count > 1")
+    counts = counts.orderBy(F.desc("count"), "s").limit(COMMON).orderBy("s").toArrow()
+    common, often = counts["s"].to_numpy(), counts["count"].to_numpy()
+    made = materialize(texts.mapInArrow(_rarest(percent, width, n, common, often), "id long, label long, n long, sig binary, rare array<long>"), "rarest")
+    entries = made.select("id", "label", "n", F.explode("rare").alias("s"))
+    several = entries.groupBy("s").agg(F.count("*").alias("_n"), F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high")
+    several = all_salts(several.select(F.col("s").alias("_s"), F.ceil(F.col("_n") / BLOCK).alias("chunks")), salts).withColumnRenamed("_salt", "_salt2")
+    entries = salted(entries, F.xxhash64("id"), salts).join(several, (F.col("s") == F.col("_s")) & (F.col("_salt") == F.col("_salt2"))).select("s", "id", "label", "n", "chunks")
+    left = entries.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks"))).alias("l")
+    right = entries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).alias("r")
+    near = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    pairs = left.join(right, (F.col("l.s") == F.col("r.s")) & (F.col("l.chunk") == F.col("r.chunk")) & (F.col("l.label") < F.col("r.label")) & near)
+    pairs = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).filter("a <> b").distinct()
+
+    def both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(of.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+    alike = materialize(both(pairs, made, "sig").mapInArrow(_agreeing(agree), "a long, b long").distinct(), "alike")
+    ids = alike.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = marked(rows, bitmap(ids, ID_BITS, "doc_id"), ID_BITS, "_alike", "doc_id").filter("_alike").select(F.col("doc_id").alias("id"), "text")
+    return both(alike, texts, "text").mapInArrow(_similar(percent, width), "a long, b long").distinct()
+
+
+def _shingles_of(width: int):
+    """Reads texts; gives their shingles, each once a text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        words = word_numbers()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words, width).view("int64"))], ["s"])
+        forget_words()
+
+    return run
+
+
+def _rarest(percent: int, width: int, n: int, common, often):
+    """Reads (id, label, text); gives size, signature and the rarest shingles of each set, as many as must hold one that a similar set has too."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        words, (fa, fb) = word_numbers(), _functions(n)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                sizes, sigs, rare = [], [], []
+                for text in some["text"].to_pylist():
+                    s = shingle_set(text, words, width)
+                    own = s.view(np.int64)
+                    count = np.zeros(len(own), np.int64)
+                    if len(common):
+                        i = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                        count = np.where(common[i] == own, often[i], 0)
+                    sizes.append(len(own))
+                    sigs.append((signature(s, fa, fb) >> np.uint32(24)).astype(np.uint8).tobytes())
+                    rare.append(own[np.lexsort((own, count))[: len(own) - -(-percent * len(own) // 100) + 1]] if len(own) else own)
+                yield pa.RecordBatch.from_arrays([some["id"], some["label"], pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["id", "label", "n", "sig", "rare"])
+        forget_words()
+
+    return run
+
+
+def _agreeing(agree: int):
+    """Reads (a, b, sig_a, sig_b); gives pairs whose signatures agree in so many values."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array((x == y).sum(1) >= agree))
+
+    return run
+
+
+def _similar(percent: int, width: int):
+    """Reads (a, b, text_a, text_b); gives pairs that pass on their full sets."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        words = word_numbers()
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True):
+                x, y = shingle_set(x, words, width), shingle_set(y, words, width)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        forget_words()
+
+    return run

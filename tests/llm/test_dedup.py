@@ -7,6 +7,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from sightline.llm import exact_dedup, lsh_forest
 from sightline.llm.components import connected_components
 
@@ -93,6 +95,28 @@ def test_many_blocks_and_long_chains(spark, monkeypatch):
     assert got == near_brute(chain)
 
 
+def test_crowded_regions_lose_no_link(spark, monkeypatch):
+    """Texts of one boilerplate share short prefixes by the hundred; true copies among them stand far apart in every order."""
+    # One region of one order stands for regions of thousands of sets in all of them.
+    signatures = lsh_forest.signatures
+    monkeypatch.setattr(lsh_forest, "signatures", lambda *a: signatures(*a).withColumn("prefixes", F.array(F.lit(1).cast("long"))))
+    rng = random.Random(8)
+    plate = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        rows.append((i, " ".join(plate + [f"o{i}x{k}" for k in range(40)])))
+    for i in range(0, 150, 5):
+        own = rows[i][1].split()
+        for k in range(5):
+            own[60 + 8 * k] = f"n{i}x{k}"  # similarity near 0.8
+        rows.append((200 + i, " ".join(own)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, lsh_forest.near_duplicates(docs, neighbours=2, salts=2).collect()), key=repr)
+    want = near_brute(rows)
+    assert sum(not r[3] for r in want) == 30 and got == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 7), (7, 900), (3, 3)], "a long, b long")
     got = {r["id"]: r["label"] for r in connected_components(edges).collect()}
