@@ -31,7 +31,7 @@ FORMS = {
     "token": r"(?<!\w)(?:ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d{2}(?:\d{2}|:\d{2}|[Zz]|\b))|(?![\w/-]|\.\d))|(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w(.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
@@ -39,6 +39,33 @@ FORMS = {
 }
 _FORM = re.compile("|".join(f"(?P<{k}>{v})" for k, v in FORMS.items()), re.ASCII)
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: int(n)
+    for n, countries in {
+        "15": "NO", "16": "BE", "18": "DK FI FK FO GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV", "22": "BG BH CR DE GB GE IE ME RS VA",
+        "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST", "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HU LB NI PL SV",
+        "29": "BR EG PS QA UA", "30": "JO KW MU YE", "31": "MT SC", "32": "LC", "33": "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def ends(kind: str, found: str) -> list[int]:
+    """Lengths of `found` to try, the likeliest first: all of it, or as far as a group of it ends.
+
+    Of a card the shortest is tried first, so that a security code or an expiry that happens to fit the checksum does
+    not join it; of an IBAN its country's length is.
+    """
+    if kind not in ("card", "iban"):
+        return [len(found)]
+    groups = [i for i in range(1, len(found) + 1) if found[i - 1].isalnum() and (i == len(found) or not found[i].isalnum())]
+    if kind == "card":
+        return [i for i in groups if sum(map(str.isdigit, found[:i])) >= 13]
+    plain = {i: i - found.count(" ", 0, i) for i in groups}
+    own = IBAN_LENGTHS.get(found[:2])
+    return sorted((i for i in groups if plain[i] >= 15), key=lambda i: (plain[i] != own, -i))
+
 
 class Permutation:
     """Keyed permutation of 0..size-1, one for each kind and size."""
@@ -159,8 +186,13 @@ class Pseudonyms:
         if kind == "date":
             return self._date(text, step)
         if kind == "card":
-            if _luhn(digits[:-1]) != int(digits[-1]) or digits[0] not in "3456":
+            if _luhn(digits[:-1]) != int(digits[-1]) or digits[0] not in "23456":
                 return None
+            if digits[0] == "2":
+                if len(digits) != 16 or not 2221 <= int(digits[:4]) <= 2720:
+                    return None
+                body = f"{2221 * 10**11 + self._move('card2', int(digits[:-1]) - 2221 * 10**11, 500 * 10**11, step)}"
+                return _refill(text, body + str(_luhn(body)))
             middle = digits[1:-1]
             body = digits[0] + f"{self._move(f'card{digits[0]}', int(middle), 10 ** len(middle), step):0{len(middle)}d}"
             return _refill(text, body + str(_luhn(body)))
@@ -217,14 +249,13 @@ class Pseudonyms:
         """The text with every valid value replaced, and what was replaced: kind, start (in the new text), length, pseudonym."""
         out, found, at, copied, made = [], [], 0, 0, 0
         while m := _FORM.search(text, at):
-            new = self.of(m.lastgroup, m[0], step)
+            kind = m.lastgroup
+            new, end = self._fitting(kind, m, step)
             if new is None:
                 new, kind, end = self._other(m, text, step)
                 if new is None:
                     at = m.start() + 1
                     continue
-            else:
-                kind, end = m.lastgroup, m.end()
             out += [text[copied : m.start()], new]
             made += m.start() - copied
             found.append({"kind": kind, "start": made, "length": len(new), "pseudonym": new})
@@ -232,11 +263,20 @@ class Pseudonyms:
             at = copied = end
         return ("".join([*out, text[copied:]]), found) if found else (text, found)
 
+    def _fitting(self, kind: str, m: re.Match, step: int) -> tuple[str | None, int]:
+        """The pseudonym of the match or of the part of it that passes the kind's check, and where that ends."""
+        for n in ends(kind, m[0]):
+            if (new := self.of(kind, m[0][:n], step)) is not None:
+                return new, m.start() + n
+        return None, 0
+
     def _other(self, m: re.Match, text: str, step: int) -> tuple[str | None, str, int]:
         """Another kind that the same place satisfies, when the first one failed its check."""
         for kind in list(FORMS)[list(FORMS).index(m.lastgroup) + 1 :]:
-            if (n := _ALONE[kind].match(text, m.start())) and (new := self.of(kind, n[0], step)) is not None:
-                return new, kind, n.end()
+            if n := _ALONE[kind].match(text, m.start()):
+                new, end = self._fitting(kind, n, step)
+                if new is not None:
+                    return new, kind, end
         return None, "", 0
 
 

@@ -175,6 +175,28 @@ def test_pseudonyms():
     assert pii.Pseudonyms(b"other").rewrite(text)[0] != new
 
 
+@pytest.mark.parametrize(
+    ("value", "after", "kind"),
+    [
+        ("4111 1111 1111 1111", " 12/27", "card"),
+        ("4111 1111 1111 1111", " 123", "card"),
+        ("5555-5555-5555-4444", " 04/29 737", "card"),
+        ("3782 822463 10005", " 1234", "card"),
+        ("2223 0031 2200 3222", " 12/27", "card"),
+        ("DE89 3704 0044 0532 0130 00", " BIC COBADEFF", "iban"),
+        ("DE89370400440532013000", " 2024-01-01", "iban"),
+        ("2024-02-29", "T10:30:00Z", "date"),
+    ],
+)
+def test_values_before_other_numbers(value, after, kind):
+    names = pii.Pseudonyms(b"k")
+    alone, [only] = names.rewrite(value)
+    new, found = names.rewrite(f"pay {value}{after} now")
+    assert value not in new and found[0]["kind"] == kind == only["kind"]
+    assert new.startswith(f"pay {alone} ") or new == f"pay {alone}{after} now"
+    assert names.rewrite(new, -1)[0] == f"pay {value}{after} now"
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(2, 3000))
 def test_permutation(size):
