@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, cover_tree, exact_dedup, langid, lsh_forest, mixing, packing, pii, quality, wavelet
+from sightline.llm import chat, cover_tree, divergence, exact_dedup, langid, lsh_forest, mixing, packing, pii, quality, wavelet
 from sightline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,36 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cover_tree.quantized(_table(spark, sf_dir, "embeddings"))
     return cover_tree.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+@_query(
+    "op13_divergence",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ),
+    u AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS uses, count(DISTINCT r) AS docs FROM u GROUP BY ALL),
+    k AS (SELECT lang, term, sum(uses) AS lang_uses FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+    l AS (SELECT lang, count(*) AS v, sum(lang_uses) AS lang_total FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    x AS (SELECT g.lang, g.source, k.term, k.lang_uses, coalesce(c.uses, 0) AS uses FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    n AS (SELECT lang, source, sum(uses) AS total FROM x GROUP BY ALL),
+    p AS (
+      SELECT x.lang, x.source, x.term, x.uses, 1 + (1000000000::HUGEINT * (x.uses + 5)) // (n.total + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (x.lang_uses + 5)) // (l.lang_total + 5 * l.v) AS q
+      FROM x JOIN n ON x.lang = n.lang AND x.source = n.source JOIN l ON x.lang = l.lang
+    ),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    f AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE uses > 0 AND p > q
+    ),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
