@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, cover_tree, divergence, exact_dedup, langid, lsh_forest, mixing, packing, pii, quality, simhash, wavelet
+from sightline.llm import chat, cover_tree, divergence, exact_dedup, langid, lsh_forest, mixing, packing, pii, quality, repair, simhash, wavelet
 from sightline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +197,73 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op12_simhash")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def _edit(weight: str, cost: str, letter: str) -> str:
+    """SQL of a weight (nine digits of cost, then the audit) after one more edit."""
+    return f"lpad(CAST(CAST({weight}[1:9] AS INTEGER) + {cost} AS VARCHAR), 9, '0') || {weight}[10:] || '{letter}'"
+
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({key}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@_query(
+    "op11_repair",
+    f"""
+    WITH RECURSIVE t AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_CRC32.format(key="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS hit FROM conversations
+    ),
+    d AS (
+      SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE hit WHEN 3 THEN 2 ELSE 1 END)) FROM t WHERE hit <> 0
+    ),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+    f AS (
+      SELECT conv_id, turn, role, text, i, role[1:1] AS ini, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS prev,
+        CASE WHEN rtrim(text, ' 	
+
+') = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+          WHEN rtrim(text, ' 	
+
+')[-1:] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+      FROM n
+    ),
+    r AS (
+      SELECT conv_id, 0 AS i, '000000000' AS k0, CAST(NULL AS VARCHAR) AS k1, '000000003I' AS k2, '000000006II' AS k3 FROM (SELECT DISTINCT conv_id FROM n)
+      UNION ALL
+      SELECT conv_id, i, k0, k1, k2, least(k3, {_edit("k2", "3", "I")}) FROM (
+        SELECT conv_id, i, k0, k1, least(k2, {_edit("least(k0, k1, k3)", "3", "I")}) AS k2, k3 FROM (
+          SELECT conv_id, i, {_edit("k0", "4", "D")} AS k0, least({_edit("k1", "4", "D")}, CASE WHEN ini = 's' THEN {_edit("k0", "pen", "K")} END) AS k1,
+            least({_edit("k2", "4", "D")}, CASE WHEN ini = 'u' THEN {_edit("m", "pen", "K")} END, {_edit("m", "pen + 3", "R")}) AS k2,
+            least({_edit("k3", "4", "D")}, CASE WHEN ini = 'a' THEN {_edit("k2", "pen", "K")} END, {_edit("k2", "pen + 3", "R")}) AS k3
+          FROM (
+            SELECT r.conv_id, f.i, f.ini, k0, k1, k2, k3, least(k0, k1, k3) AS m, CASE f.fault WHEN '' THEN 0 WHEN 't' THEN 3 END AS pen
+            FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = r.i + 1
+          )
+        )
+      )
+    ),
+    a AS (SELECT conv_id, least(k0, k3) AS w, (length(least(k0, k3)) - 9 - len(regexp_extract_all(least(k0, k3), 'D'))) % 2 AS lead FROM r QUALIFY i = max(i) OVER (PARTITION BY conv_id)),
+    l AS (SELECT conv_id, lead, unnest(string_split(w[10:], '')) AS e, unnest(range(length(w) - 9)) AS pos FROM a WHERE length(w) > 9),
+    o AS (
+      SELECT *, CAST(count(*) FILTER (e <> 'I') OVER p AS BIGINT) AS i, (count(*) FILTER (e <> 'D') OVER p - lead) % 2 AS odd FROM l
+      WINDOW p AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    ),
+    p AS (
+      SELECT o.conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN f.role WHEN odd = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY pos)) AS digest
+      FROM o LEFT JOIN f ON o.conv_id IS NOT DISTINCT FROM f.conv_id AND o.i = f.i WHERE e <> 'D' GROUP BY o.conv_id
+    ),
+    s AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+    )
+    SELECT c.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+      coalesce(CAST(a.w[1:9] AS BIGINT), 0) AS cost, coalesce(a.w[10:], '') AS audit, coalesce(p.digest, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
+      LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
