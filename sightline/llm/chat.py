@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 Turns = list[tuple[str, str]]
 Template = Callable[[Turns], str]
 
-#: Private-use characters that stand for a turn's text in a probe.
-SENTINEL = "\ue000\ue001"
+#: Private-use characters that stand for a turn's text in a probe: the first, then the second so often that no text around holds them.
+SENTINEL = "\ue000", "\ue001"
 
 #: The default template's marks: control strings are these with no backslash after the bracket.
 _TAIL = r"/?(?:s>|INST\]|TURN[ \]])"
@@ -81,12 +81,15 @@ def _common(a: str, b: str) -> int:
 
 def _place(template: Template, turns: Turns, k: int, output: str) -> tuple[int, int] | None:
     """Where turn k's text lies in `output`, the rendering of `turns`."""
-    probe = template([*turns[:k], (turns[k][0], SENTINEL), *turns[k + 1 :]])
-    if probe.count(SENTINEL) != 1:
+    sentinel = "".join(SENTINEL)
+    while sentinel in output:
+        sentinel += SENTINEL[1]
+    probe = template([*turns[:k], (turns[k][0], sentinel), *turns[k + 1 :]])
+    if probe.count(sentinel) != 1:
         return None
-    start = probe.index(SENTINEL)
-    end = len(output) - (len(probe) - start - len(SENTINEL))
-    return (start, end) if end >= start and output[:start] == probe[:start] and output[end:] == probe[start + len(SENTINEL) :] else None
+    start = probe.index(sentinel)
+    end = len(output) - (len(probe) - start - len(sentinel))
+    return (start, end) if end >= start and output[:start] == probe[:start] and output[end:] == probe[start + len(sentinel) :] else None
 
 
 def render(template: Template, turns: Turns) -> tuple[str, list[dict], int | None]:
@@ -112,7 +115,7 @@ def render(template: Template, turns: Turns) -> tuple[str, list[dict], int | Non
     return before, spans, rewrote
 
 
-_SPANS = "array<struct<turn:int,role:string,start:int,end:int,text_start:int,text_end:int>>"
+_SPANS = "array<struct<turn:long,role:string,start:long,end:long,text_start:long,text_end:long>>"
 
 
 def format_conversations(rows: DataFrame, template: Template = marked_turns, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -125,21 +128,24 @@ def format_conversations(rows: DataFrame, template: Template = marked_turns, con
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([(n, pa.string() if n == "role" else pa.int32()) for n in ("turn", "role", "start", "end", "text_start", "text_end")]))
+        kind = pa.list_(pa.struct([(n, pa.string() if n == "role" else pa.int64()) for n in ("turn", "role", "start", "end", "text_start", "text_end")]))
         for batch in batches:
             for i in range(batch.num_rows):
                 own = batch.slice(i, 1)
                 turns = [(t["role"], t["text"]) for t in own["turns"].to_pylist()[0]]
                 text, spans, rewrote = render(template, turns)
-                yield pa.RecordBatch.from_arrays([own["conv_id"], pa.array([text], pa.string()), pa.array([spans], kind), pa.array([rewrote], pa.int32())], ["conv_id", "formatted", "spans", "rewrote"])
+                yield pa.RecordBatch.from_arrays([own["conv_id"], pa.array([text], pa.string()), pa.array([spans], kind), pa.array([rewrote], pa.int64())], ["conv_id", "formatted", "spans", "rewrote"])
 
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     grouped = rows.select(F.col(conv_col).cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return grouped.mapInArrow(run, f"conv_id long, formatted string, spans {_SPANS}, rewrote int")
+    return grouped.mapInArrow(run, f"conv_id long, formatted string, spans {_SPANS}, rewrote long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """From the output of the default template alone: its turns, and the assistant texts under the loss mask."""
+    """From the output of the default template alone: its turns, and the assistant texts under the loss mask.
+
+    An assistant turn whose text has no place in the output raises an error: it must not be left out of the mask unseen.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -151,6 +157,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 digest = hashlib.sha256()
                 for role, body in turns:
                     digest.update(f"{role}\n{body}\n".encode())
+                if any(s["role"] == "assistant" and s["text_start"] is None for s in spans):
+                    raise ValueError("an assistant text has no place in the output")
                 loss = "".join(unescape(text[s["text_start"] : s["text_end"]]) for s in spans if s["role"] == "assistant")
                 for col, v in zip(cols, (len(turns), digest.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)), strict=True):
                     col.append(v)
