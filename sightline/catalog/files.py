@@ -12,6 +12,7 @@ from sightline.operators import export as X
 from sightline.operators import ledger as L
 from sightline.operators.core import ordered_list
 from sightline.session import work_path
+from sightline.sources import folders
 from sightline.sources import readers as R
 from sightline.sources import writers as W
 
@@ -117,71 +118,69 @@ def _(spark, sf):
 # ---------------------------------------------------------------- run folders: an order is a run, its lines are tools
 
 
-def run_files(spark, sf):
-    """The documents of a run folder tree, as (path, content), from orders and lines."""
-    orders, lines = B.table(spark, sf, "orders"), B.table(spark, sf, "lineitem")
-    o = F.col("o_orderkey")
-    root = F.concat(F.lit("/runs/video_x/run_"), o, F.lit("/round_01/"))
-    plan = F.to_json(F.struct(F.col("o_orderpriority").alias("strategy"), F.array(F.struct(F.lit("1").alias("step_id"), F.col("o_orderstatus").alias("tool_name"))).alias("steps")))
-    trace = F.to_json(F.struct(F.concat(F.lit("a"), o).alias("final_answer"), F.array(F.struct(F.lit("e").alias("evidence_id"))).alias("evidence_entries")))
-    audit = F.to_json(F.struct(F.when(F.col("o_orderstatus") == "F", " PASS").otherwise("FAIL").alias("verdict"), F.array(F.lit(" "), F.lit("when")).alias("missing_information")))
-    named = [("planner_plan.json", plan, F.lit(True)), ("synthesizer_trace_package.json", trace, o % 3 != 0), ("auditor_report.json", audit, o % 4 != 0)]
-    docs = F.array_compact(F.array(*[F.when(c, F.struct(F.concat(root, F.lit(n)).alias("path"), d.alias("content"))) for n, d, c in named]))
-    rounds = orders.select(F.explode(docs).alias("d")).select("d.*")
-
-    n = F.col("l_linenumber")
-    place = F.concat(F.lit("/runs/video_x/run_"), F.col("l_orderkey"), F.lit("/round_02/tools/"), F.when(n == 7, "_tmp").otherwise(F.format_string("%02d_tool", n)), F.lit("/"))
-    result = F.to_json(F.struct(F.when(n % 2 == 0, F.col("l_returnflag")).alias("tool_name"), F.lit(True).alias("ok")))
-    timing = F.to_json(F.struct(F.col("l_quantity").alias("duration_s")))
-    observed = F.to_json(F.array_repeat(F.struct(F.col("l_partkey").alias("id")), n))
-    # Order numbers and line numbers repeat in the data; the first line of a pair is the tool.
-    first = lines.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min_by(F.struct("l_returnflag", "l_quantity", "l_partkey"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).alias("r")
-    ).select("l_orderkey", "l_linenumber", "r.*")
-    parts = F.array(*[F.struct(F.concat(place, F.lit(f)).alias("path"), d.alias("content")) for f, d in [("result.json", result), ("timing.json", timing), ("observations.json", observed)]])
-    tools = first.select(F.explode(parts).alias("d")).select("d.*")
-    return rounds, tools
-
-
-@query(
-    "scan_run_rounds",
-    """SELECT 'video_x/run_' || o_orderkey AS run, 1 AS round, o_orderpriority AS strategy, o_orderstatus AS tools, 1 AS step_count, CASE WHEN o_orderkey % 3 <> 0 THEN 'a' || o_orderkey ELSE '' END AS final_answer,
-      CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END AS evidence_count, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict, CASE WHEN o_orderkey % 4 <> 0 THEN 'when' END AS missing,
-      CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '/runs/video_x/run_' || o_orderkey || '/round_01/auditor_report.json' END AS audit_path FROM orders""",
-)
+def run_tree(spark, sf):
+    """A tree of run folders written from the conversations: one run each, two turns a round; its root."""
+    turns = B.table(spark, sf, "conversations").withColumn("round", F.floor(F.col("turn") / 2) + 1)
+    c, n = F.col("conv_id"), F.col("turn")
+    root = F.concat(F.lit("chat/run_"), c, F.format_string("/round_%02d/", F.col("round")))
+    step = F.struct(n.cast("string").alias("step_id"), F.concat(F.lit(" "), "role").alias("tool_name"), F.col("text").alias("purpose"))
+    each = turns.groupBy("conv_id", "round").agg(
+        F.min_by("text", "turn").alias("ask"), F.max_by("text", "turn").alias("reply"), F.count(F.lit(1)).alias("n"), ordered_list(step, n).alias("steps")
+    )
+    plan = F.struct(F.col("ask").alias("strategy"), "steps")
+    trace = F.struct(F.col("reply").alias("final_answer"), F.array_repeat(F.struct(F.lit("e").alias("evidence_id")), F.col("n").cast("int")).alias("evidence_entries"))
+    audit = F.struct(F.when(c % 2 == 0, " PASS").otherwise("FAIL").alias("verdict"), (F.col("n") / 4.0).alias("confidence"), F.array(F.lit(" "), F.lit("when")).alias("missing_information"))
+    documents = [("planner_plan.json", plan, c % 5 != 0), ("synthesizer_trace_package.json", trace, c % 3 != 0), ("auditor_report.json", audit, c % 4 != 0), ("planner_request.json", plan, c % 2 == 0)]
+    docs = F.array_compact(F.array(*[F.when(given, F.struct(F.concat(root, F.lit(name)).alias("path"), F.to_json(d).alias("content"))) for name, d, given in documents]))
+    tool = F.concat(root, F.lit("tools/"), F.when(F.col("role") == "system", "_").otherwise(""), F.format_string("%02d_", n), "role", F.lit("/"))
+    result = F.struct(F.when(n % 2 == 0, F.col("role")).alias("tool_name"), F.lit(True).alias("ok"), F.col("text").alias("answer"))
+    parts = {"result.json": result, "timing.json": F.struct((F.length("text") / 8.0).alias("duration_s")), "observations.json": F.array_repeat(F.struct(n.alias("id")), (n + 1).cast("int"))}
+    tools = F.array(*[F.struct(F.concat(tool, F.lit(name)).alias("path"), F.to_json(d).alias("content")) for name, d in parts.items()])
+    files = each.select(F.explode(docs).alias("d")).union(turns.select(F.explode(tools).alias("d"))).select("d.*")
+    path = work_path(spark, "runs")
+    folders.write_tree(files, path)
+    return path
+
+
+ROUND_SQL = """rn AS (SELECT conv_id, turn // 2 + 1 AS round, arg_min(text, turn) AS ask, arg_max(text, turn) AS reply, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id, turn // 2 + 1),
+rr AS (SELECT 'chat/run_' || conv_id AS run, round::INTEGER AS round, CASE WHEN conv_id % 5 = 0 THEN '' ELSE trim(ask) END AS strategy, CASE WHEN conv_id % 5 <> 0 THEN roles END AS tools, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE n END::INTEGER AS step_count,
+   CASE WHEN conv_id % 3 = 0 THEN '' ELSE trim(reply) END AS final_answer, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE n END::INTEGER AS evidence_count, CASE WHEN conv_id % 4 = 0 THEN '' WHEN conv_id % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict,
+   CASE WHEN conv_id % 4 <> 0 THEN n / 4.0::DOUBLE END AS confidence, CASE WHEN conv_id % 4 <> 0 THEN 'when' END AS missing, CASE WHEN conv_id % 4 = 0 THEN '' ELSE printf('round_%02d/auditor_report.json', round) END AS audit_path FROM rn
+   WHERE conv_id % 5 <> 0 OR conv_id % 3 <> 0 OR conv_id % 4 <> 0),
+ts AS (SELECT 'chat/run_' || conv_id AS run, (turn // 2 + 1)::INTEGER AS round, printf('%02d_', turn) || role AS tool_dir, CASE WHEN turn % 2 = 0 THEN role ELSE printf('%02d_', turn) || role END AS tool_name,
+   length(text) / 8.0::DOUBLE AS duration_s, (turn + 1)::INTEGER AS observation_count FROM conversations WHERE role <> 'system')"""
+
+
+@query("scan_run_rounds", f"WITH {ROUND_SQL} SELECT * FROM rr")
 def _(spark, sf):
-    rounds, _tools = run_files(spark, sf)
-    out = R.run_rounds(rounds)
+    out = R.run_rounds(folders.run_folders(spark, run_tree(spark, sf)))
     return out.select(
-        "run", "round", "strategy", "tools", "step_count", "final_answer", "evidence_count", "verdict", F.array_join("missing_information", ",").alias("missing"), "audit_path"
+        "run", "round", "strategy", "tools", "step_count", "final_answer", "evidence_count", "verdict", "confidence", F.array_join("missing_information", ",").alias("missing"), "audit_path"
     )
 
 
-TOOL_SQL = """tl AS (SELECT l_orderkey, l_linenumber AS n, l_returnflag AS flag, l_quantity AS q FROM lineitem WHERE l_linenumber < 7
-   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1),
-ts AS (SELECT 'video_x/run_' || l_orderkey AS run, 2 AS round, printf('%02d_tool', n) AS tool_dir, CASE WHEN n % 2 = 0 THEN flag ELSE printf('%02d_tool', n) END AS tool_name, q AS duration_s, n AS observation_count FROM tl)"""
-
-
-@query("scan_tool_steps", f"WITH {TOOL_SQL} SELECT * FROM ts")
+@query("scan_tool_steps", f"WITH {ROUND_SQL} SELECT * FROM ts")
 def _(spark, sf):
-    _rounds, tools = run_files(spark, sf)
-    return R.tool_steps(tools).select("run", "round", "tool_dir", "tool_name", "duration_s", "observation_count")
+    return R.tool_steps(folders.run_folders(spark, run_tree(spark, sf))).select("run", "round", "tool_dir", "tool_name", "duration_s", "observation_count")
 
 
 @query(
     "sink_run_overview",
-    f"""WITH {TOOL_SQL}, t AS (SELECT run, string_agg(tool_name, ',' ORDER BY tool_dir) AS tools, sum(observation_count)::BIGINT AS observation_count, sum(duration_s) AS seconds FROM ts GROUP BY run),
-    r AS (SELECT 'video_x/run_' || o_orderkey AS run, CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict, o_orderpriority AS strategy FROM orders)
-    SELECT coalesce(r.run, t.run) AS run, tools, observation_count, seconds, verdict, strategy FROM r FULL JOIN t ON r.run = t.run""",
+    f"""WITH {ROUND_SQL}, t AS (SELECT run, string_agg(tool_name, ',' ORDER BY round, tool_dir) AS tools, sum(observation_count)::BIGINT AS observation_count, sum(duration_s) AS seconds FROM ts GROUP BY run),
+    r AS (SELECT run, arg_max(verdict, round) AS verdict, arg_min(strategy, round) AS strategy, count(*) AS rounds FROM rr GROUP BY run)
+    SELECT coalesce(r.run, t.run) AS run, tools, observation_count, seconds, verdict, strategy, rounds FROM r FULL JOIN t ON r.run = t.run""",
 )
 def _(spark, sf):
-    rounds, tools = run_files(spark, sf)
-    overview = R.run_overview(R.run_rounds(rounds), R.tool_steps(tools))
+    files = folders.run_folders(spark, run_tree(spark, sf))
+    overview = R.run_overview(R.run_rounds(files), R.tool_steps(files))
     path = work_path(spark, "overview")
     W.write_documents(overview, path)
     back = spark.read.schema(overview.schema).json(path)
     seconds = F.aggregate("tool_steps", F.lit(0.0), lambda a, s: a + s["duration_s"])
-    return back.select("run", F.array_join(F.transform("tool_steps", lambda s: s["tool_name"]), ",").alias("tools"), "observation_count", seconds.alias("seconds"), F.col("latest_verdict").alias("verdict"), F.col("rounds")[0]["strategy"].alias("strategy"))
+    return back.select(
+        "run", F.array_join(F.transform("tool_steps", lambda s: s["tool_name"]), ",").alias("tools"), "observation_count", seconds.alias("seconds"), F.col("latest_verdict").alias("verdict"),
+        F.col("rounds")[0]["strategy"].alias("strategy"), F.when(F.size("rounds") > 0, F.size("rounds").cast("long")).alias("rounds"),
+    )
 
 
 # ---------------------------------------------------------------- ledger files
@@ -294,30 +293,41 @@ def _(spark, sf):
 
 @query(
     "scan_artifact_manifest",
-    r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[^?#]*') || CASE page_id % 7 WHEN 0 THEN '.PNG' WHEN 1 THEN '.mp4' WHEN 2 THEN '.flac' WHEN 3 THEN '.json' WHEN 4 THEN '.md' WHEN 5 THEN '.zip' ELSE '' END AS path, length(html) * 10000 AS length FROM pages),
-    m AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name, CASE WHEN regexp_matches(path, '[^/.]\.[^./]+$') THEN CASE page_id % 7 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' WHEN 3 THEN 'application/json' WHEN 4 THEN 'text/plain' END END AS media_type FROM u)
-    SELECT regexp_replace(name, '(.)\.[^.]*$', '\1') AS artifact_id, 'artifacts/frame/' || name AS relpath, media_type, length, length <= 52428800 AND coalesce(media_type, '') <> 'video' AS copy_file FROM m""",
+    r"""WITH u AS (SELECT page_id, 'p' || page_id || '_' || regexp_extract(regexp_extract(url, '^[^?#]*') || CASE page_id % 7 WHEN 0 THEN '.PNG' WHEN 1 THEN '.mp4' WHEN 2 THEN '.flac' WHEN 3 THEN '.json' WHEN 4 THEN '.md' WHEN 5 THEN '.zip' ELSE '' END, '([^/]*)$', 1) AS name, octet_length(encode(html)) AS length FROM pages),
+    m AS (SELECT *, CASE WHEN regexp_matches(name, '[^/.]\.[^./]+$') THEN CASE page_id % 7 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' WHEN 3 THEN 'application/json' WHEN 4 THEN 'text/plain' END END AS media_type FROM u)
+    SELECT regexp_replace(name, '(.)\.[^.]*$', '\1') AS artifact_id, 'artifacts/frame/' || name AS relpath, media_type, length, length <= 2000 AND coalesce(media_type, '') <> 'video' AS copy_file FROM m""",
 )
 def _(spark, sf):
-    files = page_files(spark, sf).select("path", (F.length("html") * 10_000).cast("long").alias("length"))
-    return R.artifact_manifest(files, "frame").select("artifact_id", "relpath", "media_type", "length", "copy_file")
+    name = F.concat(F.lit("p"), "page_id", F.lit("_"), F.regexp_extract("path", "([^/]*)$", 1))
+    path = work_path(spark, "artifacts")
+    folders.write_tree(page_files(spark, sf).select(F.concat(F.col("page_id") % 9, F.lit("/"), name).alias("path"), F.col("html").alias("content")), path)
+    return R.artifact_manifest(R.listing(spark, path), "frame", 2000).select("artifact_id", "relpath", "media_type", "length", "copy_file")
 
 
 @query(
     "scan_dense_frames",
-    "SELECT 'v' || label AS video_id, (vec_id / 4.0::DOUBLE) AS timestamp_s, '/dense/v' || label || '/frame_' || printf('%.2f', vec_id / 4.0::DOUBLE) || '.png' AS path FROM embeddings WHERE vec_id % 6 <> 5",
+    "SELECT 'v' || label AS video_id, (vec_id / 4.0::DOUBLE) AS timestamp_s, 'v' || label || '/frame_' || printf('%.2f', vec_id / 4.0::DOUBLE) || '.png' AS path FROM embeddings WHERE vec_id % 6 <> 5",
 )
 def _(spark, sf):
     v = F.col("vec_id")
     suffix = F.when(v % 6 == 5, ".jpg").otherwise(".png")
-    path = F.concat(F.lit("/dense/v"), F.col("label"), F.lit("/frame_"), F.format_string("%.2f", v / 4.0), suffix)
-    return R.dense_frames(B.table(spark, sf, "embeddings").select(path.alias("path")))
+    file = F.concat(F.lit("v"), F.col("label"), F.lit("/frame_"), F.format_string("%.2f", v / 4.0), suffix)
+    path = work_path(spark, "dense")
+    folders.write_tree(B.table(spark, sf, "embeddings").select(file.alias("path"), F.col("embedding").cast("string").alias("content")), path)
+    frames = R.dense_frames(R.listing(spark, path))
+    return frames.withColumn("path", F.regexp_extract("path", "([^/]+/[^/]+)$", 1))
 
 
-@query("file_fingerprint", "SELECT doc_id, sha256(octet_length(encode(text))::VARCHAR || text) AS fingerprint FROM documents")
+@query(
+    "file_fingerprint",
+    """WITH b AS (SELECT doc_id, encode(text) AS b FROM documents) SELECT doc_id, octet_length(b) AS length, sha256(encode(octet_length(b)::VARCHAR) || b[1:1000] || CASE WHEN octet_length(b) > 2000 THEN b[-1000:] ELSE b[1001:] END) AS fingerprint FROM b""",
+)
 def _(spark, sf):
-    docs = B.table(spark, sf, "documents")
-    return docs.select("doc_id", R.fingerprint(F.col("text").cast("binary")).alias("fingerprint"))
+    docs = B.table(spark, sf, "documents").select(F.concat(F.col("doc_id") % 100, F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    path = work_path(spark, "texts")
+    folders.write_tree(docs, path)
+    doc_id = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id")
+    return R.file_fingerprints(spark, path, 1000).select(doc_id, "length", "fingerprint")
 
 
 @query(

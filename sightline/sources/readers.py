@@ -10,6 +10,7 @@ from sightline.functions import text
 from sightline.functions.ids import sample_key
 from sightline.functions.text import blank_to_null, letter_options, strip
 from sightline.operators.core import ordered_list
+from sightline.sources import folders
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -41,8 +42,9 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a glob as (path, length); contents are not read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
+    """Files under a folder or glob as (path, length); Spark lists them, reads no content, and leaves empty files out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length")
 
 
 # ---------------------------------------------------------------- task lists
@@ -155,22 +157,30 @@ TRACE = "final_answer string, evidence_entries array<struct<evidence_id:string>>
 AUDIT = "verdict string, confidence double, feedback string, missing_information array<string>, findings array<struct<severity:string,category:string,message:string>>"
 
 
-def _run_parts(path: Column) -> dict[str, Column]:
-    return {
-        "run": F.regexp_extract(path, r"([^/]+/[^/]+)/round_\d+/", 1),
-        "round": F.regexp_extract(path, r"/round_(\d+)/", 1).try_cast("int"),
-    }
+def _placed(files: DataFrame) -> DataFrame:
+    """Files with run, round, tool and name: as a listing gives them, so that filters reach it, or else taken from the path."""
+    if {"run", "round", "tool", "name"} <= set(files.columns):
+        return files.withColumn("path", F.col("relpath")) if "relpath" in files.columns else files
+    path = F.col("path")
+    return files.withColumns(
+        {
+            "run": F.regexp_extract(path, r"([^/]+/[^/]+)/round_\d+/", 1),
+            "round": F.regexp_extract(path, r"/round_(\d+)/", 1).try_cast("int"),
+            "tool": F.nullif(F.regexp_extract(path, r"/tools/([^/]+)/[^/]+$", 1), F.lit("")),
+            "name": F.when(path.rlike(r"/(round_\d+|tools/[^/]+)/[^/]+$"), F.regexp_extract(path, r"([^/]+)$", 1)),
+        }
+    )
 
 
 def run_rounds(files: DataFrame) -> DataFrame:
     """One row per run and round from the round's plan, trace and audit documents (any may be missing).
 
-    The files of a round are a handful, so each round is one small group.
+    ``files`` is a listing of run folders with content, or any (path, content). Filters on run and round go down to the
+    listing. The files of a round are a handful, so each round is one small group.
     """
     names = {"planner_plan.json": "plan", "synthesizer_trace_package.json": "trace", "auditor_report.json": "audit"}
-    name = F.regexp_extract("path", r"/round_\d+/([^/]+)$", 1)
-    known = files.withColumn("_name", name).filter(F.col("_name").isin(list(names))).withColumns(_run_parts(F.col("path")))
-    picks = [F.max(F.when(F.col("_name") == n, F.struct("content", "path"))).alias(a) for n, a in names.items()]
+    known = _placed(files).filter(F.col("tool").isNull() & F.col("name").isin(list(names)))
+    picks = [F.max(F.when(F.col("name") == n, F.struct("content", "path"))).alias(a) for n, a in names.items()]
     rounds = known.groupBy("run", "round").agg(*picks)
     read = {"_p": F.from_json("plan.content", PLAN), "_t": F.from_json("trace.content", TRACE), "_a": F.from_json("audit.content", AUDIT)}
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
@@ -197,13 +207,8 @@ def tool_steps(files: DataFrame) -> DataFrame:
     Folders whose name starts with ``_`` are skipped. The tool's name comes from the result, else the request,
     else the folder.
     """
-    known = files.withColumns(
-        {
-            **_run_parts(F.col("path")),
-            "tool_dir": F.regexp_extract("path", r"/tools/([^/]+)/[^/]+$", 1),
-            "_name": F.regexp_extract("path", r"/tools/[^/]+/([^/]+)\.json$", 1),
-        }
-    ).filter((F.col("tool_dir") != "") & ~F.startswith("tool_dir", F.lit("_")))
+    known = _placed(files).filter(F.col("tool").isNotNull()).withColumns({"tool_dir": F.col("tool"), "_name": F.regexp_extract("name", r"^(.*)\.json$", 1)})
+    known = known.filter(~F.startswith("tool_dir", F.lit("_")))
     parts = ["request", "result", "timing", "runtime", "artifact_refs", "observations"]
     steps = known.groupBy("run", "round", "tool_dir").agg(*[F.max(F.when(F.col("_name") == p, F.col("content"))).alias(p) for p in parts])
     tool = F.coalesce(*[blank_to_null(F.get_json_object(p, "$.tool_name")) for p in ("result", "request")], F.col("tool_dir"))
@@ -240,8 +245,8 @@ def run_overview(rounds: DataFrame, steps: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- file listings
 
 
-def artifact_manifest(files: DataFrame, kind: str) -> DataFrame:
-    """Artifact row per listed file; small files that are no video are marked for copying (50 MB limit)."""
+def artifact_manifest(files: DataFrame, kind: str, copy_limit: int = 50 * 1024 * 1024) -> DataFrame:
+    """Artifact row per listed file; files of `copy_limit` bytes or fewer that are no video are marked for copying."""
     media = text.media_type_of(F.col("path"))
     return files.select(
         _stem(F.col("path")).alias("artifact_id"),
@@ -249,7 +254,7 @@ def artifact_manifest(files: DataFrame, kind: str) -> DataFrame:
         F.concat(F.lit(f"artifacts/{kind}/"), F.regexp_extract("path", r"([^/]*)$", 1)).alias("relpath"),
         media.alias("media_type"),
         "length",
-        ((F.col("length") <= 50 * 1024 * 1024) & (F.coalesce(media, F.lit("")) != "video")).alias("copy_file"),
+        ((F.col("length") <= copy_limit) & (F.coalesce(media, F.lit("")) != "video")).alias("copy_file"),
     )
 
 
@@ -267,9 +272,9 @@ def fingerprint(content: Column, edge: int = 1024 * 1024) -> Column:
     return F.sha2(F.concat(size.cast("string").cast("binary"), F.substring(content, 1, edge), tail), 256)
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", fingerprint(F.col("content")).alias("fingerprint"))
+def file_fingerprints(spark: SparkSession, path: str, edge: int = 1024 * 1024) -> DataFrame:
+    """(path, length, fingerprint) of every file under a path, of any size: only its two ends are read."""
+    return folders.edge_fingerprints(listing(spark, path), edge)
 
 
 # ---------------------------------------------------------------- ledger tables
