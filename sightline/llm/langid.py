@@ -20,8 +20,10 @@ UNKNOWN = "und"
 PAD = 256
 WINDOW = 128
 HIDDEN = 12
-#: Bounds of the training sample: documents of a language, characters of a document, and languages (the most frequent).
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 500, 240, 64
+#: Bounds of the training sample: documents of a language, characters of a document, and documents in all (one of each language at least).
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 500, 240, 32_000
+#: Windows of one forward pass: few enough for a step's arrays to stay in a core's cache.
+BATCH = 1024
 #: Least number of training steps, for small samples.
 STEPS = 240
 _LETTER = re.compile(r"[^\W\d_]")
@@ -32,17 +34,19 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def training_sample(docs: DataFrame, label: str, per_label: int, chars: int, labels: int) -> DataFrame:
-    """At most `per_label` rows (label, piece) for each of the most frequent labels, in a fixed pseudo-random order.
+def training_sample(docs: DataFrame, label: str, per_label: int, chars: int, total: int) -> DataFrame:
+    """At most `per_label` rows (label, piece) of each label, in a fixed pseudo-random order.
 
-    `docs` has doc_id, text and the label. Counts come first, so that a hash threshold leaves about three times the
-    rows wanted and the final cut per label sorts those alone, however large the table is.
+    No label is left out: where there are so many that the rows would come to more than `total`, each has fewer rows,
+    and one at least. `docs` has doc_id, text and the label. Counts come first, so that a hash threshold leaves about three times the
+    rows wanted (and 30 more, so that chance leaves no label out) and the final cut per label sorts those alone, however large the table is.
     """
     rows = docs.filter(F.col(label).isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()
+    counts = rows.groupBy(label).count().orderBy(label).collect()
+    per_label = max(1, min(per_label, total // max(1, len(counts))))
     if not counts:
         return rows.select(F.col(label).alias("label"), F.lit("").alias("piece")).limit(0)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[label]), F.lit(min(1.0, 3.0 * per_label / r["count"])))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r[label]), F.lit(min(1.0, (3.0 * per_label + 30) / r["count"])))])
     order = F.xxhash64(F.col("doc_id"), F.xxhash64("text"))
     draw = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     start = F.pmod(F.xxhash64(order), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
@@ -96,12 +100,53 @@ class ByteGru:
                 trace.append((before, z, r, new, inner))
         return out
 
+    def states(self, x):
+        """States (2, steps, batch, hidden) of both directions at every position of x (steps, batch); the same as two `_run`s.
+
+        A step takes both directions at once. With the gates' inputs and all of the recurrence halved beforehand, a
+        gate is (1 + tanh) / 2, and half of it falls together with the halves around it.
+        """
+        import numpy as np
+
+        n, p = self.hidden, self.p
+        half = np.concatenate([np.full(2 * n, 0.5), np.ones(n)]).astype(np.float32)
+        table = np.concatenate([p["Ef"] * half, p["Eb"] * half])
+        u = np.stack([p["Uf"], p["Ub"]]) * np.float32(0.5)
+        bias = np.stack([p["bf"], p["bb"]])[:, None] * np.float32(0.5)
+        steps, size = x.shape
+        at = np.stack([x, x[::-1] + np.int16(PAD + 1)], 1)
+        keep = np.stack([x != PAD, x[::-1] != PAD], 1)[..., None]
+        padded = ~keep.all((1, 2, 3))
+        out = np.empty((2, steps, size, n), np.float32)
+        a, rec = np.empty((2, size, 3 * n), np.float32), np.empty((2, size, 3 * n), np.float32)
+        gates, new, h = np.empty((2, size, 2 * n), np.float32), np.empty((2, size, n), np.float32), np.zeros((2, size, n), np.float32)
+        for t in range(steps):
+            np.take(table, at[t], axis=0, out=a, mode="clip")
+            np.matmul(h, u, out=rec)
+            np.add(a[..., : 2 * n], rec[..., : 2 * n], out=gates)
+            np.tanh(gates, out=gates)
+            np.add(rec[..., 2 * n :], bias, out=new)
+            new += gates[..., n:] * new
+            new += a[..., 2 * n :]
+            np.tanh(new, out=new)
+            h -= new
+            h *= gates[..., :n]
+            h += out[:, t - 1] if t else 0
+            h += new
+            h *= np.float32(0.5)
+            if padded[t]:
+                h *= keep[t]
+            out[:, t] = h
+        out[1] = out[1, ::-1].copy()
+        return out
+
     def positions(self, x):
         """Probabilities (steps, batch, labels) of every position of x (steps, batch)."""
         import numpy as np
 
         n = self.hidden
-        out = self._run(x, "f") @ self.p["V"][:n] + self._run(x[::-1], "b")[::-1] @ self.p["V"][n:] + self.p["c"]
+        forward, backward = self.states(x)
+        out = forward @ self.p["V"][:n] + backward @ self.p["V"][n:] + self.p["c"]
         out -= out.max(-1, keepdims=True)
         np.exp(out, out=out)
         out /= out.sum(-1, keepdims=True)
@@ -174,7 +219,7 @@ class ByteGru:
                     self.p[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return loss
 
-    def documents(self, texts: list[bytes], batch: int = 2048):
+    def documents(self, texts: list[bytes], batch: int = BATCH):
         """Summed probabilities over letter positions (documents, labels) and the number of those positions."""
         import numpy as np
 
@@ -216,9 +261,9 @@ def windows(texts: list[bytes], width: int):
     return out.reshape(-1, width), np.repeat(np.arange(len(texts)), rows)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES, **options) -> ByteGru:
-    """Fit the network to rows with a language that are not held out. The sample, and so the driver's share, is bounded by the three parameters."""
-    rows = training_sample(documents(docs, id_col, text_col, lang=lang_col), "lang", per_language, chars, languages).collect()
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, total: int = SAMPLE_TOTAL, **options) -> ByteGru:
+    """Fit the network to rows with a language that are not held out. The sample, and so the driver's share, is bounded by the three parameters; every language is learned, however many there are."""
+    rows = training_sample(documents(docs, id_col, text_col, lang=lang_col), "lang", per_language, chars, total).collect()
     labels = sorted({r["label"] for r in rows})
     model = ByteGru(labels)
     if labels:
