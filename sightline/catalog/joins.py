@@ -183,26 +183,56 @@ def _(spark, sf):
     return out.select("frame_path", "source", F.col("embedding")[1].cast("double").alias("second"))
 
 
-@query(
-    "resolve_refs_join",
-    """WITH s AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, max(l_partkey) AS part FROM lineitem GROUP BY ALL),
-    r AS (SELECT plan_id, step_id, step_id - 1 AS src, CASE step_id % 4 WHEN 0 THEN 'clips[].id' WHEN 1 THEN 'answer' WHEN 2 THEN 'empty' ELSE 'nothing.here' END AS field_path FROM s WHERE step_id > 1)
-    SELECT r.plan_id, r.step_id, r.field_path, CASE WHEN s.plan_id IS NULL OR field_path IN ('nothing.here', 'empty') THEN NULL WHEN field_path = 'answer' THEN '"p' || s.part || '"' ELSE '[' || s.part || ',' || (s.part + 1) || ']' END AS value,
-      CASE WHEN s.plan_id IS NULL OR field_path IN ('nothing.here', 'empty') THEN 'unresolved_dependency' END AS error FROM r LEFT JOIN s ON r.plan_id = s.plan_id AND r.src = s.step_id""",
-)
-def _(spark, sf):
+def step_outputs(spark, sf):
+    """Outputs of plan steps (orders' lines), and references of each step to the one before it by paths of every form."""
     lines = B.table(spark, sf, "lineitem")
     p = F.col("l_partkey")
-    output = F.format_string('{"answer": "p%d", "clips": [{"id": %d}, {"id": %d}, {}, {"id": null}], "empty": null}', p, p, p + 1)
+    output = F.format_string('{"answer": "p%d", "clips": [{"id": %d, "label": "Red Car"}, {"id": %d, "tags": [1, null]}, {"tags": []}, {"id": null, "tags": [%d]}], "empty": null}', p, p, p + 1, p)
     outputs = lines.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("step_id"), p.alias("seq"), output.alias("output"))
     step = F.col("step_id")
-    path = F.when(step % 4 == 0, "clips[].id").when(step % 4 == 1, "answer").when(step % 4 == 2, "empty").otherwise("nothing.here")
-    refs = outputs.filter(step > 1).select("plan_id", "step_id").distinct()
-    refs = refs.withColumns({"target_field": F.lit("text_contexts"), "source_step_id": step - 1, "field_path": path})
-    found = J.resolved_refs(refs, outputs, ["clips[].id", "answer", "empty", "nothing.here"])
+    paths = F.array(*[F.lit(x) for x in ("clips[].id", "answer", "empty", "nothing.here", "clips[].tags[]", "clips[1].id", "clips.red.id", "clips.3")])
+    source = F.col("step_id") - 1
+    refs = outputs.filter(step > 1).select("plan_id", "step_id").distinct().withColumns({"source_step_id": source, "field_path": F.element_at(paths, ((F.col("plan_id") + step) % 8 + 1).cast("int"))})
+    return outputs, refs
+
+
+REF_SQL = """s AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, max(l_partkey) AS part FROM lineitem GROUP BY ALL),
+o AS (SELECT plan_id, step_id, unnest(['clips[].id', 'answer', 'empty', 'nothing.here', 'clips[].tags[]', 'clips[1].id', 'clips.red.id', 'clips.3']) AS field_path,
+  unnest(['[' || part || ',' || (part + 1) || ']', '"p' || part || '"', NULL, NULL, '[[1],[' || part || ']]', (part + 1)::VARCHAR, part::VARCHAR, '{"id":null,"tags":[' || part || ']}']) AS value FROM s)"""
+
+
+@query(
+    "resolve_refs_join",
+    f"""WITH {REF_SQL}, r AS (SELECT plan_id, step_id, ['clips[].id', 'answer', 'empty', 'nothing.here', 'clips[].tags[]', 'clips[1].id', 'clips.red.id', 'clips.3'][((plan_id + step_id) % 8 + 1)::INTEGER] AS field_path FROM s WHERE step_id > 1)
+    SELECT r.plan_id, r.step_id, r.field_path, o.value, CASE WHEN o.value IS NULL THEN 'unresolved_dependency' END AS error FROM r LEFT JOIN o ON r.plan_id = o.plan_id AND r.step_id = o.step_id + 1 AND r.field_path = o.field_path""",
+)
+def _(spark, sf):
+    outputs, refs = step_outputs(spark, sf)
+    found = J.resolved_refs(refs.withColumn("target_field", F.lit("text_contexts")), outputs)
     return found.select("plan_id", "step_id", "field_path", "value", "error")
 
 
+@query(
+    "merge_refs",
+    f"""WITH {REF_SQL}, f(target_field, pos, field_path) AS (VALUES ('clips', 0, 'clips[].id'), ('clips', 1, 'answer'), ('clips', 2, 'clips[].tags[]'), ('query', 0, 'answer'), ('query', 1, 'clips[1].id'), ('a.frames', 0, 'clips[1].id'),
+      ('scope', 0, 'answer'), ('scope', 1, 'clips[1].id'), ('scope', 2, 'clips[].id'), ('scope', 3, 'answer'), ('broken', 0, 'empty')),
+    t AS (SELECT plan_id, step_id FROM s WHERE step_id > 1),
+    j AS (SELECT t.plan_id, t.step_id, f.target_field, f.pos, f.field_path, o.value FROM t JOIN f ON f.target_field <> 'broken' OR t.step_id % 3 = 0 LEFT JOIN o ON o.plan_id = t.plan_id AND o.step_id + 1 = t.step_id AND o.field_path = f.field_path),
+    e AS (SELECT plan_id, step_id, arg_min('unresolved_dependency: ' || field_path, target_field || pos) FILTER (value IS NULL) AS error FROM j GROUP BY ALL),
+    v AS (SELECT plan_id, step_id, target_field, count(*) AS n_refs, map(list(pos), list(value)) AS m FROM j GROUP BY ALL)
+    SELECT v.plan_id, v.step_id, target_field, n_refs, error, CASE WHEN error IS NULL THEN CASE target_field WHEN 'clips' THEN '[' || CASE WHEN v.step_id % 2 = 0 THEN '"given",' ELSE '' END || m[0][2:-2] || ',' || m[1] || ',' || m[2][2:-2] || ']'
+      WHEN 'query' THEN m[1] WHEN 'a.frames' THEN '[' || m[0] || ']' ELSE '[' || m[1] || ',' || m[2][2:-2] || ',' || m[3] || ']' END END AS value FROM v JOIN e ON v.plan_id = e.plan_id AND v.step_id = e.step_id""",
+)
+def _(spark, sf):
+    outputs, refs = step_outputs(spark, sf)
+    named = [("clips", ["clips[].id", "answer", "clips[].tags[]"]), ("query", ["answer", "clips[1].id"]), ("a.frames", ["clips[1].id"]), ("scope", ["answer", "clips[1].id", "clips[].id", "answer"]), ("broken", ["empty"])]
+    each = F.array(*[F.struct(F.lit(t).alias("target_field"), F.lit(i).alias("pos"), F.lit(p).alias("field_path")) for t, paths in named for i, p in enumerate(paths)])
+    rows = refs.select("plan_id", "step_id", "source_step_id", F.explode(each).alias("r")).select("plan_id", "step_id", "source_step_id", "r.*")
+    rows = rows.filter((F.col("target_field") != "broken") | (F.col("step_id") % 3 == 0))
+    given = refs.filter(F.col("step_id") % 2 == 0).select("plan_id", "step_id", F.lit("clips").alias("target_field"), F.lit('"given"').alias("value"))
+    return J.merged_refs(rows, outputs, given)
+
+
 @query(
     "zip_steps_evidence",
     f"""WITH s AS (SELECT doc_id, unnest(range(len({SENTENCES_SQL}))) AS pos, unnest({SENTENCES_SQL}) AS inference FROM documents),

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.functions.jsons import json_path
-from sightline.functions.text import normalize_phrase, quoted_phrases
+from sightline.functions.jsons import json_items, json_walk
+from sightline.functions.text import normalize_phrase, quoted_phrases, strip
 from sightline.functions.timing import fixed, to_s
-from sightline.operators.core import keep_first, keep_last, ordered_text, top_n
+from sightline.operators.core import keep_first, keep_last, ordered_list, ordered_text, top_n
 from sightline.operators.intervals import segment_ngrams
 
 
@@ -70,27 +70,62 @@ def step_anchors(cites: DataFrame, links: DataFrame, anchors: DataFrame, shown:
     return best.groupBy("trace_id", "step_id").agg(ordered_text(F.col("anchor"), " | ", F.col("_n")).alias("anchor"))
 
 
-def resolved_refs(refs: DataFrame, outputs: DataFrame, paths: list[str]) -> DataFrame:
+# Fields that take a list, to which every reference adds.
+LIST_FIELDS = ["clips", "frames", "regions", "transcripts", "text_contexts", "evidence_ids", "time_hints"]
+
+
+def resolved_refs(refs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Fill step fields from the latest output of an earlier step: every reference with its value or its error.
 
-    ``refs``(plan_id, step_id, target_field, source_step_id, field_path),
-    ``outputs``(plan_id, step_id, seq, output as JSON). ``paths`` lists the field paths in use. A missing source, a
-    path that leads nowhere and JSON null are errors.
+    ``refs``(plan_id, step_id, target_field, source_step_id, field_path), ``outputs``(plan_id, step_id, seq, output as
+    JSON). Field paths are data: one join and one expression serve any number of them. A missing source, a path that
+    leads nowhere and JSON null are errors.
     """
     latest = keep_last(outputs, ["plan_id", "step_id"], ["seq"]).select(
         "plan_id", F.col("step_id").alias("source_step_id"), F.try_parse_json("output").alias("_v")
     )
-    value = F.coalesce(*[F.when(F.col("field_path") == p, json_path(F.col("_v"), p)) for p in paths])
-    joined = refs.join(latest, ["plan_id", "source_step_id"], "left").withColumn("value", value).drop("_v")
+    joined = refs.join(latest, ["plan_id", "source_step_id"], "left").withColumn("value", json_walk(F.col("_v"), F.col("field_path"))).drop("_v")
     return joined.withColumn("error", F.when(F.col("value").isNull(), F.lit("unresolved_dependency")))
 
 
-def resolve_refs(refs: DataFrame, outputs: DataFrame, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+def resolve_refs(refs: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``resolved_refs`` as two tables: (resolved, failed)."""
-    rows = resolved_refs(refs, outputs, paths)
+    rows = resolved_refs(refs, outputs)
     return rows.filter("value IS NOT NULL").drop("error"), rows.filter("value IS NULL").drop("value")
 
 
+def merged_refs(refs: DataFrame, outputs: DataFrame, inputs: DataFrame | None = None, part: int = 1000) -> DataFrame:
+    """One value per step field from all references into it: plan_id, step_id, target_field, value, n_refs, error.
+
+    ``refs`` as for ``resolved_refs`` with ``pos``, the order within a field; ``inputs``(plan_id, step_id, target_field,
+    value as JSON) is what fields hold before. References come in order. A list field takes every value, lists item by
+    item. Any other field takes the last single value until a list arrives; from then on items are added, after the
+    single value if there was one. A reference without a value leaves its whole step without values: error names the
+    step's first one. Values are first put together in runs of `part` references, so a field's rows meet as few texts.
+    """
+    key = ["plan_id", "step_id", "target_field"]
+    found = resolved_refs(refs, outputs)
+    rows = found.select(*key, F.col("pos").cast("long").alias("pos"), "value", F.lit(1).alias("_n"), "error", "field_path")
+    if inputs is not None:
+        given = inputs.select(*key, F.lit(-1).cast("long").alias("pos"), "value", F.lit(0).alias("_n"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("field_path"))
+        rows = rows.union(given.filter("value IS NOT NULL").join(refs.select(*key).distinct(), key, "left_semi"))
+    rows = rows.withColumns({"_list": F.startswith("value", F.lit("[")), "_part": F.floor(F.col("pos") / part)})
+    always = F.element_at(F.split("target_field", r"\."), -1)
+    is_list = F.lower(strip(always)).isin(LIST_FIELDS)
+    # The first list of a field that takes single values, and the last single value before it.
+    first = rows.groupBy(*key).agg(F.min(F.when(F.col("_list"), F.col("pos"))).alias("_first"), F.sum("_n").alias("n_refs"))
+    rows = rows.join(first, key)
+    early = ~is_list & (F.col("_first").isNull() | (F.col("pos") < F.col("_first")))
+    single = rows.filter(early).groupBy(*key).agg(F.max_by("value", "pos").alias("_single"))
+    items = rows.filter(~early).groupBy(*key, "_part").agg(F.flatten(ordered_list(json_items(F.col("value")), F.col("pos"))).alias("_items"))
+    whole = items.groupBy(*key).agg(F.flatten(ordered_list(F.col("_items"), F.col("_part"))).alias("_items"))
+    failed = rows.filter("error IS NOT NULL").groupBy("plan_id", "step_id").agg(F.min_by(F.concat("error", F.lit(": "), "field_path"), F.struct("target_field", "pos")).alias("error"))
+    out = first.join(single, key, "left").join(whole, key, "left").join(failed, ["plan_id", "step_id"], "left")
+    led = F.concat(F.coalesce(F.when(F.col("_single").isNotNull(), F.array("_single")), F.array().cast("array<string>")), F.col("_items"))
+    value = F.when(F.col("_items").isNull(), F.col("_single")).otherwise(F.concat(F.lit("["), F.array_join(led, ","), F.lit("]")))
+    return out.select(*key, F.when(F.col("error").isNull(), value).alias("value"), "n_refs", "error")
+
+
 def zip_rows(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Pad-zip two ordered row lists by position; the shorter side gives empty texts."""
     both = left.select(*keys, a).join(right.select(*keys, b), keys, "full")

@@ -46,7 +46,7 @@ def test_json_paths(spark):
 def test_json_null_is_unresolved(spark):
     refs = spark.createDataFrame([("p", 2, "f", 1, "x"), ("p", 2, "g", 1, "y"), ("p", 2, "h", 9, "y")], "plan_id string, step_id long, target_field string, source_step_id long, field_path string")
     outputs = spark.createDataFrame([("p", 1, 1, '{"x": null, "y": [0]}')], "plan_id string, step_id long, seq long, output string")
-    got = {r["target_field"]: (r["value"], r["error"]) for r in lookups.resolved_refs(refs, outputs, ["x", "y"]).collect()}
+    got = {r["target_field"]: (r["value"], r["error"]) for r in lookups.resolved_refs(refs, outputs).collect()}
     assert got == {"f": (None, "unresolved_dependency"), "g": ("[0]", None), "h": (None, "unresolved_dependency")}
 
 
