@@ -92,7 +92,7 @@ def _(spark, sf):
          SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score_u DESC, frame_key) AS n FROM f
          WHERE f.clip_no = g.clip_no + 1 AND NOT list_contains(list_transform(g.seen, lambda s: s.request_id || '/' || s.frame_key), f.request_id || '/' || f.frame_key)) WHERE n <= 3))
       FROM g WHERE g.clip_no < 4)
-    SELECT s.request_id, s.clip_no, s.frame_key, s.score_u FROM (SELECT unnest(seen) AS s FROM g WHERE clip_no = 4)""",
+    SELECT s.request_id, s.clip_no, s.frame_key, s.score_u, row_number() OVER (PARTITION BY s.request_id ORDER BY s.score_u DESC, s.clip_no, s.frame_key) AS place FROM (SELECT unnest(seen) AS s FROM g WHERE clip_no = 4)""",
 )
 def _(spark, sf):
     frames = B.scored_frames(spark, sf)
@@ -102,7 +102,28 @@ def _(spark, sf):
     )
     # The next clip of the request also holds the frame, so frames repeat across clips.
     again = base.filter("video_id < 8").withColumn("clip_no", F.col("clip_no") + 1)
-    return K.per_clip_topk(base.unionByName(again).drop("video_id"), 3).select("request_id", "clip_no", "frame_key", "score_u")
+    return K.per_clip_topk(base.unionByName(again).drop("video_id"), 3, clips=2).select("request_id", "clip_no", "frame_key", "score_u", "place")
+
+
+@query(
+    "per_clip_window",
+    f"""WITH RECURSIVE {B.FRAMES_SQL}, f AS (SELECT video_id % 2 AS request_id, (video_id // 2 + c)::INTEGER AS clip_no, seq AS frame_key, t_ms, CASE WHEN seq % 3 = 0 THEN t_ms - seq % 5 * 100 ELSE t_ms END AS asked FROM fr, range(2) x(c) WHERE c = 0 OR video_id < 8),
+    g(clip_no, seen) AS (
+      SELECT -1, []::STRUCT(request_id BIGINT, clip_no INTEGER, frame_key BIGINT, t_ms BIGINT, asked BIGINT)[]
+      UNION ALL
+      SELECT g.clip_no + 1, list_concat(g.seen, (SELECT coalesce(list({{'request_id': request_id, 'clip_no': clip_no, 'frame_key': frame_key, 't_ms': t_ms, 'asked': asked}}), []) FROM (
+         SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY clip_no * 100, asked, t_ms, frame_key) AS n FROM f
+         WHERE f.clip_no = g.clip_no + 1 AND NOT list_contains(list_transform(g.seen, lambda s: s.request_id || '/' || s.frame_key), f.request_id || '/' || f.frame_key)) WHERE n <= 7))
+      FROM g WHERE g.clip_no < 5)
+    SELECT s.request_id, s.clip_no, s.frame_key, row_number() OVER (PARTITION BY s.request_id ORDER BY s.clip_no * 100, s.asked, s.t_ms, s.frame_key) AS place FROM (SELECT unnest(seen) AS s FROM g WHERE clip_no = 5)""",
+)
+def _(spark, sf):
+    frames = B.scored_frames(spark, sf)
+    asked = F.when(F.col("seq") % 3 == 0, F.col("t_ms") - F.col("seq") % 5 * 100)
+    base = frames.select((F.col("video_id") % 2).alias("request_id"), F.floor(F.col("video_id") / 2).cast("int").alias("clip_no"), F.col("seq").alias("frame_key"), "score_u", F.lit(None).cast("long").alias("distance_ms"), "t_ms", asked.alias("requested_ms"), "video_id")
+    again = base.filter("video_id < 8").withColumn("clip_no", F.col("clip_no") + 1)
+    both = base.unionByName(again).withColumn("clip_start_ms", (F.col("clip_no") * 100).cast("long")).drop("video_id")
+    return K.per_clip_topk(both, 7, "anchor_window", clips=2).select("request_id", "clip_no", "frame_key", "place")
 
 
 @query(

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.session import materialize
+
 Keys = Sequence[str]
 
 
@@ -131,6 +133,24 @@ def rank_rows(
     )
 
 
+def global_rank(df: DataFrame, keys: Keys, order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """1-based position of every row per key in any order, however many rows a key or an order value has.
+
+    Rows are dealt by ranges of (key, order), so a large key goes over many tasks. A row's position is its place in its
+    range partition less the key's first place there, plus the key's rows in the partitions before: one row per key and
+    partition it reaches into. The dealt rows are written, so their places never change.
+    """
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialize(dealt, "dealt").withColumn("_range", F.shiftright("_at", 33))
+    parts = rows.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_of"), (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_offset"))
+    on = F.col("_range") == F.col("_of")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(offsets, on).select(*df.columns, (F.col("_at") + F.col("_offset")).alias(out))
+
+
 def ordered_list(value: Column, *order: Column) -> Column:
     """Aggregate: values of a bounded group as an array in ``order``."""
     packed = F.sort_array(F.collect_list(F.struct(*order, value.alias("_value"))))

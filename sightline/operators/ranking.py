@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.vectors import dot, norm
-from sightline.operators.core import keep_first, top_n
+from sightline.operators.core import global_rank, keep_first, top_n
 from sightline.operators.intervals import SLAB_MS
+from sightline.session import materialize
 
 
 def keyword_topk(
@@ -155,29 +156,89 @@ def _serve_anchors(pdf: pd.DataFrame, key: str, n: int, neighbours: bool) -> pd.
     return pd.concat(taken)[[key, "seq", "t_ms", "score_u", "anchor_ms", "distance_ms", "role"]].sort_values(["t_ms", "seq"])
 
 
-def per_clip_topk(frames: DataFrame, n: int, chronological: bool = False) -> DataFrame:
-    """``n`` frames for every clip of a request, a frame chosen for an earlier clip not chosen again.
+#: Clips of a request served in one pass, in their order.
+CLIPS = 256
 
-    Input: request_id, clip_no (from 0), frame_key, score_u, distance_ms, t_ms. A chronological request keeps
-    whole clips. Ranked: clip number g can lose at most n·g frames to earlier clips, so n·(g+1) rows decide it.
+def _frame_order(mode: str, columns: Sequence[str]) -> list[Column]:
+    """Ranked: best score, then nearest anchor, then time. Otherwise by clip, asked time, place in the sequence and time; what a frame lacks is its own time, and the last place."""
+    if mode == "ranked":
+        return [F.desc("score_u"), F.asc_nulls_last("distance_ms"), F.asc("t_ms")]
+    given = {c: F.col(c) if c in columns else F.lit(None).cast("long") for c in ("clip_start_ms", "requested_ms", "sequence_index")}
+    return [F.coalesce(given["clip_start_ms"], "t_ms"), F.coalesce(given["requested_ms"], "t_ms"), F.coalesce(given["sequence_index"], F.lit(10**9)), F.asc("t_ms")]
+
+
+def _serve(n: int):
+    """Reads candidates by (request_id, clip_no, _n); each clip keeps its first n that no clip before it in the block keeps."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        block = clip = None
+        held: set = set()
+        served = 0
+        for batch in batches:
+            keep = []
+            rows = zip(*(batch[c].to_pylist() for c in ("request_id", "_block", "clip_no", "frame_key")), strict=True)
+            for request, number, own, frame in rows:
+                if (request, number) != block:
+                    block, clip, held = (request, number), None, set()
+                if own != clip:
+                    clip, served = own, 0
+                fresh = served < n and frame not in held
+                if fresh:
+                    held.add(frame)
+                    served += 1
+                keep.append(fresh)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def per_clip_topk(frames: DataFrame, n: int, mode: str = "ranked", clips: int = CLIPS) -> DataFrame:
+    """``n`` frames for every clip of a request, a frame chosen for an earlier clip not chosen again, and their ``place``.
+
+    Input: request_id, clip_no (from 0), frame_key, score_u, distance_ms, t_ms. ``mode`` is ranked; anchor_window (by
+    time, ``n`` of each clip; clip_start_ms, requested_ms and sequence_index are used where given); or chronological
+    (whole clips). ``place`` numbers a request's frames in the same order.
+
+    Clips are served in blocks of ``clips``, all blocks at once, as if earlier blocks kept what they kept the time
+    before; a pass repeats until nothing changes. After each pass one more block of a request is final, and most are
+    when blocks share few frames. A task streams one block's rows and holds at most ``clips * n`` frames. Clip number g
+    can lose at most n·g frames to earlier clips, so its first n·(g+1) rows decide it.
     """
-    if chronological:
-        return keep_first(frames, ["request_id", "frame_key"], ["clip_no"])
-    order = [F.desc("score_u"), F.asc_nulls_last("distance_ms"), F.asc("t_ms"), F.asc("frame_key")]
-    longest = frames.agg(F.max("clip_no")).first()[0] or 0
-    enough = top_n(frames, ["request_id", "clip_no"], order, n * (longest + 1), "_n")
-    enough = enough.filter(F.col("_n") <= F.lit(n) * (F.col("clip_no") + 1))
-
-    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        taken = []
-        for _, group in pdf.sort_values(["clip_no", "_n"]).groupby("clip_no", sort=True):
-            fresh = group[~group["frame_key"].isin(seen)].head(n)
-            seen.update(fresh["frame_key"])
-            taken.append(fresh)
-        return pd.concat(taken).drop(columns="_n")
-
-    return enough.groupBy("request_id").applyInPandas(serve, frames.schema)
+    order = [*_frame_order(mode, frames.columns), F.asc("frame_key")]
+    if mode == "chronological":
+        chosen = keep_first(frames, ["request_id", "frame_key"], ["clip_no"])
+        return global_rank(chosen, ["request_id"], [*order, F.asc("clip_no")], "place")
+    ranked = global_rank(frames.filter("frame_key IS NOT NULL"), ["request_id", "clip_no"], order, "_n")
+    rows = ranked.filter(F.col("_n") <= F.lit(n) * (F.col("clip_no") + 1)).withColumn("_block", F.floor(F.col("clip_no") / clips))
+    rows = materialize(rows, "candidates")
+    key = ["request_id", "frame_key"]
+
+    def served(candidates: DataFrame) -> DataFrame:
+        dealt = candidates.repartition("request_id", "_block").sortWithinPartitions("request_id", "_block", "clip_no", "_n")
+        return materialize(dealt.mapInArrow(_serve(n), candidates.schema), "served")
+
+    taken = served(rows)
+    # Requests of one block are done.
+    last = rows.groupBy("request_id").agg(F.max("_block").alias("_last")).filter("_last > 0")
+    several = rows.join(last.drop("_last"), "request_id", "left_semi")
+    final = 0
+    while last.filter(F.col("_last") > final).limit(1).count():
+        holders = taken.groupBy(*key).agg(F.min("_block").alias("_held"))
+        left = several.filter(F.col("_block") > final).alias("r")
+        lost = F.col("h._held") < F.col("r._block")
+        on = (F.col("r.request_id") == F.col("h.request_id")) & (F.col("r.frame_key") == F.col("h.frame_key")) & lost
+        now = served(left.join(holders.alias("h"), on, "left_anti"))
+        before = taken.join(last.drop("_last"), "request_id", "left_semi").filter(F.col("_block") > final)
+        same = ["request_id", "clip_no", "frame_key"]
+        changed = now.select(*same).exceptAll(before.select(*same)).limit(1).count() or before.select(*same).exceptAll(now.select(*same)).limit(1).count()
+        alone = taken.join(last.drop("_last"), "request_id", "left_anti")
+        taken = materialize(alone.unionByName(taken.join(last.drop("_last"), "request_id", "left_semi").filter(F.col("_block") <= final)).unionByName(now), "taken")
+        final += 1
+        if not changed:
+            break
+    return global_rank(taken.select(*frames.columns), ["request_id"], [*order[:-1], F.asc("clip_no"), F.asc("frame_key")], "place")
 
 
 def frame_pool(clips: DataFrame, anchors_ms: list[int], radius_ms: int) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightline.functions import text
 from sightline.operators import ledger as L
-from sightline.operators.core import Running, keep_first, ordered_list, ordered_text, rank_rows, running, top_n
+from sightline.operators.core import global_rank, keep_first, ordered_list, ordered_text, rank_rows, top_n
 from sightline.operators.intervals import SLAB_MS
 
 PART = 1000
@@ -58,15 +57,11 @@ def group_flags(groups, keys):
 def round_summary(steps):
     """Steps per round in order, ``PART`` steps per row, with the verdict of the round's last step on each.
 
-    Rows are counted per line number first, so a huge round is cut before its lists are built.
+    Steps (round_id, line, order, tool, verdict) are numbered by ranges of their order, so neither a round nor one of
+    its lines is ever in one task.
     """
-    counts = steps.groupBy("round_id", "line").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_slab", F.floor(F.col("line") / 100_000))
-    placed = running(counts, ["round_id"], "_slab", "line", Running("_base", F.col("_c"), F.sum))
-    inside = steps.join(placed.select("round_id", "line", "_base"), ["round_id", "line"])
-    pos = F.col("_base") + F.row_number().over(Window.partitionBy("round_id", "line").orderBy("order")) - 1
-    numbered = inside.withColumn("pos", pos).withColumn("part", F.floor(F.col("pos") / PART))
-    parts = numbered.groupBy("round_id", "part").agg(
+    numbered = global_rank(steps, ["round_id"], [F.col("line"), F.col("order")], "pos").withColumn("pos", F.col("pos") - 1)
+    parts = numbered.withColumn("part", F.floor(F.col("pos") / PART)).groupBy("round_id", "part").agg(
         ordered_text(F.col("tool"), ",", F.col("pos")).alias("tools"),
         F.count(F.lit(1)).alias("n_steps"),
     )
@@ -74,6 +69,16 @@ def round_summary(steps):
     return parts.join(verdicts, "round_id")
 
 
+def final_results(runs, parts):
+    """One row per run (run_id, ...) beside its parts (run_id, part, tools, n_steps): its columns, the number of parts and steps, and the first part's tools."""
+    counted = parts.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_parts"),
+        F.sum("n_steps").alias("n_steps"),
+        F.min_by("tools", "part").alias("first_tools"),
+    )
+    return runs.join(counted, "run_id", "left").fillna({"n_parts": 0, "n_steps": 0, "first_tools": ""})
+
+
 COUNT_FIELDS = ["clips", "frames", "reads", "segments", "captions", "transcripts", "regions"]
 
 

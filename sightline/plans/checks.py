@@ -6,8 +6,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,28 +87,51 @@ def plan_lint(steps: DataFrame, refs: DataFrame) -> DataFrame:
     return _violations(wired, of_refs).unionByName(_violations(fed, of_steps)).distinct()
 
 
+#: Level of steps in or behind a cycle while levels are searched.
+ENDLESS = 1 << 40
+
+
+def _jumped(reach: DataFrame) -> DataFrame:
+    """Every step's pointer moved on by its target's pointer; a way longer than its plan has steps goes round a cycle."""
+    ahead = reach.select("plan_id", F.col("step_id").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"))
+    level = F.col("level") + F.coalesce("_level", F.lit(0))
+    moved = reach.join(ahead, ["plan_id", "up"], "left").withColumns({"level": F.when(level > F.col("size"), ENDLESS).otherwise(level), "up": F.when(level <= F.col("size"), F.col("_up"))})
+    return moved.select("plan_id", "step_id", "up", "level", "size")
+
+
 def plan_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """Dependency level of every step (0 = needs nothing); steps in or behind a cycle get no level.
 
-    ``edges``(plan_id, step_id, source_step_id); sources outside the plan do not count. Each round settles the
-    steps whose sources are settled, as many rounds as the deepest plan has levels; each is cut by a written table.
+    ``edges``(plan_id, step_id, source_step_id); sources outside the plan do not count. Every step follows one source;
+    the length of that way comes by pointer doubling, in as many jumps as the depth has binary digits, two to a written
+    table. Steps that another source would put deeper then follow that one, and only their plans are gone over again,
+    until no step gets deeper. Ways that go round a cycle count as endless, and so does all that can follow them.
     """
-    nodes = steps.select("plan_id", "step_id").distinct()
-    inside = nodes.withColumnRenamed("step_id", "source_step_id")
-    pending = materialize(edges.select("plan_id", "step_id", "source_step_id").distinct().join(inside, ["plan_id", "source_step_id"], "left_semi"), "edges")
-    waiting = pending.select("plan_id", "step_id").distinct()
-    levels = materialize(nodes.join(waiting, ["plan_id", "step_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    found = [levels]
-    for depth in itertools.count(1):
-        done = found[-1].select("plan_id", F.col("step_id").alias("source_step_id"))
-        was = pending.select("plan_id", "step_id").distinct()
-        pending = materialize(pending.join(done, ["plan_id", "source_step_id"], "left_anti"), "edges")
-        ready = was.join(pending.select("plan_id", "step_id").distinct(), ["plan_id", "step_id"], "left_anti")
-        ready = materialize(ready.withColumn("level", F.lit(depth)), "levels")
-        if not ready.take(1):
+    key = ["plan_id", "step_id"]
+    nodes = steps.select(*key).distinct()
+    nodes = materialize(nodes.join(nodes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("size")), "plan_id"), "steps")
+    inside = nodes.select("plan_id", F.col("step_id").alias("source_step_id"))
+    wires = materialize(edges.select(*key, "source_step_id").distinct().join(inside, ["plan_id", "source_step_id"], "left_semi"), "edges")
+    follows = wires.groupBy(*key).agg(F.max("source_step_id").alias("up"))
+    settled, live = [], nodes
+    while True:
+        reach = live.join(follows.select(*key, "up"), key, "left").withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"))
+        reach = materialize(reach.select(*key, "up", "level", "size"), "levels")
+        while reach.filter("up IS NOT NULL").limit(1).count():
+            reach = materialize(_jumped(_jumped(reach)), "levels")
+        level = reach.select("plan_id", F.col("step_id").alias("source_step_id"), F.least(F.col("level") + 1, F.lit(ENDLESS)).alias("_deep"))
+        best = wires.join(level, ["plan_id", "source_step_id"]).groupBy(*key).agg(F.max(F.struct("_deep", "source_step_id")).alias("_best"))
+        follows = best.join(reach, key).select(*key, F.col("_best.source_step_id").alias("up"), (F.col("_best._deep") > F.col("level")).alias("deeper"))
+        follows = materialize(follows, "sources")
+        open_plans = follows.filter("deeper").select("plan_id").distinct()
+        if not open_plans.limit(1).count():
+            settled.append(reach)
             break
-        found.append(ready)
-    settled = found[0]
-    for part in found[1:]:
-        settled = settled.unionByName(part)
-    return nodes.join(settled, ["plan_id", "step_id"], "left").withColumn("in_cycle", F.col("level").isNull())
+        settled.append(reach.join(open_plans, "plan_id", "left_anti"))
+        live, follows = live.join(open_plans, "plan_id", "left_semi"), follows.join(open_plans, "plan_id", "left_semi")
+        wires = materialize(wires.join(open_plans, "plan_id", "left_semi"), "edges")
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.union(part)
+    endless = F.col("level") >= ENDLESS
+    return out.select(*key, F.when(~endless, F.col("level").cast("int")).alias("level"), endless.alias("in_cycle"))
