@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import documents
-from sightline.llm.tokens import default_tokenizer, encoder, slices
+from sightline.llm.tokens import KEPT, SLICE, default_tokenizer, encoder, slices
 from sightline.session import materialize
 
 CAPACITY = 2048
@@ -25,10 +25,12 @@ PER_PARTITION = 4096
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT, slice_bytes: int = SLICE) -> DataFrame:
     """Documents as pieces of at most `capacity` ids (the text's ids, then the end id; null counts as empty).
 
     Only a longer document is cut: its first piece takes the remainder, all others are full and fill a sequence alone.
+    Rows are handled alone: repeated rows repeat, an empty table gives no pieces, and columns other than the two named
+    are not read. `kept` chunks and `slice_bytes` of text bound a task's memory and change no result.
     """
     path = tokenizer or default_tokenizer()
 
@@ -36,9 +38,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         import numpy as np
         import pyarrow as pa
 
-        encode = encoder(path).encode
+        encode = encoder(path, kept).encode
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, size=slice_bytes):
                 ids, starts = encode(some["text"])
                 ids = np.insert(ids, starts[1:], END)
                 starts = starts + np.arange(len(starts))
@@ -52,7 +54,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names[: 5 + with_ids])
-        encoder(path).forget()
+        encoder(path, kept).forget()
 
     rows = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, PIECE + ", ids binary" * with_ids)
@@ -157,9 +159,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_P
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, kept: int = KEPT, slice_bytes: int = SLICE, **options) -> DataFrame:
     """Every piece of every document with its sequence and place there, and its ids where asked for."""
-    pieces = materialize(tokenized_pieces(docs, tokenizer, capacity, with_ids), "pieces")
+    pieces = materialize(tokenized_pieces(docs, tokenizer, capacity, with_ids, kept=kept, slice_bytes=slice_bytes), "pieces")
     packed = pack(pieces, capacity, **options)
     if not with_ids:
         return packed

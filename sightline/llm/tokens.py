@@ -14,8 +14,10 @@ from collections.abc import Iterator
 
 from sightline.llm.common import release_memory
 
-#: Kept chunks of one generation; the one before stays readable, so a worker holds twice as many at most.
+#: Kept chunks of one generation; the one before stays readable, so a task holds twice as many at most.
 KEPT = 250_000
+#: Bytes of text encoded at a time.
+SLICE = 1 << 23
 
 #: Letters and closing marks whose pre-tokens are certain: a run of letters is one, the run of marks after it another.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -27,11 +29,12 @@ _WHITE_RUN = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}"
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kept = KEPT if kept is None else kept
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced: dict[str, bytes] = {}  # chunks that follow a space
         self.bare: dict[str, bytes] = {}  # chunks at the start of a text or line
@@ -140,7 +143,7 @@ class Encoder:
         used[codes[follows]] = True
         after = [c for c, u in zip(chunks, used.tolist(), strict=True) if u]
         ahead = [chunks[c] for c in first.tolist()]
-        if max(len(self.spaced), len(self.bare)) > KEPT:
+        if max(len(self.spaced), len(self.bare)) > self.kept:
             self.before, self.spaced, self.bare = (self.spaced, self.bare), {}, {}
         codes[offsets[:-1]] = len(after) + heads
         codes[follows] = (np.cumsum(used) - 1)[codes[follows]]
@@ -171,7 +174,7 @@ def _ranges(starts, lengths):
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
-def slices(batch, rows: int = 4096, size: int = 1 << 23) -> Iterator:
+def slices(batch, rows: int = 4096, size: int = SLICE) -> Iterator:
     """A record batch with `text` in slices of so many rows and bytes at most (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -185,14 +188,15 @@ def slices(batch, rows: int = 4096, size: int = 1 << 23) -> Iterator:
         at = end
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder. It hangs on the library's module because functions reach executors by value, without this one."""
+def encoder(path: str, kept: int = KEPT) -> Encoder:
+    """This process's encoder, with at most `kept` chunks of a generation. It hangs on the library's module because functions reach executors by value, without this one."""
     import tokenizers
 
-    kept = tokenizers.__dict__.setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    known = tokenizers.__dict__.setdefault("_kept_encoders", {})
+    if path not in known:
+        known[path] = Encoder(path)
+    known[path].kept = kept
+    return known[path]
 
 
 def default_tokenizer() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -57,6 +58,44 @@ def test_language_edges(hard_docs, no_docs):
     assert langid.identify(hard_docs, langid.ByteGru([])).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_plain_loops_give_the_same_probabilities():
+    """Position by position and unit by unit, in plain Python."""
+    model = langid.ByteGru(["a", "b", "c"], hidden=4, seed=5)
+    text = "Çà et là, l'été 7.".lower().encode()
+    p, n = {k: v.astype(float).tolist() for k, v in model.p.items()}, 4
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(data, d):
+        h, out = [0.0] * n, []
+        for byte in data:
+            a = p[f"E{d}"][byte]
+            rec = [sum(h[i] * p[f"U{d}"][i][j] for i in range(n)) for j in range(3 * n)]
+            z, r = ([sigmoid(a[o + i] + rec[o + i]) for i in range(n)] for o in (0, n))
+            new = [math.tanh(a[2 * n + i] + r[i] * (rec[2 * n + i] + p[f"b{d}"][i])) for i in range(n)]
+            h = [new[i] + z[i] * (h[i] - new[i]) for i in range(n)]
+            out.append(h)
+        return out
+
+    both = zip(text, states(text, "f"), states(text[::-1], "b")[::-1], strict=True)
+    total, seen = [0.0] * 3, 0
+    for byte, f, b in both:
+        if chr(byte).isalpha() and byte < 128 or byte >= 128:
+            logit = [p["c"][k] + sum(x * p["V"][i][k] for i, x in enumerate(f + b)) for k in range(3)]
+            whole = sum(map(math.exp, logit))
+            total = [t + math.exp(v) / whole for t, v in zip(total, logit, strict=True)]
+            seen += 1
+    sums, counts = model.documents([text, b"", text])
+    assert counts.tolist() == [seen, 0, seen] and np.allclose(sums[0], total, atol=1e-4) and np.allclose(sums[0], sums[2])
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"wort {i} {'abcdefghij'[i % 10] * 5}", f"l{i % 90:02}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = langid.training_sample(docs, "lang", 500, 240, 45).groupBy("label").count().collect()
+    assert len(few) == 90 and {r["count"] for r in few} == {1}
+    assert len(langid.train(docs, per_language=2, epochs=1).labels) == 90
+
+
 def test_every_position_is_read():
     model = langid.ByteGru(["a", "b"])
     text = b"abcdefghij" * 300
@@ -225,6 +264,23 @@ def test_chat_round_trip(turns):
     assert [chat.unescape(text[s["text_start"] : s["text_end"]]) for s in spans] == [t for _, t in turns]
 
 
+@pytest.mark.parametrize("odd", ["\ue000\ue001", "\ue000" + "\ue001" * 5, "\ue001\ue001\ue000", "\ue000\ue000\ue001\ue001"])
+def test_texts_with_the_sentinel(spark, odd):
+    turns = [("user", odd), ("assistant", "yes"), ("user", f"a{odd}{odd}b"), ("assistant", odd), ("assistant", "")]
+    text, spans, _ = chat.render(chat.marked_turns, turns)
+    assert [chat.unescape(text[s["text_start"] : s["text_end"]]) for s in spans] == [t for _, t in turns]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    row = chat.read_back(chat.format_conversations(df)).first()
+    assert row["loss_chars"] == 3 + len(odd)
+
+
+def test_an_assistant_text_without_a_place_is_an_error(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    silent = chat.format_conversations(df, lambda turns: "".join(f"[INST]{t}[/INST]" if r == "user" else "<s></s>" for r, t in turns))
+    with pytest.raises(Exception, match="no place in the output"):
+        chat.read_back(silent).collect()
+
+
 def test_rewriting_templates_are_found():
     def counted(turns):
         return "".join(f"{len(turns) - i}:{text};" for i, (_, text) in enumerate(turns))

@@ -130,3 +130,15 @@ def test_shards(spark, hard_docs):
 def test_empty_tables(spark, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
     assert wavelet.read_documents(spark, wavelet.shards_in_work_folder(no_docs)).count() == 0
+
+
+def test_ids_over_the_width_are_refused(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="needs more than 4 bits"):
+        wavelet.write_shards(docs, str(tmp_path / "narrow"), bits=4)
+
+
+def test_small_caches_and_slices_change_nothing(hard_docs):
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    plain, tight = (sorted(map(repr, packing.tokenized_pieces(hard_docs, **o).select(*columns).collect())) for o in ({}, {"kept": 3, "slice_bytes": 50}))
+    assert plain == tight and packing.tokenized_pieces(hard_docs.limit(0)).count() == 0
