@@ -32,44 +32,46 @@ def _(spark, sf):
     return spark.read.parquet(table).select("evidence_id", "version", "value", F.col("bucket").cast("long").alias("bucket"))
 
 
-@query("stream_dedupe", "SELECT DISTINCT user_id || ':' || event_type || ':' || (epoch_us(ts) // 86400000000) AS observation_id FROM events")
+@query(
+    "stream_dedupe",
+    """SELECT user_id || ':' || event_type AS observation_id, arg_min(event_id, {'t': ts, 'e': event_id}) AS event_id, arg_min(value, {'t': ts, 'e': event_id}) AS value
+    FROM events GROUP BY user_id, event_type, epoch_us(ts) // 259200000000""",
+)
 def _(spark, sf):
-    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
-    rows = events(spark, sf).select("ts", "event_id", F.concat_ws(":", "user_id", "event_type", day).alias("observation_id"))
-    return S.run_to_parquet(S.dedupe_within(rows, "observation_id", "ts", "40 days"), "dedupe").select("observation_id")
+    # Windows of three days in thirty days of events: a fact repeats inside a window and again in the next ones.
+    rows = events(spark, sf).select("ts", "event_id", "value", F.concat_ws(":", "user_id", "event_type").alias("observation_id"))
+    job = lambda both: S.first_copies(both, ["observation_id"], "ts", "3 days", "10 minutes", ["event_id"])
+    return S.run_to_end(rows, "ts", job, "dedupe").select("observation_id", "event_id", "value")
 
 
-@query(
-    "stream_tumbling_counts",
-    """WITH w AS (SELECT epoch_us(ts) // 60000000 * 60 AS s, event_type, count(*) AS n FROM events GROUP BY ALL), m AS (SELECT epoch_ms(max(ts)) - 600000 AS wm FROM events)
-    SELECT s AS start_epoch, event_type, n FROM w, m WHERE (s + 60) * 1000 <= wm""",
-)
+@query("stream_tumbling_counts", "SELECT epoch_us(ts) // 60000000 * 60 AS start_epoch, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, sf):
-    out = S.run_to_parquet(S.window_counts(events(spark, sf), "ts", "10 minutes", "60 seconds", ["event_type"]), "tumbling")
+    job = lambda both: S.window_counts(both, "ts", "10 minutes", "60 seconds", ["event_type"])
+    out = S.run_to_end(events(spark, sf), "ts", job, "tumbling")
     return out.select(F.unix_seconds("window_start").alias("start_epoch"), "event_type", "n")
 
 
 @query(
     "stream_hop_scan",
     """WITH p AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, value FROM events), h AS (SELECT user_id, unnest([s - 1, s]) AS s, value FROM p),
-    w AS (SELECT user_id, s, count(*) AS n, max(value) AS value FROM h GROUP BY ALL), m AS (SELECT epoch_ms(max(ts)) - 600000 AS wm FROM events)
-    SELECT s AS start_epoch, user_id, n, value FROM w, m WHERE (s + 2) * 1000 <= wm AND value >= 50""",
+    w AS (SELECT user_id, s, count(*) AS n, max(value) AS value FROM h GROUP BY ALL)
+    SELECT s AS start_epoch, user_id, n, value FROM w WHERE value >= 50""",
 )
 def _(spark, sf):
-    windows = S.window_counts(events(spark, sf), "ts", "10 minutes", "2 seconds", ["user_id"], slide="1 second", score="value")
-    out = S.run_to_parquet(windows.filter(F.col("value") >= 50), "hop")
+    job = lambda both: S.window_counts(both, "ts", "10 minutes", "2 seconds", ["user_id"], slide="1 second", score="value").filter(F.col("value") >= 50)
+    out = S.run_to_end(events(spark, sf), "ts", job, "hop")
     return out.select(F.unix_seconds("window_start").alias("start_epoch"), "user_id", "n", "value")
 
 
 @query(
     "stream_session_groups",
     """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600000000 THEN 0 ELSE 1 END AS brk FROM events),
-    s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g),
-    a AS (SELECT user_id, min(t) AS a, max(t) + 3600000000 AS b, count(*) AS n FROM s GROUP BY user_id, k), m AS (SELECT epoch_ms(max(ts)) - 600000 AS wm FROM events)
-    SELECT user_id, a AS start_us, b AS end_us, n FROM a, m WHERE b // 1000 <= wm""",
+    s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(t) AS start_us, max(t) + 3600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k""",
 )
 def _(spark, sf):
-    out = S.run_to_parquet(S.session_groups(events(spark, sf), "ts", "10 minutes", "1 hour", ["user_id"]), "sessions")
+    job = lambda both: S.session_groups(both, "ts", "10 minutes", "1 hour", ["user_id"])
+    out = S.run_to_end(events(spark, sf), "ts", job, "sessions")
     return out.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,34 @@ def run_to_parquet(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Event time of the mark that ends a stream: later than any window of real rows.
+END_OF_STREAM = "9999-01-01 00:00:00"
+
+
+def run_to_end(stream: DataFrame, time: str, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run ``job`` over everything available and then close what is still open; the result holds every window.
+
+    A second source beside the stream stays empty in the first run. Then one mark with a time past all others is put
+    there and the query goes on from its checkpoint: the watermark passes every open window or session and the engine's
+    own state gives them out. The mark's own window never closes, so it is in no result.
+    """
+    spark = stream.sparkSession
+    marks, out, check = work_path(spark, f"{name}-marks"), work_path(spark, name), work_path(spark, f"{name}-check")
+    mark = spark.createDataFrame([], stream.schema)
+    mark.write.parquet(marks)
+    both = job(stream.unionByName(spark.readStream.schema(stream.schema).parquet(marks)))
+
+    def run() -> None:
+        writer = both.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", check)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    end = spark.range(1).select(*[F.lit(END_OF_STREAM if f.name == time else None).cast(f.dataType).alias(f.name) for f in stream.schema.fields])
+    end.write.mode("append").parquet(marks)
+    run()
+    return spark.read.schema(both.schema).parquet(out)
+
+
 def run_batches(stream: DataFrame, name: str, step, mode: str = "append", checkpoint: str | None = None) -> None:
     """Run everything available through ``step(batch, batch_id)``; a given checkpoint is continued."""
     place = checkpoint or work_path(stream.sparkSession, name + "-check")
@@ -62,10 +92,22 @@ def dedupe_within(stream: DataFrame, key: str, time: str, delay: str, salts: int
     return thinned.dropDuplicatesWithinWatermark([key])
 
 
+def first_copies(stream: DataFrame, key: list[str], time: str, width: str, delay: str, order: list[str]) -> DataFrame:
+    """The first copy (by time, then ``order``) of a repeated fact in every event-time window of ``width``.
+
+    Copies are combined on the map side before they meet, so a hot fact costs no more than any other; state is kept for
+    open windows only, and the copy that stays does not depend on how rows arrive, as long as none is later than ``delay``.
+    """
+    rest = [c for c in stream.columns if c not in key]
+    place = F.struct(time, *order)
+    first = stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), *key).agg(F.min_by(F.struct(*rest), place).alias("_row"))
+    return first.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
 def window_counts(stream: DataFrame, time: str, delay: str, width: str, by: list[str], slide: str | None = None, score: str | None = None) -> DataFrame:
     """Counts (and the best score) per event-time window once the watermark has closed it.
 
-    Windows still open at the end of the data are not given; the same call on a static table gives all of them.
+    Windows still open at the end of the data are given under ``run_to_end`` only; the same call on a static table gives all of them.
     """
     window = F.window(time, width, slide) if slide else F.window(time, width)
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.max(score).alias(score)] if score else [])
@@ -76,7 +118,7 @@ def window_counts(stream: DataFrame, time: str, delay: str, width: str, by: list
 def session_groups(stream: DataFrame, time: str, delay: str, gap: str, by: list[str]) -> DataFrame:
     """Runs of rows without a pause of ``gap``; sessions are merged on the map side before the shuffle.
 
-    Sessions still open at the end of the data are not given; the same call on a static table gives all of them.
+    Sessions still open at the end of the data are given under ``run_to_end`` only; the same call on a static table gives all of them.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     out = stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("s"), *by)
