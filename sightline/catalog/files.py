@@ -11,10 +11,11 @@ from sightline.catalog.registry import query
 from sightline.operators import export as X
 from sightline.operators import ledger as L
 from sightline.operators.core import ordered_list
-from sightline.session import work_path
+from sightline.session import materialize, work_path
 from sightline.sources import folders
 from sightline.sources import readers as R
 from sightline.sources import writers as W
+from sightline.sources.snapshots import Ledger
 
 
 @query("scan_jsonl", "SELECT event_id, event_type, value FROM events")
@@ -227,18 +228,19 @@ def _(spark, sf):
 
 @query(
     "ledger_upsert",
-    f"""WITH {B.OBS_SQL}, {B.EVIDENCE_SQL} SELECT evidence_id, CASE WHEN seq % 3 = 0 THEN 'validated' ELSE status END AS status, CASE WHEN seq % 3 = 0 THEN seq + 1000000 ELSE seq END AS seq, video_id % 10 AS bucket FROM ev
+    f"""WITH {B.OBS_SQL}, {B.EVIDENCE_SQL} SELECT evidence_id, CASE WHEN seq % 3 = 0 THEN 'validated' ELSE status END AS status, CASE WHEN seq % 3 = 0 THEN seq + 1000000 ELSE seq END AS seq, CASE WHEN seq % 6 = 0 THEN (video_id + 1) % 10 ELSE video_id % 10 END AS bucket FROM ev
       UNION ALL SELECT 'new_' || evidence_id, 'candidate', seq + 1000000, video_id % 10 FROM ev WHERE seq % 5 = 0""",
 )
 def _(spark, sf):
-    ev = B.evidence(spark, sf).select("evidence_id", "status", "seq", (F.col("video_id") % 10).alias("bucket"))
-    path = work_path(spark, "ledger")
-    ev.write.partitionBy("bucket").parquet(path)
-    replaced = ev.filter(F.col("seq") % 3 == 0).withColumn("status", F.lit("validated"))
+    ev = materialize(B.evidence(spark, sf).select("evidence_id", "status", "seq", (F.col("video_id") % 10).alias("bucket")), "evidence")
+    ledger = Ledger(spark, work_path(spark, "ledger"), "evidence_id", "seq", "bucket")
+    ledger.upsert(ev)
+    # Every second replaced row moves to the next partition; the last commit brings old versions, which change nothing.
+    replaced = ev.filter(F.col("seq") % 3 == 0).withColumns({"status": F.lit("validated"), "bucket": F.when(F.col("seq") % 6 == 0, (F.col("bucket") + 1) % 10).otherwise(F.col("bucket"))})
     added = ev.filter(F.col("seq") % 5 == 0).withColumns({"evidence_id": F.concat(F.lit("new_"), "evidence_id"), "status": F.lit("candidate")})
-    incoming = replaced.unionByName(added).withColumn("seq", F.col("seq") + 1_000_000)
-    W.upsert_table(path, incoming, "evidence_id", "seq", "bucket")
-    return spark.read.parquet(path).select("evidence_id", "status", "seq", F.col("bucket").cast("long").alias("bucket"))
+    ledger.upsert(replaced.unionByName(added).withColumn("seq", F.col("seq") + 1_000_000))
+    ledger.upsert(ev.filter(F.col("seq") % 2 == 0).withColumns({"status": F.lit("stale"), "seq": F.col("seq") - 1}))
+    return ledger.read().select("evidence_id", "status", "seq", F.col("bucket").cast("long").alias("bucket"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sightline import tables as B
 from sightline.catalog.registry import query
 from sightline.session import work_path
+from sightline.sources.snapshots import Ledger
 from sightline.sources.writers import append_jsonl
 from sightline.streaming import jobs as S
 
@@ -28,8 +29,9 @@ def _(spark, sf):
     for part in range(2):
         append_jsonl(log.filter(F.col("version") % 2 == part), path)
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).json(path)
-    S.ingest_ledger(stream, table, "evidence_id", "version", "bucket")
-    return spark.read.parquet(table).select("evidence_id", "version", "value", F.col("bucket").cast("long").alias("bucket"))
+    ledger = Ledger(spark, table, "evidence_id", "version", "bucket")
+    S.ingest_ledger(stream, ledger)
+    return ledger.read().select("evidence_id", "version", "value", F.col("bucket").cast("long").alias("bucket"))
 
 
 @query(

@@ -1,12 +1,9 @@
-"""Writers: JSON Lines logs, result documents, Markdown, ledger upserts."""
+"""Writers: JSON Lines logs, result documents, Markdown. Ledger upserts are in ``snapshots``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from sightline.operators.ledger import upsert
-from sightline.session import materialize
-
 
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
@@ -20,18 +17,3 @@ def write_documents(df: DataFrame, path: str, run: str | None = None) -> None:
 
 def write_markdown(df: DataFrame, column: str, path: str) -> None:
     df.select(column).write.mode("overwrite").option("lineSep", "\n\n").text(path)
-
-
-def upsert_table(path: str, incoming: DataFrame, key: str, version: str, partition: str) -> None:
-    """Insert or replace rows of a Parquet table by id; only the partitions touched are rewritten.
-
-    The merged rows are staged in the shared folder first, so a lost executor cannot leave half a table.
-    An id must keep its partition value.
-    """
-    spark = incoming.sparkSession
-    current = spark.read.parquet(path)
-    touched = incoming.select(partition).distinct()
-    merged = upsert(current.join(touched, partition, "left_semi"), incoming, key, version)
-    staged = materialize(merged, "upsert")
-    writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(partition).parquet(path)

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators.core import keep_last
-from sightline.operators.ledger import SETTLED, clean_status, dedupe_last
+from sightline.operators.ledger import SETTLED, clean_status
 from sightline.session import work_path
 from sightline.sources.readers import path_exists
-from sightline.sources.writers import upsert_table
+from sightline.sources.snapshots import Ledger
 
 
 def event_stream(spark: SparkSession, path: str, schema, time: str = "ts") -> DataFrame:
@@ -66,20 +66,12 @@ def run_batches(stream: DataFrame, name: str, step, mode: str = "append", checkp
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest_ledger(log: DataFrame, table: str, key: str, version: str, partition: str) -> None:
-    """Append-only log into the current ledger: last version per id, touched partitions rewritten.
+def ingest_ledger(log: DataFrame, table: Ledger) -> None:
+    """Append-only log into the current ledger: last version per id, a snapshot per batch.
 
     Replaying a batch changes nothing, because a row only yields to a higher version.
     """
-
-    def step(batch: DataFrame, _batch_id: int) -> None:
-        latest = dedupe_last(batch, key, version).drop("position")
-        if path_exists(batch.sparkSession, f"{table}/_SUCCESS"):
-            upsert_table(table, latest, key, version, partition)
-        else:
-            latest.write.mode("overwrite").partitionBy(partition).parquet(table)
-
-    run_batches(log, "ingest", step)
+    run_batches(log, "ingest", lambda batch, _batch_id: table.upsert(batch))
 
 
 def dedupe_within(stream: DataFrame, key: str, time: str, delay: str, salts: int = 16) -> DataFrame:

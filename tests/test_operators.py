@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from sightline.operators import filters, ledger, lookups, models, observe, ranking, runs
 from sightline.operators.intervals import SLAB_MS
 from sightline.plans import checks
-from sightline.session import work_path
-from sightline.sources import readers, writers
+from sightline.sources import readers
 
 
 def frames(spark, times, score=0):
@@ -158,13 +157,6 @@ def test_listing_and_fingerprints(spark, tmp_path):
     assert len({r.fingerprint for r in readers.file_fingerprints(spark, f"{tmp_path}/v").collect()}) == 1
 
 
-def test_upsert_touches_only_its_partitions(spark):
-    path = work_path(spark, "t")
-    spark.createDataFrame([("a", 1, "x", 0), ("b", 1, "y", 1)], "id string, v long, s string, p int").write.partitionBy("p").parquet(path)
-    writers.upsert_table(path, spark.createDataFrame([("a", 2, "z", 0), ("c", 1, "w", 0)], "id string, v long, s string, p int"), "id", "v", "p")
-    assert sorted((r.id, r.s) for r in spark.read.parquet(path).collect()) == [("a", "z"), ("b", "y"), ("c", "w")]
-
-
 def test_fanout_and_failures(spark):
     df = spark.createDataFrame([(1, ["r"], ["f"], None, None), (2, None, None, [], None)], "request_id int, regions array<string>, frames array<string>, clips array<string>, time_hints array<string>")
     got = {(r.request_id, r.field, r.item) for r in runs.fanout_requests(df).collect()}
