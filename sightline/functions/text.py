@@ -49,22 +49,13 @@ def truncate_text(c: Column, limit: int = 220, mark: str = "...", squeezed: bool
     return let({"t": squeeze(c) if squeezed else strip(c)}, cut)
 
 
-def _one_char(c: Column) -> Column:
-    return (F.length(c) >= 8) & (F.replace(c, F.substring(c, 1, 1), F.lit("")) == "")
-
-
 def is_low_signal(c: Column) -> Column:
-    """Empty, no letter or digit at all, or one character repeated eight times and more."""
-    visible = F.translate(F.coalesce(c, F.lit("")), WS_CHARS, "")
-
-    def silent(t: Column) -> Column:
-        return (t["a"] == "") | _one_char(t["v"]) | _one_char(t["a"])
-
-    def letters(t: Column) -> Column:
-        alnum = F.lower(F.regexp_replace(t["v"], r"[^\p{L}\p{N}]+", ""))
-        return let({"v": t["v"], "a": alnum}, silent)
-
-    return let({"v": visible}, letters)
+    """Empty, no letter or digit at all, or one character repeated eight times and more (white space, then also marks and case, left out)."""
+    said = F.coalesce(c, F.lit(""))
+    other = r"[^\p{L}\p{N}]*"
+    same_sign = rf"(?s)^{WS}*([^{WS[1:-1]}])(?:{WS}*\1){{7,}}{WS}*$"
+    same_letter = rf"(?s)^{other}([\p{{L}}\p{{N}}])(?:{other}\1){{7,}}{other}$"
+    return ~said.rlike(r"[\p{L}\p{N}]") | said.rlike(same_sign) | F.lower(said).rlike(same_letter)
 
 
 def is_meaningful(c: Column) -> Column:
@@ -86,26 +77,23 @@ def sentence_chunks(c: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def _edge_trim(c: Column) -> Column:
-    return F.btrim(c, F.lit(" ,;"))
-
-
-def _non_blank(parts: Column) -> Column:
-    return F.filter(F.transform(parts, _edge_trim), lambda s: s != "")
+#: Stands between pieces while a text is cut: a code point that is no character and so in no text.
+MARK = "\ufdd0"
 
 
 def atomic_pieces(c: Column) -> Column:
-    """Sentences cut further at commas before a word and at the words and / but; repeats are kept."""
-
-    def by_conjunction(piece: Column) -> Column:
-        parts = _non_blank(F.split(piece, r"\s+(?:and|but)\s+"))
-        return let({"p": parts}, lambda t: F.when(F.size(t["p"]) > 1, t["p"]).otherwise(F.array(piece)))
+    """Sentences cut further at commas before a word and at the words and / but; repeats are kept.
 
-    def by_comma(sentence: Column) -> Column:
-        pieces = _non_blank(F.split(_edge_trim(squeeze(sentence)), r",\s+(?=[A-Za-z0-9])"))
-        return F.flatten(F.transform(pieces, by_conjunction))
-
-    return F.flatten(F.transform(sentence_chunks(c), by_comma))
+    The text is marked where it is cut, rule by rule, and split once: a handful of expressions per text, none per piece.
+    Spaces, commas and semicolons beside a mark belong to no piece, so a word that leads a piece does not cut it.
+    """
+    tidy = rf"[ ,;]*{MARK}[ ,;{MARK}]*"
+    marked = F.regexp_replace(c, r"[;\n]+|(?<=[.!?])\s+", MARK)
+    marked = F.regexp_replace(F.regexp_replace(marked, f"{WS}+", " "), r",\s+(?=[A-Za-z0-9])", MARK)
+    marked = F.btrim(F.regexp_replace(marked, tidy, MARK), F.lit(f" ,;{MARK}"))
+    marked = F.regexp_replace(marked, r"\s+(?:and|but)\s+", MARK)
+    marked = F.btrim(F.regexp_replace(marked, tidy, MARK), F.lit(f" ,;{MARK}"))
+    return F.filter(F.split(marked, MARK), lambda s: s != "")
 
 
 def distinct_casefold(texts: Column) -> Column:
