@@ -319,16 +319,21 @@ def _(spark, sf):
 
 @query(
     "anchor_scope_clip",
-    f"""WITH {B.OBS_SQL}, a AS (SELECT seq, time_start_s AS s, time_end_s AS e,
-        CASE WHEN seq % 5 = 0 THEN NULL ELSE time_start_s + seq % 40 END AS a FROM obs),
-    c AS (SELECT *, greatest(s, a - 2) AS lo, least(e, a + 2) AS hi FROM a)
+    f"""WITH {B.OBS_SQL}, a AS (SELECT seq, time_start_s AS s, time_end_s AS e, CASE seq % 4 WHEN 0 THEN time_start_s + seq % 40 WHEN 1 THEN seq % 60 + (seq % 3) * 60 WHEN 2 THEN time_start_s + seq % 40 END AS a,
+        CASE seq % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 3 ELSE 2 END::DOUBLE AS r FROM obs),
+    c AS (SELECT *, greatest(s, a - r) AS lo, least(e, a + r) AS hi FROM a)
     SELECT seq, CASE WHEN a IS NOT NULL AND hi > lo THEN lo ELSE s END AS start_s,
                 CASE WHEN a IS NOT NULL AND hi > lo THEN hi ELSE e END AS end_s FROM c""",
 )
 def _(spark, sf):
-    obs = B.observations(spark, sf)
-    anchor = F.when(F.col("seq") % 5 != 0, F.col("time_start_s") + F.col("seq") % 40)
-    clip = timing.anchor_scope(anchor, F.lit(2.0), F.col("time_start_s"), F.col("time_end_s"))
+    obs, n = B.observations(spark, sf), F.col("seq")
+    # A time in the video, a timecode, a time from the clip's start, or no anchor; an own radius, the scope's, or neither.
+    time_s = F.when(n % 4 == 0, F.col("time_start_s") + n % 40).when(n % 4 == 2, (n % 40).cast("double"))
+    timecode = F.when(n % 4 == 1, F.format_string("at %d:%02d", n % 3, n % 60))
+    reference = F.when(n % 4 == 2, F.when(n % 8 == 2, "Clip").otherwise("scope")).otherwise("")
+    at = timing.anchor_time(time_s, timecode, reference, F.col("time_start_s"))
+    radius = timing.anchor_radius(F.when(n % 3 == 0, F.lit(0.5)), F.when(n % 3 == 1, F.lit(3.0)).otherwise(F.lit(0.0)))
+    clip = timing.anchor_scope(at, radius, F.col("time_start_s"), F.col("time_end_s"))
     return obs.withColumn("clip", clip).select("seq", "clip.start_s", "clip.end_s")
 
 
@@ -368,6 +373,7 @@ def _(spark, sf):
     a AS (SELECT seq, 'even' AS kind, CASE WHEN e <= s THEN [s] WHEN n = 1 THEN [(s + e) / 2]
         ELSE list_transform(range(n), lambda i: s + i * ((e - s) / (n - 1))) END AS l FROM r
       UNION ALL SELECT seq, 'middle', CASE WHEN e <= s OR n = 1 THEN [(s + e) / 2] ELSE list_transform(range(n), lambda i: s + i * ((e - s) / (n - 1))) END FROM r
+      UNION ALL SELECT seq, 'clip', CASE WHEN e <= s THEN [s] WHEN ceil((e - s) / 64) <= 1 THEN [(s + e) / 2] ELSE list_transform(range(ceil((e - s) / 64)::INTEGER), lambda i: s + i * ((e - s) / (ceil((e - s) / 64)::INTEGER - 1))) END FROM r
       UNION ALL SELECT seq, 'dense', list_transform(range(greatest(1, floor((hi - lo) / 128)::INTEGER)), lambda i: lo + i * 128.0::DOUBLE) FROM (
         SELECT seq, CASE WHEN e - s < 1 THEN greatest(0, s - 0.5) ELSE s END AS lo, CASE WHEN e - s < 1 THEN e + 0.5 ELSE e END AS hi FROM r))
     SELECT seq, kind, unnest(range(len(l))) AS idx, unnest(l) AS t FROM a""",
@@ -379,6 +385,7 @@ def _(spark, sf):
     kinds = F.array(
         F.struct(F.lit("even").alias("kind"), timing.sample_times(s, e, n).alias("l")),
         F.struct(F.lit("middle").alias("kind"), timing.sample_times(s, e, n, "middle").alias("l")),
+        F.struct(F.lit("clip").alias("kind"), timing.sample_times(s, e, timing.clip_sample_count(s, e, F.lit(1 / 64))).alias("l")),
         F.struct(
             F.lit("dense").alias("kind"),
             timing.dense_times(s, e, 1 / 128).alias("l"),
@@ -426,7 +433,9 @@ def _(spark, sf):
     prose = F.concat("text", F.lit(" from "), n, F.lit("s to "), n + 3, F.lit(".5s"))
     k = F.col("doc_id") % 4
     fenced = F.concat("text", F.lit("\n```json\n"), objects, F.lit("\n``` 7 - 8"))
-    raw = F.when(k == 0, fenced).when(k == 1, F.concat("text", F.lit(" so "), pairs, F.lit(" is it"))).otherwise(prose)
+    # Other braces stand before and behind the object.
+    braced = F.concat(F.lit("{note} "), "text", F.lit(" {x: {y}} "), objects, F.lit(" {end}"))
+    raw = F.when(F.col("doc_id") % 8 == 4, braced).when(k == 0, fenced).when(k == 1, F.concat("text", F.lit(" so "), pairs, F.lit(" is it"))).otherwise(prose)
     found = B.table(spark, sf, "documents").select(
         "doc_id", F.posexplode(jsons.text_intervals(raw, F.lit(100.0))).alias("idx", "i")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from sightline import tables as B
 from sightline.catalog.columns import PIECES_SQL
+from sightline.catalog.filters import low_sql
 from sightline.catalog.registry import query
 from sightline.operators.transcripts import caption_rows, caption_spans, transcript_ids
 from sightline.functions import jsons, text
@@ -158,11 +159,12 @@ def raw_captions(spark, sf):
     d = F.col("doc_id")
     none = F.lit(None).cast("string")
     nolist = F.lit(None).cast("array<string>")
-    stamp = F.format_string("0:%02d-0:%02d", d % 20, d % 20 + 5)
+    stamp = F.when(d % 4 == 0, F.format_string("0:%02d-0:%02d", d % 20, d % 20 + 5)).otherwise(F.format_string("%ds to %d.0s", d % 20, d % 20 + 5))
     return B.table(spark, sf, "documents").select(
-        d.alias("id"), F.when(d % 2 == 0, stamp).alias("timestamp"), F.when(d % 2 == 1, F.concat(d % 20, F.lit(".5s"))).alias("start"),
+        d.alias("id"), F.when(d % 2 == 0, F.when(d % 3 == 0, stamp).otherwise(" ")).alias("timestamp"), F.when(d % 3 != 0, stamp).alias("time"), F.when(d % 2 == 1, F.concat(d % 20, F.lit(".5s"))).alias("start"),
         F.when(d % 4 == 1, F.concat(d % 20 + 3, F.lit("s"))).alias("end"), none.alias("visual"),
-        F.concat(F.lit('Sign "Open '), "lang", F.lit('" near '), "source").alias("segment_detail_caption"),
+        F.when(d % 7 < 5, F.concat(F.lit('Sign "Open '), "lang", F.lit('" near '), "source")).alias("segment_detail_caption"),
+        F.when(d % 7 == 5, F.col("text")).alias("caption"), F.concat(F.lit("at "), "source").alias("description"), F.array(F.lit("Neon"), "source").alias("text_overlay"), F.array(F.upper("lang"), F.lit("cup")).alias("props"),
         F.when(d % 3 == 0, "----").otherwise("rain").alias("audio"), F.col("lang").alias("speech_content"), none.alias("acoustics_content"),
         F.array("source", F.upper("source")).alias("on_screen_text"), nolist.alias("text_content"),
         F.array(F.lit("run"), F.lit(" Run "), F.lit("??")).alias("actions"), F.array(F.lit("walk")).alias("key_actions"), nolist.alias("objects"),
@@ -173,13 +175,13 @@ def raw_captions(spark, sf):
 
 SPAN_SQL = """sp AS (SELECT doc_id AS id, lang, source, 100000 AS cs, 130000 AS ce,
    CASE WHEN doc_id % 2 = 0 THEN (doc_id % 20) * 1000 ELSE (doc_id % 20) * 1000 + 500 END AS lo,
-   CASE WHEN doc_id % 2 = 0 THEN (doc_id % 20) * 1000 + 5000 WHEN doc_id % 4 = 1 THEN (doc_id % 20) * 1000 + 3000 ELSE 30000 END AS hi FROM documents)"""
+   CASE WHEN doc_id % 2 = 0 THEN (doc_id % 20) * 1000 + 5000 WHEN doc_id % 4 = 1 THEN (doc_id % 20) * 1000 + 3000 ELSE 30000 END AS hi, text FROM documents)"""
 
 
 @query(
     "normalize_caption_span",
-    f"""WITH {SPAN_SQL} SELECT id, cs + lo AS start_ms, cs + hi AS end_ms, 'Sign "Open ' || lang || '" near ' || source AS visual, CASE WHEN id % 3 = 0 THEN '' ELSE 'rain; ' END || 'speech: ' || lang AS audio,
-      source || ' | Open ' || lang AS on_screen_text, 'run,walk' AS actions, lang AS objects, 'camera_state: fixed' AS attributes FROM sp""",
+    f"""WITH {SPAN_SQL} SELECT id, cs + lo AS start_ms, cs + hi AS end_ms, CASE WHEN id % 7 = 6 OR id % 7 = 5 AND {low_sql('text')} THEN 'at ' || source WHEN id % 7 = 5 THEN regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') ELSE 'Sign "Open ' || lang || '" near ' || source END AS visual, CASE WHEN id % 3 = 0 THEN '' ELSE 'rain; ' END || 'speech: ' || lang AS audio,
+      source || ' | Neon' || CASE WHEN id % 7 < 5 THEN ' | Open ' || lang ELSE '' END AS on_screen_text, 'run,walk' AS actions, lang || ',cup' AS objects, 'camera_state: fixed' AS attributes FROM sp""",
 )
 def _(spark, sf):
     spans = caption_spans(raw_captions(spark, sf), F.lit(100_000).cast("long"), F.lit(130_000).cast("long"))

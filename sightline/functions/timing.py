@@ -163,6 +163,24 @@ def anchor_scope(anchor: Column, radius: Column, start: Column, end: Column) ->
     )
 
 
+def anchor_time(time_s: Column, timecode: Column, reference: Column, clip_start: Column) -> Column:
+    """Second of an anchor: its time, else its timecode; counted from the clip's start where it refers to the clip or scope."""
+    at = F.coalesce(time_s, parse_timecode(timecode))
+    local = F.lower(F.coalesce(F.nullif(reference, F.lit("")), F.lit("video"))).isin("clip", "scope")
+    return F.when(local, F.coalesce(clip_start, F.lit(0.0)) + at).otherwise(at)
+
+
+def anchor_radius(radius_s: Column, default_s: Column) -> Column:
+    """An anchor's own radius, else the scope's, else two seconds; the scope's zero counts as none."""
+    return F.coalesce(radius_s, F.nullif(default_s, F.lit(0.0)), F.lit(2.0))
+
+
+def clip_sample_count(start: Column, end: Column, fps: Column) -> Column:
+    """Samples of a clip at a rate: what is begun counts, one at least."""
+    span = F.greatest(F.lit(0.0), F.coalesce(end, start) - F.coalesce(start, F.lit(0.0)))
+    return F.greatest(F.lit(1), F.ceil(span * fps).cast("int"))
+
+
 def absolute_ms(raw_start: Column, raw_end: Column, clip_start: Column, clip_end: Column) -> Column:
     """Span times in ms, read as clip-relative or absolute, shifted and cut to the clip (1 ms slack)."""
     length = F.greatest(F.lit(0).cast("long"), clip_end - clip_start)

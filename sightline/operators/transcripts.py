@@ -88,8 +88,20 @@ def captions_summary(captions, key: str = "video_id", part: int = PART):
     return rows.groupBy(key, "part").agg(ordered_text(F.col("_c"), " ", F.col("idx")).alias("summary"))
 
 
+# Other names under which caption records hold a text, and lists.
+CAPTION_TEXTS = ["id", "timestamp", "time", "start", "end", "visual", "segment_detail_caption", "caption", "description", "audio", "speech_content", "acoustics_content"]
+CAPTION_NOTES = ["camera_state", "video_background", "storyline", "shooting_style"]
+CAPTION_LISTS = ["on_screen_text", "text_content", "screen_text", "text_overlay", "actions", "key_actions", "objects", "entities", "props", "attributes"]
+
+
 def caption_spans(raw, clip_start, clip_end):
-    """Raw caption records (many names for one thing) as canonical spans; times become clip-absolute."""
+    """Raw caption records (many names for one thing) as canonical spans; times become clip-absolute.
+
+    Any of the fixed names may be missing. A stamp holds two clock times, one, or seconds around a dash or word
+    (``3s - 5s``); it counts where neither start nor end is given, as ``timestamp`` or else ``time``.
+    """
+    missing = {n: F.lit(None).cast("string") for n in [*CAPTION_TEXTS, *CAPTION_NOTES] if n not in raw.columns}
+    raw = raw.withColumns(missing | {n: F.lit(None).cast("array<string>") for n in CAPTION_LISTS if n not in raw.columns})
 
     def clean(name):
         return F.when(~text.is_low_signal(F.col(name)), text.strip(F.col(name)))
@@ -104,22 +116,26 @@ def caption_spans(raw, clip_start, clip_end):
     none = F.array().cast("array<string>")
     lists = lambda *names: F.concat(*[F.coalesce(F.col(n), none) for n in names])
     quoted = F.regexp_extract_all("segment_detail_caption", F.lit("""['"]([^'"]{2,200})['"]"""), 1)
-    stamps = F.regexp_extract_all("timestamp", F.lit(r"(\d+(?::\d{2}){1,2}(?:\.\d+)?)"), 1)
-    stamp_ms = lambda i: timing.to_ms(timing.parse_timecode(F.try_element_at(stamps, F.lit(i))))
-    own = F.col("start").isNotNull() | F.col("end").isNotNull()
-    start = F.when(own, timing.to_ms(F.regexp_extract("start", r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))).otherwise(stamp_ms(1))
-    end = F.when(own, timing.to_ms(F.regexp_extract("end", r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))).otherwise(stamp_ms(2))
+    stamp = F.coalesce(text.blank_to_null(F.col("timestamp")), text.blank_to_null(F.col("time")))
+    clocks = F.regexp_extract_all(stamp, F.lit(r"(\d+(?::\d{2}){1,2}(?:\.\d+)?)"), 1)
+    halves = F.split(stamp, r"\s*(?:-|to|until|through)\s*", 2)
+    seconds_ms = lambda c: timing.to_ms(F.regexp_extract(c, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double"))
+    clock_ms = lambda i: timing.to_ms(timing.parse_timecode(F.try_element_at(clocks, F.lit(i))))
+    stamp_ms = lambda i: F.when(F.size(clocks) > 0, clock_ms(i)).otherwise(seconds_ms(F.try_element_at(halves, F.lit(i))))
+    own = seconds_ms(F.col("start")).isNotNull() | seconds_ms(F.col("end")).isNotNull()
+    start = F.when(own, seconds_ms(F.col("start"))).otherwise(stamp_ms(1))
+    end = F.when(own, seconds_ms(F.col("end"))).otherwise(stamp_ms(2))
     span = timing.absolute_ms(start, end, clip_start, clip_end)
     audio = distinct(F.array(F.col("audio"), tagged("speech_content", "speech"), tagged("acoustics_content", "acoustics")))
-    named = [tagged(n, n) for n in ("camera_state", "video_background", "storyline", "shooting_style")]
+    named = [tagged(n, n) for n in CAPTION_NOTES]
     return raw.select(
         "id",
         span.alias("_t"),
-        F.coalesce(clean("visual"), clean("segment_detail_caption"), F.lit("")).alias("visual"),
+        F.coalesce(*[clean(n) for n in ("visual", "segment_detail_caption", "caption", "description")], F.lit("")).alias("visual"),
         F.array_join(audio, "; ").alias("audio"),
-        F.array_join(distinct(F.concat(lists("on_screen_text", "text_content"), F.coalesce(quoted, none))), " | ").alias("on_screen_text"),
+        F.array_join(distinct(F.concat(lists("on_screen_text", "text_content", "screen_text", "text_overlay"), F.coalesce(quoted, none))), " | ").alias("on_screen_text"),
         distinct(lists("actions", "key_actions")).alias("actions"),
-        distinct(lists("objects", "entities")).alias("objects"),
+        distinct(lists("objects", "entities", "props")).alias("objects"),
         distinct(F.concat(lists("attributes"), F.array(*named))).alias("attributes"),
     ).select("id", "_t.start_ms", "_t.end_ms", "visual", "audio", "on_screen_text", "actions", "objects", "attributes")
 
