@@ -9,6 +9,7 @@ from sightline.catalog.registry import query
 from sightline.functions.text import WS, band, letter_options, verdict
 from sightline.functions.timing import intervals_sentence
 from sightline.operators.frames import frame_rows
+from sightline.operators import lookups as J
 from sightline.operators.lines import evidence_line, media_line
 from sightline.operators.observe import atomic_chunks
 from sightline.functions import ids, jsons, text, timing, vectors
@@ -75,7 +76,23 @@ def _(spark, sf):
     return atomic_chunks(B.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("quoted_phrases")
+def strip_sql(text_sql: str) -> str:
+    return f"regexp_replace({text_sql}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+QUOTED_SQL = strip_sql("replace(s, chr(1), '''')")
+
+
+@query(
+    "quoted_phrases",
+    # Without look-ahead: quotes that a letter or digit follows are marked first, so only the others can close.
+    rf"""WITH d AS (SELECT doc_id, concat_ws(' ', 'the line "', regexp_split_to_array(text, '\s+')[1], regexp_extract(text, '(\S+)\s*$', 1), '" and ''it''s one phrase'' in', text) AS said FROM documents),
+    q AS (SELECT doc_id, list_concat(list_filter(list_transform(regexp_extract_all(said, '"([^"\n]{{3,}})"', 1), lambda s: {strip_sql('s')}), lambda s: s <> ''),
+      list_filter(list_transform(regexp_extract_all(regexp_replace(said, '''([\p{{L}}\p{{N}}])', chr(1) || '\1', 'g'), '(?s)[\x01''](.*?)''', 1), lambda s: {QUOTED_SQL}), lambda s: length(s) >= 3)) AS l FROM d),
+    x AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS phrase FROM q),
+    f AS (SELECT *, trim(regexp_replace(lower(phrase), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS form FROM x)
+    SELECT doc_id, min(pos) AS pos, arg_min(phrase, pos) AS phrase FROM f WHERE form <> '' GROUP BY doc_id, form""",
+)
 def _(spark, sf):
     docs = B.table(spark, sf, "documents")
     said = F.concat_ws(
@@ -86,7 +103,7 @@ def _(spark, sf):
         F.lit("\" and 'it's one phrase' in"),
         "text",
     )
-    return docs.select("doc_id", F.posexplode(text.quoted_phrases(said)).alias("pos", "phrase"))
+    return J.quoted_phrases(docs.select("doc_id", said.alias("said")), ["doc_id"], "said")
 
 
 @query(

@@ -228,20 +228,15 @@ def parse_list_field(c: Column) -> Column:
     return F.when(F.size(cleaned) > 0, cleaned)
 
 
-def quoted_phrases(c: Column) -> Column:
-    """Quoted phrases of three characters and more, double quotes first; distinct by normal form.
+def quotes(c: Column) -> Column:
+    """Quoted texts of three characters and more, those in double quotes first.
 
     A single quote closes only when no letter or digit follows it.
     """
     double = F.regexp_extract_all(c, F.lit(r'"([^"\n]{3,})"'), 1)
     single = F.regexp_extract_all(c, F.lit(r"(?s)'(.*?)'(?![\p{L}\p{N}])"), 1)
     long = F.filter(F.transform(single, strip), lambda s: F.length(s) >= 3)
-    both = F.concat(F.filter(F.transform(double, strip), lambda s: s != ""), long)
-
-    def first_of_kind(b: Column) -> Column:
-        return F.filter(b["s"], lambda s, i: (b["f"][i] != "") & (F.array_position(b["f"], b["f"][i]) == i + 1))
-
-    return let({"s": both}, lambda b: let({"s": b["s"], "f": F.transform(b["s"], normalize_phrase)}, first_of_kind))
+    return F.concat(F.filter(F.transform(double, strip), lambda s: s != ""), long)
 
 
 def band(scores):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.functions.jsons import json_items, json_walk
-from sightline.functions.text import normalize_phrase, quoted_phrases, strip
+from sightline.functions.text import normalize_phrase, quotes, strip
 from sightline.functions.timing import fixed, to_s
 from sightline.operators.core import keep_first, keep_last, ordered_list, ordered_text, top_n
 from sightline.operators.intervals import segment_ngrams
@@ -151,13 +151,20 @@ def similarity(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return pairs.withColumn(out, F.when(inside, F.greatest(ratio, F.lit(0.99))).otherwise(ratio))
 
 
+def quoted_phrases(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Quoted phrases of a text, once per normal form (the first spelling stays): keys, pos (place among the text's quotes), phrase."""
+    rows = df.select(*keys, F.posexplode(quotes(F.col(column))).alias("pos", "phrase")).withColumn("_form", normalize_phrase(F.col("phrase")))
+    rows = rows.filter("_form <> ''").withColumn("pos", F.col("pos").cast("long"))
+    return keep_first(rows, [*keys, "_form"], ["pos"]).drop("_form")
+
+
 def phrase_matches(questions: DataFrame, segments: DataFrame) -> DataFrame:
     """Best run of one to four segments for every quoted phrase of the question on its transcript.
 
     Higher similarity wins, then the shorter time span, then the earlier run. Runs whose lengths alone keep
     them below a containing run (0.99) never reach the similarity step.
     """
-    phrases = questions.select("transcript_id", F.posexplode(quoted_phrases(F.col("question"))).alias("phrase_no", "phrase"))
+    phrases = quoted_phrases(questions, ["transcript_id"], "question").withColumnRenamed("pos", "phrase_no")
     phrases = phrases.withColumn("_p", normalize_phrase(F.col("phrase")))
     runs = segment_ngrams(segments).withColumn("_t", normalize_phrase(F.col("text"))).filter("_t <> ''")
     pairs = phrases.join(runs, "transcript_id")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import ids, jsons, markers, text, timing, vectors
+from sightline.operators.lookups import quoted_phrases
 
 
 def one(spark, column):
@@ -65,7 +66,8 @@ def test_sentences_and_pieces(spark):
 
 def test_quoted_phrases(spark):
     said = "who said \"go home\" or 'come to bill's ammunition' and 'no'"
-    assert one(spark, text.quoted_phrases(F.lit(said))) == ["go home", "come to bill's ammunition"]
+    rows = quoted_phrases(spark.range(1).withColumn("said", F.lit(said)), ["id"], "said").orderBy("pos").collect()
+    assert [r["phrase"] for r in rows] == ["go home", "come to bill's ammunition"]
 
 
 def test_options_keep_letters_and_gold_counts_after_blanks(spark):
