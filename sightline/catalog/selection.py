@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightline import tables as B
 from sightline.catalog.columns import query_vector
 from sightline.catalog.registry import query
-from sightline.catalog.windows import RAW_SQL, merged_sql, raw_intervals, temporal_rerank
+from sightline.catalog.windows import NEIGHBOUR_SQL, RAW_SQL, merged_sql, raw_intervals, temporal_rerank
 from sightline.operators import filters as P
 from sightline.operators import intervals as I
 from sightline.operators import ranking as K
@@ -68,15 +68,66 @@ def reranked(spark, sf):
     return temporal_rerank(frames, clips(frames), True, [30_000])
 
 
-@query("diverse_topk")
+RERANK_SQL = f"""{B.FRAMES_SQL}, {NEIGHBOUR_SQL.format(2000)},
+cl AS (SELECT video_id, min(t_ms) AS lo, max(t_ms) AS hi FROM fr GROUP BY video_id),
+rb AS (SELECT f.*, lo, hi, CASE WHEN n > 0 THEN 0.18::DOUBLE * (s::DOUBLE / n) ELSE 0.0::DOUBLE END AS bonus, abs(t_ms - 30000) AS d,
+  greatest(1000.0::DOUBLE, least(2500.0::DOUBLE, CASE WHEN hi > lo THEN (hi - lo) * 0.2::DOUBLE ELSE 1000.0 END)) AS w FROM fr f JOIN nb ON f.seq = nb.seq JOIN cl ON f.video_id = cl.video_id),
+ra AS (SELECT *, bool_or(d <= w) OVER (PARTITION BY video_id) AS alive, 0.25::DOUBLE * greatest(0.0::DOUBLE, 1.0 - d / w) AS pull FROM rb),
+rk AS (SELECT seq, video_id, t_ms, d AS distance_ms, round(score_u + bonus + (CASE WHEN alive AND d > w THEN pull * 0.5::DOUBLE ELSE pull END) * 1000000.0::DOUBLE
+  + (CASE WHEN hi > lo THEN 0.04::DOUBLE * ((t_ms - lo)::DOUBLE / (hi - lo)) ELSE 0.0 END) * 1000000.0::DOUBLE)::BIGINT AS temporal_u FROM ra)"""
+
+
+@query(
+    "diverse_topk",
+    f"""WITH RECURSIVE {RERANK_SQL},
+    pk AS (SELECT video_id, max(temporal_u) AS pk FROM rk GROUP BY video_id),
+    hi AS (SELECT rk.* FROM rk JOIN pk USING (video_id) WHERE pk - temporal_u <= greatest(20000::DOUBLE, pk * 0.03::DOUBLE)),
+    g1 AS (SELECT *, CASE WHEN t_ms - lag(t_ms) OVER (PARTITION BY video_id ORDER BY t_ms) <= 1250 THEN 0 ELSE 1 END AS brk FROM hi),
+    g2 AS (SELECT *, sum(brk) OVER (PARTITION BY video_id ORDER BY t_ms ROWS UNBOUNDED PRECEDING) AS g FROM g1),
+    gr AS (SELECT video_id, g, sum(temporal_u) / count(*)::DOUBLE AS mean, count(*) AS n, max(temporal_u) AS top, min(t_ms) AS t0, median(t_ms) AS mid FROM g2 GROUP BY video_id, g),
+    best AS (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY mean DESC, n DESC, top DESC, t0) = 1),
+    centre AS (SELECT video_id, seq FROM g2 JOIN best USING (video_id, g) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY abs(t_ms - mid), temporal_u DESC, t_ms, seq) = 1),
+    o AS (SELECT rk.*, row_number() OVER (PARTITION BY rk.video_id ORDER BY c.seq IS NULL, temporal_u DESC, distance_ms, t_ms, rk.seq) AS rn FROM rk LEFT JOIN centre c ON rk.video_id = c.video_id AND rk.seq = c.seq),
+    walk AS (
+      SELECT video_id, 0 AS k, []::BIGINT[] AS seqs, []::BIGINT[] AS ts FROM pk
+      UNION ALL
+      SELECT walk.video_id, k + 1, list_append(seqs, o.seq), list_append(ts, o.t_ms) FROM walk JOIN o ON o.video_id = walk.video_id
+      WHERE k < 5 AND NOT list_contains(seqs, o.seq) AND len(list_filter(ts, lambda c: abs(c - o.t_ms) < 2500)) = 0
+      QUALIFY row_number() OVER (PARTITION BY walk.video_id ORDER BY rn) = 1
+    ),
+    ended AS (SELECT * FROM walk QUALIFY k = max(k) OVER (PARTITION BY video_id)),
+    taken AS (SELECT video_id, unnest(seqs) AS seq, unnest(range(len(seqs))) + 1 AS pick FROM ended
+      UNION ALL SELECT o.video_id, o.seq, k + row_number() OVER (PARTITION BY o.video_id ORDER BY rn) FROM o JOIN ended ON o.video_id = ended.video_id WHERE NOT list_contains(seqs, o.seq) QUALIFY row_number() OVER (PARTITION BY o.video_id ORDER BY rn) <= 5 - k)
+    SELECT t.video_id, t.seq, rk.t_ms, rk.temporal_u, t.pick FROM taken t JOIN rk ON rk.seq = t.seq AND rk.video_id = t.video_id""",
+)
 def _(spark, sf):
     # Ranked frames feed several branches, so their plan is cut by a written table first.
     ranked = materialize(reranked(spark, sf), "ranked")
     centre = I.best_plateau(ranked.withColumn("score_u", F.col("temporal_u")), ["video_id"], "score_u")
-    return K.diverse_topk(ranked, "video_id", 5, 1000, centre)
+    # Frames stand a second apart, so a chosen one keeps two on either side away.
+    return K.diverse_topk(ranked, "video_id", 5, 2500, centre)
 
 
-@query("anchor_window_select")
+@query(
+    "anchor_window_select",
+    f"""WITH {B.FRAMES_SQL}, a(i, a) AS (VALUES (0, 30500), (1, 200000)),
+    r AS (SELECT video_id, seq, t_ms, score_u, i, a, abs(t_ms - a) AS dist, abs(t_ms - a) > 15000 AS outside FROM fr, a),
+    near AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY video_id, i ORDER BY outside, dist, score_u DESC, t_ms, seq) <= 10),
+    win AS (SELECT * FROM near QUALIFY outside = min(outside) OVER (PARTITION BY video_id, i)),
+    asked AS (SELECT *, 0 AS pri FROM win QUALIFY row_number() OVER (PARTITION BY video_id, i ORDER BY dist, t_ms, seq) = 1
+      UNION ALL SELECT *, 1 FROM r WHERE t_ms < a QUALIFY row_number() OVER (PARTITION BY video_id, i ORDER BY t_ms DESC, seq) = 1
+      UNION ALL SELECT *, 2 FROM r WHERE t_ms > a QUALIFY row_number() OVER (PARTITION BY video_id, i ORDER BY t_ms, seq) = 1),
+    goal AS (SELECT w.video_id, w.i, greatest(4, any_value(k.n), least(5, count(*))) AS goal FROM win w JOIN (SELECT video_id, i, count(DISTINCT seq) AS n FROM asked GROUP BY ALL) k ON w.video_id = k.video_id AND w.i = k.i GROUP BY w.video_id, w.i),
+    wish AS (SELECT * FROM asked UNION ALL SELECT *, 2 + row_number() OVER (PARTITION BY video_id, i ORDER BY dist, score_u DESC, t_ms) FROM win),
+    u AS (SELECT * FROM wish QUALIFY row_number() OVER (PARTITION BY video_id, i, seq ORDER BY pri) = 1),
+    one AS (SELECT u.* FROM u JOIN goal g ON u.video_id = g.video_id AND u.i = g.i WHERE u.i = 0 QUALIFY row_number() OVER (PARTITION BY u.video_id ORDER BY pri) <= any_value(goal) OVER (PARTITION BY u.video_id)),
+    held AS (SELECT video_id, count(*) AS n FROM one GROUP BY video_id),
+    two AS (SELECT u.* FROM u JOIN goal g ON u.video_id = g.video_id AND u.i = g.i JOIN held h ON h.video_id = u.video_id
+      WHERE u.i = 1 AND NOT EXISTS (SELECT 1 FROM one o WHERE o.video_id = u.video_id AND o.seq = u.seq)
+      QUALIFY row_number() OVER (PARTITION BY u.video_id ORDER BY pri) <= any_value(greatest(1, goal - h.n)) OVER (PARTITION BY u.video_id)),
+    t AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+    SELECT video_id, seq, t_ms, score_u, a::BIGINT AS anchor_ms, dist::BIGINT AS distance_ms, CASE WHEN pri = 0 THEN 'anchor' WHEN t_ms < a THEN 'before' ELSE 'after' END AS role FROM t""",
+)
 def _(spark, sf):
     return K.anchor_window_select(B.scored_frames(spark, sf), "video_id", [30_500, 200_000], 4, 15_000)
 
