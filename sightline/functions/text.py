@@ -87,11 +87,13 @@ def atomic_pieces(c: Column) -> Column:
     The text is marked where it is cut, rule by rule, and split once: a handful of expressions per text, none per piece.
     Spaces, commas and semicolons beside a mark belong to no piece, so a word that leads a piece does not cut it.
     """
-    tidy = rf"[ ,;]*{MARK}[ ,;{MARK}]*"
+    tidy = rf"[ ,;]*+{MARK}[ ,;{MARK}]*+"
+    other_space = WS_CHARS.replace(" ", "")
     marked = F.regexp_replace(c, r"[;\n]+|(?<=[.!?])\s+", MARK)
-    marked = F.regexp_replace(F.regexp_replace(marked, f"{WS}+", " "), r",\s+(?=[A-Za-z0-9])", MARK)
+    squeezed = F.regexp_replace(F.translate(marked, other_space, " " * len(other_space)), "  +", " ")
+    marked = F.regexp_replace(squeezed, r", (?=[A-Za-z0-9])", MARK)
     marked = F.btrim(F.regexp_replace(marked, tidy, MARK), F.lit(f" ,;{MARK}"))
-    marked = F.regexp_replace(marked, r"\s+(?:and|but)\s+", MARK)
+    marked = F.regexp_replace(marked, r" (?:and|but) ", MARK)
     marked = F.btrim(F.regexp_replace(marked, tidy, MARK), F.lit(f" ,;{MARK}"))
     return F.filter(F.split(marked, MARK), lambda s: s != "")
 
