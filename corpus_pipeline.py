@@ -15,19 +15,27 @@ from sightline.session import materialize
 
 #: Stages with a trained model cannot be said in SQL; the stages' tests hold them against brute force instead.
 ORACLE_SQL = None
+#: Of documents like those held out, language ID gives up one in so many at most, and none with a score over the second value.
+LOST, SURE = 1000, 0.5
+#: Chunks the encoder keeps, and bytes it encodes at a time: Python workers of five stages stand beside each other here.
+KEPT, SLICE = 60_000, 1 << 21
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network can tell.
 
-    Rejected are documents without a letter and those whose best pooled probability is hardly over that of a guess.
-    Rows that repeat an id stay when one of them can be told. Without any row to learn from, all stay.
+    Rejected are documents without a letter and those whose pooled probability is lower than nearly all of the rows that
+    the network did not learn from have: one in LOST of these is given up, none of them over a score of SURE. Rows that
+    repeat an id stay when one of them can be told. Without any row to learn from only letterless documents go.
     """
     model = langid.train(docs)
     if not model.labels:
-        return docs
+        lettered = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")
+        return without(docs, docs.groupBy("doc_id").agg(F.max(lettered).alias("lettered")).filter("NOT lettered"))
     found = materialize(langid.identify(docs, model), "languages")
-    rejected = (F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < 1.2 / max(2, len(model.labels)))
+    told = F.col("lang_pred") != langid.UNKNOWN
+    usual = found.filter(told & F.col("held_out")).agg(F.percentile_approx("score", 1 / LOST, F.lit(100 * LOST))).first()[0]
+    rejected = ~told | (F.col("score") < min(SURE, SURE if usual is None else usual))
     return without(docs, found.groupBy("doc_id").agg(F.min(rejected).alias("rejected")).filter("rejected"))
 
 
@@ -49,7 +57,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and place there."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, kept=KEPT, slice_bytes=SLICE)
 
 
 STAGES = [
