@@ -297,20 +297,25 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- plans: an order is a plan, its lines are steps
 
-TOOL_NAMES = ["asr", "dense_captioner", "frame_retriever", "ocr", "spatial_grounder", "visual_temporal_grounder", "generic_purpose"]
+TOOL_NAMES = ["asr", "dense_captioner", "frame_retriever", "ocr", "spatial_grounder", "visual_temporal_grounder", "generic_purpose", "audio_temporal_grounder"]
+PATH_NAMES = ["clips[].id", "clips", "frames", "clips[2]", "frames.0.clip", "phrase_matches[1].time_hint", "phrase_matches[].time_hint", "answer", "overall_summary", "transcripts", "transcripts[0].text"]
+PATH_LIST = "[" + ", ".join(f"'{t}'" for t in PATH_NAMES) + "]"
 TOOL_LIST = "[" + ", ".join(f"'{t}'" for t in TOOL_NAMES) + "]"
 RULES_SQL = (
     "em(tool, head) AS (VALUES " + ", ".join(f"('{t}', '{v}')" for t, vs in checks.TOOL_OUTPUTS.items() for v in vs) + "), "
-    "nd(tool, field) AS (VALUES " + ", ".join(f"('{t}', '{v}')" for t, vs in checks.NEEDS_ONE_OF.items() for v in vs) + ")"
+    "nd(tool, field) AS (VALUES " + ", ".join(f"('{t}', '{v}')" for t, vs in checks.NEEDS_ONE_OF.items() for v in vs) + "), "
+    "pt(field, path) AS (VALUES " + ", ".join(f"('{t}', '{v}')" for t, vs in checks.PART_PATHS.items() for v in vs) + "), "
+    "tx(path) AS (VALUES " + ", ".join(f"('{v}')" for v in checks.TEXT_OUTPUTS) + ")"
 )
 
 
 @query(
     "plan_lint",
-    f"""WITH {RULES_SQL}, s AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, l_partkey * 1000 + l_suppkey AS pos, {TOOL_LIST}[l_partkey % 7 + 1] AS tool, CASE WHEN l_quantity > 25 THEN ['clips'] ELSE ['query'] END AS lit FROM lineitem),
+    f"""WITH {RULES_SQL}, s AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, l_partkey * 1000 + l_suppkey AS pos, {TOOL_LIST}[l_partkey % 8 + 1] AS tool, CASE WHEN l_quantity > 25 THEN ['clips'] ELSE ['query'] END AS lit FROM lineitem),
     k AS (SELECT plan_id, step_id, count(*) AS n, arg_min(tool, pos) AS tool FROM s GROUP BY ALL),
-    r AS (SELECT DISTINCT l_orderkey AS plan_id, l_linenumber AS step_id, l_linenumber - 1 + l_suppkey % 3 AS src, CASE WHEN l_returnflag = 'A' THEN 'time_hints' WHEN l_returnflag = 'N' THEN 'clips' WHEN l_linenumber % 2 = 0 THEN 'query' ELSE 'frames' END AS target, CASE WHEN l_linestatus = 'O' THEN 'clips[].id' ELSE 'frames' END AS path FROM lineitem WHERE l_partkey % 2 = 0),
-    w AS (SELECT r.*, a.tool AS src_tool, b.tool AS tool FROM r LEFT JOIN k a ON a.plan_id = r.plan_id AND a.step_id = r.src JOIN k b ON b.plan_id = r.plan_id AND b.step_id = r.step_id),
+    r AS (SELECT DISTINCT l_orderkey AS plan_id, l_linenumber AS step_id, l_linenumber - 1 + l_suppkey % 3 AS src, ['time_hints', 'clips', 'query', 'frames', 'evidence_ids', 'text_contexts', 'transcripts'][l_suppkey % 7 + 1] AS target,
+      {PATH_LIST}[(l_partkey + l_suppkey) % 11 + 1] AS path FROM lineitem WHERE l_partkey % 3 <> 0),
+    w AS (SELECT r.*, regexp_replace(regexp_replace(path, '\\[\\d+\\]', '[]', 'g'), '\\.\\d+', '[]', 'g') AS general, a.tool AS src_tool, b.tool AS tool FROM r LEFT JOIN k a ON a.plan_id = r.plan_id AND a.step_id = r.src JOIN k b ON b.plan_id = r.plan_id AND b.step_id = r.step_id),
     fed AS (SELECT plan_id, step_id, target AS field FROM r UNION ALL SELECT plan_id, step_id, unnest(lit) FROM s),
     fd AS (SELECT DISTINCT f.plan_id, f.step_id FROM fed f JOIN k ON k.plan_id = f.plan_id AND k.step_id = f.step_id JOIN nd ON nd.tool = k.tool AND nd.field = f.field UNION SELECT r.plan_id, r.step_id FROM r JOIN k ON r.plan_id = k.plan_id AND r.step_id = k.step_id WHERE k.tool = 'generic_purpose'),
     o AS (SELECT plan_id, step_id, 'duplicate_step_id' AS rule, n::VARCHAR AS detail FROM k WHERE n > 1
@@ -320,27 +325,37 @@ RULES_SQL = (
       UNION ALL SELECT plan_id, step_id, 'path_not_emitted', src_tool || '.' || path FROM w WHERE src_tool IS NOT NULL AND (src_tool, regexp_extract(path, '^([^.\\[]*)', 1)) NOT IN (SELECT (tool, head) FROM em)
       UNION ALL SELECT plan_id, step_id, 'missing_context', tool FROM k WHERE tool IN (SELECT tool FROM nd) AND (plan_id, step_id) NOT IN (SELECT (plan_id, step_id) FROM fd)
       UNION ALL SELECT plan_id, step_id, 'time_hints_not_from_speech', src_tool FROM w WHERE target = 'time_hints' AND src_tool <> 'asr'
-      UNION ALL SELECT plan_id, step_id, 'regions_into_text_reader', src::VARCHAR FROM w WHERE tool = 'ocr' AND src_tool = 'spatial_grounder')
+      UNION ALL SELECT plan_id, step_id, 'regions_into_text_reader', src::VARCHAR FROM w WHERE tool = 'ocr' AND src_tool = 'spatial_grounder'
+      UNION ALL SELECT plan_id, step_id, 'evidence_ids_by_reference', src::VARCHAR FROM w WHERE target = 'evidence_ids'
+      UNION ALL SELECT plan_id, step_id, 'path_of_other_parts', path || ' -> ' || target FROM w WHERE target IN (SELECT field FROM pt) AND (target, path) NOT IN (SELECT (field, path) FROM pt) AND (target, general) NOT IN (SELECT (field, path) FROM pt)
+      UNION ALL SELECT plan_id, step_id, 'no_text_output', path FROM w WHERE target = 'text_contexts' AND path NOT IN (SELECT path FROM tx)
+      UNION ALL SELECT plan_id, step_id, 'speech_not_as_transcripts', path || ' -> ' || target FROM w WHERE tool = 'generic_purpose' AND src_tool = 'asr' AND (target = 'text_contexts' OR target = 'transcripts' AND path <> 'transcripts')
+      UNION ALL SELECT DISTINCT l_orderkey, l_linenumber, 'evidence_not_retrieved', 'ev_' || l_suppkey FROM lineitem l WHERE l_partkey % 5 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey = l.l_orderkey AND x.l_suppkey = l.l_suppkey AND x.l_partkey % 5 <> 0)
+      UNION ALL SELECT plan_id, step_id, 'sound_before_sight', tool FROM k WHERE tool = 'audio_temporal_grounder' AND plan_id % 4 = 0 AND (plan_id, step_id) NOT IN (SELECT (plan_id, step_id) FROM w WHERE target = 'clips' AND src_tool = 'visual_temporal_grounder'))
     SELECT DISTINCT * FROM o""",
 )
 def _(spark, sf):
     lines = B.table(spark, sf, "lineitem")
-    tools = F.array(*[F.lit(t) for t in TOOL_NAMES])
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    tools, paths = (F.array(*[F.lit(t) for t in names]) for names in (TOOL_NAMES, PATH_NAMES))
+    targets = F.array(*[F.lit(t) for t in ("time_hints", "clips", "query", "frames", "evidence_ids", "text_contexts", "transcripts")])
     ids = [F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").cast("long").alias("step_id")]
     steps = lines.select(
         *ids,
-        (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"),
-        F.element_at(tools, (F.col("l_partkey") % 7 + 1).cast("int")).alias("tool_name"),
+        (part * 1000 + supp).alias("pos"),
+        F.element_at(tools, (part % 8 + 1).cast("int")).alias("tool_name"),
         F.when(F.col("l_quantity") > 25, F.array(F.lit("clips"))).otherwise(F.array(F.lit("query"))).alias("literals"),
     )
-    flag = F.col("l_returnflag")
-    refs = lines.filter(F.col("l_partkey") % 2 == 0).select(
+    refs = lines.filter(part % 3 != 0).select(
         *ids,
-        F.when(flag == "A", "time_hints").when(flag == "N", "clips").when(F.col("l_linenumber") % 2 == 0, "query").otherwise("frames").alias("target_field"),
-        (F.col("l_linenumber") - 1 + F.col("l_suppkey") % 3).alias("source_step_id"),
-        F.when(F.col("l_linestatus") == "O", "clips[].id").otherwise("frames").alias("field_path"),
+        F.element_at(targets, (supp % 7 + 1).cast("int")).alias("target_field"),
+        (F.col("l_linenumber") - 1 + supp % 3).alias("source_step_id"),
+        F.element_at(paths, ((part + supp) % 11 + 1).cast("int")).alias("field_path"),
     )
-    return checks.plan_lint(steps, refs.distinct())
+    evidence = F.concat(F.lit("ev_"), supp).alias("evidence_id")
+    cited, retrieved = lines.filter(part % 5 == 0).select(*ids, evidence), lines.filter(part % 5 != 0).select(ids[0], evidence)
+    conditioned = lines.filter("l_orderkey % 4 = 0").select(ids[0])
+    return checks.plan_lint(steps, refs.distinct(), cited, retrieved, conditioned)
 
 
 @query(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.text import strip
 from sightline.session import materialize
 
 # What each tool emits, and which inputs each tool cannot do without (one of them).
@@ -39,6 +40,16 @@ NEEDS_ONE_OF = {
     "ocr": ["clips", "frames", "regions"],
     "spatial_grounder": ["clips", "frames"],
 }
+# Which output paths may be bound into fields of parts and of hints ([] stands for any one item or the list),
+# and which outputs count as text.
+PART_PATHS = {
+    "clips": ["clips", "clips[]", "frames[].clip", "regions[].frame.clip", "transcripts[].clip"],
+    "frames": ["frames", "frames[]", "regions[].frame"],
+    "regions": ["regions", "regions[]"],
+    "transcripts": ["transcripts", "transcripts[]"],
+    "time_hints": ["phrase_matches[].time_hint"],
+}
+TEXT_OUTPUTS = ["text", "summary", "overall_summary", "analysis", "answer", "supporting_points", "spatial_description", "raw_output_text"]
 
 
 def _listed(pairs: dict[str, list[str]], tool: Column) -> Column:
@@ -57,14 +68,23 @@ def _violations(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataF
     return rows.select("plan_id", "step_id", "v.rule", "v.detail")
 
 
-def plan_lint(steps: DataFrame, refs: DataFrame) -> DataFrame:
-    """One row (plan_id, step_id, rule, detail) per broken rule. References and steps are each read once."""
+def plan_lint(steps: DataFrame, refs: DataFrame, cited: DataFrame | None = None, retrieved: DataFrame | None = None, conditioned: DataFrame | None = None) -> DataFrame:
+    """One row (plan_id, step_id, rule, detail) per broken rule. References and steps are each read once.
+
+    ``cited``(plan_id, step_id, evidence_id) are literal evidence ids of steps and ``retrieved``(plan_id, evidence_id)
+    what was retrieved for the plan; ``conditioned``(plan_id) are plans whose sound question depends on something
+    visible, so their sound steps need clips of a visual step. Rules without their table are not tested.
+    """
     key = ["plan_id", "step_id"]
     counts = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min_by("tool_name", "pos").alias("tool_name"))
     known = counts.select("plan_id", F.col("step_id").alias("source_step_id"), F.col("tool_name").alias("source_tool"))
     wired = refs.join(known, ["plan_id", "source_step_id"], "left").join(counts.select(*key, "tool_name"), key)
     source, tool, at = F.col("source_tool"), F.col("tool_name"), F.col("source_step_id")
     head = F.regexp_extract("field_path", r"^([^.\[]*)", 1)
+    target, path = F.col("target_field"), strip(F.coalesce("field_path", F.lit("")))
+    # One index of a list counts as the list's items.
+    general = F.regexp_replace(path, r"\[\d+\]|\.\d+(?=\.|$)", "[]")
+    bound = F.concat_ws(" -> ", path, target)
     of_refs = {
         "missing_source": (source.isNull(), at),
         "self_reference": (at == F.col("step_id"), F.col("target_field")),
@@ -73,10 +93,15 @@ def plan_lint(steps: DataFrame, refs: DataFrame) -> DataFrame:
         "path_not_emitted": (~F.array_contains(_listed(TOOL_OUTPUTS, source), head), F.concat_ws(".", source, "field_path")),
         "time_hints_not_from_speech": ((F.col("target_field") == "time_hints") & (source != "asr"), source),
         "regions_into_text_reader": ((tool == "ocr") & (source == "spatial_grounder"), at),
+        "evidence_ids_by_reference": (target == "evidence_ids", at),
+        # A field of parts or hints takes only paths that lead to such parts.
+        "path_of_other_parts": (~F.array_contains(_listed(PART_PATHS, target), path) & ~F.array_contains(_listed(PART_PATHS, target), general), bound),
+        "no_text_output": ((target == "text_contexts") & ~path.isin(TEXT_OUTPUTS), path),
+        "speech_not_as_transcripts": ((tool == "generic_purpose") & (source == "asr") & ((target == "text_contexts") | ((target == "transcripts") & (path != "transcripts"))), bound),
     }
-    bound = refs.groupBy(*key).agg(F.collect_set("target_field").alias("_bound"))
+    fields = refs.groupBy(*key).agg(F.collect_set("target_field").alias("_bound"))
     literal = steps.select(*key, F.explode("literals").alias("f")).groupBy(*key).agg(F.collect_set("f").alias("_literal"))
-    fed = counts.join(bound, key, "left").join(literal, key, "left")
+    fed = counts.join(fields, key, "left").join(literal, key, "left")
     none = F.array().cast("array<string>")
     given = F.array_union(F.coalesce("_bound", none), F.coalesce("_literal", none))
     of_steps = {
@@ -84,7 +109,15 @@ def plan_lint(steps: DataFrame, refs: DataFrame) -> DataFrame:
         # A general step takes whatever an earlier step hands it; the other tools need one of their own fields.
         "missing_context": (~F.arrays_overlap(_listed(NEEDS_ONE_OF, tool), given) & ~((tool == "generic_purpose") & F.col("_bound").isNotNull()), tool),
     }
-    return _violations(wired, of_refs).unionByName(_violations(fed, of_steps)).distinct()
+    out = _violations(wired, of_refs).unionByName(_violations(fed, of_steps))
+    if cited is not None and retrieved is not None:
+        lost = cited.filter(strip(F.col("evidence_id")) != "").join(retrieved.select("plan_id", "evidence_id").distinct(), ["plan_id", "evidence_id"], "left_anti")
+        out = out.unionByName(lost.select(*key, F.lit("evidence_not_retrieved").alias("rule"), F.col("evidence_id").alias("detail")))
+    if conditioned is not None:
+        seen = wired.filter((target == "clips") & (source == "visual_temporal_grounder")).select(*key).distinct()
+        heard = counts.filter(tool == "audio_temporal_grounder").join(conditioned.select("plan_id").distinct(), "plan_id", "left_semi")
+        out = out.unionByName(heard.join(seen, key, "left_anti").select(*key, F.lit("sound_before_sight").alias("rule"), F.col("tool_name").alias("detail")))
+    return out.distinct()
 
 
 #: Level of steps in or behind a cycle while levels are searched.

@@ -120,7 +120,7 @@ def test_plan_rules_and_levels(spark):
         "plan_id string, step_id long, target_field string, source_step_id long, field_path string",
     )
     got = {(r.step_id, r.rule) for r in checks.plan_lint(steps, refs).collect()}
-    assert got == {(3, "path_not_emitted"), (3, "missing_source")}
+    assert got == {(3, "path_not_emitted"), (3, "missing_source"), (3, "path_of_other_parts")}
     levels = {r.step_id: r.level for r in checks.plan_levels(steps, refs.select("plan_id", "step_id", "source_step_id")).collect()}
     assert levels == {1: 0, 2: 1, 3: 2}
     loop = spark.createDataFrame([("p", 1, 2), ("p", 2, 1)], "plan_id string, step_id long, source_step_id long")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import jsons, timing
 from sightline.operators import transcripts
+from sightline.plans import checks
 
 
 @pytest.mark.parametrize(
@@ -61,3 +62,21 @@ def test_objects_inside_prose(spark):
     }
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", jsons.text_intervals(F.col("t"), F.lit(0.0)).alias("i")).collect()
     assert {r["t"]: [tuple(i) for i in r["i"]] for r in rows} == texts
+
+
+def test_plan_rules(spark):
+    tools = ["asr", "visual_temporal_grounder", "frame_retriever", "generic_purpose", "audio_temporal_grounder", "ocr"]
+    steps = spark.createDataFrame([("p", i, i, t, ["clips", "frames"]) for i, t in enumerate(tools, 1)], "plan_id string, step_id long, pos long, tool_name string, literals array<string>")
+    refs = [
+        (3, "clips", 2, "clips[3]", None), (3, "clips", 2, "clips.id", "path_of_other_parts"), (3, "time_hints", 1, "phrase_matches.0.time_hint", None), (3, "time_hints", 1, "transcripts", "path_of_other_parts"),
+        (4, "transcripts", 1, "transcripts", None), (4, "transcripts", 1, "transcripts[]", "speech_not_as_transcripts"), (4, "frames", 3, "frames.2", None), (4, "text_contexts", 2, "summary", None),
+        (4, "text_contexts", 2, "clips", "no_text_output"), (6, "evidence_ids", 4, "answer", "evidence_ids_by_reference"),
+    ]
+    df = spark.createDataFrame([("p", s, t, src, path) for s, t, src, path, _ in refs], "plan_id string, step_id long, target_field string, source_step_id long, field_path string")
+    cited = spark.createDataFrame([("p", 4, "e1"), ("p", 4, "e2"), ("p", 4, " ")], "plan_id string, step_id long, evidence_id string")
+    retrieved = spark.createDataFrame([("p", "e1"), ("q", "e2")], "plan_id string, evidence_id string")
+    conditioned = spark.createDataFrame([("p",)], "plan_id string")
+    got = sorted((r["step_id"], r["rule"]) for r in checks.plan_lint(steps, df, cited, retrieved, conditioned).collect())
+    assert got == sorted([(s, rule) for s, _, _, _, rule in refs if rule] + [(4, "evidence_not_retrieved"), (5, "sound_before_sight")])
+    seen = df.union(spark.createDataFrame([("p", 5, "clips", 2, "clips")], df.schema))
+    assert "sound_before_sight" not in {r["rule"] for r in checks.plan_lint(steps, seen, conditioned=conditioned).collect()}
