@@ -44,11 +44,11 @@ class WaveletMatrix:
         seq = np.asarray(tokens, dtype=np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
-            one = (seq >> level) & 1 == 1
+            one = (seq & (1 << level)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            low = seq[~one]
+            low = seq[np.flatnonzero(~one)]  # places first: twice as fast as a mask on bits without a pattern
             zeros.append(len(low))
-            seq = np.concatenate([low, seq[one]])
+            seq = np.concatenate([low, seq[np.flatnonzero(one)]])
         return cls(len(seq), planes, zeros, np.asarray(doc_ids, dtype="int64"), np.asarray(lengths, dtype="int64"))
 
     def to_bytes(self) -> bytes:
@@ -152,8 +152,8 @@ class WaveletMatrix:
             zeros = self.zeros[level]
             low[zeros:] |= 1 << (self.levels - 1 - level)
             before = np.empty_like(low)
-            before[one] = low[zeros:]
-            before[~one] = low[:zeros]
+            before[np.flatnonzero(one)] = low[zeros:]
+            before[np.flatnonzero(~one)] = low[:zeros]
             low = before
         return low
 
@@ -182,6 +182,8 @@ def _encode_shards(tokenizer: str, bits: int, shard_tokens: int):
         for batch in batches:
             for some in slices(batch):
                 tokens, starts = encode(some["text"])
+                if len(tokens) and int(tokens.max()) >> bits:
+                    raise ValueError(f"token id {int(tokens.max())} needs more than {bits} bits")
                 tokens = np.insert(tokens, starts[1:], END).astype(np.uint16 if bits <= 16 else np.uint32)
                 starts = starts + np.arange(len(starts))
                 for doc_id, a, b in zip(some["doc_id"].to_pylist(), starts.tolist(), starts[1:].tolist(), strict=False):
