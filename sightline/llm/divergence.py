@@ -48,7 +48,7 @@ def sorted_pointers(low, start, length, leaf: int = LEAF):
         return words[start[some] + depth].byteswap() & masks[np.minimum(length[some] - depth, 8)]
 
     out, firsts = [], []
-    every = np.arange(len(start))
+    every = np.arange(len(start), dtype=np.int32)
     stack = [(every, keys(every, 0), 0)]
     while stack:
         some, key, depth = stack.pop()
@@ -91,6 +91,23 @@ def _ranges(starts, lengths):
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
 
+def _pointers(low, ends):
+    """(start, length) of every term in the bytes of some texts; a term ends with its text. Places of four bytes, as a shard is never longer."""
+    import numpy as np
+
+    inside = low[:-8] != 0
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    at = np.concatenate([[0], ends[:-1]])
+    cuts = at[at < len(inside)]
+    begins[cuts] = inside[cuts]
+    cuts = ends[(ends > 0) & (ends <= len(inside))] - 1
+    stops[cuts] = inside[cuts]
+    start = np.flatnonzero(begins).astype(np.int32)
+    return start, np.flatnonzero(stops).astype(np.int32) + np.int32(1) - start
+
+
 def shard_counts(data, ends, group):
     """(terms, group, docs, uses) of a shard, a row per term and group: how many of its texts have the term, and how often.
 
@@ -100,26 +117,17 @@ def shard_counts(data, ends, group):
     import pyarrow as pa
 
     low = np.concatenate([_letters()[data], np.zeros(8, np.uint8)])
-    inside = low[:-8] != 0
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    at = np.concatenate([[0], ends[:-1]])
-    cuts = at[at < len(data)]
-    begins[cuts] = inside[cuts]  # a term ends with its text
-    start = np.flatnonzero(begins)
+    start, length = _pointers(low, ends)
     if not len(start):
-        return pa.array([], pa.string()), start, start, start
-    stops = inside.copy()
-    stops[:-1] &= ~inside[1:]
-    cuts = ends[(ends > 0) & (ends <= len(data))] - 1
-    stops[cuts] = inside[cuts]
-    length = np.flatnonzero(stops) + 1 - start
+        none = np.zeros(0, np.int64)
+        return pa.array([], pa.string()), none, none, none
     order, first = sorted_pointers(low, start, length)
     by_group = np.argsort(group, kind="stable")
     place = np.empty(len(group), np.int64)
     place[by_group] = np.arange(len(group))
-    text = np.searchsorted(ends, start, "right")
-    key = (np.cumsum(first) - 1) * len(group) + place[text[order]]
+    key = np.cumsum(first) - 1
+    key *= len(group)
+    key += place[np.searchsorted(ends, start, "right").astype(np.int32)[order]]
     key.sort()
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     uses, key = np.diff(np.append(new, len(key))), key[new]
