@@ -112,17 +112,18 @@ def overlap_max(windows: DataFrame, candidates: DataFrame, keys: Sequence[str],
     No pair of rows is ever built. A candidate overlaps a window when it covers the window's start or
     starts inside the window. Both sides are tiled by power-of-two blocks and met on the block, after the
     scores of a block have been combined, so work grows with n log(length) whatever the overlap is.
+    A row becomes one per level here, which Spark's size estimates leave out, so neither join may broadcast.
     ``windows`` is read several times: hand in a stored table.
     """
     block = [*keys, "level", "block"]
     spans = windows.select(*keys, "start_ms", "end_ms").distinct()
     cand = candidates.groupBy(*keys, "start_ms", "end_ms").agg(F.max(score).alias("_score"))
     covered = _tiles(cand, F.col("start_ms"), F.col("end_ms")).groupBy(*block).agg(F.max("_score").alias("_score"))
-    at_start = _stabs(spans, "start_ms", _top_level(candidates)).join(covered, block)
+    at_start = _stabs(spans, "start_ms", _top_level(candidates)).hint("merge").join(covered, block)
 
     starts = _stabs(cand, "start_ms", _top_level(windows)).groupBy(*block).agg(F.max("_score").alias("_score"))
     inner = _tiles(spans.filter(F.col("end_ms") > F.col("start_ms")), F.col("start_ms") + 1, F.col("end_ms"))
-    inside = inner.join(starts, block)
+    inside = inner.hint("merge").join(starts, block)
 
     cols = [*keys, "start_ms", "end_ms", "_score"]
     best = at_start.select(*cols).unionByName(inside.select(*cols))
