@@ -9,7 +9,7 @@ from sightline.catalog.columns import SECONDS_SQL
 from sightline.catalog.registry import query
 from sightline.operators.frames import frame_sequence_context
 from sightline.operators.intervals import label_memory, timing_rollup
-from sightline.operators.runs import PART, final_results, group_flags, ledger_by_subject, merge_group_outputs, result_item_counts, round_summary
+from sightline.operators.runs import PART, group_flags, ledger_by_subject, merge_group_outputs, result_item_counts, result_parts, round_summary
 from sightline.operators.transcripts import captions_summary, transcript_render, transcript_text
 from sightline.catalog.windows import merged_sql
 from sightline.functions import text, timing
@@ -366,8 +366,7 @@ def _(spark, sf):
     "final_result_rollup",
     f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS tool, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos FROM lineitem),
     p AS (SELECT l_orderkey, pos // {PART} AS part, string_agg(tool, ',' ORDER BY pos) AS tools, count(*) AS n_steps FROM r GROUP BY ALL)
-    SELECT o_orderkey AS run_id, any_value(o_orderpriority) AS answer, CASE WHEN any_value(o_orderstatus) = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict, count(part) AS n_parts, coalesce(sum(n_steps), 0)::BIGINT AS n_steps, coalesce(arg_min(tools, part), '') AS first_tools
-    FROM orders LEFT JOIN p ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
+    SELECT o_orderkey AS run_id, o_orderpriority AS answer, CASE WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS verdict, coalesce(part, 0) AS part, coalesce(tools, '') AS tools, coalesce(n_steps, 0) AS n_steps FROM orders LEFT JOIN p ON o_orderkey = l_orderkey""",
 )
 def _(spark, sf):
     runs = B.table(spark, sf, "orders").select(
@@ -376,7 +375,7 @@ def _(spark, sf):
         F.when(F.col("o_orderstatus") == "F", "PASS").otherwise("FAIL").alias("verdict"),
     )
     steps = round_summary(steps_of(spark, sf)).select(F.col("round_id").alias("run_id"), "part", "tools", "n_steps")
-    return final_results(runs, steps)
+    return result_parts(runs, steps)
 
 
 @query(

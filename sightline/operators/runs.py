@@ -79,6 +79,11 @@ def final_results(runs, parts):
     return runs.join(counted, "run_id", "left").fillna({"n_parts": 0, "n_steps": 0, "first_tools": ""})
 
 
+def result_parts(runs, parts):
+    """Every part of a run's steps (run_id, part, tools, n_steps) with the run's columns; a run without steps has one empty part."""
+    return runs.join(parts, "run_id", "left").fillna({"part": 0, "tools": "", "n_steps": 0})
+
+
 COUNT_FIELDS = ["clips", "frames", "reads", "segments", "captions", "transcripts", "regions"]
 
 
