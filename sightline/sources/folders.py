@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StringType
 
-#: Run folders of one partition.
-FOLDERS = 16
+#: Run folders of one partition at least, and partitions for every core: each costs a start of all levels' workers.
+FOLDERS, WAVES = 16, 8
+#: Paths that a worker lists, and bytes of content that it reads, before it hands them on.
+PATHS, SLICE = 500, 1 << 23
 
 
 def filesystem(path: str):
@@ -60,11 +62,12 @@ class RunPartition(InputPartition):
 
 class RunReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.folders = options["path"].rstrip("/"), int(options.get("folders", FOLDERS))
+        self.root, self.folders, self.tasks = options["path"].rstrip("/"), int(options.get("folders", 0)), int(options.get("tasks", 1))
 
     def partitions(self) -> list[RunPartition]:
         runs = [(f"{video}/{run}", at) for video, folder in _folders(self.root) for run, at in _folders(folder)]
-        return [RunPartition(tuple(runs[i : i + self.folders])) for i in range(0, len(runs), self.folders)] or [RunPartition(())]
+        few = self.folders or max(FOLDERS, -(-len(runs) // self.tasks))
+        return [RunPartition(tuple(runs[i : i + few])) for i in range(0, len(runs), few)] or [RunPartition(())]
 
     def read(self, partition: RunPartition) -> Iterator[tuple]:
         return iter(partition.runs)
@@ -96,6 +99,8 @@ class TreeWriter(DataSourceWriter):
             folder = posixpath.dirname(at)
             if folder not in made:
                 store.create_dir(folder, recursive=True)
+                if len(made) >= PATHS:
+                    made.clear()
                 made.add(folder)
             content = row["content"]
             draft = f"{folder}/.{uuid.uuid4().hex}"
@@ -128,12 +133,14 @@ _FILES = "array<struct<name:string,path:string,length:bigint>>"
 def _listed(schema: str, listing):
     """Column function: what `listing` gives for each path, as an array of structs."""
 
-    def run(paths: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
         fields = [part.split(":") for part in schema[len("array<struct<") : -2].split(",")]
         kind = pa.list_(pa.struct([(name, kinds[k]) for name, k in fields]))
         names = [name for name, _ in fields]
-        return pa.array([[dict(zip(names, found, strict=True)) for found in listing(path)] for path in paths.to_pylist()], kind)
+        for paths in batches:
+            for at in range(0, len(paths), PATHS):
+                yield pa.array([[dict(zip(names, found, strict=True)) for found in listing(path)] for path in paths[at : at + PATHS].to_pylist()], kind)
 
     return F.arrow_udf(run, schema)
 
@@ -153,19 +160,32 @@ def _files(folder: str) -> list:
 
 
 @F.arrow_udf(StringType())
-def _content(paths: pa.Array) -> pa.Array:
+def _content(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def read(path: str) -> str:
         store, inside = filesystem(path)
         with store.open_input_stream(inside) as file:
             return file.read().decode()
 
-    return pa.array([None if p is None else read(p) for p in paths.to_pylist()], pa.string())
+    for paths in batches:
+        held, size = [], 0
+        for path in paths.to_pylist():
+            held.append(None if path is None else read(path))
+            size += len(held[-1] or "")
+            if size >= SLICE:
+                yield pa.array(held, pa.string())
+                held, size = [], 0
+        if held:
+            yield pa.array(held, pa.string())
 
 
-def run_folders(spark: SparkSession, root: str, folders: int = FOLDERS) -> DataFrame:
-    """Files of all rounds and tools of run folders: run (``video/run``), round, tool (null beside the tools), name, path, length, relpath, content."""
+def run_folders(spark: SparkSession, root: str, folders: int | None = None) -> DataFrame:
+    """Files of all rounds and tools of run folders: run (``video/run``), round, tool (null beside the tools), name, path, length, relpath, content.
+
+    A partition holds `folders` run folders; without a number as many as give every core a few partitions.
+    """
     spark.dataSource.register(RunFolders)
-    rows = spark.read.format("run_folders").option("folders", str(folders)).load(root)
+    tasks = WAVES * spark.sparkContext.defaultParallelism
+    rows = spark.read.format("run_folders").option("folders", str(folders or 0)).option("tasks", str(tasks)).load(root)
     rows = rows.select("*", F.explode(_listed(_ROUNDS, _rounds)("at")).alias("_r")).select("run", "at", "_r.round", "_r.folder")
     rows = rows.select("*", F.explode(_listed(_TOOLS, _tools)("folder")).alias("_t")).select("run", "at", "round", "_t.tool", F.col("_t.folder").alias("folder"))
     rows = rows.select("*", F.explode(_listed(_FILES, _files)("folder")).alias("_f")).select("run", "at", "round", "tool", "_f.name", "_f.path", "_f.length")
