@@ -216,4 +216,6 @@ def edge_fingerprints(listed: DataFrame, edge: int = 1 << 20) -> DataFrame:
                 found.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch["path"], batch["length"], pa.array(found, pa.string())], ["path", "length", "fingerprint"])
 
-    return listed.select("path", "length").mapInArrow(run, "path string, length long, fingerprint string")
+    # Spark's listing plans every file at 4 MB, so it gives a worker a few dozen files only.
+    tasks = WAVES * listed.sparkSession.sparkContext.defaultParallelism
+    return listed.select("path", "length").coalesce(tasks).mapInArrow(run, "path string, length long, fingerprint string")
