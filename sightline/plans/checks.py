@@ -124,37 +124,42 @@ def plan_lint(steps: DataFrame, refs: DataFrame, cited: DataFrame | None = None,
 ENDLESS = 1 << 40
 
 
-def _jumped(reach: DataFrame) -> DataFrame:
-    """Every step's pointer moved on by its target's pointer; a way longer than its plan has steps goes round a cycle."""
+def _jumped(reach: DataFrame, limit: int) -> DataFrame:
+    """Every step's pointer moved on by its target's pointer, twice; a way longer than any plan has steps goes round a cycle.
+
+    Steps that point nowhere stay as they are, and both moves meet the same targets, dealt once.
+    """
     ahead = reach.select("plan_id", F.col("step_id").alias("up"), F.col("up").alias("_up"), F.col("level").alias("_level"))
+    moved = reach.filter("up IS NOT NULL")
     level = F.col("level") + F.coalesce("_level", F.lit(0))
-    moved = reach.join(ahead, ["plan_id", "up"], "left").withColumns({"level": F.when(level > F.col("size"), ENDLESS).otherwise(level), "up": F.when(level <= F.col("size"), F.col("_up"))})
-    return moved.select("plan_id", "step_id", "up", "level", "size")
+    for _ in range(2):
+        moved = moved.join(ahead, ["plan_id", "up"], "left").withColumns({"level": F.when(level > limit, ENDLESS).otherwise(level), "up": F.when(level <= limit, F.col("_up"))})
+        moved = moved.select("plan_id", "step_id", "up", "level")
+    return reach.filter("up IS NULL").unionByName(moved)
 
 
 def plan_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """Dependency level of every step (0 = needs nothing); steps in or behind a cycle get no level.
 
     ``edges``(plan_id, step_id, source_step_id); sources outside the plan do not count. Every step follows one source;
-    the length of that way comes by pointer doubling, in as many jumps as the depth has binary digits, two to a written
-    table. Steps that another source would put deeper then follow that one, and only their plans are gone over again,
+    the length of that way comes by pointer jumping, and every written table holds ways three times as long as the one before. Steps that another source would put deeper then follow that one, and only their plans are gone over again,
     until no step gets deeper. Ways that go round a cycle count as endless, and so does all that can follow them.
     """
     key = ["plan_id", "step_id"]
-    nodes = steps.select(*key).distinct()
-    nodes = materialize(nodes.join(nodes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("size")), "plan_id"), "steps")
+    nodes = materialize(steps.select(*key).distinct(), "steps")
+    limit = nodes.groupBy("plan_id").agg(F.count(F.lit(1)).alias("size")).agg(F.max("size")).first()[0] or 0
     inside = nodes.select("plan_id", F.col("step_id").alias("source_step_id"))
     wires = materialize(edges.select(*key, "source_step_id").distinct().join(inside, ["plan_id", "source_step_id"], "left_semi"), "edges")
     follows = wires.groupBy(*key).agg(F.max("source_step_id").alias("up"))
     settled, live = [], nodes
     while True:
         reach = live.join(follows.select(*key, "up"), key, "left").withColumn("level", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"))
-        reach = materialize(reach.select(*key, "up", "level", "size"), "levels")
+        reach = materialize(reach.select(*key, "up", "level"), "levels")
         while reach.filter("up IS NOT NULL").limit(1).count():
-            reach = materialize(_jumped(_jumped(reach)), "levels")
+            reach = materialize(_jumped(reach, limit), "levels")
         level = reach.select("plan_id", F.col("step_id").alias("source_step_id"), F.least(F.col("level") + 1, F.lit(ENDLESS)).alias("_deep"))
-        best = wires.join(level, ["plan_id", "source_step_id"]).groupBy(*key).agg(F.max(F.struct("_deep", "source_step_id")).alias("_best"))
-        follows = best.join(reach, key).select(*key, F.col("_best.source_step_id").alias("up"), (F.col("_best._deep") > F.col("level")).alias("deeper"))
+        best = wires.join(level, ["plan_id", "source_step_id"]).groupBy(*key).agg(F.max("_deep").alias("_deep"), F.max_by("source_step_id", "_deep").alias("_best"))
+        follows = best.join(reach, key).select(*key, F.col("_best").alias("up"), (F.col("_deep") > F.col("level")).alias("deeper"))
         follows = materialize(follows, "sources")
         open_plans = follows.filter("deeper").select("plan_id").distinct()
         if not open_plans.limit(1).count():
