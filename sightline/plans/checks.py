@@ -69,7 +69,9 @@ def _violations(df: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataF
 
 
 def plan_lint(steps: DataFrame, refs: DataFrame, cited: DataFrame | None = None, retrieved: DataFrame | None = None, conditioned: DataFrame | None = None) -> DataFrame:
-    """One row (plan_id, step_id, rule, detail) per broken rule. References and steps are each read once.
+    """One row (plan_id, step_id, rule, detail) per broken rule.
+
+    Steps counted per id, and references with the tools at both ends, are written once and read by every rule.
 
     ``cited``(plan_id, step_id, evidence_id) are literal evidence ids of steps and ``retrieved``(plan_id, evidence_id)
     what was retrieved for the plan; ``conditioned``(plan_id) are plans whose sound question depends on something
@@ -77,8 +79,10 @@ def plan_lint(steps: DataFrame, refs: DataFrame, cited: DataFrame | None = None,
     """
     key = ["plan_id", "step_id"]
     counts = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min_by("tool_name", "pos").alias("tool_name"))
+    counts = materialize(counts, "tools")
     known = counts.select("plan_id", F.col("step_id").alias("source_step_id"), F.col("tool_name").alias("source_tool"))
     wired = refs.join(known, ["plan_id", "source_step_id"], "left").join(counts.select(*key, "tool_name"), key)
+    wired = materialize(wired, "wired")
     source, tool, at = F.col("source_tool"), F.col("tool_name"), F.col("source_step_id")
     head = F.regexp_extract("field_path", r"^([^.\[]*)", 1)
     target, path = F.col("target_field"), strip(F.coalesce("field_path", F.lit("")))
@@ -99,7 +103,7 @@ def plan_lint(steps: DataFrame, refs: DataFrame, cited: DataFrame | None = None,
         "no_text_output": ((target == "text_contexts") & ~path.isin(TEXT_OUTPUTS), path),
         "speech_not_as_transcripts": ((tool == "generic_purpose") & (source == "asr") & ((target == "text_contexts") | ((target == "transcripts") & (path != "transcripts"))), bound),
     }
-    fields = refs.groupBy(*key).agg(F.collect_set("target_field").alias("_bound"))
+    fields = wired.groupBy(*key).agg(F.collect_set("target_field").alias("_bound"))
     literal = steps.select(*key, F.explode("literals").alias("f")).groupBy(*key).agg(F.collect_set("f").alias("_literal"))
     fed = counts.join(fields, key, "left").join(literal, key, "left")
     none = F.array().cast("array<string>")
