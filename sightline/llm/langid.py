@@ -101,55 +101,61 @@ class ByteGru:
         return out
 
     def states(self, x):
-        """States (2, steps, batch, hidden) of both directions at every position of x (steps, batch); the same as two `_run`s.
+        """States (steps, batch, hidden) at every position of x (steps, batch), from the left and from the right; the same as two `_run`s.
 
         A step takes both directions at once. With the gates' inputs and all of the recurrence halved beforehand, a
-        gate is (1 + tanh) / 2, and half of it falls together with the halves around it.
+        gate is (1 + tanh) / 2, and half of it falls together with the halves around it. Each gate has an array of its
+        own, so all arithmetic runs over whole arrays and not over a few units of a row at a time.
         """
         import numpy as np
 
         n, p = self.hidden, self.p
-        half = np.concatenate([np.full(2 * n, 0.5), np.ones(n)]).astype(np.float32)
-        table = np.concatenate([p["Ef"] * half, p["Eb"] * half])
-        u = np.stack([p["Uf"], p["Ub"]]) * np.float32(0.5)
-        bias = np.stack([p["bf"], p["bb"]])[:, None] * np.float32(0.5)
         steps, size = x.shape
-        at = np.stack([x, x[::-1] + np.int16(PAD + 1)], 1)
-        keep = np.stack([x != PAD, x[::-1] != PAD], 1)[..., None]
-        padded = ~keep.all((1, 2, 3))
-        out = np.empty((2, steps, size, n), np.float32)
-        a, rec = np.empty((2, size, 3 * n), np.float32), np.empty((2, size, 3 * n), np.float32)
-        gates, new, h = np.empty((2, size, 2 * n), np.float32), np.empty((2, size, n), np.float32), np.zeros((2, size, n), np.float32)
+        gate = [slice(k * n, (k + 1) * n) for k in range(3)]
+        table = np.concatenate([p[f"E{d}"][:, g] * np.float32(f) for g, f in zip(gate, (0.5, 0.5, 1), strict=True) for d in "fb"])
+        u = np.stack([np.stack([p["Uf"][:, g], p["Ub"][:, g]]) for g in gate]) * np.float32(0.5)
+        bias = np.repeat(np.stack([p["bf"], p["bb"]])[:, None] * np.float32(0.5), size, 1)
+        both = np.stack([x, x[::-1]], 1)
+        pad = (both == PAD).reshape(steps, -1)
+        padded = pad.any(1)
+        both += np.array([[0], [PAD + 1]], both.dtype)
+        at = np.stack([both + np.int16(2 * k * (PAD + 1)) for k in range(3)], 1)
+        out, before = np.empty((steps, 2, size, n), np.float32), np.zeros((2, size, n), np.float32)
+        a, rec = np.empty((3, 2, size, n), np.float32), np.empty((3, 2, size, n), np.float32)
+        gates, new = rec[:2], rec[2]
         for t in range(steps):
+            h = out[t]
             np.take(table, at[t], axis=0, out=a, mode="clip")
-            np.matmul(h, u, out=rec)
-            np.add(a[..., : 2 * n], rec[..., : 2 * n], out=gates)
+            np.matmul(before, u, out=rec)
+            gates += a[:2]
             np.tanh(gates, out=gates)
-            np.add(rec[..., 2 * n :], bias, out=new)
-            new += gates[..., n:] * new
-            new += a[..., 2 * n :]
+            new += bias
+            np.multiply(gates[1], new, out=h)
+            new += h
+            new += a[2]
             np.tanh(new, out=new)
-            h -= new
-            h *= gates[..., :n]
-            h += out[:, t - 1] if t else 0
+            np.subtract(before, new, out=h)
+            h *= gates[0]
+            h += before
             h += new
             h *= np.float32(0.5)
             if padded[t]:
-                h *= keep[t]
-            out[:, t] = h
-        out[1] = out[1, ::-1].copy()
-        return out
+                h.reshape(-1, n)[np.flatnonzero(pad[t])] = 0
+            before = h
+        return out[:, 0], out[::-1, 1]
 
     def positions(self, x):
-        """Probabilities (steps, batch, labels) of every position of x (steps, batch)."""
+        """Probabilities (steps, labels, batch) of every position of x (steps, batch)."""
         import numpy as np
 
         n = self.hidden
         forward, backward = self.states(x)
-        out = forward @ self.p["V"][:n] + backward @ self.p["V"][n:] + self.p["c"]
-        out -= out.max(-1, keepdims=True)
+        out = np.matmul(self.p["V"][:n].T, forward.transpose(0, 2, 1))
+        out += np.matmul(self.p["V"][n:].T, backward.transpose(0, 2, 1))
+        out += self.p["c"][:, None]
+        out -= out.max(1, keepdims=True)
         np.exp(out, out=out)
-        out /= out.sum(-1, keepdims=True)
+        out /= out.sum(1, keepdims=True)
         return out
 
     def _gradients(self, x, y):
@@ -230,9 +236,10 @@ class ByteGru:
         def flush() -> None:
             x, owner = windows([t for _, t in held], WINDOW)
             owner = np.asarray([i for i, _ in held])[owner]
-            steps = x.T
+            steps = np.ascontiguousarray(x.T)
             prob, mask = self.positions(steps), _letters(steps)
-            np.add.at(sums, owner, (prob * mask[..., None]).sum(0))
+            prob *= mask[:, None]
+            np.add.at(sums, owner, prob.sum(0).T)
             np.add.at(counts, owner, mask.sum(0))
             held.clear()
 

@@ -88,6 +88,17 @@ def test_plain_loops_give_the_same_probabilities():
     assert counts.tolist() == [seen, 0, seen] and np.allclose(sums[0], total, atol=1e-4) and np.allclose(sums[0], sums[2])
 
 
+def test_both_directions_at_once_equal_two_runs():
+    """Padding included; each direction's states lie together by step, so no step works through slices of rows."""
+    model = langid.ByteGru(["a", "b", "c"], seed=4)
+    x, _ = langid.windows(["Où est-il ?".encode(), b"a", b"0123456789ab"], 12)
+    forward, backward = model.states(x.T)
+    assert np.allclose(forward, model._run(x.T, "f"), atol=1e-6) and np.allclose(backward, model._run(x.T[::-1], "b")[::-1], atol=1e-6)
+    assert forward.shape == (12, 3, model.hidden) and all(part[0].flags.c_contiguous for part in (forward, backward))
+    prob = model.positions(x.T)
+    assert prob.shape == (12, 3, 3) and np.allclose(prob.sum(1), 1, atol=1e-5)
+
+
 def test_no_language_is_left_out(spark):
     rows = [(i, f"wort {i} {'abcdefghij'[i % 10] * 5}", f"l{i % 90:02}") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
