@@ -1,9 +1,9 @@
 """Encode whole texts with the tokenizers library, at the price of its distinct words.
 
-A byte-level pre-tokenizer never carries a token across a single space that stands between two other characters: the
-space starts the next pre-token. So the ids of a text are the ids of its chunks between such spaces, and a chunk's ids
-are kept for the next time. Every chunk is encoded by the library itself; texts with a special token's string go to it
-whole.
+A byte-level pre-tokenizer never carries a token across a single white space that stands between two other characters:
+the white space begins the next pre-token or is one. So a text is cut before such spaces and newlines, and its ids are
+those of its chunks, one after the other. A word's closing marks are a pre-token of their own. Every chunk is encoded by
+the library itself, many in one call, and kept for the next time; texts with a special token's string go to it whole.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 from sightline.llm.common import release_memory
 
@@ -19,86 +20,100 @@ KEPT = 250_000
 #: Bytes of text encoded at a time.
 SLICE = 1 << 23
 
-#: Letters and closing marks whose pre-tokens are certain: a run of letters is one, the run of marks after it another.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_WORD = re.compile(f"^(?:([{LETTERS}]+)([.,;:!?|%&$#*]*)|(.*))$", re.MULTILINE)
-_LINES = re.compile(r"[^\s]+(?:\n[^\s]+)+")
+#: Chunks in one text for the library, which takes longer for each in a long text.
+JOINED = 64
+
+#: White space, a run of letters (one pre-token with a space before it), and a run of marks after it (another).
+_WORD = r"^(?P<stem>[ \n][A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[.,;:!?|%&$#*]*)$"
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Two white-space characters in a row; everything that either library takes for one.
-_WHITE_RUN = r"[\s\x0b\x1c-\x1f\x85\p{Z}]{2}"
+#: Everything that either library takes for white space.
+_WHITE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+_WHITE_RUN = f"[{_WHITE}]{{2}}"
+#: Chunks that stay apart in one text: a space or newline, and no other white space.
+_APART = f"^[ \n][^{_WHITE}]+$"
 
 
 class Encoder:
     def __init__(self, path: str, kept: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept = KEPT if kept is None else kept
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced: dict[str, bytes] = {}  # chunks that follow a space
-        self.bare: dict[str, bytes] = {}  # chunks at the start of a text or line
-        self.before: tuple[dict, dict] = ({}, {})
+        vocab = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens that begin with a space, and the newline
+        self.leads[[i for t, i in vocab.items() if t[:1] == "Ġ" or t == "Ċ"]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        """Nothing kept: chunks with their places, all their ids in a row, and where each place's end (after a first 0)."""
+        import numpy as np
+
+        self.places: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.before = self.places, self.ids, self.ends
+
+    def _keep(self, chunks: list[str], ids, sizes) -> None:
+        import numpy as np
+
+        self.places.update(zip(chunks, range(len(self.ends) - 1, len(self.ends) - 1 + len(chunks)), strict=True))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
+    def _alone(self, texts: list[str]):
+        """The library's ids of texts, one after the other, and their numbers."""
         import numpy as np
 
-        return np.asarray(ids, dtype="<u4").tobytes()
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum())), sizes
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _together(self, chunks: list[str]):
+        """As `_alone`, for chunks that stay apart in one text: each begins where a token has a space or is a newline."""
+        import numpy as np
+
+        ids, sizes = self._alone(["".join(chunks[at : at + JOINED]) for at in range(0, len(chunks), JOINED)])
+        lead = self.leads[ids]
+        starts = np.flatnonzero(lead)
+        return (ids, np.diff(starts, append=len(ids))) if len(starts) == len(chunks) and lead[np.cumsum(sizes) - sizes].all() else self._alone(chunks)
+
+    def _places_of(self, chunks):
+        """Places of an array's chunks among the kept ones, after the new ones have been encoded."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def _words(self, words: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of words of letters only, many in one call: each is one pre-token, told apart by the library's word numbers."""
+        names = chunks.to_numpy(zero_copy_only=False).tolist()
+        if new := [c for c in names if c not in self.places]:
+            older, ids, ends = self.before
+            if again := [c for c in new if c in older]:
+                at = np.fromiter(map(older.__getitem__, again), np.int64, len(again))
+                sizes = ends[at + 1] - ends[at]
+                self._keep(again, ids[_ranges(ends[at], sizes)], sizes)
+                new = [c for c in new if c not in older]
+            apart = pc.match_substring_regex(pa.array(new, pa.string()), _APART).to_pylist()
+            made = []
+            for some, of in (([c for c, a in zip(new, apart, strict=True) if a], self._together), ([c for c, a in zip(new, apart, strict=True) if not a], self._alone)):
+                made += [(some[at : at + 4096], *of(some[at : at + 4096])) for at in range(0, len(some), 4096)]
+            if made:
+                own, ids, sizes = zip(*made, strict=True)
+                self._keep([c for x in own for c in x], np.concatenate(ids), np.concatenate(sizes))
+        return np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+
+    def _table(self, chunks):
+        """Ids of an array of chunks, one after the other, and their numbers. Marks that close a word are looked up apart from it."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        out: dict[str, bytes] = {}
-        step = 1 if lead == " " else 2
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            text = " " + " ".join(some) if lead == " " else "\n".join(some)
-            e = self.tokenizer.encode(text, add_special_tokens=False)
-            ids, numbers = np.asarray(e.ids, dtype="<u4"), np.asarray(e.word_ids)
-            if len(numbers) == 0 or numbers[-1] != step * (len(some) - 1):
-                out.update(zip(some, self._library([lead * (lead == " ") + w for w in some]), strict=True))
-                continue
-            bounds = np.searchsorted(numbers, [np.arange(len(some)) * step, np.arange(len(some)) * step + 1])
-            out.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, *bounds.tolist(), strict=True))
-        return out
-
-    def _ids_of(self, chunks: list[str], lead: str) -> list[bytes]:
-        """Ids of different chunks after a space (`lead` a space) or at the start of a text or line (`lead` empty)."""
-        kept, older = (self.spaced, self.before[0]) if lead else (self.bare, self.before[1])
-        out = list(map(kept.get, chunks))
-        unknown = [i for i, ids in enumerate(out) if ids is None]
-        names = [chunks[i] for i in unknown]
-        found = list(map(older.get, names))
-        new = [c for c, ids in zip(names, found, strict=True) if ids is None]
-        made: dict[str, bytes] = {}
-        if lined := {c: c.split("\n") for c in new if "\n" in c}:
-            # A newline between two other characters is a token of its own; anything else with one is left to the library.
-            lined = {c: p for c, p in lined.items() if _LINES.fullmatch(c)}
-            heads = list({p[0] for p in lined.values()})
-            tails = list({x for p in lined.values() for x in p[1:]})
-            head, tail = dict(zip(heads, self._ids_of(heads, lead), strict=True)), dict(zip(tails, self._ids_of(tails, ""), strict=True))
-            newline = self._library(["\n"])[0]
-            made = {c: newline.join([head[p[0]], *(tail[x] for x in p[1:])]) for c, p in lined.items()}
-        split = _WORD.findall("\n".join(c for c in new if "\n" not in c)) if new else []
-        words = {w for w, m, _ in split if w and not m}
-        marked = {w for w, m, _ in split if m}.difference(words)
-        known = {w: ids for w in marked if (ids := kept.get(w) or older.get(w)) is not None}
-        known.update(self._words(list(words.union(marked.difference(known))), lead))
-        marks = list({m for w, m, _ in split if w})
-        end = dict(zip(marks, self._library(marks), strict=True))
-        made.update((w + m, known[w] + end[m]) for w, m, _ in split if w)
-        other = [c for c in new if c not in made]
-        made.update(zip(other, self._library([lead + c for c in other]), strict=True))
-        ids = [made[c] if f is None else f for c, f in zip(names, found, strict=True)]
-        for i, own in zip(unknown, ids, strict=True):
-            out[i] = own
-        kept.update(zip(names, ids, strict=True))
-        return out
+        word = pc.extract_regex(chunks, _WORD)
+        stems = pc.coalesce(pc.struct_field(word, "stem"), chunks).dictionary_encode()
+        marks = pc.struct_field(word, "marks").fill_null("").dictionary_encode()
+        places = self._places_of(pa.concat_arrays([stems.dictionary, marks.dictionary]))
+        of = np.stack([places[stems.indices.to_numpy()], places[len(stems.dictionary) + marks.indices.to_numpy().astype(np.int64)]], 1)
+        sizes = self.ends[of + 1] - self.ends[of]
+        return self.ids[_ranges(self.ends[of].ravel(), sizes.ravel())], sizes.sum(1)
 
     def encode(self, texts):
         """`_encode` without cycle collection: it makes no cycles, and the collector would walk all that is kept."""
@@ -115,7 +130,7 @@ class Encoder:
     def _encode(self, texts):
         """Ids of all texts, one after the other, and where each text's begin (one more entry than texts); null counts as empty.
 
-        A text is split and its chunks numbered by Arrow, so Python sees each different chunk of a batch once.
+        A text is split, its chunks numbered and closing marks cut off by Arrow, so Python sees each different word of a batch once.
         """
         import numpy as np
         import pyarrow as pa
@@ -130,32 +145,33 @@ class Encoder:
             special |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
         runs = pc.match_substring_regex(texts, _WHITE_RUN).to_numpy(zero_copy_only=False) & ~special
         groups = [np.flatnonzero(~special & ~runs), np.flatnonzero(runs), np.flatnonzero(special)]
-        plain = pc.split_pattern(texts.take(pa.array(groups[0])), " ")
-        apart = pa.array([_SINGLE_SPACE.split(t) for t in texts.take(pa.array(groups[1])).to_pylist()], plain.type)
-        parts = pa.concat_arrays([plain, apart])
+        plain = pc.split_pattern(pc.replace_substring(texts.take(pa.array(groups[0])), "\n", " \n"), " ")
+        spaced = pa.array([_SINGLE_SPACE.split(t) for t in texts.take(pa.array(groups[1])).to_pylist()], plain.type)
+        parts = pa.concat_arrays([plain, spaced])
         offsets = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        codes, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         first, heads = np.unique(codes[offsets[:-1]], return_inverse=True)
         follows = np.ones(len(codes), bool)
         follows[offsets[:-1]] = False
         used = np.zeros(len(chunks), bool)
         used[codes[follows]] = True
-        after = [c for c, u in zip(chunks, used.tolist(), strict=True) if u]
-        ahead = [chunks[c] for c in first.tolist()]
-        if max(len(self.spaced), len(self.bare)) > self.kept:
-            self.before, self.spaced, self.bare = (self.spaced, self.bare), {}, {}
+        after = chunks.filter(pa.array(used))
+        after = pc.if_else(pc.starts_with(after, "\n"), after, pc.binary_join_element_wise(" ", after, ""))
+        if len(self.places) > self.kept:
+            self.before = self.places, self.ids, self.ends
+            self.places, self.ids, self.ends = {}, self.ids[:0], self.ends[:1]
         codes[offsets[:-1]] = len(after) + heads
         codes[follows] = (np.cumsum(used) - 1)[codes[follows]]
-        table = [*self._ids_of(after, " "), *self._ids_of(ahead, ""), *self._library(texts.take(pa.array(groups[2])).to_pylist())]
-        codes = np.concatenate([codes, np.arange(len(table) - len(groups[2]), len(table))])
+        known, sizes = self._table(pa.concat_arrays([after, chunks.take(pa.array(first))]))
+        whole, whole_sizes = self._alone(texts.take(pa.array(groups[2])).to_pylist())
+        known, sizes = np.concatenate([known, whole]), np.concatenate([sizes, whole_sizes])
+        codes = np.concatenate([codes, np.arange(len(sizes) - len(groups[2]), len(sizes))])
         numbers = np.concatenate([np.diff(offsets), np.ones(len(groups[2]), np.int64)])
         if len(groups[0]) < n:
             back = np.argsort(np.concatenate(groups))
             codes = codes[_ranges((np.cumsum(numbers) - numbers)[back], numbers[back])]
             numbers = numbers[back]
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        known = np.frombuffer(b"".join(table), "<u4")
         lengths = sizes[codes]
         ids = known[_ranges((np.cumsum(sizes) - sizes)[codes], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(numbers)])]
@@ -163,7 +179,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Give the kept chunks back at the end of a task, so idle workers stay small."""
-        self.spaced, self.bare, self.before = {}, {}, ({}, {})
+        self._clear()
         release_memory()
 
 

@@ -42,6 +42,39 @@ def test_forgetting_changes_nothing(monkeypatch):
         assert split(e.encode(texts)) == library(texts)
 
 
+def test_words_of_any_kind_share_a_call():
+    """Words with digits, at starts of lines and with marks go to the library many in a text, and once."""
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode(self, text, **options):
+            self.texts += 1
+            return self.inner.encode(text, **options)
+
+        def encode_batch(self, texts, **options):
+            self.texts += len(texts)
+            return self.inner.encode_batch(texts, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    e = tokens.Encoder(tokens.default_tokenizer())
+    e.tokenizer = Counted(e.tokenizer)
+    rng = random.Random(5)
+    words = [f"{a}{rng.choice(['', '7', '-x', "'s", 'é', '日'])}{rng.choice(['', '.', ',', '!?'])}" for a in (f"w{i:x}" for i in range(2000))]
+    texts = ["".join(w + rng.choice(" \n") for w in words[at : at + 100]) + "end" for at in range(0, 2000, 100)]
+    assert split(e.encode(texts)) == library(texts)
+    assert e.tokenizer.texts <= 150
+    before = e.tokenizer.texts
+    assert split(e.encode(texts)) == library(texts) and e.tokenizer.texts == before
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab '.,\n\t\r  é1²  \x0b\x1cß日🙂s|<>", max_size=30), max_size=4))
 def test_any_text(texts):
