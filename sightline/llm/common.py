@@ -30,7 +30,9 @@ def salted(rows: DataFrame, row_key: Column, salts: int) -> DataFrame:
 
 
 def all_salts(rows: DataFrame, salts: int) -> DataFrame:
-    return rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Every row at all `salts` places. Spark sizes what `explode` gives like the rows before it and would broadcast far too much; a join's size is a product."""
+    places = rows.sparkSession.range(0, salts, 1, 1).select(F.col("id").cast("int").alias("_salt"))
+    return rows.crossJoin(places)
 
 
 def one_of_each(rows: DataFrame, key: list[str]) -> DataFrame:

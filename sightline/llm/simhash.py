@@ -134,9 +134,9 @@ def _placed(rows: DataFrame, which: int, start: int, bits: int, *key: str) -> Da
 
 
 def _shared(placed: DataFrame) -> DataFrame:
-    """Rows of cells that hold several, one of them its own, with the cell's size."""
+    """Rows of cells that hold several, one of them its own, with the cell's size. Never broadcast: Spark sizes a fingerprint's visits like the fingerprint."""
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("_some")).filter("n > 1 AND _some").drop("_some")
-    return placed.join(sizes, "cell")
+    return placed.hint("merge").join(sizes, "cell")
 
 
 def _edges(most: int):
