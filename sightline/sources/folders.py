@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StringType
 
+from sightline.session import materialize
+
 #: Run folders of one partition at least, and partitions for every core: each costs a start of all levels' workers.
 FOLDERS, WAVES = 16, 8
 #: Paths that a worker lists, and bytes of content that it reads, before it hands them on.
@@ -193,6 +195,37 @@ def run_folders(spark: SparkSession, root: str, folders: int | None = None) -> D
     return rows.select("run", "round", "tool", "name", "path", "length", relpath, _content("path").alias("content"))
 
 
+def _found(batches: Iterator) -> Iterator:
+    """What folders (path) hold: (path, length), length null for a folder. Names that Spark's readers pass over are left out."""
+    for batch in batches:
+        for folder in batch["path"].to_pylist():
+            found = [e for e in entries(folder) if not (e[0].startswith(".") or e[0].startswith("_") and "=" not in e[0])]
+            for at in range(0, len(found), PATHS):
+                some = found[at : at + PATHS]
+                yield pa.RecordBatch.from_arrays([pa.array([e[1] for e in some], pa.string()), pa.array([e[2] for e in some], pa.int64())], ["path", "length"])
+
+
+def tree_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files under a folder or glob as (path, length), empty ones too.
+
+    Levels are listed one after the other by the executors and written, so the driver holds only what a glob itself
+    matches, and a worker one folder's entries. A path that leads nowhere is an error.
+    """
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    matched = store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(store)
+    if matched is None or not len(matched):
+        raise FileNotFoundError(path)
+    kind = "path string, length long"
+    given = spark.createDataFrame([(m.getPath().toString(), m.getLen() if m.isFile() else None) for m in matched], kind)
+    levels, tasks = [given], WAVES * spark.sparkContext.defaultParallelism
+    while n := (folders := levels[-1].filter("length IS NULL")).count():
+        levels.append(materialize(folders.repartition(min(n, tasks), "path").mapInArrow(_found, kind), "listing"))
+    files = levels[0]
+    for more in levels[1:]:
+        files = files.union(more)
+    return files.filter("length IS NOT NULL")
+
+
 def edge_fingerprints(listed: DataFrame, edge: int = 1 << 20) -> DataFrame:
     """(path, length, fingerprint): SHA-256 of the length, the first and the last `edge` bytes of every listed file.
 
@@ -216,6 +249,6 @@ def edge_fingerprints(listed: DataFrame, edge: int = 1 << 20) -> DataFrame:
                 found.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch["path"], batch["length"], pa.array(found, pa.string())], ["path", "length", "fingerprint"])
 
-    # Spark's listing plans every file at 4 MB, so it gives a worker a few dozen files only.
+    # Files are dealt anew, as a folder's files stand in one partition of the listing.
     tasks = WAVES * listed.sparkSession.sparkContext.defaultParallelism
-    return listed.select("path", "length").coalesce(tasks).mapInArrow(run, "path string, length long, fingerprint string")
+    return listed.select("path", "length").repartition(tasks, "path").mapInArrow(run, "path string, length long, fingerprint string")

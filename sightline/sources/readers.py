@@ -42,9 +42,8 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a folder or glob as (path, length); Spark lists them, reads no content, and leaves empty files out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length")
+    """Files under a folder or glob as (path, length), empty ones too; no content is read, and the driver lists no folder."""
+    return folders.tree_files(spark, path)
 
 
 # ---------------------------------------------------------------- task lists
