@@ -325,11 +325,15 @@ def _(spark, sf):
     """WITH b AS (SELECT doc_id, encode(text) AS b FROM documents) SELECT doc_id, octet_length(b) AS length, sha256(encode(octet_length(b)::VARCHAR) || b[1:1000] || CASE WHEN octet_length(b) > 2000 THEN b[-1000:] ELSE b[1001:] END) AS fingerprint FROM b""",
 )
 def _(spark, sf):
-    docs = B.table(spark, sf, "documents").select(F.concat(F.col("doc_id") % 100, F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    docs = B.table(spark, sf, "documents").select("doc_id", "text")
+    # A file to a row, also where rows share an id, and a thousand files to a folder; no text is no file.
+    at = docs.filter("text IS NOT NULL").withColumn("at", F.monotonically_increasing_id())
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("-"), "at", F.lit(".txt"))
     path = work_path(spark, "texts")
-    folders.write_tree(docs, path)
-    doc_id = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id")
-    return R.file_fingerprints(spark, path, 1000).select(doc_id, "length", "fingerprint")
+    folders.write_tree(at.select(F.concat(F.floor(F.col("at") / 1000), F.lit("/"), name).alias("path"), F.col("text").alias("content")), path)
+    doc_id = F.regexp_extract("path", r"([^/]+)-\d+\.txt$", 1).try_cast("long").alias("doc_id")
+    prints = R.file_fingerprints(spark, path, 1000).select(doc_id, "length", "fingerprint")
+    return prints.unionByName(docs.filter("text IS NULL").select("doc_id"), allowMissingColumns=True)
 
 
 @query(
